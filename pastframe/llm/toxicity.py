@@ -29,12 +29,12 @@ _EDGE = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
 class Ftrl:
     """alpha, beta: per-coordinate rates; l1, l2: penalties (l1 makes weights exactly zero)."""
 
-    alpha: float = 0.3
+    alpha: float = 2.0
     beta: float = 1.0
-    l1: float = 1.0
+    l1: float = 2.0
     l2: float = 0.1
-    epochs: int = 3
-    shards: int = 8
+    epochs: int = 5
+    shards: int = 4
     #: Labelled rows to learn from, at most; beyond it the rows of smallest hash are the sample.
     max_rows: int = 24_000
 

@@ -7,8 +7,10 @@ from __future__ import annotations
 
 import codecs
 import json
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
@@ -145,16 +147,17 @@ class Transducer:
         del self.held[:at]
 
 
-def word_pattern() -> str:
-    """Contractions, letters, single digits, other signs. Code points newer than unicodedata's version are signs."""
+#: Contractions, letters, single digits, other signs.
+WORD = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+
+
+def late_code_points() -> str:
+    """Code points that the regex module calls letters or digits and unicodedata does not know yet, as a set's inside."""
     known = regex.compile(r"[\p{L}\p{N}]")
     new = [c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn" and known.match(chr(c))]
     starts = [c for c, b in zip(new, [-2, *new], strict=False) if c != b + 1]
     ends = [c for c, b in zip(new, [*new[1:], -2], strict=False) if c + 1 != b]
-    late = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True))
-    if not late:
-        return r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
-    return rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{late}]]+|[\p{{N}}--[{late}]]|(?:[^\s\p{{L}}\p{{N}}]|[{late}])+"
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True))
 
 
 class Encoder:
@@ -162,10 +165,12 @@ class Encoder:
 
     def __init__(self, vocab: Vocabulary, most_cached: int = 300_000):
         self.v, self.cache, self.most = vocab, {}, most_cached
-        self.word = regex.compile(word_pattern(), regex.V1)
+        self.word = regex.compile(WORD)
+        late = late_code_points() or "\\U0010ffff"  # those are signs; texts that hold one take the slower pattern
+        self.late = re.compile(f"[{late}]")
+        self.late_word = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{late}]]+|[\p{{N}}--[{late}]]|(?:[^\s\p{{L}}\p{{N}}]|[{late}])+", regex.V1)
         self.breaks = regex.compile(r"[ \n\t\r]")
         self.marks = regex.compile("|".join(map(regex.escape, sorted(vocab.special, key=len, reverse=True)))) if vocab.special else None
-        self.unicode_lower = str.maketrans({"Σ": "σ"})  # lower case goes by code point: no final sigma
 
     def pieces(self, text: str) -> Iterator[str]:
         """The text cut behind white space, where neither normal form nor words reach across."""
@@ -190,9 +195,11 @@ class Encoder:
     def _plain(self, text: str, out: list[int]) -> None:
         cache = self.cache
         for piece in self.pieces(text):
+            word = self.word
             if not piece.isascii():
-                piece = unicodedata.normalize("NFC", piece).translate(self.unicode_lower)
-            for w in self.word.findall(piece.lower()):
+                piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ")  # lower case goes by code point: no final sigma
+                word = self.late_word if self.late.search(piece) else word
+            for w in word.findall(piece.lower()):
                 got = cache.get(w)
                 if got is None:
                     got = self._word(w)
@@ -234,7 +241,7 @@ class Decoder:
 
     def feed(self, ids: Iterable[int]) -> str:
         """The text that these ids complete; unknown ids are left out."""
-        known = [b for i in ids if (b := self.bytes.get(i)) is not None]
+        known = list(filter(None, map(self.bytes.get, ids)))
         if not known:
             return ""
         lead = b" " if self.joined and not self.first else b""
@@ -250,18 +257,21 @@ def decode_all(decoder: Decoder, ids: list[int]) -> str:
     return "".join([*(decoder.feed(ids[i : i + CHUNK]) for i in range(0, len(ids), CHUNK)), decoder.finish()])
 
 
+@lru_cache(maxsize=2)
+def engine(vocab_path: str, joined: bool) -> tuple[Encoder, Decoder]:
+    """One for each Python worker, which keeps it from task to task."""
+    v = Vocabulary(vocab_path)
+    return Encoder(v), Decoder(v, joined)
+
+
 def encode_decode(df: DataFrame, vocab_path: str, text_col: str = "text", ids_out: str = "ids", decoded_out: str = "decoded", joined: bool = True) -> DataFrame:
     """df with the ids of each whole text and the text that they decode to; null text counts as empty: no ids, "".
 
     Columns of these names are replaced, others pass through. vocab_path must be readable on every executor.
     """
 
-    def setup() -> tuple[Encoder, Decoder]:
-        v = Vocabulary(vocab_path)
-        return Encoder(v), Decoder(v, joined)
-
     def made(texts: list[str], state: tuple[Encoder, Decoder]) -> list[pa.Array]:
         ids = [state[0].encode(t) for t in texts]
         return [pa.array(ids, pa.list_(pa.int32())), pa.array([decode_all(state[1], x) for x in ids], pa.string())]
 
-    return with_text_columns(df, text_col, [(ids_out, "array<int>", pa.list_(pa.int32())), (decoded_out, "string", pa.string())], made, setup)
+    return with_text_columns(df, text_col, [(ids_out, "array<int>", pa.list_(pa.int32())), (decoded_out, "string", pa.string())], made, lambda: engine(vocab_path, joined))

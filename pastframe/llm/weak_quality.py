@@ -20,68 +20,63 @@ BITS = 14
 EXTRA = (1 << BITS) + 1
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
-#: (statistic, bad beyond, good up to, least words): the labeller says bad (-1), good (+1) or, between them and on shorter texts, nothing.
-LABELLERS = (
-    ("symbols_per_word", 0.3, 0.1, 5),
-    ("same_as_previous", 0.2, 0.05, 10),
-    ("repeat_share", 0.5, 0.15, 20),
-    ("upper_share", 0.5, 0.15, 8),
-    ("exclaim_per_word", 0.3, 0.1, 8),
-    ("pipe_per_word", 0.25, 0.05, 8),
-    ("dup_line_share", 0.5, 0.15, 20),
-    ("digit_share", 0.4, 0.15, 10),
+#: (statistic, bad beyond, least words): these labellers call a text bad (-1) or, below and on shorter texts, nothing (0).
+BAD = (
+    ("symbols_per_word", 0.3, 3),
+    ("same_as_previous", 0.2, 10),
+    ("repeat_share", 0.5, 20),
+    ("upper_share", 0.5, 8),
+    ("exclaim_per_word", 0.3, 8),
+    ("pipe_per_word", 0.25, 5),
+    ("dup_line_share", 0.5, 20),
+    ("digit_share", 0.4, 10),
 )
-_AT = [list(FEATURES).index(name) for name, *_ in LABELLERS]
+#: Labellers that call a text good (+1) or nothing: all these statistics at most so large.
+GOOD = (
+    {"symbols_per_word": 0.05, "upper_share": 0.15, "exclaim_per_word": 0.05, "pipe_per_word": 0.02, "digit_share": 0.25, "same_as_previous": 0.1},
+    {"symbols_per_word": 0.1, "upper_share": 0.3, "exclaim_per_word": 0.1, "same_as_previous": 0.05, "repeat_share": 0.3, "dup_line_share": 0.4, "pipe_per_word": 0.05},
+)
+_BAD_AT = [list(FEATURES).index(name) for name, *_ in BAD]
+_GOOD_AT = [[(list(FEATURES).index(name), most) for name, most in g.items()] for g in GOOD]
+N_LABELLERS = len(BAD) + len(GOOD)
 
 
 def votes(text: str, hashes: WordHashes) -> np.ndarray:
-    """What each labeller says of a whole text."""
+    """What each labeller says of a whole text; none says anything of a text without words."""
     (n, *_), values = statistics(text, hashes)
-    out = np.zeros(len(LABELLERS), np.int8)
-    for k, (_, bad, good, least) in enumerate(LABELLERS):
-        v = values[_AT[k]]
-        out[k] = 0 if n < least else -1 if v > bad else 1 if v <= good else 0
-    return out
+    bad = [-(n >= least and values[at] > most) for at, (_, most, least) in zip(_BAD_AT, BAD, strict=True)]
+    return np.array([*bad, *(n > 0 and all(values[at] <= most for at, most in g) for g in _GOOD_AT)], np.int8)
 
 
 @dataclass(frozen=True)
 class LabelModel:
-    """P(vote | class) of each labeller, classes bad and good, votes -1, 0, +1; and the classes' shares."""
+    """How often each labeller is right when it speaks, and the share of good documents where none speaks."""
 
-    table: np.ndarray
-    prior: np.ndarray
+    accuracy: np.ndarray
+    good: float
 
     def posterior(self, v: np.ndarray) -> np.ndarray:
         """P(good) for rows of votes."""
-        log = np.log(self.prior) + sum(np.log(self.table[k, :, v[:, k] + 1]) for k in range(v.shape[1]))
-        return 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -50, 50)))
-
-    def accuracy(self) -> np.ndarray:
-        """How often each labeller is right when it votes."""
-        hit = self.prior[0] * self.table[:, 0, 0] + self.prior[1] * self.table[:, 1, 2]
-        miss = self.prior[0] * self.table[:, 0, 2] + self.prior[1] * self.table[:, 1, 0]
-        return hit / (hit + miss)
+        log = np.log(self.good / (1 - self.good)) + v @ np.log(self.accuracy / (1 - self.accuracy))
+        return 1 / (1 + np.exp(-np.clip(log, -50, 50)))
 
 
-def expectation_maximisation(v: np.ndarray, counts: np.ndarray, rounds: int = 100, smooth: float = 1.0, false_alarm: float = 0.002) -> LabelModel:
-    """Fits the label model to distinct vote patterns and their counts, from "bad if anyone says bad".
+def expectation_maximisation(v: np.ndarray, counts: np.ndarray, good_share: float = 0.6, rounds: int = 200) -> LabelModel:
+    """Fits the label model to distinct vote patterns and their counts; every labeller starts as right nine times in ten.
 
-    A prior as heavy as the data says that labellers seldom call a good document bad (false_alarm). Without it, kinds of
-    bad documents that seldom occur together would be split between the two classes.
+    Accuracies stay within 0.55 and 0.999: a labeller is taken to know something and never to be beyond doubt. The
+    classes' shares are not learned: a large good share would explain away labellers that only ever say bad.
     """
-    good = np.where((v == -1).any(1), 0.1, 0.95)
-    model = None
+    model = LabelModel(np.full(v.shape[1], 0.9), good_share)
     for _ in range(rounds):
-        w = np.stack([(1 - good) * counts, good * counts])
-        table = np.stack([[[w[c, v[:, k] == s].sum() + smooth for s in (-1, 0, 1)] for c in (0, 1)] for k in range(v.shape[1])])
-        calm = table[:, 1, 1:] / table[:, 1, 1:].sum(1, keepdims=True)
-        table[:, 1, 0] += false_alarm * counts.sum()
-        table[:, 1, 1:] += (1 - false_alarm) * counts.sum() * calm
-        model = LabelModel(table / table.sum(2, keepdims=True), (w.sum(1) + smooth) / (w.sum() + 2 * smooth))
-        after = model.posterior(v)
-        if len(v) == 0 or np.abs(after - good).max() < 1e-6:
-            break
-        good = after
+        good = model.posterior(v)
+        right = (np.where(v > 0, good[:, None], 0) + np.where(v < 0, 1 - good[:, None], 0)) * counts[:, None]
+        spoke = (v != 0) * counts[:, None]
+        accuracy = np.clip((right.sum(0) + 9) / (spoke.sum(0) + 10), 0.55, 0.999)
+        after = LabelModel(accuracy, good_share)
+        if np.abs(after.accuracy - model.accuracy).max() < 1e-7:
+            return after
+        model = after
     return model
 
 
@@ -141,17 +136,17 @@ def fit(docs: DataFrame, p: Settings = Settings(), text_col: str = "text") -> Qu
     """
     let_workers_import(docs.sparkSession)
     texts = docs.select(F.col(f"`{text_col}`").alias("text"))
-    say = lambda ts, hashes: [pa.array([bytes(votes(t, hashes) + 1) for t in ts], pa.binary())]
+    say = lambda ts, hashes: [pa.array([(votes(t, hashes) + 1).tobytes() for t in ts], pa.binary())]
     setup = lambda: WordHashes(lambda w: xxhash.xxh64_intdigest(w, 11))
     counted = with_text_columns(texts, "text", [("votes", "binary", pa.binary())], say, setup).groupBy("votes").count().toPandas()
-    patterns = np.array([np.frombuffer(b, np.int8) for b in counted.votes]).reshape(-1, len(LABELLERS)) - 1
+    patterns = np.array([np.frombuffer(b, np.int8) for b in counted.votes]).reshape(-1, N_LABELLERS) - 1
     labels = expectation_maximisation(patterns, counted["count"].to_numpy(float))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes, hashes = shape_hashes(), setup()
         for b in batches:
             ts = [t or "" for t in b.column("text").to_pylist()]
-            y = labels.posterior(np.array([votes(t, hashes) for t in ts]).reshape(-1, len(LABELLERS)))
+            y = labels.posterior(np.array([votes(t, hashes) for t in ts]).reshape(-1, N_LABELLERS))
             x = [features(t, shapes) for t in ts]
             yield pa.RecordBatch.from_arrays([pa.array(y), pa.array([i for i, _ in x], pa.list_(pa.int32())), pa.array([v for _, v in x], pa.list_(pa.float32()))], names=["y", "i", "v"])
 
@@ -178,7 +173,7 @@ def with_quality(df: DataFrame, model: QualityModel, text_col: str = "text", out
     """
 
     def made(texts: list[str], state: tuple[WordHashes, WordHashes]) -> list[pa.Array]:
-        v = np.array([votes(t, state[1]) for t in texts]).reshape(-1, len(LABELLERS))
+        v = np.array([votes(t, state[1]) for t in texts]).reshape(-1, N_LABELLERS)
         return [pa.array([model.score(*features(t, state[0])) for t in texts], pa.float64()), pa.array(model.labels.posterior(v))]
 
     outputs = [(out, "double", pa.float64()), (f"{out}_posterior", "double", pa.float64())]

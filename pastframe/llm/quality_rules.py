@@ -5,13 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pastframe.llm.common import WordHashes, with_text_columns
+from pastframe.llm.common import WordHashes, hash_sample, with_text_columns, written
 
 SYMBOLS = regex.compile(r"[#*$%&|<>]")
 SPACES = " \t\n\x0b\f\r"
@@ -95,7 +96,7 @@ class Boosting:
     bins: int = 64
     l2: float = 1.0
     min_rows: int = 20
-    #: Labelled rows to learn from, at most; beyond it the rows of smallest hash are the sample.
+    #: Labelled rows to learn from, at most; beyond it the rows of small hash are the sample.
     max_rows: int = 20_000
 
 
@@ -178,10 +179,8 @@ def with_verdict(df: DataFrame, forest: Forest, features_col: str = "features",
     """df with the forest's score of each row's feature array; the forest is a few kilobytes and goes with the task."""
 
     @F.pandas_udf("double")
-    def score(values):
+    def score(values: pd.Series) -> pd.Series:
         x = np.stack(values.to_numpy()) if len(values) else np.empty((0, len(FEATURES)))
-        import pandas as pd
-
         return pd.Series(forest.score(x))
 
     return df.withColumn(out, score(features_col))
@@ -195,13 +194,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame, p: Boosting = Boosting(),
     labelled twice counts with its smaller label); without labels the score is 0.5 and the base rules alone decide.
     Null text counts as empty: base_failed. Repeated rows get equal results; other columns are not carried.
     """
-    from pastframe.llm.common import written
-
     d = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias("text"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     stats = written(with_statistics(d).drop("text").withColumn("base_failed", failed), "statistics")
     marks = labels.where(F.col(label_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).cast("int").alias("y"))
-    sample = stats.where("not base_failed").join(marks, id_col).orderBy(F.xxhash64(id_col), id_col).limit(p.max_rows).select("features", "y").toPandas()
+    sample = hash_sample(stats.where("not base_failed").join(marks, id_col), [id_col], p.max_rows).select(id_col, "features", "y").toPandas().sort_values(id_col)
     x = np.stack(sample.features.to_numpy()) if len(sample) else np.empty((0, len(FEATURES)))
     forest = boost(x, sample.y.to_numpy(float), p)
     return with_verdict(stats, forest).withColumn("kept", ~F.col("base_failed") & (F.col("quality_score") >= least)).select(

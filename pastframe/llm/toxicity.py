@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pastframe.llm.common import let_workers_import, with_text_columns, written
+from pastframe.llm.common import hash_sample, let_workers_import, with_text_columns, written
 
 BITS = 18
 #: A word's first letters count besides the whole word: inflected forms then share what is learned.
@@ -35,7 +35,7 @@ class Ftrl:
     l2: float = 0.1
     epochs: int = 5
     shards: int = 4
-    #: Labelled rows to learn from, at most; beyond it the rows of smallest hash are the sample.
+    #: Labelled rows to learn from, at most; beyond it the rows of small hash are the sample.
     max_rows: int = 24_000
 
 
@@ -92,8 +92,8 @@ def fit(rows: DataFrame, p: Ftrl = Ftrl(), id_col: str = "doc_id", text_col: str
     """
     spark = rows.sparkSession
     let_workers_import(spark)
-    take = rows.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y"))
-    take = take.orderBy("h").limit(p.max_rows)
+    take = hash_sample(rows.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()), [id_col], p.max_rows)
+    take = take.select(F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y"))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -102,6 +102,7 @@ def fit(rows: DataFrame, p: Ftrl = Ftrl(), id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([b.column("h"), b.column("y"), pa.array(x, pa.list_(pa.int32()))], names=["h", "y", "x"])
 
     data = written(take.mapInArrow(featured, "h bigint, y int, x array<int>").withColumn("shard", F.pmod("h", F.lit(p.shards)).cast("int")), "toxic-features")
+    data = data.repartition(p.shards, "shard").persist()  # dealt once; what a lost executor held is dealt again from the table
     size = (1 << BITS) + 1
     z, n = np.zeros(size), np.zeros(size)
     for _ in range(p.epochs):
@@ -123,6 +124,7 @@ def fit(rows: DataFrame, p: Ftrl = Ftrl(), id_col: str = "doc_id", text_col: str
         got = data.groupBy("shard").applyInPandas(one_pass, "i long, z double, n double").groupBy("i").agg(F.avg("z").alias("z"), F.avg("n").alias("n")).toPandas()
         z[got.i], n[got.i] = z[got.i] + got.z, n[got.i] + got.n  # at most 2**BITS + 1 rows
         state.unpersist()
+    data.unpersist()
     return _weights(z, n, p)
 
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pastframe.llm.common import WordHashes, let_workers_import, with_text_columns
+from pastframe.llm.common import WordHashes, hash_sample, let_workers_import, with_text_columns
 from pastframe.llm.quality_rules import FEATURES, split_words, statistics
 
 BITS = 14
@@ -111,7 +111,7 @@ def features(text: str, shapes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class Settings:
-    #: Documents that the linear scorer learns from, at most; beyond it those of smallest hash. The label model sees all.
+    #: Documents that the linear scorer learns from, at most; beyond it those of small hash. The label model sees all.
     max_rows: int = 20_000
     steps: int = 500
     rate: float = 3.0
@@ -128,7 +128,7 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(self.weights[idx] @ val + self.bias, -30, 30)))
 
 
-def fit(docs: DataFrame, p: Settings = Settings(), text_col: str = "text") -> QualityModel:
+def fit(docs: DataFrame, p: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
     """Learns from texts alone.
 
     Votes of all documents are counted by pattern in Spark: 3 to the power of the labellers bounds what reaches the
@@ -150,7 +150,7 @@ def fit(docs: DataFrame, p: Settings = Settings(), text_col: str = "text") -> Qu
             x = [features(t, shapes) for t in ts]
             yield pa.RecordBatch.from_arrays([pa.array(y), pa.array([i for i, _ in x], pa.list_(pa.int32())), pa.array([v for _, v in x], pa.list_(pa.float32()))], names=["y", "i", "v"])
 
-    sample = texts.withColumn("h", F.xxhash64("text")).orderBy("h").limit(p.max_rows).select("text").mapInArrow(featured, "y double, i array<int>, v array<float>").toPandas()
+    sample = hash_sample(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), ["id", "text"], p.max_rows).select("text").mapInArrow(featured, "y double, i array<int>, v array<float>").toPandas()
     w, bias = np.zeros(EXTRA + 21), 0.0
     if len(sample):
         rows = np.repeat(np.arange(len(sample)), sample.i.map(len))
@@ -183,11 +183,11 @@ def with_quality(df: DataFrame, model: QualityModel, text_col: str = "text", out
 def quality(docs: DataFrame, p: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
     """id, score, posterior and kept (score of `least` or more) of every row; repeated rows get equal results."""
     d = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias("text"))
-    scored = with_quality(d, fit(d, p), "text", "score")
+    scored = with_quality(d, fit(d, p, id_col), "text", "score")
     return scored.select(id_col, "score", F.col("score_posterior").alias("posterior"), (F.col("score") >= least).alias("kept"))
 
 
-def keep_good(df: DataFrame, p: Settings = Settings(), text_col: str = "text", least: float = 0.5) -> DataFrame:
+def keep_good(df: DataFrame, p: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of df with a score of `least` or more, with df's columns."""
-    scored = with_quality(df, fit(df, p, text_col), text_col, "__quality")
+    scored = with_quality(df, fit(df, p, id_col, text_col), text_col, "__quality")
     return scored.where(F.col("__quality") >= least).select(*[F.col(f"`{c}`") for c in df.columns])

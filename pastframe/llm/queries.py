@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pastframe.llm import bpe, decontamination, line_templates, quality_rules, simhash, toxicity, weak_quality
+from pastframe.llm import bpe, decontamination, line_templates, quality_rules, simhash, toxicity, warc, weak_quality
+from pastframe.llm.common import new_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,13 +52,33 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = new_folder(spark, "archives")
+    warc.write_archives(_table(spark, sf_dir, "pages"), out)
+    back = warc.read_archives(spark, out, payload=False)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op3_toxicity, op4_quality_classifier, op5_quality_rules, op7_bpe_round_trip, op8_line_dedup, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op3_toxicity, op4_quality_classifier, op5_quality_rules, op7_bpe_round_trip, op8_line_dedup, op9_warc, op10_benchmark_decontamination)}
+
+
+OP9_SQL = """
+WITH d AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (
+  SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest
+)
+SELECT page_id, payload_bytes, d.payload_digest AS payload_digest,
+  CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_warc": OP9_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pastframe.llm import bpe, decontamination, line_templates, quality_rules, simhash, toxicity, warc, weak_quality
+from pastframe.llm import bpe, decontamination, line_templates, pii, quality_rules, simhash, tool_calls, toxicity, warc, weak_quality
 from pastframe.llm.common import new_folder
 
 
@@ -19,6 +19,14 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(_table(spark, sf_dir, "documents"))
+    kinds = F.transform("base", lambda x: x["kind"])
+    counts = [F.size(F.array_remove(kinds, "none")) - F.size(F.array_remove(kinds, k)) for k in pii.KINDS]
+    counts = [c.cast("long").alias(f"n_{k}") for c, k in zip(counts, pii.KINDS, strict=True)]
+    return found.select("doc_id", *counts, F.sha2(pii.spelled(F.col("base")), 256).alias("base_sha256"), pii.spelled(F.col("spans")).alias("spans"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -37,6 +45,10 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.formatted(_table(spark, sf_dir, "conversations"))
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_decode(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_path())
     return coded.select(
@@ -64,8 +76,16 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op3_toxicity, op4_quality_classifier, op5_quality_rules, op7_bpe_round_trip, op8_line_dedup, op9_warc, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_pii, op3_toxicity, op4_quality_classifier, op5_quality_rules, op6_chat_formatting, op7_bpe_round_trip, op8_line_dedup, op9_warc, op10_benchmark_decontamination)}
+
 
+#: For conversations without tool calls, which is what the tables hold; calls are tested on a fixture.
+OP6_SQL = """
+SELECT conv_id, CAST(turn AS INTEGER) AS turn, 0 AS level, 'message' AS kind, CAST(NULL AS VARCHAR) AS call_id,
+  CAST(NULL AS VARCHAR) AS status, CAST(NULL AS VARCHAR) AS problem,
+  CAST(to_json({'content': text, 'conv_id': conv_id, 'role': role, 'turn': CAST(turn AS INTEGER)}) AS VARCHAR) AS json
+FROM conversations
+"""
 
 OP9_SQL = """
 WITH d AS (
@@ -81,4 +101,4 @@ FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_warc": OP9_SQL}
+    return {"op6_chat_formatting": OP6_SQL, "op9_warc": OP9_SQL}

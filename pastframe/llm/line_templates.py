@@ -14,12 +14,14 @@ DEPTH = 4
 ALIKE = 0.8
 #: A template recurs if it is found in so many documents.
 MIN_DOCS = 3
+#: So many leaves go out as a broadcast; more are joined by a shuffle of the lines.
+FEW = 1_000_000
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
 def masked(line: Column) -> Column:
     """The line's tokens with a space between; those with a digit are variable fields, written <*>."""
-    plain = F.trim(F.regexp_replace(line, _SPACE, " "))
+    plain = F.trim(F.when(line.rlike(r"[\x09-\x0D]|\x20\x20"), F.regexp_replace(line, _SPACE, " ")).otherwise(line))
     return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"(?:\G|(?<= ))[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(plain)
 
 
@@ -38,14 +40,17 @@ def parsed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.select("key", "id", "ln", "m", "n", h1.alias("h1"), h2.alias("h2"), f1.alias("f1"), f2.alias("f2"))
 
 
-def leaf_templates(lines: DataFrame) -> DataFrame:
+def leaf_templates(lines: DataFrame, places: DataFrame | None = None) -> DataFrame:
     """(h1, h2, t1, t2): the template of each line that shares its leaf with another line and follows the leaf's template.
 
     The template of a leaf has at each place the token that most of its distinct lines have there (of those, the
-    smallest). Tokens are counted with partial aggregation, so no leaf is ever gathered in one task.
+    smallest). Tokens are counted with partial aggregation, so no leaf is ever gathered in one task. places: the hashes of
+    the same lines, if they are at hand. Leaves that lines share are broadcast up to FEW of them, 16 bytes each.
     """
     leaf, line = ["f1", "f2"], ["h1", "h2"]
-    shared = lines.groupBy(*leaf).agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select(*leaf)
+    shared = (lines if places is None else places).where(F.col("n") > DEPTH).groupBy(*leaf).agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select(*leaf)
+    shared = written(shared, "shared-leaves")
+    shared = F.broadcast(shared) if shared.count() <= FEW else shared
     own = lines.where(F.col("n") > DEPTH).join(shared, leaf, "left_semi").groupBy(*line).agg(*(F.first(c).alias(c) for c in ("f1", "f2", "m")))
     own = written(own, "leaf-lines")
     counts = own.select(*leaf, F.posexplode(F.split("m", " ")).alias("at", "token")).groupBy(*leaf, "at", "token").agg(F.count("*").alias("c"))
@@ -67,7 +72,7 @@ def recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     base = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     lines = parsed(base, "id", "text")
     places = written(lines.select("key", "id", "ln", "n", "h1", "h2", "f1", "f2"), "lines")
-    of = leaf_templates(lines)
+    of = leaf_templates(lines, places)
     placed = places.join(of, ["h1", "h2"], "left").select("key", "id", "ln", F.coalesce("t1", "h1").alias("t1"), F.coalesce("t2", "h2").alias("t2"))
     placed = written(placed, "templates")
     per_doc = placed.groupBy("t1", "t2", "key").agg(F.min(F.struct("id", "ln")).alias("first"))

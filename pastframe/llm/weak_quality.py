@@ -167,24 +167,15 @@ def fit(docs: DataFrame, p: Settings = Settings(), id_col: str = "doc_id", text_
 
 
 def with_quality(df: DataFrame, model: QualityModel, text_col: str = "text", out: str = "quality") -> DataFrame:
-    """df with the scorer's P(good) and the label model's posterior of each whole text; null counts as empty.
-
-    Texts without words have no features: the bias alone decides, and no labeller votes.
-    """
-
-    def made(texts: list[str], state: tuple[WordHashes, WordHashes]) -> list[pa.Array]:
-        v = np.array([votes(t, state[1]) for t in texts]).reshape(-1, N_LABELLERS)
-        return [pa.array([model.score(*features(t, state[0])) for t in texts], pa.float64()), pa.array(model.labels.posterior(v))]
-
-    outputs = [(out, "double", pa.float64()), (f"{out}_posterior", "double", pa.float64())]
-    return with_text_columns(df, text_col, outputs, made, lambda: (shape_hashes(), WordHashes(lambda w: xxhash.xxh64_intdigest(w, 11))))
+    """df with the scorer's P(good) of each whole text; null counts as empty. Without words the bias alone decides."""
+    made = lambda texts, shapes: [pa.array([model.score(*features(t, shapes)) for t in texts], pa.float64())]
+    return with_text_columns(df, text_col, [(out, "double", pa.float64())], made, shape_hashes)
 
 
 def quality(docs: DataFrame, p: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """id, score, posterior and kept (score of `least` or more) of every row; repeated rows get equal results."""
+    """id, score and kept (score of `least` or more) of every row; repeated rows get equal results."""
     d = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias("text"))
-    scored = with_quality(d, fit(d, p, id_col), "text", "score")
-    return scored.select(id_col, "score", F.col("score_posterior").alias("posterior"), (F.col("score") >= least).alias("kept"))
+    return with_quality(d, fit(d, p, id_col), "text", "score").select(id_col, "score", (F.col("score") >= least).alias("kept"))
 
 
 def keep_good(df: DataFrame, p: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:

@@ -169,7 +169,7 @@ def localize_strict(c: Column, tz: str) -> Column:
 
 def minutes_between(a: Column, b: Column) -> Column:
     """A - b in minutes."""
-    return (F.unix_micros(a) - F.unix_micros(b)) / 6e7
+    return (F.unix_micros(a.cast("timestamp")) - F.unix_micros(b.cast("timestamp"))) / 6e7
 
 
 def timing_bucket(minutes: Column, edges: tuple[float, ...] = (30, 60, 120, 360, 720)) -> Column:

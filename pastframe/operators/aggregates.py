@@ -125,8 +125,8 @@ def null_pct(df: DataFrame) -> DataFrame:
 
 def duplicate_report(df: DataFrame, keys: list[str]) -> DataFrame:
     """One row: rows, rows that repeat a whole row, rows that repeat a key."""
-    full = df.groupBy(*df.columns).agg(F.count("*").alias("n")).agg(F.sum("n").alias("rows"), (F.sum("n") - F.count("*")).alias("repeated_rows"))
-    key = df.groupBy(*keys).agg(F.count("*").alias("n")).agg((F.sum("n") - F.count("*")).alias("repeated_keys"))
+    full = df.groupBy(*df.columns).agg(F.count("*").alias("__c")).agg(F.sum("__c").alias("rows"), (F.sum("__c") - F.count("*")).alias("repeated_rows"))
+    key = df.groupBy(*keys).agg(F.count("*").alias("__c")).agg((F.sum("__c") - F.count("*")).alias("repeated_keys"))
     return full.crossJoin(F.broadcast(key))  # one row each
 
 

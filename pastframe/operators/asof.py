@@ -63,7 +63,7 @@ def path_aggregates(ticks: DataFrame, level: str, grid: tuple[int, ...] = GRID,
     d = d.withColumn("is_reversal", F.coalesce(F.col("is_move") & (F.col("move_sign") != last_sign), F.lit(False)))
     o = F.struct("line_ts", tie)
     first = F.min_by(level, o)
-    open_ = F.coalesce(F.max_by(level, F.when(F.col(opener), F.struct(-F.unix_micros("line_ts"), tie))), first) if opener else first
+    open_ = F.coalesce(F.max_by(level, F.when(F.col(opener), F.struct(-F.unix_micros(F.col("line_ts").cast("timestamp")), tie))), first) if opener else first
     return _grid(d, grid, offset).groupBy(*keys, "horizon").agg(
         F.count("*").alias("n_ticks"), F.count_if("is_move").alias("n_moves"), F.count_if("price_only").alias("n_price_moves"), F.count_distinct(level).alias("n_levels"),
         F.max(level).alias("level_max"), F.min(level).alias("level_min"), F.stddev_samp(level).alias("level_std"), F.coalesce(F.sum(F.abs("delta")), F.lit(0.0)).alias("path_length"),

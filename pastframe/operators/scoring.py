@@ -95,7 +95,7 @@ def verify_alignment(preds: DataFrame, src: DataFrame, keys: list[str], value: s
     """One row: keys on one side only, and rows whose value differs."""
     a, b = preds.select(*keys, F.col(value).alias("__a"), F.lit(1).alias("__l")), src.select(*keys, F.col(value).alias("__b"), F.lit(1).alias("__r"))
     j = a.join(b, keys, "full")
-    return j.agg(F.count_if("__r is null").alias("only_predictions"), F.count_if("__l is null").alias("only_source"), F.count_if(F.col("__l").isNotNull() & F.col("__r").isNotNull() & ~F.coalesce(F.abs(F.col("__a") - F.col("__b")) <= tol, F.col("__a").isNull() & F.col("__b").isNull())).alias("different"))
+    return j.agg(F.count_if(F.col("__r").isNull()).alias("only_predictions"), F.count_if(F.col("__l").isNull()).alias("only_source"), F.count_if(F.col("__l").isNotNull() & F.col("__r").isNotNull() & ~F.coalesce(F.abs(F.col("__a") - F.col("__b")) <= tol, F.col("__a").isNull() & F.col("__b").isNull())).alias("different"))
 
 
 def calibration_table(df: DataFrame, p: str, y: str, bins: int = 10) -> DataFrame:

@@ -194,7 +194,7 @@ def ewm_prior_dates(df: DataFrame, value: str, span: int, date: str, order: list
     mean = F.try_divide(F.col("__t.s"), F.col("__t.w"))
     var = F.try_divide(F.col("__t.q"), F.col("__t.w")) - mean * mean
     fix = F.try_divide(F.col("__t.w") * F.col("__t.w"), F.col("__t.w") * F.col("__t.w") - F.col("__t.ww"))
-    out = t.select(*keys, "__day", mean.alias(f"{value}_ewm_{span}_BEFORE"), F.sqrt(F.greatest(var * fix, F.lit(0.0))).alias(f"{value}_ewstd_{span}_BEFORE"))
+    out = t.select(*keys, "__day", mean.alias(f"{value}_ewm_{span}_BEFORE"), F.when(fix.isNotNull(), F.sqrt(F.greatest(var * fix, F.lit(0.0)))).alias(f"{value}_ewstd_{span}_BEFORE"))
     return df.withColumn("__day", F.to_date(date)).join(out, [*keys, "__day"], "left").drop("__day")
 
 
@@ -328,9 +328,10 @@ def season_prior_stats(df: DataFrame, value: str, line: str, date: str, season:
     day = day.select(season, "__day", *[F.sum(c).over(w).alias(c) for c in ("s", "q", "n", "ls", "lq", "ln")], F.flatten(F.collect_list("vs").over(w)).alias("vs"), F.flatten(F.collect_list("lv").over(w)).alias("lv"))
     got = df.withColumn("__day", F.to_date(date)).join(day, [season, "__day"], "left")
     mean = F.try_divide("s", "n")
-    std = F.sqrt(F.greatest(F.try_divide(F.col("q") - F.col("s") * mean, F.col("n") - 1), F.lit(0.0)))
+    root = lambda v: F.when(v.isNotNull(), F.sqrt(F.greatest(v, F.lit(0.0))))  # noqa: E731  rounding may leave a little below zero
+    std = root(F.try_divide(F.col("q") - F.col("s") * mean, F.col("n") - 1))
     lm = F.try_divide("ls", "ln")
-    ls = F.sqrt(F.greatest(F.try_divide(F.col("lq") - F.col("ls") * lm, F.col("ln") - 1), F.lit(0.0)))
+    ls = root(F.try_divide(F.col("lq") - F.col("ls") * lm, F.col("ln") - 1))
     v = F.array_sort("vs")
     k = F.size(v)
     at = lambda i: F.try_element_at(v, i.cast("int"))

@@ -84,15 +84,18 @@ def _quantile(sorted_: Column, q: float) -> Column:
     return F.when(n > 0, a + (b - a) * (at - lo))
 
 
-def row_stats(cols: list[str], prefix: str) -> list[Column]:
-    """Mean, population deviation, range, IQR and mean absolute deviation from the median of a row's values, nulls left out."""
-    v = F.array_sort(F.array_compact(F.array(*[F.col(c).cast("double") for c in cols])))
+def with_row_stats(df: DataFrame, cols: list[str], prefix: str) -> DataFrame:
+    """Count, mean, population deviation, range, IQR and mean absolute deviation from the median of a row's values, nulls left out.
+
+    The sorted values and their median are columns of their own on the way, so that they are computed once.
+    """
+    v, m, d = F.col("__v"), F.col("__m"), F.col("__d")
     n = F.size(v)
-    mean = F.when(n > 0, F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / n)
-    std = F.when(n > 0, F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n))
-    mid = _quantile(v, 0.5)
-    mad = _quantile(F.array_sort(F.transform(v, lambda x: F.abs(x - mid))), 0.5)
-    return [n.alias(f"{prefix}_n"), mean.alias(f"{prefix}_mean"), std.alias(f"{prefix}_std"), F.when(n > 0, F.array_max(v) - F.array_min(v)).alias(f"{prefix}_range"), (_quantile(v, 0.75) - _quantile(v, 0.25)).alias(f"{prefix}_iqr"), mad.alias(f"{prefix}_mad")]
+    got = df.withColumn("__v", F.array_sort(F.array_compact(F.array(*[F.col(c).cast("double") for c in cols]))))
+    got = got.withColumn("__m", F.struct(F.when(n > 0, F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / n).alias("mean"), _quantile(v, 0.5).alias("mid")))
+    got = got.withColumn("__d", F.struct(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - m["mean"]) * (x - m["mean"])).alias("sq"), F.array_sort(F.transform(v, lambda x: F.abs(x - m["mid"]))).alias("away")))
+    out = {"n": n, "mean": m["mean"], "std": F.when(n > 0, F.sqrt(d["sq"] / n)), "range": F.when(n > 0, F.array_max(v) - F.array_min(v)), "iqr": _quantile(v, 0.75) - _quantile(v, 0.25), "mad": _quantile(d["away"], 0.5)}
+    return got.select(*df.columns, *[c.alias(f"{prefix}_{k}") for k, c in out.items()])
 
 
 def coverage(panel: DataFrame, by: list[str], game: str) -> DataFrame:

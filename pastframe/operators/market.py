@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pastframe.functions.scalar import SIGMA_TOTAL, center_line, log_ratio, pair_mean, round_half_away, safe_div, to_decimal
-from pastframe.operators.aggregates import row_stats
+from pastframe.operators.aggregates import with_row_stats
 
 #: Fixed value: the price at which a side counts as standard, in decimal form to two places.
 STANDARD_PRICE = 1.91
@@ -34,7 +34,7 @@ def market_features(df: DataFrame, books: list[str] | None = None, ref: str | No
         cols |= {f"odds_total_{b}_mid": pair_mean(F.col(f"total_{b}_line_over"), F.col(f"total_{b}_line_under")), f"odds_total_{b}_prob_diff": p - q, f"odds_total_{b}_vig": p + q - 1, f"odds_total_{b}_log_ratio": log_ratio(over, under)}
     out = df.withColumns(cols)
     for kind in ("mid", "prob_diff", "vig", "log_ratio"):
-        out = out.select("*", *row_stats([f"odds_total_{b}_{kind}" for b in books], f"odds_total_{kind}"))
+        out = with_row_stats(out, [f"odds_total_{b}_{kind}" for b in books], f"odds_total_{kind}")
     ref = ref or books[0]
     line = F.col(f"odds_total_{ref}_mid")
     spread = f"spread_{ref}_line_home"

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pastframe.functions.scalar import entropy, to_decimal
-from pastframe.operators.aggregates import row_stats
+from pastframe.operators.aggregates import with_row_stats
 from pastframe.operators.filters import wilson
 from pastframe.operators.topk import latest_per_key
 
@@ -175,7 +175,7 @@ def consensus_structure(df: DataFrame, cols: list[str], tight: float = 2.0) -> D
     """Mean and largest pairwise difference, row statistics, whether all lie close together, and whether all point one way."""
     pairs = F.array_compact(F.array(*[F.abs(F.col(a) - F.col(b)) for a, b in combinations(cols, 2)]))
     signs = F.array_distinct(F.array_compact(F.array(*[F.signum(c) for c in cols])))
-    out = df.select("*", *row_stats(cols, "consensus"))
+    out = with_row_stats(df, cols, "consensus")
     return out.withColumns({"pair_diff_mean": F.when(F.size(pairs) > 0, F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x) / F.size(pairs)), "pair_diff_max": F.array_max(pairs), "is_tight": F.coalesce(F.col("consensus_range") <= tight, F.lit(False)), "is_unanimous": F.size(signs) == 1})
 
 

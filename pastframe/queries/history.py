@@ -58,7 +58,7 @@ QUERIES = {
     "w9_flag_history": entry(
         lambda s, d: windows.flag_history(orders(s, d).withColumn("f", (F.col("status") == "F").cast("int")), "f", ["k"], _O, "season").select("id", F.col("f_last_BEFORE").alias("a"), F.col("f_freq_5_BEFORE").alias("b"), F.col("f_season_freq_BEFORE").alias("c")),
         f"""WITH {ORDERS}, f AS (SELECT *, CASE WHEN status = 'F' THEN 1.0 ELSE 0.0 END AS f FROM o)
-        SELECT id, coalesce(lag(f) OVER (PARTITION BY k ORDER BY d, id), 0) + 0.0 AS a, {{r:coalesce(avg(f) OVER ({_B} 5 PRECEDING AND 1 PRECEDING), 0)}} AS b,
+        SELECT id, {{r:coalesce(lag(f) OVER (PARTITION BY k ORDER BY d, id), 0)}} AS a, {{r:coalesce(avg(f) OVER ({_B} 5 PRECEDING AND 1 PRECEDING), 0)}} AS b,
         {{r:coalesce(avg(f) OVER (PARTITION BY k, season ORDER BY d, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)}} AS c FROM f""",
     ),
     "w10_record_before": entry(
@@ -101,7 +101,7 @@ QUERIES = {
         lambda s, d: windows.market_regime_features(orders(s, d).withColumn("line", F.round(F.col("v"), -4)), "v", "line", "d", _O).select("id", F.col("regime_bias_30_BEFORE").alias("a"), F.col("regime_mae_75_BEFORE").alias("b"), F.col("regime_over_7d_BEFORE").alias("c"), F.col("regime_games_14d_BEFORE").alias("g")),
         f"""WITH {ORDERS}, g AS (SELECT id, d, v - round(v, -4) AS e FROM o),
         r AS (SELECT id, d, avg(e) OVER (ORDER BY d, id ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS a, avg(abs(e)) OVER (ORDER BY d, id ROWS BETWEEN 75 PRECEDING AND 1 PRECEDING) AS b FROM g),
-        f AS (SELECT d, arg_min(a, id) AS a, arg_min(b, id) AS b FROM r GROUP BY d), y AS (SELECT d, sum(CASE WHEN e > 0 THEN 1.0 ELSE 0.0 END) AS ov, count(*) AS n FROM g GROUP BY d),
+        f AS (SELECT d, arg_min({{'x': a}}, id)['x'] AS a, arg_min({{'x': b}}, id)['x'] AS b FROM r GROUP BY d), y AS (SELECT d, sum(CASE WHEN e > 0 THEN 1.0 ELSE 0.0 END) AS ov, count(*) AS n FROM g GROUP BY d),
         w AS (SELECT d, sum(ov) OVER (ORDER BY d RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND INTERVAL 1 DAY PRECEDING) / sum(n) OVER (ORDER BY d RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND INTERVAL 1 DAY PRECEDING) AS c,
           coalesce(sum(n) OVER (ORDER BY d RANGE BETWEEN INTERVAL 14 DAYS PRECEDING AND INTERVAL 1 DAY PRECEDING), 0) AS g FROM y)
         SELECT g.id, {{r:f.a}} AS a, {{r:f.b}} AS b, {{r:w.c}} AS c, CAST(w.g AS BIGINT) AS g FROM g JOIN f ON f.d = g.d JOIN w ON w.d = g.d""",

@@ -114,7 +114,7 @@ QUERIES = {
     ),
     "f12_basic_clean": entry(
         lambda s, d: filters.basic_clean(_labels(s, d), ["quality"], {"n_chars": 300}, {"n_chars": "double"}).select("doc_id", "quality", "n_chars"),
-        "SELECT doc_id, quality, CAST(n_chars AS DOUBLE) + 0.0 AS n_chars FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND n_chars >= 300",
+        "SELECT doc_id, quality, {r:n_chars} AS n_chars FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND n_chars >= 300",
     ),
     "f14_apply_missing_policy": entry(
         lambda s, d: filters.apply_missing_policy(_labels(s, d), ["n_chars"], {"quality": "toxic"}, ("toxic",), ("quality",)).select("doc_id", "quality", "toxic", F.col("quality__is_missing").cast("int").alias("missing")),
@@ -249,7 +249,7 @@ QUERIES = {
         SELECT game_id, market, {{r:median(a)}} AS level_first_median, {{r:median(b)}} AS level_last_median, {{r:median(b - a)}} AS level_move_median, {{r:median(n)}} AS level_n_median, count(*) AS sources FROM g GROUP BY ALL""",
     ),
     "a11_row_stats": entry(
-        lambda s, d: items(s, d).select("g", "n", "p", "q", *aggregates.row_stats(["q", "disc", "tax", "price"], "x")),
+        lambda s, d: aggregates.with_row_stats(items(s, d), ["q", "disc", "tax", "price"], "x").select("g", "n", "p", "q", "x_n", "x_mean", "x_std", "x_range", "x_iqr", "x_mad"),
         f"""WITH {ITEMS}, l AS (SELECT g, n, p, q, [q, disc, tax, price] AS v FROM i)
         SELECT g, n, p, {{r:q}} AS q, 4 AS x_n, {{r:list_avg(v)}} AS x_mean, {{r:list_stddev_pop(v)}} AS x_std, {{r:list_max(v) - list_min(v)}} AS x_range,
         {{r:list_aggregate(v, 'quantile_cont', 0.75) - list_aggregate(v, 'quantile_cont', 0.25)}} AS x_iqr, {{r:list_aggregate(v, 'mad')}} AS x_mad FROM l""",
@@ -264,7 +264,7 @@ QUERIES = {
     ),
     "a14_daily_errors": entry(
         lambda s, d: aggregates.daily_errors(items(s, d).withColumn("line", F.lit(25.0)), "d", "q", "line"),
-        f"WITH {ITEMS} SELECT d AS date, count(*) AS games, {{r:avg(q)}} AS mean_actual, 25.0::DOUBLE AS mean_line, {{r:avg(q - 25)}} AS mean_error, {{r:avg(abs(q - 25))}} AS mae FROM i GROUP BY d",
+        f"WITH {ITEMS} SELECT d AS date, count(*) AS games, {{r:avg(q)}} AS mean_actual, {{r:25.0}} AS mean_line, {{r:avg(q - 25)}} AS mean_error, {{r:avg(abs(q - 25))}} AS mae FROM i GROUP BY d",
     ),
     "a14_daily_accuracy": entry(
         lambda s, d: aggregates.daily_accuracy(items(s, d).withColumns({"a": F.col("q") > 25, "b": F.col("disc") > 0.05}), "d", ["a", "b"]),

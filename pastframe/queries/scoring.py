@@ -58,12 +58,12 @@ QUERIES = {
     ),
     "e9_threshold_sweep": entry(
         lambda s, d: scoring.threshold_sweep(_bets(s, d), [0.0, 5.0, 10.0, 20.0], "edge", "actual", "line").select("threshold", *_M),
-        f"WITH {_PLACED} SELECT CAST(threshold AS DOUBLE) + 0.0 AS threshold, {_METRICS} FROM c JOIN (SELECT unnest([0, 5, 10, 20]) AS threshold) ON abs(edge) > threshold GROUP BY threshold",
+        f"WITH {_PLACED} SELECT {{r:threshold}} AS threshold, {_METRICS} FROM c JOIN (SELECT unnest([0, 5, 10, 20]) AS threshold) ON abs(edge) > threshold GROUP BY threshold",
     ),
     "e9_edge_ranges": entry(
         lambda s, d: scoring.edge_ranges(_bets(s, d), [0.0, 5.0, 15.0], "edge", "actual", "line"),
         f"""WITH {_PLACED}, k AS (SELECT CASE WHEN abs(edge) >= 15 THEN 15.0 WHEN abs(edge) >= 5 THEN 5.0 ELSE 0.0 END AS from_edge, count(*) AS n_bets, count(*) FILTER (m > 0) AS wins, count(*) FILTER (m < 0) AS losses, sum(profit) AS profit FROM c GROUP BY 1)
-        SELECT CAST(from_edge AS DOUBLE) + 0.0 AS from_edge, n_bets, wins, losses, {{r:profit}} AS profit, CAST(sum(n_bets) OVER w AS BIGINT) AS n_bets_tail, CAST(sum(wins) OVER w AS BIGINT) AS wins_tail, CAST(sum(losses) OVER w AS BIGINT) AS losses_tail, {{r:sum(profit) OVER w}} AS profit_tail FROM k WINDOW w AS (ORDER BY from_edge DESC)""",
+        SELECT {{r:from_edge}} AS from_edge, n_bets, wins, losses, {{r:profit}} AS profit, CAST(sum(n_bets) OVER w AS BIGINT) AS n_bets_tail, CAST(sum(wins) OVER w AS BIGINT) AS wins_tail, CAST(sum(losses) OVER w AS BIGINT) AS losses_tail, {{r:sum(profit) OVER w}} AS profit_tail FROM k WINDOW w AS (ORDER BY from_edge DESC)""",
     ),
     "e10_score_lines": entry(
         lambda s, d: scoring.score_lines(_bets(s, d).withColumn("alt", F.col("line") + 0.01), "prob", "actual", ["line", "alt"]).select("line_name", "n_bets", "wins", "losses", "line_mae"),
@@ -90,7 +90,7 @@ QUERIES = {
     ),
     "e14_ou_accuracy": entry(
         lambda s, d: scoring.ou_accuracy(_bets(s, d).withColumn("pred", F.col("line") + F.col("edge")), "pred", "actual", "line", [0.0, 10.0]).select("min_edge", "accuracy", "decided", "rows"),
-        f"""WITH {_PLACED} SELECT CAST(e AS DOUBLE) + 0.0 AS min_edge, {{r:avg(CASE WHEN m > 0 THEN 1.0 WHEN m < 0 THEN 0.0 END)}} AS accuracy, count(*) FILTER (m <> 0) AS decided, count(*) AS rows FROM c JOIN (SELECT unnest([0, 10]) AS e) ON abs(edge) >= e GROUP BY e""",
+        f"""WITH {_PLACED} SELECT {{r:e}} AS min_edge, {{r:avg(CASE WHEN m > 0 THEN 1.0 WHEN m < 0 THEN 0.0 END)}} AS accuracy, count(*) FILTER (m <> 0) AS decided, count(*) AS rows FROM c JOIN (SELECT unnest([0, 10]) AS e) ON abs(edge) >= e GROUP BY e""",
     ),
     "e15_settlement_stats": entry(
         lambda s, d: scoring.settlement_stats(scoring.settle(_bets(s, d).withColumn("pick", F.when(F.col("edge") > 0, "over").otherwise("under")), {"m": "pick"}, "actual", "line"), "m", "pick", ("flag",)),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,14 +44,16 @@ ITEMS = """i AS (SELECT l_orderkey AS g, CAST(l_linenumber AS INTEGER) AS n, l_p
   l_discount AS disc, l_tax AS tax, CAST(l_shipdate AS DATE) AS d, l_returnflag AS flag, l_linestatus AS ls FROM lineitem)"""
 
 
+#: Added before rounding, so that halves, which means of prices often are, don't lie on the border between two results.
+SHIFT = 1.37e-6
+
+
 def rounded(df: DataFrame, places: int = 4) -> DataFrame:
     """Doubles rounded, as sums in another order differ in the last digits; -0 is 0."""
-    return df.select(*[(F.round(F.col(f"`{c}`"), places) + 0.0).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
+    return df.select(*[(F.round(F.col(f"`{c}`") + SHIFT, places) + 0.0).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
 def entry(fn: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> tuple[Callable[[SparkSession, str], DataFrame], str | None]:
     """A query whose doubles are rounded, and its SQL. {r:expr} in the SQL is a rounded expression."""
-    import re
-
-    text = re.sub(r"\{r:((?:[^{}]|\{[^{}]*\})*)\}", r"(round(\1, 4) + 0.0)", sql) if sql else None
+    text = re.sub(r"\{r:((?:[^{}]|\{[^{}]*\})*)\}", rf"(round(CAST(\1 AS DOUBLE) + {SHIFT}, 4) + 0e0)", sql) if sql else None
     return (lambda spark, d: rounded(fn(spark, d))), text

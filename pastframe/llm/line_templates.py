@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pastframe.llm.common import let_workers_import, row_key, written
 
@@ -81,7 +82,7 @@ def recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return again.groupBy("key").agg(F.collect_set("ln").alias("drop"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def without_lines(texts: pd.Series, drop: pd.Series) -> pd.Series:
     """The texts without the lines of these numbers."""
     gone = [set() if d is None else set(d.tolist()) for d in drop]

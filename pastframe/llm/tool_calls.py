@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pastframe.llm.common import forget, let_workers_import, written
 
@@ -53,7 +54,7 @@ def _checked(arguments: str | None, schema: str | None) -> tuple[str | None, str
         return text, "broken schema"
 
 
-@F.pandas_udf("arguments string, problem string")
+@F.pandas_udf(T.StructType([T.StructField("arguments", T.StringType()), T.StructField("problem", T.StringType())]))
 def checked(arguments: pd.Series, schema: pd.Series) -> pd.DataFrame:
     """Canonical arguments (sorted keys, no spaces), and what is wrong with them if anything."""
     return pd.DataFrame([_checked(a, s) for a, s in zip(arguments, schema, strict=True)], columns=["arguments", "problem"], dtype=object)

@@ -26,6 +26,16 @@ def before(keys: list[str], order: list[str], n: int | None = None) -> WindowSpe
     return spec(keys, order).rowsBetween(Window.unboundedPreceding if n is None else -n, -1)
 
 
+def known_before(x: Column, keys: list[str], order: list[str]) -> Column:
+    """How many non-null values the key has before the row. Over it, the RANGE frame (-n, -1) is the last n known rows."""
+    return F.coalesce(F.count(x).over(before(keys, order)), F.lit(0))
+
+
+def last_known(keys: list[str], n: int) -> WindowSpec:
+    """The last n known rows before the current one, if __b is known_before: frames stay bounded however long a history is."""
+    return Window.partitionBy(*keys).orderBy("__b").rangeBetween(-n, -1)
+
+
 def _season(keys: list[str], season: str | None) -> list[str]:
     return [*keys, season] if season else keys
 
@@ -108,12 +118,11 @@ def build_rolling_features(df: DataFrame, prefixes: list[str], keys: list[str],
 def flag_history(df: DataFrame, flag: str, keys: list[str], order: list[str], season: str, n: int = 5) -> DataFrame:
     """The last known flag, its frequency over the last n known ones, and over the season; 0 where there are none."""
     w, ws = before(keys, order), before([*keys, season], order)
-    last = F.slice(F.reverse(F.collect_list(flag).over(w)), 1, n)
-    got = df.select("*", F.last(flag, ignorenulls=True).over(w).alias("__last"), last.alias("__lastn"), F.avg(flag).over(ws).alias("__season"))
-    freq = F.aggregate("__lastn", F.lit(0.0), lambda a, x: a + x) / F.size("__lastn")
+    got = df.withColumn("__b", known_before(F.col(flag), keys, order))
+    freq = F.avg(flag).over(last_known(keys, n))
     return got.select(
-        *df.columns, F.coalesce(F.col("__last").cast("double"), F.lit(0.0)).alias(f"{flag}_last_BEFORE"),
-        F.when(F.size("__lastn") > 0, freq).otherwise(0.0).alias(f"{flag}_freq_{n}_BEFORE"), F.coalesce("__season", F.lit(0.0)).alias(f"{flag}_season_freq_BEFORE"),
+        *df.columns, F.coalesce(F.last(flag, ignorenulls=True).over(w).cast("double"), F.lit(0.0)).alias(f"{flag}_last_BEFORE"),
+        F.coalesce(freq, F.lit(0.0)).alias(f"{flag}_freq_{n}_BEFORE"), F.coalesce(F.avg(flag).over(ws), F.lit(0.0)).alias(f"{flag}_season_freq_BEFORE"),
     )
 
 
@@ -133,9 +142,11 @@ def ewm_recursive(df: DataFrame, value: str, keys: list[str], order: list[str],
     """Exponentially weighted mean, recursive form, over earlier rows that are valid and not null; 0 if none."""
     a = 1 - math.exp(-math.log(2) / halflife)
     x = F.when(F.expr(valid), F.col(value)) if valid else F.col(value)
-    got = df.withColumn("__past", F.collect_list(x.cast("double")).over(before(keys, order)))
-    fold = F.aggregate("__past", F.lit(None).cast("double"), lambda m, v: F.when(m.isNull(), v).otherwise(m * (1 - a) + v * a))
-    return got.withColumn(f"{value}_ewm_BEFORE", F.coalesce(fold, F.lit(0.0))).drop("__past")
+    reach = math.ceil(60 * halflife)  # what is older weighs less than a double can tell
+    got = df.withColumn("__x", x.cast("double")).withColumn("__b", known_before(F.col("__x"), keys, order))
+    got = got.withColumn("__past", F.array_sort(F.collect_list(F.when(F.col("__x").isNotNull(), F.struct("__b", "__x"))).over(last_known(keys, reach))))
+    fold = F.aggregate("__past", F.lit(None).cast("double"), lambda m, v: F.when(m.isNull(), v["__x"]).otherwise(m * (1 - a) + v["__x"] * a))
+    return got.withColumn(f"{value}_ewm_BEFORE", F.coalesce(fold, F.lit(0.0))).drop("__past", "__x", "__b")
 
 
 _FRAME_AGGS: dict[str, Callable[[str], Column]] = {
@@ -184,7 +195,8 @@ def ewm_prior_dates(df: DataFrame, value: str, span: int, date: str, order: list
         return F.struct((a["w"] * b + has).alias("w"), (a["ww"] * b * b + has).alias("ww"), (a["s"] * b + v).alias("s"), (a["q"] * b + v * v).alias("q"))
 
     day = rows.select(*keys, "__day", F.size("__xs").alias("__n"), F.aggregate("__xs", zero, step).alias("__a"))
-    past = F.collect_list(F.struct("__n", "__a")).over(Window.partitionBy(*keys).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1))
+    reach = math.ceil(60 * math.log(2) / -math.log(b))  # dates further back weigh less than a double can tell
+    past = F.collect_list(F.struct("__n", "__a")).over(Window.partitionBy(*keys).orderBy("__day").rowsBetween(-reach, -1))
 
     def join(a: Column, x: Column) -> Column:
         f = F.pow(F.lit(b), x["__n"])
@@ -277,10 +289,9 @@ def streak(df: DataFrame, keys: list[str], flag: str, order: list[str], season:
 
 def last_valid_mean(df: DataFrame, value: str, keys: list[str], order: list[str], valid: str, n: int = 5) -> DataFrame:
     """For every row, the mean of the last n earlier rows that are valid."""
-    good = F.when(F.expr(valid), F.col(value))
-    past = F.slice(F.reverse(F.collect_list(good).over(before(keys, order))), 1, n)
-    got = df.withColumn("__p", past)
-    return got.withColumn(f"{value}_last_{n}_valid_BEFORE", F.try_divide(F.aggregate("__p", F.lit(0.0), lambda a, x: a + x), F.size("__p"))).drop("__p")
+    good = F.when(F.expr(valid), F.col(value).cast("double"))
+    got = df.withColumn("__x", good).withColumn("__b", known_before(F.col("__x"), keys, order))
+    return got.withColumn(f"{value}_last_{n}_valid_BEFORE", F.avg("__x").over(last_known(keys, n))).drop("__x", "__b")
 
 
 def travel_features(df: DataFrame, team: str, date: str, order: list[str], lat: str, lon: str, home: str, days: tuple[int, ...] = (1, 2, 5, 7, 14)) -> DataFrame:

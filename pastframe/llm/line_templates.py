@@ -22,7 +22,10 @@ _SPACE = r"[\x20\x09-\x0D]+"
 
 def masked(line: Column) -> Column:
     """The line's tokens with a space between; those with a digit are variable fields, written <*>."""
-    plain = F.trim(F.when(line.rlike(r"[\x09-\x0D]|\x20\x20"), F.regexp_replace(line, _SPACE, " ")).otherwise(line))
+    untidy = F.contains(line, F.lit("  "))
+    for sign in "\t\x0b\x0c\r":
+        untidy = untidy | F.contains(line, F.lit(sign))
+    plain = F.trim(F.when(untidy, F.regexp_replace(line, _SPACE, " ")).otherwise(line))
     return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"(?:\G|(?<= ))[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(plain)
 
 
@@ -34,7 +37,7 @@ def _pair(*cols: Column) -> tuple[Column, Column]:
 def parsed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per line with a token: row key, id, line number, masked line, token count, hashes of line and leaf."""
     lines = df.select(row_key(id_col, text_col).alias("key"), F.col(f"`{id_col}`").alias("id"), F.posexplode(F.split(F.col(f"`{text_col}`"), "\n")).alias("ln", "line"))
-    lines = lines.select("key", "id", "ln", masked(F.col("line")).alias("m")).where("m <> ''")
+    lines = lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select("key", "id", "ln", masked(F.col("line")).alias("m"))
     n = F.length("m") - F.length(F.replace(F.col("m"), F.lit(" "), F.lit(""))) + 1
     lines = lines.withColumn("n", n).withColumn("lead", F.substring_index("m", " ", DEPTH))
     (h1, h2), (f1, f2) = _pair(F.col("m")), _pair(F.col("n"), F.col("lead"))
@@ -52,7 +55,7 @@ def leaf_templates(lines: DataFrame, places: DataFrame | None = None) -> DataFra
     shared = (lines if places is None else places).where(F.col("n") > DEPTH).groupBy(*leaf).agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select(*leaf)
     shared = written(shared, "shared-leaves")
     shared = F.broadcast(shared) if shared.count() <= FEW else shared
-    own = lines.where(F.col("n") > DEPTH).join(shared, leaf, "left_semi").groupBy(*line).agg(*(F.first(c).alias(c) for c in ("f1", "f2", "m")))
+    own = lines.join(shared, leaf, "left_semi").groupBy(*line).agg(*(F.first(c).alias(c) for c in ("f1", "f2", "m")))
     own = written(own, "leaf-lines")
     counts = own.select(*leaf, F.posexplode(F.split("m", " ")).alias("at", "token")).groupBy(*leaf, "at", "token").agg(F.count("*").alias("c"))
     modal = counts.groupBy(*leaf, "at").agg(F.min(F.struct(-F.col("c"), "token")).alias("best"))

@@ -45,8 +45,9 @@ def market_features(df: DataFrame, books: list[str] | None = None, ref: str | No
 
 
 def side_differences(df: DataFrame, patterns: list[str], suffixes: tuple[str, str] = ("_TEAM_HOME", "_TEAM_AWAY")) -> DataFrame:
-    """O2: home less away for every column that fits a pattern and has both sides; a difference that is there already is replaced."""
-    stems = [c.removesuffix(suffixes[0]) for c in df.columns if c.endswith(suffixes[0]) and any(re.search(p, c) for p in patterns)]
+    """O2: home less away for every column whose name before the side fits a pattern and that has both sides; a difference that is there already is replaced."""
+    stems = [c.removesuffix(suffixes[0]) for c in df.columns if c.endswith(suffixes[0])]
+    stems = [s for s in stems if any(re.search(p, s) for p in patterns)]
     return df.withColumns({f"{s}_DIFF": F.col(s + suffixes[0]) - F.col(s + suffixes[1]) for s in stems if s + suffixes[1] in df.columns})
 
 

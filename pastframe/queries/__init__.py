@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pastframe.queries import history, relational, scoring, ticks
+from pastframe.queries import history, relational, rest, scoring, ticks
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (relational, history, ticks, scoring)
+_MODULES = (relational, history, ticks, scoring, rest)
 
 
 def queries() -> dict[str, Query]:

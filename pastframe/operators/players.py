@@ -96,6 +96,25 @@ def roster_continuity(players: DataFrame, games: DataFrame, minutes: str = "minu
     return got.select("game_id", "team_id", F.try_divide(F.coalesce("kept", F.lit(0.0)), F.col("team_m")).alias("continuity"), F.try_divide(F.coalesce("came", F.lit(0.0)), F.col("team_m")).alias("incoming"), F.try_divide(F.coalesce("kept", F.lit(0.0)) + F.coalesce("came", F.lit(0.0)) - F.col("team_m"), F.col("team_m")).alias("net"))
 
 
+def roster_movement(players: DataFrame, games: DataFrame, minutes: str = "minutes", days: int = 60) -> DataFrame:
+    """P4, the near horizon: of the minutes that players had in the last `days` days, wherever they played, the share of those
+    whose last known row is this team's and who had them elsewhere, and of those who had them here and are gone.
+
+    A row counts in the day bucket of its date and the next one, so that a game meets near rows only. Rows are known a day later.
+    """
+    from pastframe.operators.joins import last_value_asof, membership_between
+
+    known = players.select("player_id", F.date_add("game_date", 1).alias("game_date"), F.col("team_id").alias("now_team"))
+    rows = players.select("player_id", F.col("team_id").alias("then_team"), F.col("game_date").alias("then"), F.coalesce(minutes, F.lit(0.0)).alias("m"))
+    teams = players.select("team_id", "player_id").distinct()
+    probe = games.select("game_id", "team_id", "game_date").join(teams, "team_id")
+    near = membership_between(probe, rows, ["player_id"], "game_date", "then", days).groupBy("game_id", "team_id", "game_date", "player_id", "then_team").agg(F.sum("m").alias("m"))
+    got = last_value_asof(known, near, ["player_id"], "game_date", ["now_team"], strict=False)
+    here, now = F.col("then_team") == F.col("team_id"), F.coalesce(F.col("now_team") == F.col("team_id"), F.lit(False))
+    s = got.groupBy("game_id", "team_id").agg(F.sum(F.when(here, F.col("m"))).alias("own"), F.coalesce(F.sum(F.when(~here & now, F.col("m"))), F.lit(0.0)).alias("came"), F.coalesce(F.sum(F.when(here & ~now, F.col("m"))), F.lit(0.0)).alias("left"))
+    return games.select("game_id", "team_id").join(s, ["game_id", "team_id"], "left").select("game_id", "team_id", F.try_divide("came", "own").alias("incoming"), F.try_divide("left", "own").alias("outgoing"), F.try_divide(F.col("came") - F.col("left"), F.col("own")).alias("net"))
+
+
 def voting_year(date: str):
     """P5: votes of a year count from the first of March of that year."""
     return F.year(date) - (F.month(date) < 3).cast("int")

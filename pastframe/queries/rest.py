@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pastframe.functions import scalar as X
-from pastframe.operators import asof, audits, experiments, filters, joins, players, scoring, splits, windows
+from pastframe.operators import aggregates, asof, audits, experiments, filters, joins, players, scoring, splits, windows
 from pastframe.plans import frames
+from pastframe.plans.tick_transform import transform_ticks
 from pastframe.queries.history import _sides
 from pastframe.queries.tables import ITEMS, ORDERS, TICKS, entry, items, orders, table, ticks
 from pastframe.queries.ticks import _folder
@@ -97,6 +98,23 @@ def _p5(s, d):
     return players.vote_share(r.where(F.col("game_date") >= "1996-03-01"), v, r.where("game_id % 10 = 0").select("game_id", "team_id", "player_id"))
 
 
+def _p4b(s, d):
+    g = orders(s, d).select((F.col("k") % 10).alias("team_id"), F.col("id").alias("game_id"), F.col("d").alias("game_date"))
+    x = items(s, d).select(F.col("g").alias("game_id"), F.col("s").alias("player_id"), F.col("q").alias("minutes")).join(g, "game_id")
+    return players.roster_movement(x, g.where("game_id % 200 = 0"), days=30)
+
+
+def _f10(s, d):
+    e = table(s, d, "events")
+    day, away = F.to_date("ts"), F.col("event_type")
+    raw = e.select(day.alias("game_date"), F.lit(2024).alias("season_year"), "event_id", F.col("user_id").cast("string").alias("team_home"), away.alias("team_away"), F.concat(F.lit("b"), (F.col("event_id") % 4).cast("string")).alias("bookmaker_slug"), F.when(F.col("event_id") % 3 == 0, "total").when(F.col("event_id") % 3 == 1, "spread").otherwise("moneyline").alias("market"), F.lit("move").alias("row_kind"), F.col("ts").cast("timestamp").alias("timestamp"), F.col("value").alias("left_line"), F.lit(-110.0).alias("left_price"), (-F.col("value")).alias("right_line"), F.lit(-110.0).alias("right_price"))
+    games = e.where("user_id % 5 <> 0").groupBy(day.alias("game_date"), F.col("user_id").cast("string").alias("team_home"), away.alias("team_away")).agg(F.min("event_id").cast("string").alias("game_id"))
+    plan = games.where("game_date is not null").select("game_id", (F.col("game_date").cast("timestamp") + F.expr("interval 20 hours")).alias("tipoff_utc"))
+    books = s.createDataFrame([(i, f"b{i}") for i in range(3)], "book_id int, bookmaker_slug string")
+    markets = s.createDataFrame([(1, "total"), (2, "spread")], "market_id int, market string")
+    return transform_ticks(raw, games, plan, books, markets)
+
+
 def _preds(s, d):
     return orders(s, d).select(F.col("id").alias("game_id"), "season", F.col("v").alias("actual"), F.lit(150000.0).alias("line"), (F.lit(150000.0) + (F.col("k") % 7 - 3) * 1000).alias("pred"), (F.col("id") % 3).alias("seed"))
 
@@ -133,6 +151,13 @@ QUERIES = {
         lambda s, d: filters.repair_home_flag(_sides(s, d).select("g", "n", F.lit(True).alias("home"), F.concat(F.lit("S"), F.col("n").cast("string")).alias("team"), F.lit("S2 @ S1").alias("m")), "g", "home", "m", "team").select("g", "n", "home"),
         f"WITH {ITEMS}, u AS (SELECT DISTINCT g, n FROM i WHERE n <= 2) SELECT g, n, CASE WHEN count(*) OVER (PARTITION BY g) > 1 THEN n = 1 ELSE TRUE END AS home FROM u",
     ),
+    "f10_transform_ticks": entry(lambda s, d: _f10(s, d)[0]),
+    "f10_transform_losses": entry(
+        lambda s, d: _f10(s, d)[2],
+        """SELECT CASE WHEN user_id % 5 = 0 THEN 'no game' WHEN event_id % 4 = 3 THEN 'no book' WHEN event_id % 3 = 2 THEN 'no market' ELSE 'kept' END AS reason, count(*) AS rows
+        FROM events WHERE NOT (month(ts) = 3 AND day(ts) >= 25 AND dayofweek(ts) = 0 AND hour(ts) = 2) AND NOT (month(ts) = 10 AND day(ts) >= 25 AND dayofweek(ts) = 0 AND hour(ts) = 2) GROUP BY 1
+        UNION ALL SELECT 'no time', count(*) FROM events WHERE (month(ts) IN (3, 10) AND day(ts) >= 25 AND dayofweek(ts) = 0 AND hour(ts) = 2) HAVING count(*) > 0""",
+    ),
     "f11_select_point_in_time": entry(
         lambda s, d: filters.select_point_in_time(windows.rolling_mean(orders(s, d), ["v"], 5, ["k"], ["d", "id"]), static=("id",), banned=("v",)),
         f"WITH {ORDERS} SELECT id, {{r:avg(v) OVER (PARTITION BY k ORDER BY d, id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)}} AS v_last_5_BEFORE FROM o",
@@ -225,6 +250,44 @@ QUERIES = {
         lambda s, d: experiments.pooled_vs_control(orders(s, d), "1-URGENT", "prio", "v"),
         f"WITH {ORDERS}, c AS (SELECT avg(v) AS c FROM o WHERE prio = '1-URGENT') SELECT prio, {{r:avg(v)}} AS v, count(*) AS n, {{r:max(c)}} AS control, {{r:avg(v) - max(c)}} AS gap FROM o, c GROUP BY prio",
     ),
+    "a17_calibrate_timezone": entry(
+        lambda s, d: aggregates.calibrate_timezone(table(s, d, "events").select(F.from_utc_timestamp(F.col("ts").cast("timestamp"), "America/New_York").alias("l"), F.col("ts").cast("timestamp").alias("u")), "l", "u", ["America/New_York", "UTC"]).where("zone = 'America/New_York'").select("zone", "median_residual", "rows"),
+        "SELECT 'America/New_York' AS zone, {r:0} AS median_residual, count(*) AS rows FROM events",
+    ),
+    "e20_timing_metrics": entry(
+        lambda s, d: scoring.timing_metrics(ticks(s, d), "minutes_before_tip", "price", "level", X.timing_bucket(F.col("minutes_before_tip"), (600, 6000))),
+        f"WITH {TICKS} SELECT CASE WHEN minutes_before_tip <= 600 THEN '<=600' WHEN minutes_before_tip <= 6000 THEN '<=6000' ELSE '>6000' END AS timing, count(*) AS n, {{r:avg(abs(price - level))}} AS mae, {{r:avg(price - level)}} AS bias, {{r:avg(minutes_before_tip)}} AS mean_minutes FROM t GROUP BY 1",
+    ),
+    "e20_pre_midnight": entry(
+        lambda s, d: scoring.pre_midnight(orders(s, d).select("id", F.date_sub("d", (F.col("id") % 2).cast("int")).cast("timestamp").alias("at"), "d"), "at", "d", "UTC").select("id"),
+        f"WITH {ORDERS} SELECT id FROM o WHERE id % 2 = 1",
+    ),
+    "e27_walk_audit": entry(
+        lambda s, d: scoring.walk_audit(orders(s, d).withColumn("end", F.date_sub("d", (F.col("id") % 4).cast("int"))), "k", "d", "end"),
+        f"WITH {ORDERS} SELECT k, count(*) AS days, count(*) FILTER (id % 4 = 0) AS leaking_days FROM o GROUP BY k",
+    ),
+    "e30_fold_comparison": entry(
+        lambda s, d: scoring.fold_comparison(orders(s, d).groupBy(F.col("season").alias("fold")).agg(F.avg("v").alias("mae")), orders(s, d).groupBy(F.col("season").alias("fold")).agg(F.median("v").alias("mae"))),
+        f"WITH {ORDERS}, x AS (SELECT season AS fold, avg(v) AS m, median(v) AS b FROM o GROUP BY season) SELECT fold, {{r:m}} AS model, {{r:b}} AS baseline, {{r:m - b}} AS delta, m < b AS better FROM x",
+    ),
+    "m3_effects": entry(
+        lambda s, d: experiments.effects(experiments.contrasts(orders(s, d).withColumnRenamed("id", "run_id"), "prio", ["k", "season"], ["v"], "d"), "prio", ["v"]),
+        f"""WITH {ORDERS}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k, season, prio ORDER BY d, id) AS r FROM o) WHERE r = 1), c AS (SELECT *, count(*) OVER (PARTITION BY k, season) AS c, v - first_value(v) OVER (PARTITION BY k, season ORDER BY prio) AS x FROM f)
+        SELECT prio, count(*) AS groups, {{r:avg(x)}} AS v_effect FROM c WHERE c >= 2 GROUP BY prio""",
+    ),
+    "m8_cv_vs_holdout": entry(
+        lambda s, d: experiments.cv_vs_holdout(orders(s, d).where("season < 1996").groupBy("k").agg(F.avg("v").alias("roi")), orders(s, d).where("season >= 1996").groupBy("k").agg(F.avg("v").alias("roi")), "k"),
+        f"WITH {ORDERS}, x AS (SELECT k, avg(CASE WHEN season < 1996 THEN v END) AS a, avg(CASE WHEN season >= 1996 THEN v END) AS b FROM o GROUP BY k) SELECT k, {{r:a}} AS cv, {{r:b}} AS holdout, {{r:b - a}} AS gap FROM x WHERE a IS NOT NULL AND b IS NOT NULL",
+    ),
+    "p4_roster_movement": entry(_p4b),
+    "v4_explode_events": entry(
+        lambda s, d: readers.explode_events(items(s, d).groupBy("g").agg(F.to_json(F.array_sort(F.collect_list(F.struct("n", "p")))).alias("j")), "j", "struct<n:int,p:bigint>", ["g"]).select("g", "event.n", "event.p"),
+        f"WITH {ITEMS} SELECT g, n, p FROM i",
+    ),
+    "w30_same_group_flags": entry(
+        lambda s, d: windows.same_group_flags(orders(s, d).select("id", "status", "prio"), "status", "prio", {"x": {"F": "1", "O": "2", "1-URGENT": "1", "2-HIGH": "2"}}).select("id", "same_x"),
+        f"WITH {ORDERS} SELECT id, CASE WHEN (status = 'F' AND prio = '1-URGENT') OR (status = 'O' AND prio = '2-HIGH') THEN 1 ELSE 0 END AS same_x FROM o",
+    ),
     "b0_base_game_features": entry(
         lambda s, d: frames.base_game_features(_same_date(s, d), ["PTS", "POSS"], "PTS").select("game_id", "TOTAL", F.col("PTS_last_5_BEFORE_TEAM_HOME").alias("h"), F.col("PTS_last_5_BEFORE_TEAM_AWAY").alias("a"), F.col("PTS_last_5_BEFORE_DIFF").alias("x")),
         f"""WITH {ITEMS}, u AS (SELECT DISTINCT ON (g, n) * FROM i WHERE n <= 2 ORDER BY g, n, p, s, q, price), t AS (SELECT g, n, s, q, min(d) OVER (PARTITION BY g) AS d0, min(n) OVER (PARTITION BY g) AS n0 FROM u),

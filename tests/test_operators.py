@@ -287,3 +287,21 @@ def test_topk_pads_and_counts(spark):
     df = spark.createDataFrame([("g", "a", 5.0, 20.0), ("g", "b", 9.0, 3.0), ("g", "c", 0.0, 30.0)], "g string, p string, v double, m double")
     r = topk.topk_by_group(df, ["g"], "v", 4, "m >= 15", tie="p", carry=("p",)).first()
     assert (r.p_top_1, r.p_top_2, r.p_top_3, r.p_top_4) == ("a", "c", "b", None) and r.v_sum == 14.0 and r.v_mean == 7.0
+
+
+def test_raw_quotes_become_ticks(spark):
+    from pastframe.plans.tick_transform import transform_ticks
+
+    raw = spark.createDataFrame(
+        [(day(9), 2023, 1, "Home", "Away", "bk", "total", "opener", dt.datetime(2024, 1, 10, 20), 224.5, -110.0, 224.5, -110.0), (day(9), 2023, 2, "HOME", "Away", "bk", "total", "move", dt.datetime(2024, 1, 10, 20), 225.5, -110.0, 225.5, -110.0),
+         (day(9), 2023, 3, "Home", "Away", "bk", "spread", "move", dt.datetime(2024, 1, 10, 21), -3.0, None, 105.0, None), (day(9), 2023, 4, "X", "Away", "bk", "total", "move", dt.datetime(2024, 1, 10, 20), 1.0, 1.0, 1.0, 1.0), (day(90), 2023, 5, "Home", "Away", "bk", "total", "move", dt.datetime(2024, 3, 31, 2, 30), 1.0, 1.0, 1.0, 1.0)],
+        "game_date date, season_year int, event_id long, team_home string, team_away string, bookmaker_slug string, market string, row_kind string, timestamp timestamp, left_line double, left_price double, right_line double, right_price double",
+    )
+    games = spark.createDataFrame([("g", day(9), "Home", "Away")], "game_id string, game_date date, team_home string, team_away string")
+    plan = spark.createDataFrame([("g", dt.datetime(2024, 1, 11, 0))], "game_id string, tipoff_utc timestamp")
+    books, markets = spark.createDataFrame([(7, "bk")], "book_id int, bookmaker_slug string"), spark.createDataFrame([(1, "total"), (2, "spread")], "market_id int, market string")
+    t, dim, lost = transform_ticks(raw, games, plan, books, markets, {"HOME": "Home"})
+    got = {r.market_id: r for r in t.collect()}
+    assert got[1].line_ts == dt.datetime(2024, 1, 10, 19) and got[1].left_line == 451 and got[1].mins_to_tip == -300 and got[1].is_pregame
+    assert got[2].left_line is None and got[2].left_price == -3.0 and got[2].right_price == 105.0
+    assert dim.count() == 1 and rows(lost, "reason", "rows") == [("kept", 3), ("no game", 1), ("no time", 1)]

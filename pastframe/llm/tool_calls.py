@@ -94,7 +94,8 @@ def formatted(messages: DataFrame) -> DataFrame:
     call's. problem tells where a call's arguments break the schema that a system message of the conversation gives for
     the tool. json has sorted keys and no spaces. No conversation is gathered anywhere, however long; repeated rows stay
     repeated as messages and become repeats as calls. Null texts are messages with null content; text that isn't the
-    expected JSON is a plain message. Other columns are not carried. An empty table gives no rows.
+    expected JSON, or lists no calls, is a plain message. A message that carries calls is a row with its content besides
+    theirs, at level -1 and so before them; a call's json names what it depends on. Other columns are not carried. An empty table gives no rows.
     """
     let_workers_import(messages.sparkSession)
     m = messages.select("conv_id", F.col("turn").cast("int").alias("turn"), "role", "text")
@@ -102,17 +103,18 @@ def formatted(messages: DataFrame) -> DataFrame:
     m = m.withColumn("a", F.when(braced & (F.col("role") == "assistant"), F.from_json("text", CALLS)))
     m = m.withColumn("r", F.when(braced & (F.col("role") == "tool"), F.from_json("text", RESULT)))
     m = m.withColumn("s", F.when(braced & (F.col("role") == "system"), F.from_json("text", TOOLS)))
-    calls = m.where("a.tool_calls is not null").select("conv_id", "turn", F.posexplode("a.tool_calls").alias("slot", "c"))
+    carries = F.coalesce(F.size("a.tool_calls") > 0, F.lit(False))
+    calls = m.where(carries).select("conv_id", "turn", F.posexplode("a.tool_calls").alias("slot", "c"))
     calls = calls.select("conv_id", "turn", "slot", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"), F.coalesce("c.depends_on", F.array().cast("array<string>")).alias("depends_on"))
     results = m.where("r.tool_call_id is not null").select("conv_id", "turn", F.col("r.tool_call_id").alias("call_id"), F.col("r.content").alias("content"))
     tools = m.where("s.tools is not null").select("conv_id", F.explode("s.tools").alias("t")).groupBy("conv_id", F.col("t.name").alias("name")).agg(F.min("t.parameters").alias("schema"))
 
     key = ["conv_id", "call_id"]
     calls = written(calls, "calls")
-    plain = m.where("a.tool_calls is null and r.tool_call_id is null")
-    text = F.to_json(F.struct(F.col("text").alias("content"), "conv_id", "role", "turn"), {"ignoreNullFields": "false"})
+    said = m.where("r.tool_call_id is null").withColumn("carries", carries)
+    text = F.to_json(F.struct(F.when(F.col("carries"), F.col("a.content")).otherwise(F.col("text")).alias("content"), "conv_id", "role", "turn"), {"ignoreNullFields": "false"})
     none = F.lit(None).cast("string")
-    rows = plain.select("conv_id", "turn", F.lit(0).alias("level"), F.lit("message").alias("kind"), none.alias("call_id"), none.alias("status"), none.alias("problem"), text.alias("json"))
+    rows = said.select("conv_id", "turn", F.when(F.col("carries"), -1).otherwise(0).alias("level"), F.lit("message").alias("kind"), none.alias("call_id"), none.alias("status"), none.alias("problem"), text.alias("json"))
     if not calls.take(1) and not results.take(1):
         return rows
 
@@ -123,7 +125,7 @@ def formatted(messages: DataFrame) -> DataFrame:
     call = call.withColumn("ok", checked("arguments", "schema"))
     is_first = F.struct("turn", "slot", "name", "arguments").eqNullSafe(F.col("first"))
     status = F.when(~is_first, "repeat").when(F.col("level").isNull() & F.col("call_id").isNotNull(), "cycle").when(F.col("answer").isNull(), "orphan").otherwise("linked")
-    call_json = F.concat(F.lit('{"arguments":'), F.coalesce("ok.arguments", F.to_json(F.struct("arguments"))), F.lit(","), F.substring(F.to_json(F.struct(F.col("call_id"), "conv_id", F.col("name"), "turn"), {"ignoreNullFields": "false"}), 2, 1 << 30))
+    call_json = F.concat(F.lit('{"arguments":'), F.coalesce("ok.arguments", F.to_json(F.struct("arguments"))), F.lit(","), F.substring(F.to_json(F.struct("call_id", "conv_id", "depends_on", "name", "turn"), {"ignoreNullFields": "false"}), 2, 1 << 30))
     rows = rows.unionByName(call.select("conv_id", "turn", F.coalesce("level", F.lit(0)).alias("level"), F.lit("call").alias("kind"), "call_id", status.alias("status"), F.col("ok.problem").alias("problem"), call_json.alias("json")))
     res = results.join(answer.select(*key, F.col("one").alias("answer")), key, "left").join(first.select(*key, F.col("one").alias("first")), key, "left").join(level, key, "left")
     status = F.when(F.col("first").isNull(), "orphan").when(~F.struct("turn", "content").eqNullSafe(F.col("answer")), "repeat").otherwise("linked")

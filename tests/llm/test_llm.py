@@ -249,6 +249,19 @@ def test_calls_are_linked_ordered_and_checked(spark):
     assert tool_calls.formatted(df.where("false")).count() == 0
 
 
+def test_messages_with_calls_keep_their_content(spark):
+    call = {"id": "c1", "name": "f", "arguments": "{}", "depends_on": ["c0"]}
+    texts = [json.dumps({"content": "let me look", "tool_calls": [call]}), json.dumps({"content": "nothing to call", "tool_calls": []}), json.dumps({"tool_calls": [call | {"id": "c2", "depends_on": None}]})]
+    df = spark.createDataFrame([(1, i, "assistant", t) for i, t in enumerate(texts)], "conv_id long, turn int, role string, text string")
+    rows = sorted(tool_calls.formatted(df).collect(), key=lambda r: (r.turn, r.level, r.kind))
+    assert [(r.turn, r.kind) for r in rows] == [(0, "message"), (0, "call"), (1, "message"), (2, "message"), (2, "call")]
+    said = [json.loads(r.json) for r in rows if r.kind == "message"]
+    assert [m["content"] for m in said] == ["let me look", texts[1], None] and all(m["role"] == "assistant" for m in said)
+    made = [r.json for r in rows if r.kind == "call"]
+    assert [json.loads(j)["depends_on"] for j in made] == [["c0"], []]
+    assert all(j == json.dumps(json.loads(j), sort_keys=True, separators=(",", ":")) for j in made)
+
+
 # op 7
 
 

@@ -19,6 +19,8 @@ SHINGLE = 5
 LEAST = 0.8
 #: Fingerprints within RADIUS differ by at most RADIUS // BLOCKS bits in one of the blocks.
 RADIUS, BLOCKS = 23, 8
+#: So many windows are fingerprinted at a time.
+PIECE = 8192
 _EDGE = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -57,6 +59,21 @@ def fingerprint(h: np.ndarray, weight: np.ndarray) -> int:
     return int(np.packbits(2 * (weight @ bits) > weight.sum(), bitorder="little").view("<u8")[0])
 
 
+def fingerprints(h: np.ndarray, weight: np.ndarray, starts: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """(start, fingerprint) of the windows of `size` shingles at these ascending starts, by running sums over runs that overlap."""
+    for run in np.split(starts, np.flatnonzero(np.diff(starts) > size) + 1):
+        for at in range(0, len(run), PIECE):
+            p = run[at : at + PIECE]
+            lo, hi = p[0], p[-1] + size
+            bits = np.unpackbits(h[lo:hi].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            sums = np.zeros((hi - lo + 1, 65), np.int64)  # weights are whole numbers; the last column is their total
+            own = weight[lo:hi, None].astype(np.int64)
+            np.cumsum(np.hstack([bits * own, own]), axis=0, out=sums[1:])
+            held = sums[p - lo + size] - sums[p - lo]
+            fps = np.packbits(2 * held[:, :64] > held[:, 64:], axis=1, bitorder="little").view("<u8")[:, 0]
+            yield from zip(p.tolist(), fps.tolist(), strict=True)
+
+
 def totals(h: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles in order, and the summed weight of each."""
     u, inverse = np.unique(h, return_inverse=True)
@@ -125,15 +142,24 @@ class Index:
             n = hi - lo
             entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
             size = np.array(self.size)[item[entry]]
-            start = np.clip(np.repeat(spots, n) - offset[entry], 0, np.maximum(len(h) - size, 0))
-            for m, p in np.unique(np.stack([size, start], 1), axis=0).tolist():
-                window = slice(p, p + m - k + 1)
-                near = list(self.within(m, fingerprint(s[window], w[window])))
-                found = totals(s[window], w[window]) if near else None
-                for at in near:
-                    sim = similarity(found, self.sets[at])
-                    if sim >= LEAST and (at not in best or (-sim, p) < (-best[at][0], best[at][1])):
-                        best[at] = sim, p
+            total = np.concatenate([[0], np.cumsum(w)])
+            for m in np.unique(size).tolist():
+                shared = np.zeros(len(s))
+                held = np.repeat(spots, n)[size == m]
+                shared[held] = w[held]
+                shared = np.concatenate([[0], np.cumsum(shared)])
+                length = min(m - k + 1, len(s))
+                # what a window shares with an item is at most what it shares with all of them
+                most = shared[length:] - shared[:-length]
+                starts = np.flatnonzero((most > 0) & (most >= LEAST * (1 - 1e-9) * (total[length:] - total[:-length])))
+                for p, fp in fingerprints(s, w, starts, length) if len(starts) else ():
+                    near = list(self.within(m, fp))
+                    window = slice(p, p + length)
+                    found = totals(s[window], w[window]) if near else None
+                    for at in near:
+                        sim = similarity(found, self.sets[at])
+                        if sim >= LEAST and (at not in best or (-sim, p) < (-best[at][0], best[at][1])):
+                            best[at] = sim, p
         return sorted((self.ids[at], p, sim) for at, (sim, p) in best.items())
 
 
@@ -152,8 +178,8 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int) -> Itera
 def with_contamination(df: DataFrame, benchmark: DataFrame, text_col: str = "text", out: str = "hits", item_id: str = "item_id", item_text: str = "text", block_items: int = 5_000) -> DataFrame:
     """df with an array of (item_id, start, similarity) of the benchmark items that each whole text holds.
 
-    Every window of an item's size that holds one of the block's shingles is fingerprinted (others have similarity 0);
-    the multi-index gives all items of that size within RADIUS bits, and those with a weighted shingle similarity of
+    Every window of an item's size is fingerprinted, wherever the shingles stand in it, if LEAST of its weight or more is
+    in shingles of the block's items of that size (others can't have a similarity of LEAST); the multi-index gives all items of that size within RADIUS bits, and those with a weighted shingle similarity of
     LEAST or more are hits, at the window that is most similar. start counts words, signs standing alone left out. Items of fewer than SHINGLE words are
     one shingle; items without words or id match nothing. Null and empty texts, and an empty benchmark, give empty
     arrays. The benchmark goes through in blocks of block_items, each broadcast: memory does not grow with it.

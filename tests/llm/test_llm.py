@@ -396,6 +396,24 @@ def test_decontamination_equals_brute_force(spark, real):
     assert got == want == again and {d for d, _ in got} >= {10**6 + len(ODD), 10**6 + len(ODD) + 1} and 10**6 + len(ODD) + 2 not in {d for d, _ in got}
 
 
+def test_reordered_items_are_found(spark):
+    a, b, c, d = ([f"{x}{i}word" for i in range(30)] for x in "abcd")
+    bench = spark.createDataFrame([(1, " ".join(a + b)), (2, " ".join(c))], "item_id long, text string")
+    pad = [f"pad{i}" for i in range(200)]
+    df = docs(spark, [" ".join(x) for x in (pad + b + a + pad, b + a, a + d + b, pad + c[15:] + c[:15] + pad, a + pad)])
+    got = {(r.doc_id, r.item_id): (r.start, r.similarity) for r in decontamination.contaminated(df, bench).collect()}
+    items, hashes, want = {r.item_id: r.text for r in bench.collect()}, decontamination.word_hashes(), {}
+    for r in df.collect():
+        h = decontamination.words_of(r.text, hashes)
+        for i, t in items.items():
+            own = decontamination.words_of(t, hashes)
+            of = decontamination.totals(*decontamination.shingles(own, 5))
+            sims = [(-decontamination.similarity(decontamination.totals(*decontamination.shingles(h[p : p + len(own)], 5)), of), p) for p in range(max(1, len(h) - len(own) + 1))]
+            if -min(sims)[0] >= decontamination.LEAST:
+                want[r.doc_id, i] = min(sims)[1], pytest.approx(-min(sims)[0])
+    assert got == want and {(0, 1), (1, 1)} <= set(got)
+
+
 def test_index_finds_all_within_the_radius():
     rng = np.random.default_rng(4)
     words = [f"w{i}" for i in range(4000)]

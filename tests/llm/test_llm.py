@@ -105,6 +105,16 @@ def test_dropping_near_duplicates_keeps_one_of_each_group(spark):
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(df).collect()) == [0, 2, 3]
 
 
+def test_near_duplicates_are_dropped_by_group_and_not_by_id(spark):
+    near, far, other = "the quick brown fox jumps over it", "another text altogether it is", "third words of no kin at all"
+    rows = [(None, near), (None, far), (None, far), (7, other), (7, "and a fourth one which stands alone"), (8, other), (9, near)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+    want = sorted([(9, near), (-1, far), (7, other), (7, rows[4][1])])
+    for n in (1, 5):
+        got = simhash.drop_near_duplicates(df.repartition(n))
+        assert got.columns == df.columns and sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in got.collect()) == want
+
+
 # op 2
 
 

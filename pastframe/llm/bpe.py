@@ -18,6 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from pastframe.llm.common import with_text_columns
+from pastframe.llm.unicode_tables import ADDED_IN_16, LOWER_SINCE_16, MARKS_SINCE_10, as_set
 
 #: Words up to this length are looked up whole; longer ones go through the transducer piece by piece.
 SHORT = 48
@@ -152,12 +153,13 @@ WORD = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
 
 def late_code_points() -> str:
-    """Code points that the regex module calls letters or digits and unicodedata does not know yet, as a set's inside."""
+    """Letters and digits of the regex module that unicodedata does not know yet and that are signs to the library, as a set's inside."""
     known = regex.compile(r"[\p{L}\p{N}]")
-    new = [c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn" and known.match(chr(c))]
+    kept = {c for a, b in ADDED_IN_16 for c in range(a, b + 1)}
+    new = [c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn" and c not in kept and known.match(chr(c))]
     starts = [c for c, b in zip(new, [-2, *new], strict=False) if c != b + 1]
     ends = [c for c, b in zip(new, [*new[1:], -2], strict=False) if c + 1 != b]
-    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True))
+    return as_set(zip(starts, ends, strict=True))
 
 
 class Encoder:
@@ -167,7 +169,8 @@ class Encoder:
         self.v, self.cache, self.most = vocab, {}, most_cached
         self.word = regex.compile(WORD)
         late = late_code_points() or "\\U0010ffff"  # those are signs; texts that hold one take the slower pattern
-        self.late = re.compile(f"[{late}]")
+        self.late = re.compile(f"[{late}{''.join(map(chr, LOWER_SINCE_16))}]")
+        self.inert = re.compile(f"([{as_set(MARKS_SINCE_10)}])")
         self.late_word = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{late}]]+|[\p{{N}}--[{late}]]|(?:[^\s\p{{L}}\p{{N}}]|[{late}])+", regex.V1)
         self.breaks = regex.compile(r"[ \n\t\r]")
         self.marks = regex.compile("|".join(map(regex.escape, sorted(vocab.special, key=len, reverse=True)))) if vocab.special else None
@@ -192,13 +195,18 @@ class Encoder:
         t = Transducer(self.v)
         return [ids[s] for s in (*t.feed(raw), *t.finish()) if s in ids]
 
+    def _composed(self, piece: str) -> str:
+        """The piece in NFC; marks that the library's tables lack stand by themselves, the parts between them are normalised."""
+        return "".join(x if i % 2 else unicodedata.normalize("NFC", x) for i, x in enumerate(self.inert.split(piece)))
+
     def _plain(self, text: str, out: list[int]) -> None:
         cache = self.cache
         for piece in self.pieces(text):
             word = self.word
             if not piece.isascii():
-                piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ")  # lower case goes by code point: no final sigma
-                word = self.late_word if self.late.search(piece) else word
+                piece = self._composed(piece).replace("Σ", "σ")  # lower case goes by code point: no final sigma
+                if self.late.search(piece):
+                    word, piece = self.late_word, piece.translate(LOWER_SINCE_16)
             for w in word.findall(piece.lower()):
                 got = cache.get(w)
                 if got is None:

@@ -10,7 +10,7 @@ from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PACKAGE_ROOT = str(Path(__file__).resolve().parents[2])
@@ -58,9 +58,44 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def row_key(id_col: str, text_col: str):
-    """A row's identity: its id and its text. Repeated rows share it; rows with one id but different texts don't."""
-    return F.xxhash64(F.col(id_col), F.col(text_col))
+def row_key(*cols: str):
+    """A row's identity by these columns, in 128 bits: repeated rows share it; rows with one id but different texts don't."""
+    own = [F.col(f"`{c}`") for c in cols]
+    return F.struct(F.xxhash64(*own).alias("a"), F.xxhash64(F.lit("second"), *own).alias("b"))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often use names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+#: A key with more than this share of a join's rows is dealt to SALTS tasks; fewer than 1 / HOT_SHARE keys can be.
+HOT_SHARE, SALTS = 1 / 500, 64
+
+
+def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys that hold more than HOT_SHARE of the rows, judged by a sample of about 200,000 of them: fewer than 1 / HOT_SHARE rows."""
+    n = df.count()
+    some = df.select(*keys).sample(min(1.0, 200_000 / max(n, 1)), seed=7)
+    counts = some.groupBy(*keys).agg(F.count("*").alias("__c"))
+    return counts.join(F.broadcast(counts.agg(F.sum("__c").alias("__all"))), F.col("__c") > F.greatest(F.col("__all") * HOT_SHARE, F.lit(20))).select(*keys)
+
+
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """big joined with small (few rows a key) where few keys may hold most of big: these are dealt to SALTS tasks.
+
+    Only the hot keys' rows of small are repeated. The sample decides where rows go, never which: all rows are joined.
+    """
+    hot = written(hot_keys(big, keys), "hot-keys")
+    if not hot.take(1):
+        return big.join(small, keys, how)
+    hot = F.broadcast(hot.withColumn("__hot", F.lit(True)))  # under 1 / HOT_SHARE rows
+    rest = [c for c in big.columns if c not in keys and dict(big.dtypes)[c].split("<")[0] not in ("map", "array")]
+    mark = F.when(F.col("__hot"), F.pmod(F.xxhash64(*rest) if rest else F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).otherwise(0)
+    left = big.join(hot, keys, "left").withColumn("__salt", mark).drop("__hot")
+    spread = F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    right = small.join(hot, keys, "left").withColumn("__salt", spread).drop("__hot")
+    return left.join(right, [*keys, "__salt"], how).drop("__salt")
 
 
 def hash_sample(df: DataFrame, keys: list[str], most: int) -> DataFrame:

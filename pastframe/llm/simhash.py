@@ -66,8 +66,9 @@ def ball_edges(fps: DataFrame, fp: str = "fp") -> DataFrame:
     """
     near, far = ball()
     even = F.bit_count(F.col(fp)) % 2 == 0
-    # the distinct values are small and would be coalesced into a few tasks, which then emit all variants
-    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), fp)
+    # the distinct values are small and would be coalesced into a few tasks, which then emit all variants; dealt by fp
+    # itself, as they already are, they would not be dealt again
+    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(F.lit("spread"), fp))
     v = spread.select(F.col(fp).alias("fp"), F.explode(F.when(even, F.lit([*near, *far])).otherwise(F.lit(near))).alias("mask"))
     v = v.select((F.col("fp").bitwiseXOR(F.col("mask"))).alias("variant"), "mask", (F.bit_count("mask") > 1).alias("far"))
     own = F.col("variant").bitwiseXOR(F.col("mask"))

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from pastframe.llm import bpe, decontamination, line_templates, pii, quality_rules, simhash, tool_calls, toxicity, warc, weak_quality
-from pastframe.llm.common import new_folder
+from pastframe.llm.common import hot_keys, new_folder, salted_join
 from pastframe.llm.components import connected_components
 from pastframe.llm.queries import vocabulary_path
 
@@ -287,6 +287,15 @@ def test_tokens_equal_the_library(spark, real):
         assert got[r.doc_id].ids == ids and got[r.doc_id].decoded == lib.decode(ids, skip_special_tokens=False)
 
 
+def test_every_code_point_is_encoded_as_by_the_library():
+    from tokenizers import Tokenizer
+
+    lib, own = Tokenizer.from_file(vocabulary_path()), bpe.Encoder(bpe.Vocabulary(vocabulary_path()))
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"a{x}b {x}1{x}'s a\u0323{x}\u0301" for x in points[i : i + 256]) for i in range(0, len(points), 256)]
+    assert all(own.encode(t) == got.ids for t, got in zip(texts, lib.encode_batch(texts, add_special_tokens=False), strict=True))
+
+
 def test_transducer_is_the_same_in_pieces_and_holds_little():
     v = bpe.Vocabulary(vocabulary_path())
     rng = np.random.default_rng(1)
@@ -310,25 +319,57 @@ def test_text_comes_back_but_for_case_and_spaces(spark):
 
 
 def brute_lines(texts, min_docs=3):
-    """The same in plain Python: masks, leaves, modal templates, documents per template, all places but the first."""
+    """The same in plain Python: masks, leaves, modal templates, further divisions, documents per template, all places but the first."""
     tokens = lambda x: [("<*>" if re.search("[0-9]", w) else w) for w in re.findall(r"[^\x20\x09-\x0D]+", x)]
     places = [(i, n, tuple(tokens(x))) for i, t in texts.items() for n, x in enumerate((t or "").split("\n")) if tokens(x)]
-    leaves = collections.defaultdict(set)
-    for _, _, m in places:
-        if len(m) > line_templates.DEPTH:
-            leaves[len(m), m[: line_templates.DEPTH]].add(m)
+    depth, parts = line_templates.DEPTH, line_templates.PARTS
+    lines = {m for _, _, m in places if len(m) > depth}
     of = {}
-    for leaf, ms in leaves.items():
-        if len(ms) > 1:
-            modal = [min(collections.Counter(col).items(), key=lambda kv: (-kv[1], kv[0].encode()))[0] for col in zip(*ms, strict=True)]
-            of |= {m: ("t", leaf) for m in ms if sum(a == b for a, b in zip(m, modal, strict=True)) >= line_templates.ALIKE * len(m)}
-    by = collections.defaultdict(list)
+    for k in range(-1, parts):
+        groups = collections.defaultdict(set)
+        for m in lines - set(of):
+            groups[len(m), m[:depth], m[depth + k :: parts] if k >= 0 else k].add(m)
+        for name, ms in groups.items():
+            if len(ms) > 1:
+                modal = [min(collections.Counter(col).items(), key=lambda kv: (-kv[1], kv[0].encode()))[0] for col in zip(*ms, strict=True)]
+                of |= {m: ("t", k, name) for m in ms if sum(a == b for a, b in zip(m, modal, strict=True)) >= line_templates.ALIKE * len(m)}
+    by, size = collections.defaultdict(list), {}
     for i, n, m in places:
         by[of.get(m, m)].append((i, n))
-    gone = {p for ps in by.values() if len({i for i, _ in ps}) >= min_docs for p in ps if p != min(ps)}
+        size[of.get(m, m)] = len(m)
+    enough = {t: min_docs if size[t] < line_templates.LONG else line_templates.LONG_DOCS for t in by}
+    gone = {p for t, ps in by.items() if len({i for i, _ in ps}) >= enough[t] for p in ps if p != min(ps)}
     return {i: None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone) for i, t in texts.items()}
 
 
+def test_two_templates_of_one_leaf_and_long_passages(spark):
+    first = [f"you may call us at {'abcdefg'[i]} on week days only" for i in range(5)]
+    second = [f"you may call us {'uvwxyzk'[i]} times a year no more" for i in range(4)]
+    noise = [" ".join(["you may call us", *(x + y for y in "abcdef")]) for x in "ghijklmnopqr"]
+    long_ = " ".join(f"word{c}" for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    texts = [f"{x}\nown line {i} of text {x[-3:]}" for i, x in enumerate([*noise, *first, *second, long_, long_])]
+    df = docs(spark, texts)
+    got = {r.doc_id: r.text for r in line_templates.with_kept_lines(df).collect()}
+    assert got == brute_lines(dict(enumerate(texts)))
+    kept = [i for i, t in enumerate(texts) if got[i].startswith(t.split("\n")[0])]
+    assert kept == [*range(12), 12, 17, 21]
+
+
+def test_a_hot_line_is_dealt_to_many_tasks_and_nothing_is_lost(spark):
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("the same line in all of them\nown "), F.col("id"), F.lit("\n"), F.md5(F.col("id").cast("string"))).alias("text"))
+    got = line_templates.with_kept_lines(df)
+    assert {(r.n_dropped, r["count"]) for r in got.groupBy("n_dropped").count().collect()} == {(0, 1), (2, 3999)} and got.count() == 4000
+    big, small = spark.range(3000).select((F.col("id") % 2).alias("k"), "id"), spark.createDataFrame([(0, "a"), (2, "b")], "k long, v string")
+    assert salted_join(big, small, ["k"]).count() == 1500 and salted_join(big, small, ["k"], "left").where("v is null").count() == 1500
+    assert hot_keys(big, ["k"]).count() == 2
+
+
+def test_lines_are_removed_in_linear_time(spark):
+    n = 60_000
+    df = spark.createDataFrame([("\n".join(map(str, range(n))), list(range(1, n, 2)))], "t string, d array<int>")
+    assert df.select(line_templates.without_lines(F.col("t"), F.col("d")).alias("x")).first().x == "\n".join(map(str, range(0, n, 2)))
+
+
 def test_line_dedup_equals_brute_force(spark, real):
     extra = [*ODD[2:], *(f"Page {i} of 9 printed on day {i}\nown words {'abcdefg'[i]} here now\nleft alone {i * 3} over there they said {'uvwxyzk'[i]} so it was" for i in range(5)), None]
     df = real.select("doc_id", "text").unionByName(docs(spark, extra).select((F.col("doc_id") + 10**6).alias("doc_id"), "text"))

@@ -23,12 +23,13 @@ _SPACE = r"[\x20\x09-\x0D]+"
 
 
 def masked(line: Column) -> Column:
-    """The line's tokens with a space between; those with a digit are variable fields, written <*>."""
+    """The line's tokens with a space between; those with a digit are variable fields, written <*>, unless all tokens are such."""
     untidy = F.contains(line, F.lit("  "))
     for sign in "\t\x0b\x0c\r":
         untidy = untidy | F.contains(line, F.lit(sign))
     plain = F.trim(F.when(untidy, F.regexp_replace(line, _SPACE, " ")).otherwise(line))
-    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"(?:\G|(?<= ))[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(plain)
+    said = plain.rlike("[0-9]") & plain.rlike(r"(?:^| )[^ 0-9]++(?: |$)")
+    return F.when(said, F.regexp_replace(plain, r"(?:\G|(?<= ))[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(plain)
 
 
 def _pair(*cols: Column) -> tuple[Column, Column]:

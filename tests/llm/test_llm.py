@@ -320,7 +320,8 @@ def test_text_comes_back_but_for_case_and_spaces(spark):
 
 def brute_lines(texts, min_docs=3):
     """The same in plain Python: masks, leaves, modal templates, further divisions, documents per template, all places but the first."""
-    tokens = lambda x: [("<*>" if re.search("[0-9]", w) else w) for w in re.findall(r"[^\x20\x09-\x0D]+", x)]
+    raw = lambda x: re.findall(r"[^\x20\x09-\x0D]+", x)
+    tokens = lambda x: raw(x) if all(re.search("[0-9]", w) for w in raw(x)) else [("<*>" if re.search("[0-9]", w) else w) for w in raw(x)]
     places = [(i, n, tuple(tokens(x))) for i, t in texts.items() for n, x in enumerate((t or "").split("\n")) if tokens(x)]
     depth, parts = line_templates.DEPTH, line_templates.PARTS
     lines = {m for _, _, m in places if len(m) > depth}

@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pastframe.llm.common import row_key, written
+from pastframe.llm.common import let, row_key, salted_join, written
 
 KINDS = ("email", "ip", "card", "phone")
 # Possessive quantifiers and the condition on what stands before make each scan linear; the matches are the same ones
@@ -26,6 +26,8 @@ NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 #: A token with a digit or an @, and those that follow it at one space each.
 CANDIDATE = r"(?:\G|(?<![^\x20\x09-\x0D]))[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+(?:\x20[^\x20\x09-\x0D0-9@]*+[0-9][^\x20\x09-\x0D]*+)*+"
 CONTEXT = 80
+#: Places are summed in chunks of so many matches.
+CHUNK = 256
 
 
 @dataclass(frozen=True)
@@ -60,22 +62,38 @@ def passes(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+def _ends(lengths: Column) -> Column:
+    """Running sums of an array, in two levels: an array grows by copying, so none may grow longer than CHUNK or the number of chunks."""
+    empty = F.array().cast("array<int>")
+    grow = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x)).alias("out"))
+    zero = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+
+    def within(all_: Column) -> Column:
+        n = F.ceil(F.size(all_) / CHUNK).cast("int")
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.aggregate(F.slice(all_, k * CHUNK + 1, F.lit(CHUNK)), zero, grow))
+
+    def joined(chunks: Column) -> Column:
+        tail = F.transform(chunks, lambda c: c["at"])
+        before = F.aggregate(tail, F.struct(F.lit(0).alias("at"), empty.alias("out")), lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+        return F.flatten(F.zip_with(chunks, before, lambda c, o: F.transform(c["out"], lambda x: x + o)))
+
+    return let(lengths, lambda all_: F.when(F.size(all_) > 0, let(within(all_), joined)).otherwise(empty))
+
+
 def located(text: Column, pattern: str) -> Column:
-    """Matches of a pattern in order, with the code points where they start and end, and the text from the match before.
+    """Matches of a pattern in order, with the code points where they start and end, and the end of the text from the match before.
 
-    The pieces between matches and the matches themselves alternate, so the places are running sums of their lengths.
+    The pieces between matches and the matches themselves alternate, so the places are running sums of their lengths;
+    time is linear in text and matches.
     """
     matches, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    both = F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda p, m: F.struct(p.alias("before"), m.alias("text")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string,before:string>>").alias("out"))
+    both = let(matches, lambda ms: F.zip_with(F.slice(pieces, 1, F.size(ms)), ms, lambda p, m: F.struct(F.length(p).alias("gap"), F.right(p, F.lit(CONTEXT)).alias("before"), m.alias("text"))))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["before"])
-        end = start + F.length(x["text"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["text"].alias("text"), x["before"].alias("before"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def placed(found: Column) -> Column:
+        ends = _ends(F.transform(found, lambda x: x["gap"] + F.length(x["text"])))
+        return F.zip_with(found, ends, lambda x, e: F.struct((e - F.length(x["text"])).alias("start"), e.alias("end"), x["text"].alias("text"), x["before"].alias("before")))
 
-    return F.aggregate(both, zero, step, lambda acc: acc["out"])
+    return let(both, placed)
 
 
 def base_spans(text: Column) -> Column:
@@ -90,24 +108,32 @@ def base_spans(text: Column) -> Column:
     return F.concat(*map(of, KINDS))
 
 
-def candidates(docs: DataFrame) -> DataFrame:
+def candidates(found: DataFrame) -> DataFrame:
     """One row per identifier-like run: key, start, end, its text without signs at its edges, base kind if any, contexts.
 
-    docs: key, text, base. A run that equals a base span is a seed of that kind; one that merely meets a base span is left out.
+    found: key, base, runs. A run that equals a base span is a seed of that kind (of several the first of KINDS); one that
+    merely meets a base span is left out. Runs of a text don't meet each other, so base spans and runs in the order of
+    their starts tell who meets whom: a row's spans are sorted once each way, and no run looks through all spans.
     """
-    found = docs.where(F.col("text").rlike("[0-9@]")).select("key", "base", F.explode(located(F.col("text"), CANDIDATE)).alias("c"))
+    runs = found.select("key", F.explode("runs").alias("c"))
     lead = F.length(F.regexp_extract("c.text", r"^[^A-Za-z0-9+]*+", 0))
     core = F.regexp_extract("c.text", r"^[^A-Za-z0-9+]*+(.*?)[^A-Za-z0-9]*$", 1)
-    c = found.select("key", "base", (F.col("c.start") + lead).alias("start"), core.alias("instance"), F.lower(F.right(F.col("c.before"), F.lit(CONTEXT))).alias("before"))
-    c = c.withColumn("end", F.col("start") + F.length("instance"))
-    equal = F.filter("base", lambda b: (b["start"] == F.col("start")) & (b["end"] == F.col("end")))
-    meets = F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
-    c = c.withColumn("kind", F.element_at(F.transform(equal, lambda b: b["kind"]), F.when(F.size(equal) > 0, F.lit(1)))).where((F.size(equal) > 0) | ~meets)
+    c = runs.select("key", (F.col("c.start") + lead).alias("start"), core.alias("instance"), F.lower("c.before").alias("before"))
     words = F.regexp_extract_all("before", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
     last = F.element_at(words, F.when(F.size(words) > 0, F.lit(-1)))
     two = F.when(F.size(words) > 1, F.concat_ws(" ", F.element_at(words, F.when(F.size(words) > 1, F.lit(-2))), last))
     patterns = F.array_compact(F.array(F.concat(F.lit("1 "), last), F.concat(F.lit("2 "), two)))
-    return c.select("key", "start", "end", "instance", "kind", patterns.alias("patterns"))
+    c = c.select("key", "start", (F.col("start") + F.length("instance")).alias("end"), "instance", patterns.alias("patterns")).distinct()
+    base = found.select("key", F.explode("base").alias("b")).select("key", "b.start", "b.end", F.array_position(F.array(*map(F.lit, KINDS)), F.col("b.kind")).alias("rank")).distinct()
+    both = c.withColumn("rank", F.lit(None).cast("bigint")).unionByName(base.select("key", "start", "end", F.lit(None).cast("string").alias("instance"), F.lit(None).cast("array<string>").alias("patterns"), "rank"))
+    is_base = F.col("rank").isNotNull()
+    onward = Window.partitionBy("key").orderBy("start", F.col("rank").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy("key").orderBy(F.col("start").desc(), F.col("rank").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    same = Window.partitionBy("key", "start", "end")
+    seen = both.withColumn("reach", F.max(F.when(is_base, F.col("end"))).over(onward)).withColumn("next", F.min(F.when(is_base, F.col("start"))).over(back)).withColumn("own", F.min("rank").over(same))
+    kind = F.get(F.array(*map(F.lit, KINDS)), F.col("own").cast("int") - 1)
+    meets = F.coalesce(F.col("reach") > F.col("start"), F.lit(False)) | F.coalesce(F.col("next") < F.col("end"), F.lit(False))
+    return seen.where(~is_base & (F.col("own").isNotNull() | ~meets)).select("key", "start", "end", "instance", kind.alias("kind"), "patterns")
 
 
 def discovered(cands: DataFrame, p: Bootstrap = Bootstrap()) -> DataFrame:
@@ -128,10 +154,10 @@ def discovered(cands: DataFrame, p: Bootstrap = Bootstrap()) -> DataFrame:
     for _ in range(p.rounds):
         conf = base.withColumn("gain", F.lit(0.0))
         if scores is not None:
-            gain = fresh.join(scores, "i").groupBy("pattern", "of").agg(F.sum(F.col("n") * F.col("score")).alias("gain"))
+            gain = salted_join(fresh, scores, ["i"]).groupBy("pattern", "of").agg(F.sum(F.col("n") * F.col("score")).alias("gain"))
             conf = base.join(gain, ["pattern", "of"], "left").withColumn("gain", F.coalesce("gain", F.lit(0.0)))
         conf = conf.select("pattern", "of", ((F.col("s") + F.col("gain")) / (F.col("total") + 1)).alias("confidence"))
-        scores = written(fresh.join(conf, "pattern").groupBy("i", "of").agg(F.max("confidence").alias("score")).where(F.col("score") >= p.confidence / 2), "pii-scores")
+        scores = written(salted_join(fresh, conf, ["pattern"]).groupBy("i", "of").agg(F.max("confidence").alias("score")).where(F.col("score") >= p.confidence / 2), "pii-scores")
     best = scores.where(F.col("score") >= p.confidence).groupBy("i").agg(F.max(F.struct("score", "of")).alias("best"))
     return best.select("i", F.col("best.of").alias("kind"), F.col("best.score").alias("score"))
 
@@ -141,17 +167,20 @@ def find_personal_data(df: DataFrame, p: Bootstrap = Bootstrap(), id_col: str =
 
     base: the spans of PATTERNS, kinds in the order of KINDS, then by start. spans: those and the discovered ones, which
     never meet a base span. Null texts count as empty and have no spans; repeated rows get equal results; rows that share
-    an id but not a text are told apart. Other columns are not carried; an empty table gives no rows.
+    an id but not a text are told apart. Very long texts take time linear in their length and matches. Other columns,
+    whatever their names, are not carried; an empty table gives no rows. The texts are read once.
     """
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    docs = df.select(row_key(id_col, text_col).alias("key"), F.col(f"`{id_col}`").alias("id"), text.alias("text"))
-    docs = docs.select("key", "id", "text", base_spans(F.col("text")).alias("base"))
-    cands = written(candidates(docs).distinct(), "pii-candidates")
-    # of repeated rows one keeps the candidates: they are keyed by id and text
-    new = cands.where("kind is null").withColumn("i", F.sha2("instance", 256)).join(discovered(cands, p).select("i", F.col("kind").alias("of")), "i")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).select(row_key("id", "text").alias("key"), "id", text.alias("text"))
+    none = F.array().cast("array<struct<start:int,end:int,text:string,before:string>>")
+    runs = F.when(F.col("text").rlike("[0-9@]"), located(F.col("text"), CANDIDATE)).otherwise(none)
+    found = written(docs.select("key", "id", base_spans(F.col("text")).alias("base"), runs.alias("runs")), "pii-found")
+    cands = written(candidates(found), "pii-candidates")
+    new = cands.where("kind is null").withColumn("i", F.sha2("instance", 256))
+    new = salted_join(new, discovered(cands, p).select("i", F.col("kind").alias("of")), ["i"])
     more = new.select("key", F.col("of").alias("kind"), "start", "end").distinct()
     more = more.groupBy("key").agg(F.collect_list(F.struct("kind", "start", "end")).alias("more"))
-    out = docs.select("key", "id", "base").join(more, "key", "left")
+    out = found.select("key", "id", "base").join(more, "key", "left")
     rank = lambda k: F.array_position(F.array(*map(F.lit, KINDS)), k)
     keyed = F.transform(F.concat("base", F.coalesce("more", F.array().cast("array<struct<kind:string,start:int,end:int>>"))), lambda x: F.struct(rank(x["kind"]).alias("rank"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
     spans = F.transform(F.array_sort(keyed), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))

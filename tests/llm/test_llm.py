@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import json
 import re
+import time
 import zlib
 
 import numpy as np
@@ -138,6 +139,17 @@ def test_base_spans_equal_brute_force(spark, real):
     assert got == want
 
 
+def test_many_matches_take_linear_time(spark):
+    n = 100_000
+    text = "".join(f"u{i}@mail.example.org, " for i in range(n))
+    df = docs(spark, [text, "10.0.0.1 " * 30_000], end="x", base="y")
+    began = time.monotonic()
+    got = {r.doc_id: r for r in pii.find_personal_data(df).select("doc_id", F.size("base").alias("n"), pii.spelled(F.slice("base", -1, 1)).alias("last"), F.size("spans").alias("m")).collect()}
+    assert (got[0].n, got[1].n) == (n, 30_000) and got[0].last == f"email:{len(text) - 2 - len(f'u{n - 1}@mail.example.org')}:{len(text) - 2}"
+    assert time.monotonic() - began < 90
+    assert pii.find_personal_data(docs(spark, [])).count() == 0
+
+
 def test_contexts_discover_unseen_identifiers(spark):
     seeds = [f"reach me by mail at user{i}@example.com today" for i in range(12)]
     unseen = [f"reach me by mail at user{i}(at)example{i} today" for i in range(2)]

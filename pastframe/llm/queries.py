@@ -94,8 +94,8 @@ WITH d AS (
   SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest
 )
 SELECT page_id, payload_bytes, d.payload_digest AS payload_digest,
-  CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN page_id <> first THEN first END AS refers_to
+  CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
 FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest
 """
 

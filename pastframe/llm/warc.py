@@ -16,10 +16,10 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pastframe.llm.common import let_workers_import, sliced, written
+from pastframe.llm.common import let, let_workers_import, salted_join, sliced, written
 
 MANIFEST = "MANIFEST.parquet"
 _END = b"\r\n\r\n"
@@ -33,8 +33,8 @@ class Layout:
     range_bytes: int = 64 << 20
     #: Payloads shorter than this are never revisits.
     revisit_bytes: int = 100
-    #: Page ids are counted in at most so many steps to place the ranges.
-    buckets: int = 1 << 14
+    #: There are at most so many ranges: beyond that they grow. The borders, which go out as a broadcast, are a few megabytes.
+    max_ranges: int = 1 << 16
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -42,17 +42,23 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
+def record_id(page_id: int | None, digest: str) -> str:
+    """A page's urn; pages without an id go by what they hold."""
+    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}' if page_id is not None else f'payload:{digest}')}"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
     """One WARC record, headers made anew from the row: a response, or a revisit without its payload."""
     sha = base64.b32encode(bytes.fromhex(digest)).decode()
-    head = [f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>", f"WARC-Date: {date}"]
-    head.append("WARC-Target-URI: " + (url or f"urn:page:{page_id}").replace("\r", "%0D").replace("\n", "%0A").replace(" ", "%20"))
+    head = [f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{record_id(page_id, digest)}>", f"WARC-Date: {date}"]
+    head.append("WARC-Target-URI: " + (url or f"urn:page:{'' if page_id is None else page_id}").replace("\r", "%0D").replace("\n", "%0A").replace(" ", "%20"))
     head.append(f"WARC-Payload-Digest: sha256:{sha}")
-    head.append(f"X-Page-Id: {page_id}")
+    if page_id is not None:
+        head.append(f"X-Page-Id: {page_id}")
     head.append(f"X-Payload-Length: {len(payload)}")
     if refers_to is not None:
         head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-        head.append(f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{refers_to}')}>")
+        head.append(f"WARC-Refers-To: <{record_id(refers_to, digest)}>")
         head.append(f"X-Refers-To-Page-Id: {refers_to}")
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if refers_to is None else b"")
@@ -62,55 +68,80 @@ def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to
     return b"WARC/1.1\r\n" + "\r\n".join(head).encode("utf-8", "replace") + _END + block + _END
 
 
-def _ranges(digests: DataFrame, p: Layout) -> tuple[Column, DataFrame, int]:
-    """A page's bucket, the range of each bucket, and the number of ranges.
+#: Borders are looked up in two steps: among the first of so many each, then among those.
+FAN = 256
+
+
+def place(page_id: Column, digest: Column) -> Column:
+    """Text in the order of page id, none first, then payload digest."""
+    flipped = F.lpad(F.hex(page_id.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.concat(F.coalesce(flipped, F.lit("!")), digest)
+
+
+def borders(types: DataFrame, p: Layout) -> list[str]:
+    """The first place of every range, in order: p.max_ranges + 1 of them at most.
 
-    Payload bytes are summed in p.buckets equal steps of the ids; ranges are runs of steps. Both the sums and the table
-    of steps, which is broadcast, have at most p.buckets + 1 rows.
+    Pages are summed up exactly in the order of their places: they are range-partitioned, each partition has its total,
+    totals are summed in order, and within a partition a window runs on. A range ends where the sum passes a multiple of
+    its size, so ids may lie as unevenly as they like; only copies of one page with one payload can't be divided. The
+    result follows from the rows alone, however Spark cuts its partitions.
     """
-    lo, hi = digests.agg(F.min("page_id"), F.max("page_id")).first()
-    step = max(1, -(-((hi or 0) - (lo or 0) + 1) // p.buckets))
-    bucket = F.coalesce(F.floor((F.col("page_id") - F.lit(lo or 0)) / step), F.lit(-1)).cast("int")
-    sums = digests.groupBy(bucket.alias("bucket")).agg(F.sum("payload_bytes").alias("n")).toPandas().sort_values("bucket")
-    number = ((sums.n.cumsum() - sums.n) // p.range_bytes).rank(method="dense").astype(int) - 1
-    rows = [(int(b), int(r)) for b, r in zip(sums.bucket, number, strict=True)]
-    return bucket, digests.sparkSession.createDataFrame(rows, "bucket int, range int"), len(set(number)) or 1
+    some = types.groupBy(place(F.col("page_id"), F.col("payload_digest")).alias("at")).agg(F.sum("payload_bytes").alias("n"))
+    cut = written(some.repartitionByRange(int(types.sparkSession.conf.get("spark.sql.shuffle.partitions")), "at").withColumn("part", F.spark_partition_id()), "page-order")
+    total = cut.groupBy("part").agg(F.sum("n").alias("all"))
+    upto = F.coalesce(F.sum("all").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row per partition
+    whole = total.agg(F.greatest(F.lit(p.range_bytes), F.ceil(F.sum("all") / p.max_ranges)).alias("size"))
+    base = total.select("part", upto.alias("base")).crossJoin(F.broadcast(whole))  # one row
+    w = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    before = cut.join(F.broadcast(base), "part").withColumn("before", F.col("base") + F.coalesce(F.sum("n").over(w), F.lit(0)))
+    first = before.groupBy(F.floor(F.col("before") / F.col("size"))).agg(F.min("at").alias("first"))
+    return sorted(first.toPandas()["first"])
+
+
+def range_of(at: Column, firsts: list[str]) -> Column:
+    """The number of the range that holds a place: how many firsts are not behind it, less one."""
+    chunks = [firsts[i : i + FAN] for i in range(0, len(firsts), FAN)] or [[""]]
+    listed = lambda xs, sep: F.split(F.lit(sep.join(xs)), sep)  # noqa: E731  a constant, so no row carries it
+    upto = lambda xs, x: F.size(F.filter(xs, lambda y: y <= x)) - 1
+    of = lambda x, k: k * FAN + upto(F.split(F.get(listed(map(",".join, chunks), ";"), k), ","), x)
+    return let(at, lambda x: let(F.greatest(upto(listed([c[0] for c in chunks], ","), x), F.lit(0)), lambda k: of(x, k)))
 
 
 def record_types(pages: DataFrame, p: Layout = Layout()) -> DataFrame:
     """page_id, payload_bytes, payload_digest and refers_to of each page.
 
-    Pages of one digest refer to the smallest page id, except short ones. Minima are taken with partial aggregation; the
+    Pages of one digest refer to the smallest page id, except short ones; pages without an id refer, but are never referred to. Minima are taken with partial aggregation; the
     join on digests holds numbers only, and only digests that occur twice.
     """
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     d = pages.select("page_id", F.length(body).cast("long").alias("payload_bytes"), F.sha2(body, 256).alias("payload_digest"))
     first = d.where(F.col("payload_bytes") >= p.revisit_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("payload_digest", "first")
-    return d.join(first, "payload_digest", "left").select(
-        "page_id", "payload_bytes", "payload_digest", F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("refers_to")
+    return salted_join(d, first, ["payload_digest"], "left").select(
+        "page_id", "payload_bytes", "payload_digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to")
     )
 
 
 def write_archives(pages: DataFrame, out: str, p: Layout = Layout(), date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Write the pages (page_id, url, html) under out and return the manifest: file, records, bytes, sha256, first and last id.
 
-    Ranges of page ids of about p.range_bytes are sorted and written one after the other; within a range a file is closed
-    once it holds p.roll_bytes, and each record is a gzip member of its own. A task writes under a temporary name and
-    renames: a repeated task puts the same bytes under the same name. Files count once the manifest, renamed last, lists
-    them. Null html is an empty payload, a null url a urn; rows without page_id fail. A page id that repeats is written
-    each time, in the order of its payload. No pages: an empty manifest.
+    Ranges of about p.range_bytes of payload, cut from all pages in the order of id and payload digest, are sorted each by
+    a task of its own; within a range a file is closed once it holds p.roll_bytes, and each record is a gzip member of its
+    own. A task writes under a temporary name and renames: a repeated task puts the same bytes under the same name. Files
+    count once the manifest, renamed last, lists them. Null html is an empty payload, a null url a urn. Rows without
+    page_id come first, without that header; the smallest id among equal payloads is what they refer to, and where none
+    has an id all are responses. A page id that repeats is written each time, in the order of its payload digest. Other
+    columns are not carried. No pages: an empty manifest.
     """
     spark = pages.sparkSession
     let_workers_import(spark)
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     full = pages.select("page_id", F.sha2(body, 256).alias("payload_digest"), F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("refers_to"), "url", body.alias("payload"))
     types = written(record_types(pages, p), "record-types")
-    bucket, table, n = _ranges(types, p)
+    firsts = borders(types, p)
     kinds = types.dropDuplicates(["page_id", "payload_digest"]).select("page_id", "payload_digest", F.lit(0).alias("kind"), "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"))
     # one shuffle of the payloads serves both their join with the types and the sort: the two kinds of rows meet in page order
-    met = kinds.unionByName(full).withColumn("bucket", bucket).join(F.broadcast(table), "bucket").drop("bucket")
-    n = min(n, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = met.repartition(n, "range").sortWithinPartitions("range", "page_id", "payload_digest", "kind", "url")
+    met = kinds.unionByName(full).withColumn("range", range_of(place(F.col("page_id"), F.col("payload_digest")), firsts))
+    ordered = met.repartitionById(max(1, len(firsts)), F.col("range")).sortWithinPartitions("range", "page_id", "payload_digest", "kind", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_fs(out)
@@ -125,8 +156,6 @@ def write_archives(pages: DataFrame, out: str, p: Layout = Layout(), date: str =
 
         at = refers_to = None
         for r in (r for whole in batches for b in sliced(whole, "payload") for r in b.to_pylist()):
-            if r["page_id"] is None:
-                raise ValueError("a page has no page_id")
             if r["kind"] == 0:
                 refers_to = r["refers_to"]
                 continue
@@ -183,7 +212,7 @@ def parse(blob: bytes) -> dict:
         raise ValueError(f"broken record {h.get('WARC-Record-ID')}")
     payload = block.partition(_END)[2]
     return {
-        "page_id": int(h["X-Page-Id"]), "url": h["WARC-Target-URI"], "record_type": h["WARC-Type"], "payload": payload if h["WARC-Type"] == "response" else None,
+        "page_id": int(h["X-Page-Id"]) if "X-Page-Id" in h else None, "url": h["WARC-Target-URI"], "record_type": h["WARC-Type"], "payload": payload if h["WARC-Type"] == "response" else None,
         "payload_bytes": int(h["X-Payload-Length"]), "payload_digest": base64.b32decode(h["WARC-Payload-Digest"].split(":")[1]).hex(),
         "refers_to": int(h["X-Refers-To-Page-Id"]) if "X-Refers-To-Page-Id" in h else None,
     }

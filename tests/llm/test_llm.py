@@ -424,6 +424,21 @@ def test_archives_are_the_same_whatever_the_layout(spark):
         assert to is not None or r.payload == body
 
 
+def test_ranges_are_even_on_uneven_ids_and_pages_without_id_are_kept(spark):
+    body = "b" * 150
+    rows = [(i * i, "u", f"{i} " + "x" * 900) for i in range(400)] + [(1 << 55, "far", "y" * 500), (5, "u", body), (5, "v", body), (5, "v", "own"), (None, "w", body), (None, None, None), (None, "z", "z" * 200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"range": F.lit(1), "payload": F.lit("p"), "kind": F.lit(2)})
+    outs = [new_folder(spark, "w") for _ in range(2)]
+    lay = warc.Layout(roll_bytes=1 << 20, range_bytes=20_000)
+    ma, mb = warc.write_archives(pages.coalesce(1), outs[0], lay), warc.write_archives(pages.repartition(5), outs[1], lay)
+    assert warc.same_files(ma, mb)
+    n = sorted(r.records for r in ma.collect())
+    assert len(n) in (18, 19) and n[-1] <= 2 * n[len(n) // 2] and sum(n) == len(rows)
+    back = [(r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.read_archives(spark, outs[0]).collect()]
+    assert back.count((5, "response", None, 150)) == 2 and (5, "response", None, 3) in back
+    assert sorted(x[1:] for x in back if x[0] is None) == [("response", None, 0), ("response", None, 200), ("revisit", 5, 150)]
+
+
 def test_no_pages_make_an_empty_archive(spark):
     out = new_folder(spark, "w")
     pages = spark.createDataFrame([], "page_id long, url string, html string")

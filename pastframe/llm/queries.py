@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pastframe.llm import bpe, decontamination, line_templates, pii, quality_rules, simhash, tool_calls, toxicity, warc, weak_quality
@@ -49,6 +49,30 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tool_calls.formatted(_table(spark, sf_dir, "conversations"))
 
 
+def chat_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 6 on calls, which the given conversations lack: every assistant's turn is told as a call, the user's turn after it as its result.
+
+    A call's arguments are its turn and the length of its text, and it depends on the conversation's call before. Every
+    fourth conversation has no schema; every third one's schema knows no length, and those of an even id allow turns of
+    one and three only. A last turn of the assistant has no result; in conversations whose id leaves 1 by 5, results name another call.
+    """
+    m = _table(spark, sf_dir, "conversations")
+    w = Window.partitionBy("conv_id", "role").orderBy("turn")
+    m = m.withColumn("before", F.lag("turn").over(w)).withColumn("asked", F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn")) == "assistant")
+    name = lambda turn: F.concat(F.lit("call-"), turn.cast("string"))
+    args = F.to_json(F.struct(F.length("text").alias("size"), F.col("turn").cast("int").alias("turn")))
+    call = F.to_json(F.struct(F.array(F.struct(name(F.col("turn")).alias("id"), F.lit("reply").alias("name"), args.alias("arguments"), F.when(F.col("before").isNotNull(), F.array(name(F.col("before")))).otherwise(F.array().cast("array<string>")).alias("depends_on"))).alias("tool_calls")))
+    result = F.to_json(F.struct(F.when(F.col("conv_id") % 5 == 1, F.lit("call-none")).otherwise(name(F.col("turn") - 1)).alias("tool_call_id"), F.md5("text").alias("content")))
+    turn = F.when(F.col("conv_id") % 2 == 0, F.lit('{"enum":[1,3],"type":"integer"}')).otherwise('{"type":"integer"}')
+    size = F.when(F.col("conv_id") % 3 == 0, "").otherwise('"size":{"type":"integer"},')
+    schema = F.concat(F.lit('{"tools":[{"name":"reply","parameters":{"additionalProperties":false,"type":"object","properties":{'), size, F.lit('"turn":'), turn, F.lit("}}}]}"))
+    tools = m.where("conv_id % 4 <> 3").select("conv_id").distinct().select("conv_id", F.lit(-1).cast("bigint").alias("turn"), F.lit("system").alias("role"), schema.alias("text"))
+    said = F.when(F.col("role") == "assistant", call).when((F.col("role") == "user") & F.col("asked"), result).otherwise(F.col("text"))
+    role = F.when((F.col("role") == "user") & F.col("asked"), "tool").otherwise(F.col("role"))
+    rows = tool_calls.formatted(m.select("conv_id", "turn", role.alias("role"), said.alias("text")).unionByName(tools))
+    return rows.where("turn >= 0").withColumn("json", F.when(F.col("kind") != "message", F.col("json")))
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_decode(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_path())
     return coded.select(
@@ -76,10 +100,10 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_pii, op3_toxicity, op4_quality_classifier, op5_quality_rules, op6_chat_formatting, op7_bpe_round_trip, op8_line_dedup, op9_warc, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_pii, op3_toxicity, op4_quality_classifier, op5_quality_rules, op6_chat_formatting, op7_bpe_round_trip, op8_line_dedup, op9_warc, op10_benchmark_decontamination, chat_tool_links)}
 
 
-#: For conversations without tool calls, which is what the tables hold; calls are tested on a fixture.
+#: For conversations without tool calls, which is what the tables hold; chat_tool_links has calls.
 OP6_SQL = """
 SELECT conv_id, CAST(turn AS INTEGER) AS turn, 0 AS level, 'message' AS kind, CAST(NULL AS VARCHAR) AS call_id,
   CAST(NULL AS VARCHAR) AS status, CAST(NULL AS VARCHAR) AS problem,
@@ -87,6 +111,29 @@ SELECT conv_id, CAST(turn AS INTEGER) AS turn, 0 AS level, 'message' AS kind, CA
 FROM conversations
 """
 
+LINKS_SQL = """
+WITH m AS (
+  SELECT conv_id, CAST(turn AS INTEGER) AS turn, role, text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1 AS k,
+    lag(turn) OVER (PARTITION BY conv_id, role ORDER BY turn) AS before, coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn) = 'assistant', FALSE) AS asked,
+    coalesce(lead(role) OVER (PARTITION BY conv_id ORDER BY turn) = 'user', FALSE) AS answered
+  FROM conversations
+), c AS (
+  SELECT conv_id, turn, CAST(k AS INTEGER) AS level, 'call-' || turn AS call_id, CASE WHEN answered AND conv_id % 5 <> 1 THEN 'linked' ELSE 'orphan' END AS status,
+    CASE WHEN conv_id % 4 = 3 THEN 'unknown tool' WHEN conv_id % 3 = 0 THEN '$.size: not allowed' WHEN conv_id % 2 = 0 AND turn NOT IN (1, 3) THEN '$.turn: not one of the allowed values' END AS problem,
+    '{"arguments":{"size":' || length(text) || ',"turn":' || turn || '},"call_id":"call-' || turn || '","conv_id":' || conv_id || ',"depends_on":[' || coalesce('"call-' || before || '"', '') || '],"name":"reply","turn":' || turn || '}' AS json
+  FROM m WHERE role = 'assistant'
+)
+SELECT conv_id, turn, level, 'call' AS kind, call_id, status, problem, json FROM c
+UNION ALL
+SELECT conv_id, turn, -1, 'message', NULL, NULL, NULL, NULL FROM c
+UNION ALL
+SELECT conv_id, turn, 0, 'message', NULL, NULL, NULL, NULL FROM m WHERE role <> 'assistant' AND NOT (role = 'user' AND asked)
+UNION ALL
+SELECT m.conv_id, m.turn, coalesce(c.level, 0), 'result', CASE WHEN m.conv_id % 5 = 1 THEN 'call-none' ELSE 'call-' || (m.turn - 1) END, CASE WHEN c.level IS NULL THEN 'orphan' ELSE 'linked' END, NULL,
+  '{"call_id":"' || CASE WHEN m.conv_id % 5 = 1 THEN 'call-none' ELSE 'call-' || (m.turn - 1) END || '","content":"' || md5(m.text) || '","conv_id":' || m.conv_id || ',"role":"tool","turn":' || m.turn || '}'
+FROM m LEFT JOIN c ON c.conv_id = m.conv_id AND c.turn = m.turn - 1 AND m.conv_id % 5 <> 1 WHERE m.role = 'user' AND m.asked
+"""
+
 OP9_SQL = """
 WITH d AS (
   SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
@@ -101,4 +148,4 @@ FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_formatting": OP6_SQL, "op9_warc": OP9_SQL}
+    return {"op6_chat_formatting": OP6_SQL, "op9_warc": OP9_SQL, "chat_tool_links": LINKS_SQL}

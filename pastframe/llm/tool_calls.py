@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -43,15 +44,17 @@ def problem(value: object, schema: dict, at: str = "$") -> str | None:
 def _checked(arguments: str | None, schema: str | None) -> tuple[str | None, str | None]:
     try:
         value = json.loads(arguments) if arguments else {}
-    except (ValueError, RecursionError):
+        text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    except (ValueError, RecursionError):  # not JSON, or a number that JSON can't write
         return None, "$: not JSON"
-    text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    text = text.encode("utf-8", "replace").decode()
     if schema is None:
         return text, "unknown tool"
     try:
-        return text, problem(value, json.loads(schema))
+        wrong = problem(value, json.loads(schema))
     except (ValueError, AttributeError, TypeError, RecursionError):
         return text, "broken schema"
+    return text, wrong and wrong.encode("utf-8", "replace").decode()
 
 
 @F.pandas_udf(T.StructType([T.StructField("arguments", T.StringType()), T.StructField("problem", T.StringType())]))
@@ -60,42 +63,77 @@ def checked(arguments: pd.Series, schema: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_checked(a, s) for a, s in zip(arguments, schema, strict=True)], columns=["arguments", "problem"], dtype=object)
 
 
-def _levels(calls: DataFrame) -> DataFrame:
+def settle(calls: list[str], waits: dict[str, list[str]]) -> dict[str, int]:
+    """The level of each call that isn't in or behind a cycle: 0, or one more than the highest it waits for."""
+    left = {c: {w for w in waits.get(c, ()) if w in set_} for set_ in [set(calls)] for c in set_}
+    behind: dict[str, list[str]] = {}
+    for c, ws in left.items():
+        for w in ws:
+            behind.setdefault(w, []).append(c)
+    ready, level = [c for c, ws in left.items() if not ws], {}
+    level = dict.fromkeys(ready, 0)
+    while ready:
+        done = ready.pop()
+        for c in behind.get(done, ()):
+            left[c].discard(done)
+            if not left[c]:
+                level[c] = 1 + max(level[w] for w in waits[c] if w in level)
+                ready.append(c)
+    return level
+
+
+def _levels(calls: DataFrame, most: int = 50_000) -> DataFrame:
     """(conv_id, call_id, level): 0 for calls that wait for none, else one more than the calls they wait for; no row in a cycle.
 
-    Each round settles the calls whose dependencies are all settled; there are as many rounds as the longest chain has calls.
-    A dependency that isn't a call of the conversation does not hold anything up.
+    Conversations of up to `most` calls and dependencies are settled each in one go; longer ones, which no task should
+    hold, in rounds of joins: each settles the calls whose dependencies are all settled. The result is the same. A
+    dependency that isn't a call of the conversation does not hold anything up.
     """
     key = ["conv_id", "call_id"]
+    size = calls.groupBy("conv_id").agg(F.sum(1 + F.size("depends_on")).alias("__n"))
+    long_ = written(size.where(F.col("__n") > most).select("conv_id"), "long-conversations")
+    short = calls.join(long_, "conv_id", "left_anti")
+    kind = dict(calls.dtypes)["conv_id"]
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        level = settle(pdf.call_id.tolist(), {c: list(w) for c, w in zip(pdf.call_id, pdf.depends_on, strict=True)})
+        return pd.DataFrame({"conv_id": pdf.conv_id.iloc[0], "call_id": list(level), "level": list(level.values())}, dtype=object)
+
+    parts = [short.groupBy("conv_id").applyInPandas(one, f"conv_id {kind}, call_id string, level int")]
+    if not long_.take(1):
+        return parts[0]
+    calls = calls.join(long_, "conv_id", "left_semi")
     edges = calls.select(*key, F.explode("depends_on").alias("on")).distinct()
-    known = calls.select("conv_id", F.col("call_id").alias("on"))
-    edges = written(edges.join(known, ["conv_id", "on"], "left_semi"), "call-edges")
-    done = written(calls.select(*key).join(edges.select(*key).distinct(), key, "left_anti").withColumn("level", F.lit(0)), "call-levels")
+    edges = written(edges.join(calls.select("conv_id", F.col("call_id").alias("on")), ["conv_id", "on"], "left_semi"), "call-edges")
+    parts.append(written(calls.select(*key).join(edges.select(*key).distinct(), key, "left_anti").withColumn("level", F.lit(0)), "call-levels"))
     level = 0
     while edges.take(1):
         level += 1
-        open_ = edges.join(done.select("conv_id", F.col("call_id").alias("on")), ["conv_id", "on"], "left_anti")
-        waits = edges.select(*key).distinct()
-        free = written(waits.join(open_.select(*key).distinct(), key, "left_anti").withColumn("level", F.lit(level)), "call-levels")
+        # every edge is there until its end is settled, so the last round's calls are what frees others
+        rest = written(edges.join(parts[-1].select("conv_id", F.col("call_id").alias("on")), ["conv_id", "on"], "left_anti"), "call-edges")
+        free = written(edges.select(*key).distinct().join(rest.select(*key).distinct(), key, "left_anti").withColumn("level", F.lit(level)), "call-levels")
+        forget(edges)
         if not free.take(1):
             break
-        rest = written(edges.join(free, key, "left_anti"), "call-edges")
-        forget(edges)
-        edges, done = rest, written(done.unionByName(free), "call-levels")
-    return done
+        parts.append(free)
+        edges = rest
+    return reduce(DataFrame.unionByName, parts)
 
 
-def formatted(messages: DataFrame) -> DataFrame:
+def formatted(messages: DataFrame, most: int = 50_000) -> DataFrame:
     """conversations (conv_id, turn, role, text) as one row per message, call or result: conv_id, turn, level, kind, call_id, status, problem, json.
 
     kind: message, call or result. A call is linked to its first result (by turn) over a hash join on (conv_id, call_id);
-    status is linked, or orphan where the other half is missing, repeat for further calls or results of one identifier, cycle for calls
-    that wait for each other. Topological order is (turn, level, kind, call_id): a result's turn is never before its
-    call's. problem tells where a call's arguments break the schema that a system message of the conversation gives for
-    the tool. json has sorted keys and no spaces. No conversation is gathered anywhere, however long; repeated rows stay
-    repeated as messages and become repeats as calls. Null texts are messages with null content; text that isn't the
-    expected JSON, or lists no calls, is a plain message. A message that carries calls is a row with its content besides
-    theirs, at level -1 and so before them; a call's json names what it depends on. Other columns are not carried. An empty table gives no rows.
+    status is linked, or orphan where the other half is missing, repeat for further calls or results of one identifier,
+    cycle for calls that wait for each other or for such. Topological order is (turn, level, kind, call_id): a result's
+    turn is never before its call's. problem tells where a call's arguments break the schema that a system message of the
+    conversation gives for the tool. json has sorted keys and no spaces. No conversation longer than `most` is gathered
+    anywhere. Every message with a text that isn't a tool's result gives a message row: one that carries calls with its
+    content, at level -1 and so before them. Null texts are messages with null content; text that isn't the expected JSON,
+    or lists no calls, is a plain message. Calls without an identifier, and calls and results without a conv_id, link to
+    nothing: orphan. Rows repeated whole are each told like the first. Arguments with numbers beyond JSON (1e999) are "not JSON";
+    lone surrogates are written as "?". A call's json names what it depends on. Other columns are not carried. An empty
+    table gives no rows.
     """
     let_workers_import(messages.sparkSession)
     m = messages.select("conv_id", F.col("turn").cast("int").alias("turn"), "role", "text")
@@ -111,6 +149,7 @@ def formatted(messages: DataFrame) -> DataFrame:
 
     key = ["conv_id", "call_id"]
     calls = written(calls, "calls")
+    known = calls.where("conv_id is not null and call_id is not null")
     said = m.where("r.tool_call_id is null").withColumn("carries", carries)
     text = F.to_json(F.struct(F.when(F.col("carries"), F.col("a.content")).otherwise(F.col("text")).alias("content"), "conv_id", "role", "turn"), {"ignoreNullFields": "false"})
     none = F.lit(None).cast("string")
@@ -118,13 +157,13 @@ def formatted(messages: DataFrame) -> DataFrame:
     if not calls.take(1) and not results.take(1):
         return rows
 
-    first = calls.groupBy(*key).agg(F.min(F.struct("turn", "slot", "name", "arguments")).alias("one"))
+    first = known.groupBy(*key).agg(F.min(F.struct("turn", "slot", "name", "arguments")).alias("one"))
     answer = results.groupBy(*key).agg(F.min(F.struct("turn", "content")).alias("one"))
-    level = _levels(calls.groupBy(*key).agg(F.flatten(F.collect_set("depends_on")).alias("depends_on")))
+    level = written(_levels(known.groupBy(*key).agg(F.flatten(F.collect_set("depends_on")).alias("depends_on")), most), "call-levels")
     call = calls.join(first.select(*key, F.col("one").alias("first")), key, "left").join(answer.select(*key, F.col("one").alias("answer")), key, "left").join(level, key, "left").join(tools, ["conv_id", "name"], "left")
     call = call.withColumn("ok", checked("arguments", "schema"))
     is_first = F.struct("turn", "slot", "name", "arguments").eqNullSafe(F.col("first"))
-    status = F.when(~is_first, "repeat").when(F.col("level").isNull() & F.col("call_id").isNotNull(), "cycle").when(F.col("answer").isNull(), "orphan").otherwise("linked")
+    status = F.when(F.col("first").isNull(), "orphan").when(~is_first, "repeat").when(F.col("level").isNull(), "cycle").when(F.col("answer").isNull(), "orphan").otherwise("linked")
     call_json = F.concat(F.lit('{"arguments":'), F.coalesce("ok.arguments", F.to_json(F.struct("arguments"))), F.lit(","), F.substring(F.to_json(F.struct("call_id", "conv_id", "depends_on", "name", "turn"), {"ignoreNullFields": "false"}), 2, 1 << 30))
     rows = rows.unionByName(call.select("conv_id", "turn", F.coalesce("level", F.lit(0)).alias("level"), F.lit("call").alias("kind"), "call_id", status.alias("status"), F.col("ok.problem").alias("problem"), call_json.alias("json")))
     res = results.join(answer.select(*key, F.col("one").alias("answer")), key, "left").join(first.select(*key, F.col("one").alias("first")), key, "left").join(level, key, "left")

@@ -8,6 +8,7 @@ import re
 import time
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pastframe.llm import bpe, decontamination, line_templates, pii, quality_rules, simhash, tool_calls, toxicity, warc, weak_quality
 from pastframe.llm.common import hot_keys, new_folder, salted_join
 from pastframe.llm.components import connected_components
-from pastframe.llm.queries import vocabulary_path
+from pastframe.llm.queries import oracle_sql, queries, vocabulary_path
 
 D = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -284,6 +285,55 @@ def test_messages_with_calls_keep_their_content(spark):
     assert all(j == json.dumps(json.loads(j), sort_keys=True, separators=(",", ":")) for j in made)
 
 
+def test_odd_calls_lose_nothing(spark):
+    call = lambda **k: {"id": "c1", "name": "f", "arguments": "{}"} | k
+    rows = [
+        (None, 0, "assistant", json.dumps({"content": "a", "tool_calls": [call()]})),
+        (None, 1, "tool", json.dumps({"tool_call_id": "c1", "content": "x"})),
+        (1, 0, "assistant", json.dumps({"content": "b", "tool_calls": [call(id=None), call(arguments='{"a": 1e999}'), call(id="c2", arguments='{"a": "\\ud800"}')]})),
+        (1, 1, "tool", '{"tool_call_id": "c1", "content": "\\ud83d ok"}'),
+        (1, None, "tool", None),
+        (1, 2, "tool", "{broken"),
+        (1, 2, "tool", "{broken"),
+        (2, 0, "assistant", json.dumps({"tool_calls": None})),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumns({"level": F.lit("x"), "json": F.lit("y"), "status": F.lit(1)})
+    got = tool_calls.formatted(df).collect()
+    assert collections.Counter((r.conv_id, r.kind, r.call_id, r.status, r.problem) for r in got) == collections.Counter([
+        (None, "message", None, None, None), (None, "call", "c1", "orphan", "unknown tool"), (None, "result", "c1", "orphan", None),
+        (1, "message", None, None, None), (1, "call", None, "orphan", "unknown tool"), (1, "call", "c1", "linked", "$: not JSON"), (1, "call", "c2", "orphan", "unknown tool"),
+        (1, "result", "c1", "linked", None), (1, "message", None, None, None), (1, "message", None, None, None), (1, "message", None, None, None), (2, "message", None, None, None),
+    ])
+    assert '{"a":"?"}' in next(r.json for r in got if r.call_id == "c2") and all(json.loads(r.json) for r in got)
+
+
+def test_long_conversations_are_settled_alike(spark):
+    rng = np.random.default_rng(5)
+    calls = [(c, f"n{i}", [f"n{j}" for j in rng.choice(max(i, 1), min(i, 2), replace=False)] + (["gone"] if i % 7 == 0 else [])) for c in (1, 2) for i in range(40)]
+    calls += [(3, "a", ["b"]), (3, "b", ["a"]), (3, "c", ["a"]), (3, "d", []), (4, "z", ["z"])]
+    df = spark.createDataFrame(calls, "conv_id long, call_id string, depends_on array<string>")
+    want = {}
+    for c in {x[0] for x in calls}:
+        want |= {(c, k): v for k, v in tool_calls.settle([x[1] for x in calls if x[0] == c], {x[1]: x[2] for x in calls if x[0] == c}).items()}
+    for most in (1, 60, 10_000):
+        assert {(r.conv_id, r.call_id): r.level for r in tool_calls._levels(df, most).collect()} == want
+    assert want[3, "d"] == 0 and not any(k in want for k in [(3, "a"), (3, "c"), (4, "z")])
+    waits = {x[1]: x[2] for x in calls if x[0] == 1}
+    assert all(want[1, k] == max((want[1, w] + 1 for w in ws if w != "gone"), default=0) for k, ws in waits.items())
+
+
+@pytest.mark.parametrize("name", ["op6_chat_formatting", "op9_warc", "chat_tool_links"])
+def test_queries_equal_their_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("conversations", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{D}/{t}.parquet'")
+    got, want = queries()[name](spark, D), con.execute(oracle_sql()[name])
+    cols = sorted(got.columns)
+    assert cols == sorted(c[0] for c in want.description)
+    at = [[c[0] for c in want.description].index(c) for c in cols]
+    assert sorted((tuple(r[c] for c in cols) for r in got.collect()), key=repr) == sorted((tuple(r[i] for i in at) for r in want.fetchall()), key=repr)
+
+
 # op 7
 
 

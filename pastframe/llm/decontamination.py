@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -12,13 +13,19 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
-from pastframe.llm.common import WordHashes, with_text_columns
+from pastframe.llm.common import WordHashes, row_key, salted_join, with_text_columns, written
 
 SHINGLE = 5
 LEAST = 0.8
 #: Fingerprints within RADIUS differ by at most RADIUS // BLOCKS bits in one of the blocks.
 RADIUS, BLOCKS = 23, 8
+WIDTH = 64 // BLOCKS
+FLIPS = [sum(1 << i for i in c) for r in range(RADIUS // BLOCKS + 1) for c in combinations(range(WIDTH), r)]
+#: Words of the items of a block, at most, or one item: what is broadcast at a time is about 100 bytes a word.
+BLOCK_WORDS = 200_000
 #: So many windows are fingerprinted at a time.
 PIECE = 8192
 _EDGE = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
@@ -90,7 +97,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 class Index:
     """A block of items: shingles that anchor windows, and for each window size a multi-index over fingerprints."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[object, str]]):
         hashes = word_hashes()
         self.ids, self.size, self.sets, self.fp = [], [], [], []
         self.by_k: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
@@ -114,22 +121,23 @@ class Index:
             seen[(x >> np.uint64(48)).astype(np.int64)] = True
             self.by_k[k] = x, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), seen
         self.tables: dict[int, list[dict[int, list[int]]]] = {}
-        width = 64 // BLOCKS
-        flips = [sum(1 << i for i in c) for r in range(RADIUS // BLOCKS + 1) for c in combinations(range(width), r)]
         for at, (size, fp) in enumerate(zip(self.size, self.fp, strict=True)):
             blocks = self.tables.setdefault(size, [defaultdict(list) for _ in range(BLOCKS)])
             for b in range(BLOCKS):
-                own = fp >> b * width & (1 << width) - 1
-                for f in flips:
-                    blocks[b][own ^ f].append(at)
+                blocks[b][fp >> b * WIDTH & (1 << WIDTH) - 1].append(at)
 
     def within(self, size: int, fp: int) -> Iterator[int]:
-        """All items of this size whose fingerprint differs from fp in RADIUS bits or fewer."""
-        width = 64 // BLOCKS
-        met = {at for b, block in enumerate(self.tables[size]) for at in block.get(fp >> b * width & (1 << width) - 1, ())}
+        """All items of this size whose fingerprint differs from fp in RADIUS bits or fewer: of BLOCKS blocks one then differs in
+        RADIUS // BLOCKS or fewer, and those flips are looked up."""
+        met: set[int] = set()
+        for b, block in enumerate(self.tables[size]):
+            own = fp >> b * WIDTH & (1 << WIDTH) - 1
+            for f in FLIPS:
+                if own ^ f in block:
+                    met.update(block[own ^ f])
         return (at for at in met if (self.fp[at] ^ fp).bit_count() <= RADIUS)
 
-    def search(self, h: np.ndarray) -> list[tuple[int, int, float]]:
+    def search(self, h: np.ndarray) -> list[tuple[object, int, float]]:
         """(item id, first word, similarity) of the best window of each item that a document's words hold."""
         best: dict[int, tuple[float, int]] = {}
         for k, (x, item, offset, seen) in self.by_k.items():
@@ -163,48 +171,73 @@ class Index:
         return sorted((self.ids[at], p, sim) for at, (sim, p) in best.items())
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int) -> Iterator[list[tuple[int, str]]]:
-    """The distinct items in blocks of at most `most`."""
-    held = []
+def blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int) -> Iterator[list[tuple[object, str]]]:
+    """The distinct items in blocks of at most `most` items and BLOCK_WORDS words; the driver holds one block at a time."""
+    held, words = [], 0
     for r in benchmark.select(id_col, text_col).distinct().toLocalIterator():
-        held.append((r[0], r[1]))
-        if len(held) == most:
+        n = len((r[1] or "").split())
+        if held and (len(held) == most or words + n > BLOCK_WORDS):
             yield held
-            held = []
+            held, words = [], 0
+        held.append((r[0], r[1]))
+        words += n
     if held:
         yield held
 
 
-def with_contamination(df: DataFrame, benchmark: DataFrame, text_col: str = "text", out: str = "hits", item_id: str = "item_id", item_text: str = "text", block_items: int = 5_000) -> DataFrame:
-    """df with an array of (item_id, start, similarity) of the benchmark items that each whole text holds.
+def _searched(df: DataFrame, index: Index, text_col: str, out: str, item_kind: DataType) -> DataFrame:
+    """df with the hits of one block's items; their index is broadcast."""
+    sent = df.sparkSession.sparkContext.broadcast(index)
+    kind = pa.list_(pa.struct([("item_id", to_arrow_type(item_kind)), ("start", pa.int32()), ("similarity", pa.float64())]))
 
-    Every window of an item's size is fingerprinted, wherever the shingles stand in it, if LEAST of its weight or more is
-    in shingles of the block's items of that size (others can't have a similarity of LEAST); the multi-index gives all items of that size within RADIUS bits, and those with a weighted shingle similarity of
-    LEAST or more are hits, at the window that is most similar. start counts words, signs standing alone left out. Items of fewer than SHINGLE words are
-    one shingle; items without words or id match nothing. Null and empty texts, and an empty benchmark, give empty
-    arrays. The benchmark goes through in blocks of block_items, each broadcast: memory does not grow with it.
-    """
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("similarity", pa.float64())]))
-    spark_kind = "array<struct<item_id:bigint,start:int,similarity:double>>"
-    parts = []
-    for k, block in enumerate(blocks(benchmark, item_id, item_text, block_items)):
-        sent = df.sparkSession.sparkContext.broadcast(Index(block))
+    def made(texts: list[str], hashes: WordHashes) -> list[pa.Array]:
+        found = [[{"item_id": i, "start": p, "similarity": s} for i, p, s in sent.value.search(words_of(t, hashes))] for t in texts]
+        return [pa.array(found, kind)]
 
-        def made(texts: list[str], hashes: WordHashes, sent=sent) -> list[pa.Array]:
-            index = sent.value
-            found = [[{"item_id": i, "start": p, "similarity": s} for i, p, s in index.search(words_of(t, hashes))] for t in texts]
-            return [pa.array(found, kind)]
+    return with_text_columns(df, text_col, [(out, _hits(item_kind), kind)], made, word_hashes)
 
-        parts.append(f"__hits_{k}")
-        df = with_text_columns(df, text_col, [(parts[-1], spark_kind, kind)], made, word_hashes)
-    hits = F.concat(*parts) if parts else F.array().cast(spark_kind)
-    return df.withColumn(out, hits).drop(*parts)
 
+def _hits(item_kind: DataType) -> str:
+    return f"array<struct<item_id:{item_kind.simpleString()},start:int,similarity:double>>"
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def with_contamination(df: DataFrame, benchmark: DataFrame, text_col: str = "text", out: str = "hits", item_id: str = "item_id", item_text: str = "text", block_items: int = 5_000) -> DataFrame:
+    """df with an array of (item_id, start, similarity) of the benchmark items that each whole text holds.
+
+    A window has an item's number of words and may begin anywhere. What it shares with an item is at most the weight of
+    its shingles that any item of that size in the block has; windows where that is under LEAST of their weight can't
+    have a similarity of LEAST and are passed over, all others are fingerprinted, whatever the order of their shingles.
+    The multi-index gives all items of that size within RADIUS bits, none left out, and those with a weighted shingle
+    similarity of LEAST or more are hits, at the window that is most similar (of those the first).
+    start counts words, signs standing alone left out. Items of fewer than SHINGLE words are one shingle; items without
+    words or id match nothing; ids may be of any type. Null and empty texts, and an empty benchmark, give empty arrays.
+    Repeated rows get equal arrays; very long texts are searched whole.
+    A benchmark of more than block_items items (or BLOCK_WORDS words) goes through in blocks, each after the other: what
+    a block finds is written, by text, before the next one is read and sent.
+    """
+    item_kind = benchmark.schema[item_id].dataType
+    found, first = [], None
+    for block in blocks(benchmark, item_id, item_text, block_items):
+        if first is None:
+            first = block
+            continue
+        for one in (first, block) if not found else (block,):
+            texts = df.select(row_key(text_col).alias("__at"), F.col(f"`{text_col}`").alias("text"))
+            hits = _searched(texts, Index(one), "text", "hit", item_kind)
+            found.append(written(hits.where(F.size("hit") > 0).groupBy("__at").agg(F.first("hit").alias("hit")), "block-hits"))
+    if first is None:
+        return df.withColumn(out, F.array().cast(_hits(item_kind)))
+    if not found:
+        return _searched(df, Index(first), text_col, out, item_kind)
+    both = reduce(DataFrame.unionByName, found).groupBy("__at").agg(F.flatten(F.collect_list("hit")).alias("__hit"))
+    met = salted_join(df.withColumn("__at", row_key(text_col)), both, ["__at"], "left")
+    return met.withColumn(out, F.coalesce("__hit", F.array().cast(_hits(item_kind)))).drop("__at", "__hit")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_items: int = 5_000) -> DataFrame:
     """One row per document and item that it holds: id, item_id, start, similarity. Repeated rows give repeated hits."""
-    d = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias("text"))
-    return with_contamination(d, benchmark).select(id_col, F.explode("hits").alias("hit")).select(id_col, "hit.item_id", "hit.start", "hit.similarity")
+    d = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    return with_contamination(d, benchmark, block_items=block_items).select("id", F.explode("hits").alias("hit")).select(F.col("id").alias(id_col), "hit.item_id", "hit.start", "hit.similarity")
 
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:

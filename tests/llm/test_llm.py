@@ -543,6 +543,38 @@ def test_reordered_items_are_found(spark):
     assert got == want and {(0, 1), (1, 1)} <= set(got)
 
 
+def test_edited_items_are_found_wherever_their_fingerprint_is_near(spark):
+    rng = np.random.default_rng(8)
+    pool = [f"{a}{b}{c}" for a in "bdfgklmnprstv" for b in "aeiou" for c in "nrstlm"]
+    items = {f"item-{i}": rng.choice(pool, int(rng.integers(12, 70))).tolist() for i in range(12)}
+    texts = []
+    for _ in range(220):
+        x = list(items[f"item-{rng.integers(12)}"])
+        for _ in range(int(rng.integers(0, 4))):
+            at, how = int(rng.integers(len(x))), int(rng.integers(4))
+            if how == 3:
+                x = x[at:] + x[:at]
+            else:
+                x[at : at + (how > 0)] = [str(rng.choice(pool))] if how < 2 else []
+        texts.append(" ".join([*rng.choice(pool, int(rng.integers(0, 90))), *x, *rng.choice(pool, int(rng.integers(0, 90)))]))
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items.items()], "item_id string, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontamination.contaminated(docs(spark, texts, hits="x", start=1), bench, block_items=5).collect()}
+    hashes, near, all_ = decontamination.word_hashes(), {}, set()
+    for d, t in enumerate(texts):
+        h = decontamination.words_of(t, hashes)
+        for i, x in items.items():
+            own = decontamination.words_of(" ".join(x), hashes)
+            s, w = decontamination.shingles(own, 5)
+            of, fp = decontamination.totals(s, w), decontamination.fingerprint(s, w)
+            for p in range(max(1, len(h) - len(own) + 1)):
+                s, w = decontamination.shingles(h[p : p + len(own)], 5)
+                if (sim := decontamination.similarity(decontamination.totals(s, w), of)) >= decontamination.LEAST:
+                    all_.add((d, i))
+                    if (decontamination.fingerprint(s, w) ^ fp).bit_count() <= decontamination.RADIUS:
+                        near[d, i] = max(sim, near.get((d, i), 0))
+    assert got == pytest.approx(near) and len(near) >= 0.99 * len(all_) and len(all_) > 60
+
+
 def test_index_finds_all_within_the_radius():
     rng = np.random.default_rng(4)
     words = [f"w{i}" for i in range(4000)]

@@ -95,24 +95,3 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return fps.join(labels, "fp").select(
         F.col("id").alias(id_col), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42) -> DataFrame:
-    """One row of each near-duplicate group of df: that of the smallest id, null ids last; of those the row of smallest hash.
-
-    Groups go by texts alone: rows that share an id, or have none, but whose texts aren't near stay apart.
-    """
-    row = F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind])
-    fps = with_fingerprint(df.select(F.col(f"`{id_col}`").alias("id"), row.alias("row"), F.col(f"`{text_col}`").alias("text")), "text", "fp", words, seed)
-    fps = written(fps.select("id", "row", "fp").groupBy("fp", "id", "row").agg(F.count("*").alias("n")), "fingerprints")
-    least = fps.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", "n")).alias("least"))
-    comp = written(connected_components(ball_edges(least.select("fp"))), "components")
-    linked = least.join(comp, least.fp == comp.node, "left").select("component", "least")
-    alone = linked.where("component is null").select("least")
-    first = alone.unionByName(linked.where("component is not null").groupBy("component").agg(F.min("least").alias("least")).select("least"))
-    first = written(first.select(F.col("least.id").alias("__id"), F.col("least.row").alias("__row"), F.col("least.n").alias("__n")), "survivors")
-    at = df.withColumn("__at", row)
-    same = (F.col("__at") == F.col("__row")) & F.col(f"`{id_col}`").eqNullSafe(F.col("__id"))
-    once = at.join(first.where("__n = 1"), same, "left_semi").drop("__at")
-    more = at.join(first.where("__n > 1"), same, "left_semi")  # rows that are repeated whole
-    return once.unionByName(more.dropDuplicates([id_col, "__at"]).drop("__at"))

@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from pastframe.llm import bpe, decontamination, line_templates, pii, quality_rules, simhash, tool_calls, toxicity, warc, weak_quality
+from pastframe.llm import bpe, decontamination, line_templates, near_copies, pii, quality_rules, simhash, tool_calls, toxicity, warc, weak_quality
 from pastframe.llm.common import hot_keys, new_folder, salted_join
 from pastframe.llm.components import connected_components
 from pastframe.llm.queries import oracle_sql, queries, vocabulary_path
@@ -104,7 +104,7 @@ def test_components_of_a_long_chain(spark):
 def test_dropping_near_duplicates_keeps_one_of_each_group(spark):
     df = docs(spark, ["the quick brown fox jumps over it", "the quick brown fox jumps over it", "another text altogether it is", None, ""])
     df = df.unionByName(df.where("doc_id = 2"))
-    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(df).collect()) == [0, 2, 3]
+    assert sorted(r.doc_id for r in near_copies.drop_near_copies(df).collect()) == [0, 2, 3]
 
 
 def test_near_duplicates_are_dropped_by_group_and_not_by_id(spark):
@@ -113,10 +113,48 @@ def test_near_duplicates_are_dropped_by_group_and_not_by_id(spark):
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
     want = sorted([(9, near), (-1, far), (7, other), (7, rows[4][1])])
     for n in (1, 5):
-        got = simhash.drop_near_duplicates(df.repartition(n))
+        got = near_copies.drop_near_copies(df.repartition(n))
         assert got.columns == df.columns and sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in got.collect()) == want
 
 
+def shingle_sets(texts):
+    out = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        out.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+    return out
+
+
+def test_near_copies_against_all_pairs(spark):
+    rng = np.random.default_rng(11)
+    pool = [f"{a}{b}{c}" for a in "bdfgklmnprstv" for b in "aeiou" for c in "nrstlm"]
+    texts = [" ".join(rng.choice(pool, int(rng.integers(60, 400)))) for _ in range(150)]
+    for t in list(texts):
+        for _ in range(2):
+            w = t.split()
+            for _ in range(max(1, int(len(w) * rng.uniform(0, 0.025)))):
+                w[int(rng.integers(len(w)))] = str(rng.choice(pool))
+            texts.append(" ".join(w))
+    texts += ODD
+    df = docs(spark, texts, ka="x", node=1, n=2)
+    kept = {r.doc_id for r in near_copies.drop_near_copies(df).collect()}
+    sets = shingle_sets(texts)
+    near = lambda a, b: sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) > 0
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if near(a, b)]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    want = {find(i) for i in range(len(texts))}
+    assert want <= kept and len(kept - want) <= 0.1 * (len(texts) - len(want)) and len(want) < 300
+
+
 # op 2
 
 

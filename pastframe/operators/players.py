@@ -27,12 +27,14 @@ def player_availability_features(players: DataFrame, roster: DataFrame, out_list
     """Per team game the best available and unavailable players by their recency average, sums, means and counts.
 
     players: one row per (game, team, player) with minutes and value. roster: (game_id, team_id, player_id, game_date) of
-    candidates. out_list: (game_id, team_id, player_id) of the unavailable. Players who meet the minutes come first.
+    candidates. out_list: (game_id, team_id, player_id) of the unavailable. Players who meet the minutes come first. What
+    is known at a game is what the player's last row up to it, by date and game, had been built from.
     """
-    form = player_form(players, [value]).select("player_id", "game_date", f"{value}_ewm_BEFORE", "minutes_ewm_BEFORE")
     from pastframe.operators.joins import last_value_asof
 
-    cand = last_value_asof(form, roster, ["player_id"], "game_date", [f"{value}_ewm_BEFORE", "minutes_ewm_BEFORE"], strict=False)
+    at = F.struct("game_date", "game_id").alias("__at")
+    form = player_form(players, [value]).select("player_id", at, f"{value}_ewm_BEFORE", "minutes_ewm_BEFORE")
+    cand = last_value_asof(form, roster.select("*", at), ["player_id"], "__at", [f"{value}_ewm_BEFORE", "minutes_ewm_BEFORE"], strict=False).drop("__at")
     out = out_list.withColumn("__out", F.lit(True))
     cand = cand.join(out, ["game_id", "team_id", "player_id"], "left").withColumn("__out", F.coalesce("__out", F.lit(False)))
     cand = cand.withColumn("v", F.col(f"{value}_ewm_BEFORE"))
@@ -77,42 +79,79 @@ def availability_effect(games: DataFrame, slots: DataFrame, absences: DataFrame,
     return got.select("game_id", "team_id", "player_id", with_n.alias("n_with"), without_n.alias("n_without"), (effect * n_eff / (n_eff + k)).alias("effect"))
 
 
+def stints(players: DataFrame) -> DataFrame:
+    """(player_id, team, from, to): the days on which a player's last known row is this team's; to is null while it lasts.
+
+    A row becomes known the day after; of rows of one date that of the largest game counts. Rows of one team in a row are one stint.
+    """
+    day = players.groupBy("player_id", F.date_add("game_date", 1).alias("from")).agg(F.max_by("team_id", "game_id").alias("team"))
+    w = Window.partitionBy("player_id").orderBy("from")
+    moved = day.withColumn("__was", F.lag("team").over(w)).where(~F.col("team").eqNullSafe(F.col("__was"))).drop("__was")
+    return moved.withColumn("to", F.lead("from").over(w))
+
+
+def standing(changes: DataFrame, keys: list[str], sums: list[str], games: DataFrame, date: str = "game_date") -> DataFrame:
+    """(keys, date, sums) of the games' dates: running sums of changes (keys, at, sums) up to and with each date, per key by day.
+
+    Changes are summed per day first, so what is ordered is one row per key and day.
+    """
+    day = changes.groupBy(*keys, "at").agg(*[F.sum(c).alias(c) for c in sums])
+    asked = games.select(*keys, F.col(date).alias("at")).distinct().withColumn("__asked", F.lit(True))
+    w = Window.partitionBy(*keys).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    both = day.join(asked, [*keys, "at"], "full")
+    return both.select(*keys, F.col("at").alias(date), "__asked", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(c) for c in sums]).where("__asked").drop("__asked")
+
+
 def roster_continuity(players: DataFrame, games: DataFrame, minutes: str = "minutes", season: str = "season_year") -> DataFrame:
     """Per team game the minutes of last season's team that are still here, of those who came, and net.
 
     players: season, game_id, game_date, team_id, player_id, minutes. A player's row becomes known the day after. A team's
     players at a game are those whose last known row is this team's. Null for teams without a last season.
+    Stints that reach into a season add their player's minutes on the first day and take them off after the last: games
+    read running sums, and no game meets the players of the league.
     """
-    from pastframe.operators.joins import last_value_asof
-
     last = players.groupBy((F.col(season) + 1).alias(season), "player_id", "team_id").agg(F.coalesce(F.sum(minutes), F.lit(0.0)).alias("m"))
     total = last.groupBy(season, "team_id").agg(F.sum("m").alias("team_m"))
-    known = players.select("player_id", F.date_add("game_date", 1).alias("game_date"), F.col("team_id").alias("now_team"))
-    pool = last.groupBy(season, "player_id").agg(F.max_by("team_id", F.struct("m", "team_id")).alias("old_team"), F.sum("m").alias("m"))
-    probe = games.select(season, "game_id", "team_id", "game_date").join(pool, season).where("old_team is not null")
-    here = last_value_asof(known, probe, ["player_id"], "game_date", ["now_team"], strict=False).where("now_team = team_id")
-    sums = here.groupBy("game_id", "team_id").agg(F.coalesce(F.sum(F.when(F.col("old_team") == F.col("team_id"), F.col("m"))), F.lit(0.0)).alias("kept"), F.coalesce(F.sum(F.when(F.col("old_team") != F.col("team_id"), F.col("m"))), F.lit(0.0)).alias("came"))
-    got = games.join(total, [season, "team_id"], "left").join(sums, ["game_id", "team_id"], "left")
-    return got.select("game_id", "team_id", F.try_divide(F.coalesce("kept", F.lit(0.0)), F.col("team_m")).alias("continuity"), F.try_divide(F.coalesce("came", F.lit(0.0)), F.col("team_m")).alias("incoming"), F.try_divide(F.coalesce("kept", F.lit(0.0)) + F.coalesce("came", F.lit(0.0)) - F.col("team_m"), F.col("team_m")).alias("net"))
+    pool = last.groupBy(season, "player_id").agg(F.max_by("team_id", F.struct("m", "team_id")).alias("old_team"), F.sum("m").alias("m")).where("old_team is not null")
+    span = games.groupBy(season).agg(F.min("game_date").alias("lo"), F.max("game_date").alias("hi"))  # one row per season
+    here = stints(players).join(pool, "player_id").join(F.broadcast(span), season).where((F.col("from") <= F.col("hi")) & (F.col("to").isNull() | (F.col("to") > F.col("lo"))))
+    same = F.col("old_team") == F.col("team")
+    ends = F.array(F.struct(F.greatest("from", "lo").alias("at"), F.lit(1).alias("sign")), F.struct(F.col("to").alias("at"), F.lit(-1).alias("sign")))
+    moves = here.select(season, F.col("team").alias("team_id"), F.explode(ends).alias("x"), F.when(same, F.col("m")).otherwise(0.0).alias("kept"), F.when(same, 0.0).otherwise(F.col("m")).alias("came"))
+    moves = moves.where("x.at is not null").select(season, "team_id", "x.at", *[(F.col(c) * F.col("x.sign")).alias(c) for c in ("kept", "came")])
+    now = standing(moves, [season, "team_id"], ["kept", "came"], games)
+    got = games.join(total, [season, "team_id"], "left").join(now, [season, "team_id", "game_date"], "left")
+    return got.select("game_id", "team_id", F.try_divide("kept", F.col("team_m")).alias("continuity"), F.try_divide("came", F.col("team_m")).alias("incoming"), F.try_divide(F.col("kept") + F.col("came") - F.col("team_m"), F.col("team_m")).alias("net"))
 
 
 def roster_movement(players: DataFrame, games: DataFrame, minutes: str = "minutes", days: int = 60) -> DataFrame:
     """P4, the near horizon: of the minutes that players had in the last `days` days, wherever they played, the share of those
     whose last known row is this team's and who had them elsewhere, and of those who had them here and are gone.
 
-    A row counts in the day bucket of its date and the next one, so that a game meets near rows only. Rows are known a day later.
+    Rows are known a day later. A row's minutes count from the next day for `days` days; a player's rows meet only his own
+    stints elsewhere in those days. Sums run by team and day, and games read them.
     """
-    from pastframe.operators.joins import last_value_asof, membership_between
-
-    known = players.select("player_id", F.date_add("game_date", 1).alias("game_date"), F.col("team_id").alias("now_team"))
-    rows = players.select("player_id", F.col("team_id").alias("then_team"), F.col("game_date").alias("then"), F.coalesce(minutes, F.lit(0.0)).alias("m"))
-    teams = players.select("team_id", "player_id").distinct()
-    probe = games.select("game_id", "team_id", "game_date").join(teams, "team_id")
-    near = membership_between(probe, rows, ["player_id"], "game_date", "then", days).groupBy("game_id", "team_id", "game_date", "player_id", "then_team").agg(F.sum("m").alias("m"))
-    got = last_value_asof(known, near, ["player_id"], "game_date", ["now_team"], strict=False)
-    here, now = F.col("then_team") == F.col("team_id"), F.coalesce(F.col("now_team") == F.col("team_id"), F.lit(False))
-    s = got.groupBy("game_id", "team_id").agg(F.sum(F.when(here, F.col("m"))).alias("own"), F.coalesce(F.sum(F.when(~here & now, F.col("m"))), F.lit(0.0)).alias("came"), F.coalesce(F.sum(F.when(here & ~now, F.col("m"))), F.lit(0.0)).alias("left"))
-    return games.select("game_id", "team_id").join(s, ["game_id", "team_id"], "left").select("game_id", "team_id", F.try_divide("came", "own").alias("incoming"), F.try_divide("left", "own").alias("outgoing"), F.try_divide(F.col("came") - F.col("left"), F.col("own")).alias("net"))
+    r = players.groupBy("player_id", "team_id", F.date_add("game_date", 1).alias("start")).agg(F.coalesce(F.sum(minutes), F.lit(0.0)).alias("m")).withColumn("stop", F.date_add("start", days))
+    bucket = lambda a, b: F.explode(F.sequence(F.floor(F.unix_date(a) / days), F.floor(F.unix_date(b) / days)))
+    last = r.agg(F.max("stop").alias("__end"))
+    s = stints(players).crossJoin(F.broadcast(last)).withColumn("to", F.coalesce("to", "__end"))  # one row
+    s = s.where("to > from").select("player_id", "team", "from", "to", bucket(F.col("from"), F.date_sub("to", 1)).alias("__b"))
+    met = r.select("player_id", "team_id", "start", "stop", "m", bucket(F.col("start"), F.date_sub("stop", 1)).alias("__b")).join(s, ["player_id", "__b"])
+    lo, hi = F.greatest("start", "from"), F.least("stop", "to")
+    # two spans may meet in several buckets; they count in the one that holds the beginning of what they share
+    away = met.where((F.col("team") != F.col("team_id")) & (lo < hi) & (F.floor(F.unix_date(lo) / days) == F.col("__b"))).select("team_id", "team", "m", lo.alias("lo"), hi.alias("hi"))
+    zero = F.lit(0.0)
+
+    def change(df: DataFrame, team: str, a: str, b: str, col: str) -> DataFrame:
+        ends = F.explode(F.array(F.struct(F.col(a).alias("at"), F.lit(1).alias("sign")), F.struct(F.col(b).alias("at"), F.lit(-1).alias("sign")))).alias("x")
+        m = F.col("m") * F.col("x.sign")
+        return df.select(F.col(team).alias("team_id"), "m", ends).select("team_id", "x.at", *[(m if c == col else zero).alias(c) for c in ("own", "came", "gone")], (F.col("x.sign") if col == "own" else F.lit(0)).alias("n"))
+
+    moves = change(r, "team_id", "start", "stop", "own").unionByName(change(away, "team", "lo", "hi", "came")).unionByName(change(away, "team_id", "lo", "hi", "gone"))
+    now = standing(moves, ["team_id"], ["own", "came", "gone", "n"], games)
+    own = F.when(F.col("n") > 0, F.col("own"))
+    got = games.select("game_id", "team_id", "game_date").join(now, ["team_id", "game_date"], "left")
+    return got.select("game_id", "team_id", F.try_divide("came", own).alias("incoming"), F.try_divide("gone", own).alias("outgoing"), F.try_divide(F.col("came") - F.col("gone"), own).alias("net"))
 
 
 def voting_year(date: str):

@@ -163,7 +163,8 @@ def grid_over_folds(df: DataFrame, folds: DataFrame, grid: DataFrame, key: str,
 
 def random_baseline(df: DataFrame, seed: int, key: str, out: str = "p_random") -> DataFrame:
     """A probability per row that follows from seed and key alone, so that it is the same on every run and layout."""
-    return df.withColumn(out, F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 52)) / float(1 << 52))
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), 1, 13)
+    return df.withColumn(out, F.conv(digits, 16, 10).cast("long") / float(1 << 52))
 
 
 def historical_mean_baseline(df: DataFrame, value: str, season: str, out: str = "historical_mean") -> DataFrame:

@@ -50,18 +50,6 @@ def _s12(s, d):
     return s.read.parquet(writers.write_run_snapshot(orders(s, d).select("id", "v"), root, "r1", "features", "m")).select("id", "v")
 
 
-def _people(s, d):
-    """Customers as players whose team is the priority of the order."""
-    return orders(s, d).select("season", F.col("k").alias("player_id"), F.col("prio").alias("team_id"), F.col("d").alias("game_date"), "id")
-
-
-def _j12(s, d):
-    p = _people(s, d)
-    g = p.where("id % 100 = 0").select("season", F.col("id").alias("game_id"), "team_id", "game_date")
-    inj = g.where("game_id % 300 = 0").select("game_id", "team_id", F.lit(7).cast("long").alias("player_id"))
-    return joins.roster_asof(p.groupBy("season", "player_id", "game_date").agg(F.max("team_id").alias("team_id")), g, inj)
-
-
 def _j13(s, d):
     c = table(s, d, "customer")
     idx = c.select(F.col("c_custkey").cast("string").alias("player_id"), F.col("c_name").alias("full_name"), F.concat(F.lit("No "), F.col("c_custkey").cast("string")).alias("display_name"), F.col("c_custkey").alias("last_date"))
@@ -86,24 +74,6 @@ def _b1(s, d):
     return f.select("game_id", "TOTAL", F.col("PTS_last_5_BEFORE_TEAM_HOME").alias("h"), F.col("PTS_last_5_BEFORE_TEAM_AWAY").alias("a"))
 
 
-def _p2(s, d):
-    x = items(s, d).select(F.col("g").alias("game_id"), F.lit("T").alias("team_id"), F.col("s").alias("player_id"), F.col("d").alias("game_date"), F.col("q").alias("minutes"), F.col("price").alias("pts"))
-    x = x.groupBy("game_id", "team_id", "player_id").agg(F.min("game_date").alias("game_date"), F.sum("minutes").alias("minutes"), F.sum("pts").alias("pts"))
-    return players.player_availability_features(x, x.select("game_id", "team_id", "player_id", "game_date"), x.where("minutes < 5").select("game_id", "team_id", "player_id"), "pts")
-
-
-def _p5(s, d):
-    r = orders(s, d).select(F.col("id").alias("game_id"), F.col("prio").alias("team_id"), F.col("k").alias("player_id"), F.col("d").alias("game_date"))
-    v = orders(s, d).groupBy(F.col("season").alias("season_year"), F.col("k").alias("player_id")).agg(F.count("*").cast("long").alias("fan_votes"), F.min("v").alias("score"))
-    return players.vote_share(r.where(F.col("game_date") >= "1996-03-01"), v, r.where("game_id % 10 = 0").select("game_id", "team_id", "player_id"))
-
-
-def _p4b(s, d):
-    g = orders(s, d).select((F.col("k") % 10).alias("team_id"), F.col("id").alias("game_id"), F.col("d").alias("game_date"))
-    x = items(s, d).select(F.col("g").alias("game_id"), F.col("s").alias("player_id"), F.col("q").alias("minutes")).join(g, "game_id")
-    return players.roster_movement(x, g.where("game_id % 200 = 0"), days=30)
-
-
 def _f10(s, d):
     e = table(s, d, "events")
     day, away = F.to_date("ts"), F.col("event_type")
@@ -170,12 +140,6 @@ QUERIES = {
         lambda s, d: joins.append_scheduled(orders(s, d).where("status <> 'P'").select("id", "k", "v"), orders(s, d).where("status = 'P'").select("id", "k"), 0),
         f"WITH {ORDERS} SELECT id, k, {{r:CASE WHEN status <> 'P' THEN v END}} AS v FROM o",
     ),
-    "j12_roster_asof": entry(
-        _j12,
-        f"""WITH {ORDERS}, p AS (SELECT season, k, d, max(prio) AS t FROM o GROUP BY ALL), g AS (SELECT season, id, prio AS t, d FROM o WHERE id % 100 = 0),
-        c AS (SELECT DISTINCT g.id, g.t, g.d, g.season, p.k FROM g JOIN p ON p.season = g.season AND p.t = g.t), l AS (SELECT c.id, c.t, c.k, (SELECT arg_max(p.t, p.d) FROM p WHERE p.season = c.season AND p.k = c.k AND p.d < c.d) AS last FROM c)
-        SELECT id AS game_id, t AS team_id, k AS player_id FROM l WHERE last = t UNION SELECT id, t, 7 FROM g WHERE id % 300 = 0""",
-    ),
     "j13_resolve_names": entry(
         _j13,
         """SELECT CASE c_custkey % 3 WHEN 0 THEN upper(c_name) WHEN 1 THEN 'no. ' || c_custkey ELSE 'nobody ' || c_custkey END AS name, CASE WHEN c_custkey % 3 < 2 THEN CAST(c_custkey AS VARCHAR) END AS player_id,
@@ -185,10 +149,6 @@ QUERIES = {
         lambda s, d: joins.assemble_dataset(orders(s, d).select("id", "k", "v"), items(s, d).groupBy(F.col("g").alias("id"), F.col("n").alias("snap")).agg(F.sum("q").alias("q")), orders(s, d).where("status = 'F'").select("id", "season"), "id", "snap", ("v",))[0],
         f"WITH {ORDERS}, {ITEMS}, x AS (SELECT g, n, sum(q) AS q FROM i GROUP BY g, n) SELECT o.id, n AS snap, {{r:q}} AS q, k, CASE WHEN status = 'F' THEN season END AS season FROM x JOIN o ON o.id = x.g",
     ),
-    "j18_listed_unavailable": entry(
-        lambda s, d: joins.listed_unavailable(_people(s, d).where("id % 10 = 0").select("team_id", "game_date", F.concat(F.lit("Pl. "), F.col("player_id").cast("string")).alias("player_name"), F.when(F.col("id") % 20 == 0, "Out").otherwise("Probable").alias("status")), _people(s, d).select("team_id", "player_id", F.concat(F.lit("pl "), F.col("player_id").cast("string")).alias("player_name"), "game_date"), _people(s, d).select(F.col("id").alias("game_id"), "team_id", "game_date")),
-        f"WITH {ORDERS} SELECT DISTINCT g.id AS game_id, g.prio AS team_id, r.k AS player_id FROM o r JOIN o g ON g.prio = r.prio AND g.d = r.d WHERE r.id % 20 = 0",
-    ),
     "t3_levels": entry(
         lambda s, d: items(s, d).select("g", "n", "p", "q", asof.up_probability(1.5 + F.col("disc"), 1.6 + F.col("tax")).alias("u")).withColumn("x", asof.market_level(F.col("q"), F.col("u"), F.when(F.col("n") > 3, "moneyline").otherwise("total"))),
         f"WITH {ITEMS}, u AS (SELECT *, (1 / (1.5 + disc)) / (1 / (1.5 + disc) + 1 / (1.6 + tax)) AS u FROM i) SELECT g, n, p, {{r:q}} AS q, {{r:u}} AS u, {{r:CASE WHEN n > 3 THEN u ELSE q END}} AS x FROM u",
@@ -211,13 +171,6 @@ QUERIES = {
         lambda s, d: joins.unavailable(orders(s, d).where("id % 7 = 0").select(F.col("id").alias("game_id"), F.col("prio").alias("team_id"), F.col("k").alias("player_id")), orders(s, d).select(F.col("id").alias("game_id"), F.col("prio").alias("team_id"), F.col("k").alias("player_id"), F.when(F.col("status") == "P", "knee Injury").alias("comment"))),
         f"WITH {ORDERS} SELECT DISTINCT id AS game_id, prio AS team_id, k AS player_id FROM o WHERE id % 7 = 0 OR status = 'P'",
     ),
-    "p2_player_availability_features": entry(_p2),
-    "p5_vote_share": entry(
-        _p5,
-        f"""WITH {ORDERS}, v AS (SELECT season, k, count(*) AS n FROM o GROUP BY season, k), t AS (SELECT season, sum(n) AS t FROM v GROUP BY season), r AS (SELECT *, year(d) - (month(d) < 3)::INT AS y FROM o WHERE d >= DATE '1996-03-01')
-        SELECT r.id AS game_id, prio AS team_id, {{r:coalesce(n, 0) / t}} AS vote_share, {{r:n / t}} AS vote_min, {{r:coalesce(n, 0) / t}} AS vote_max, CAST(n IS NOT NULL AS BIGINT) AS n_voted, {{r:CASE WHEN r.id % 10 = 0 THEN coalesce(n, 0) / t ELSE 0 END}} AS vote_share_out
-        FROM r LEFT JOIN v ON v.season = y AND v.k = r.k LEFT JOIN t ON t.season = y""",
-    ),
     "e19_build_meta_frame": entry(
         lambda s, d: scoring.build_meta_frame(_preds(s, d).select("game_id", "season", "actual"), {"a": _preds(s, d).select("game_id", F.col("pred").alias("prediction")), "b": _preds(s, d).where("game_id % 2 = 0").select("game_id", F.col("line").alias("prediction"))}, ["game_id"], "season", 2),
         f"WITH {ORDERS} SELECT id AS game_id, season, {{r:v}} AS actual, {{r:150000 + (k % 7 - 3) * 1000}} AS pred_a, {{r:150000}} AS pred_b FROM o WHERE id % 2 = 0 AND season > (SELECT max(season) FROM o) - 2",
@@ -240,7 +193,6 @@ QUERIES = {
         f"""WITH {ORDERS}, {ITEMS}, x AS (SELECT g, count(*) FILTER (n = 1) AS n_home, count(*) FILTER (n = 2) AS n_away, min(d) AS d FROM i WHERE n <= 2 GROUP BY g),
         y AS (SELECT g, n_home, n_away, concat_ws(',', CASE WHEN n_home <> 1 OR n_away <> 1 THEN 'sides' END, CASE WHEN x.d <> o.d THEN 'start' END) AS why FROM x LEFT JOIN o ON o.id = x.g) SELECT * FROM y WHERE why <> ''""",
     ),
-    "q7_preflight": entry(lambda s, d: audits.preflight(orders(s, d), "d", {"a": splits.FoldSpec(3, 300, 900, 500), "b": splits.FoldSpec(9, 9000, 900, 500)}, ["v"])),
     "m1_design_matrix": entry(lambda s, d: experiments.design_matrix(table(s, d, "events").select(F.col("event_id").alias("run_id"), F.col("props").alias("config")))),
     "m4_rescore": entry(
         lambda s, d: experiments.rescore(orders(s, d).select(F.col("prio").alias("run_id")).distinct(), orders(s, d).select(F.col("prio").alias("run_id"), (F.col("k") % 7 - 3).cast("double").alias("edge"), F.col("v").alias("actual"), F.lit(150000.0).alias("line")), 1.0).select("run_id", "n_bets", "wins", "losses"),
@@ -279,7 +231,6 @@ QUERIES = {
         lambda s, d: experiments.cv_vs_holdout(orders(s, d).where("season < 1996").groupBy("k").agg(F.avg("v").alias("roi")), orders(s, d).where("season >= 1996").groupBy("k").agg(F.avg("v").alias("roi")), "k"),
         f"WITH {ORDERS}, x AS (SELECT k, avg(CASE WHEN season < 1996 THEN v END) AS a, avg(CASE WHEN season >= 1996 THEN v END) AS b FROM o GROUP BY k) SELECT k, {{r:a}} AS cv, {{r:b}} AS holdout, {{r:b - a}} AS gap FROM x WHERE a IS NOT NULL AND b IS NOT NULL",
     ),
-    "p4_roster_movement": entry(_p4b),
     "v4_explode_events": entry(
         lambda s, d: readers.explode_events(items(s, d).groupBy("g").agg(F.to_json(F.array_sort(F.collect_list(F.struct("n", "p")))).alias("j")), "j", "struct<n:int,p:bigint>", ["g"]).select("g", "event.n", "event.p"),
         f"WITH {ITEMS} SELECT g, n, p FROM i",

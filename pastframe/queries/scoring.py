@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 from pastframe.operators import audits, experiments, players, scoring, splits
 from pastframe.queries.tables import ITEMS, ORDERS, entry, items, orders
 
-SPEC = splits.FoldSpec(folds=3, test_rows=300, train_rows=900, min_train=500)
-
-
 def _bets(s, d):
     """Line items as bets: the edge is the quantity less 25.5, the outcome the tax against the discount."""
     return items(s, d).select("g", "n", "p", "flag", "ls", "d", (F.col("q") - 25.5).alias("edge"), F.col("tax").alias("actual"), F.col("disc").alias("line"), (F.col("q") / 51).alias("prob"), (F.col("tax") > F.col("disc")).cast("int").alias("y"))
@@ -21,22 +18,15 @@ _METRICS = """count(*) AS n_bets, count(*) FILTER (m > 0) AS wins, count(*) FILT
 _M = ["n_bets", "wins", "losses", "pushes", "win_rate", "profit", "roi"]
 
 
-def _folds(s, d):
-    return splits.walk_forward_folds(orders(s, d), "d", "id", SPEC)
-
-
 QUERIES = {
     "e1_holdout_latest_dates": entry(
         lambda s, d: splits.holdout_latest_dates(orders(s, d), "d", n=500)[1].select("id", "d"),
         f"WITH {ORDERS}, y AS (SELECT d, count(*) AS c FROM o GROUP BY d), w AS (SELECT d, coalesce(sum(c) OVER (ORDER BY d DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS later FROM y) SELECT id, o.d FROM o JOIN w ON w.d = o.d WHERE later < 500",
     ),
-    "e2_walk_forward_folds": entry(lambda s, d: _folds(s, d)),
-    "e3_validate_folds": entry(lambda s, d: splits.validate_folds(_folds(s, d), "id")),
     "e4_recency_weights": entry(
         lambda s, d: splits.recency_weights(orders(s, d), "d", 0.001, "status").select("id", "weight"),
         f"WITH {ORDERS} SELECT id, {{r:exp(-0.001 * (max(d) OVER (PARTITION BY status) - d))}} AS weight FROM o",
     ),
-    "e5_walk_forward_score": entry(lambda s, d: splits.walk_forward_score(orders(s, d).withColumn("x", F.col("k").cast("double")), "d", "id", splits.ridge(["x"], "v"), 3, 500)),
     "e6_line_baseline": entry(
         lambda s, d: scoring.line_baseline(items(s, d).withColumn("line", F.lit(25.0)), "q", "line", ("flag",)),
         f"WITH {ITEMS} SELECT flag, count(*) AS n, {{r:avg(abs(q - 25))}} AS mae, {{r:sqrt(avg((q - 25) * (q - 25)))}} AS rmse, {{r:avg(q - 25)}} AS bias, {{r:1 - sum((q - 25) * (q - 25)) / (count(*) * var_pop(q))}} AS r2 FROM i GROUP BY flag",
@@ -49,7 +39,6 @@ QUERIES = {
         lambda s, d: splits.historical_mean_baseline(orders(s, d), "v", "season").select("id", "historical_mean"),
         f"WITH {ORDERS}, p AS (SELECT season + 1 AS season, avg(v) AS m FROM o GROUP BY season) SELECT id, {{r:m}} AS historical_mean FROM o LEFT JOIN p ON p.season = o.season",
     ),
-    "e7_random_baseline": entry(lambda s, d: splits.random_baseline(orders(s, d), 7, "id").select("id", "p_random")),
     "e8_score_bets": entry(
         lambda s, d: scoring.score_bets(_bets(s, d), "edge", "actual", "line", ("flag",)).select("flag", *_M, "win_rate_low", "win_rate_high", "break_even", "significant"),
         f"""WITH {_PLACED}, a AS (SELECT flag, {_METRICS}, count(*) FILTER (m > 0) AS w, count(*) FILTER (m <> 0) AS t FROM c GROUP BY flag),
@@ -141,7 +130,6 @@ QUERIES = {
         f"""WITH {ITEMS}, x AS (SELECT g, n, p, q / 51 AS r, 1.8 + disc AS o, 1.9 + tax AS u FROM i)
         SELECT g, n, p, {{r:r - 0.5}} AS edge, {{r:greatest(r * o - 1, (1 - r) * u - 1)}} AS score, CASE WHEN r * o - 1 >= (1 - r) * u - 1 THEN 'over' ELSE 'under' END AS side, {{r:CASE WHEN r * o - 1 >= (1 - r) * u - 1 THEN o ELSE u END}} AS price FROM x""",
     ),
-    "e24_grid_over_folds": entry(lambda s, d: splits.grid_over_folds(orders(s, d).withColumn("x", F.col("k").cast("double")), _folds(s, d), s.createDataFrame([(0.1,), (100.0,)], "penalty double"), "id", "v", lambda r: splits.ridge(["x"], "v", r.penalty))),
     "e26_confidence_trend": entry(
         lambda s, d: scoring.confidence_trend(_bets(s, d), "prob", "y", "flag")[0],
         f"""WITH {ITEMS}, b AS (SELECT flag, q / 51 AS p, (tax > disc)::INT AS y FROM i), r AS (SELECT *, rank() OVER (PARTITION BY flag ORDER BY p) + (count(*) OVER (PARTITION BY flag, p) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY flag) AS n FROM b)
@@ -222,9 +210,6 @@ QUERIES = {
         e AS (SELECT id, coalesce(CASE WHEN n1 > 0 AND n0 > n1 THEN s1 / n1 - (s0 - s1) / (n0 - n1) END, CASE WHEN m1 > 0 AND m0 > m1 THEN t1 / m1 - (t0 - t1) / (m0 - m1) END) AS e FROM a)
         SELECT id AS game_id, {{r:avg(e)}} AS v_official_mean, {{r:stddev_pop(e)}} AS v_official_std, {{r:sum(e)}} AS v_official_sum FROM e GROUP BY id""",
     ),
-    "r2_crew_effects": entry(lambda s, d: players.crew_effects(_officiated(s, d), ["r1", "r2"], ["v"]).select("game_id", "v_crew_effect")),
-    "p3_availability_effect": entry(lambda s, d: _p3(s, d)),
-    "p4_roster_continuity": entry(lambda s, d: _p4(s, d)),
 }
 
 
@@ -241,14 +226,3 @@ def _officiated(s, d):
     return orders(s, d).select(F.col("id").alias("game_id"), F.col("season").alias("season_year"), F.col("d").alias("game_date"), "v", (F.col("k") % 20).alias("r1"), ((F.col("k") + 7) % 20).alias("r2"))
 
 
-def _p3(s, d):
-    """Customers are teams in ten groups, suppliers players; a supplier with a quantity of 45 or more is absent."""
-    g = orders(s, d).select((F.col("k") % 10).alias("team_id"), F.col("id").alias("game_id"), F.col("d").alias("game_date"), F.col("season").alias("season_year"), "v", F.lit(150000.0).alias("e"))
-    x = items(s, d).select(F.col("g").alias("game_id"), F.col("s").alias("player_id"), "q").join(g.select("game_id", "team_id"), "game_id")
-    return players.availability_effect(g, x.where("q >= 49").select("game_id", "team_id", "player_id"), x.where("q >= 45").select("game_id", "team_id", "player_id"), "v", "e")
-
-
-def _p4(s, d):
-    g = orders(s, d).select((F.col("k") % 10).alias("team_id"), F.col("id").alias("game_id"), F.col("d").alias("game_date"), F.col("season").alias("season_year"))
-    x = items(s, d).select(F.col("g").alias("game_id"), F.col("s").alias("player_id"), F.col("q").alias("minutes")).join(g, "game_id")
-    return players.roster_continuity(x, g.where("game_id % 50 = 0"))

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pastframe.queries import folding, history, people, relational, rest, scoring, ticks
+from pastframe.queries import folding, history, people, quotes, relational, rest, scoring, ticks
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (relational, history, ticks, scoring, folding, people, rest)
+_MODULES = (relational, history, ticks, scoring, folding, people, quotes, rest)
 
 
 def queries() -> dict[str, Query]:

@@ -73,7 +73,6 @@ QUERIES = {
         lambda s, d: readers.coalesce_duplicates(_labels(s, d), {"mark": ["quality", "toxic"]}),
         f"SELECT {_DOCS}, coalesce(quality, toxic) AS mark FROM documents LEFT JOIN labels USING (doc_id)",
     ),
-    "s14_dataset_fingerprint": entry(lambda s, d: readers.dataset_fingerprint(orders(s, d)).select("rows", "xor", F.col("total").cast("string").alias("total"))),
     "f1_slice_with_extras": entry(
         lambda s, d: filters.slice_with_extras(orders(s, d), seasons=[1994], hi="1997-06-30", extra_ids=(1, 2, 3), season_col="season", date_col="d", id_col="id").select("id", "d"),
         f"WITH {ORDERS} SELECT DISTINCT id, d FROM o WHERE (season = 1994 OR id IN (1, 2, 3)) AND d <= DATE '1997-06-30'",

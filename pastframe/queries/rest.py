@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pastframe.functions import scalar as X
-from pastframe.operators import aggregates, asof, audits, experiments, filters, joins, players, scoring, splits, windows
+from pastframe.operators import aggregates, asof, audits, experiments, filters, joins, scoring, splits, windows
 from pastframe.plans import frames
-from pastframe.plans.tick_transform import transform_ticks
 from pastframe.queries.history import _sides
 from pastframe.queries.tables import ITEMS, ORDERS, TICKS, entry, items, orders, table, ticks
 from pastframe.queries.ticks import _folder
@@ -18,7 +17,7 @@ from pastframe.streaming import ticks as streaming
 
 def _s1(s, d):
     out = _folder(s, "csv")
-    for season in (1994, 1995, 1996):
+    for season in range(1995, 2002):  # the years of the orders
         orders(s, d).where(F.col("season") == season).select("id", "v", "prio").write.option("header", True).csv(f"{out}/{season}/part")
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("v", T.DoubleType()), T.StructField("prio", T.StringType())])
     return readers.read_season_csv(s, out, schema, columns=["id", "v"]).withColumn("season", F.col("season").cast("int"))
@@ -67,24 +66,6 @@ def _same_date(s, d):
     return x.join(x.groupBy("game_id").agg(F.min("game_date").alias("gd")), "game_id").drop("game_date").withColumnRenamed("gd", "game_date")
 
 
-def _b1(s, d):
-    x = _same_date(s, d)
-    late = F.col("game_id").cast("long") % 50 == 0
-    f = frames.build_feature_frame(x.where(~late), x.where(late).drop("PTS", "POSS").withColumn("game_date", F.date_add("game_date", 3000)), ["PTS", "POSS"], "PTS")
-    return f.select("game_id", "TOTAL", F.col("PTS_last_5_BEFORE_TEAM_HOME").alias("h"), F.col("PTS_last_5_BEFORE_TEAM_AWAY").alias("a"))
-
-
-def _f10(s, d):
-    e = table(s, d, "events")
-    day, away = F.to_date("ts"), F.col("event_type")
-    raw = e.select(day.alias("game_date"), F.lit(2024).alias("season_year"), "event_id", F.col("user_id").cast("string").alias("team_home"), away.alias("team_away"), F.concat(F.lit("b"), (F.col("event_id") % 4).cast("string")).alias("bookmaker_slug"), F.when(F.col("event_id") % 3 == 0, "total").when(F.col("event_id") % 3 == 1, "spread").otherwise("moneyline").alias("market"), F.lit("move").alias("row_kind"), F.col("ts").cast("timestamp").alias("timestamp"), F.col("value").alias("left_line"), F.lit(-110.0).alias("left_price"), (-F.col("value")).alias("right_line"), F.lit(-110.0).alias("right_price"))
-    games = e.where("user_id % 5 <> 0").groupBy(day.alias("game_date"), F.col("user_id").cast("string").alias("team_home"), away.alias("team_away")).agg(F.min("event_id").cast("string").alias("game_id"))
-    plan = games.where("game_date is not null").select("game_id", (F.col("game_date").cast("timestamp") + F.expr("interval 20 hours")).alias("tipoff_utc"))
-    books = s.createDataFrame([(i, f"b{i}") for i in range(3)], "book_id int, bookmaker_slug string")
-    markets = s.createDataFrame([(1, "total"), (2, "spread")], "market_id int, market string")
-    return transform_ticks(raw, games, plan, books, markets)
-
-
 def _preds(s, d):
     return orders(s, d).select(F.col("id").alias("game_id"), "season", F.col("v").alias("actual"), F.lit(150000.0).alias("line"), (F.lit(150000.0) + (F.col("k") % 7 - 3) * 1000).alias("pred"), (F.col("id") % 3).alias("seed"))
 
@@ -112,7 +93,7 @@ def _st3(s, d):
 
 
 QUERIES = {
-    "s1_read_season_csv": entry(_s1, f"WITH {ORDERS} SELECT id, {{r:v}} AS v, season FROM o WHERE season IN (1994, 1995, 1996)"),
+    "s1_read_season_csv": entry(_s1, f"WITH {ORDERS} SELECT id, {{r:v}} AS v, season FROM o"),
     "s4_read_pregame_ticks": entry(_s4, f"WITH {TICKS} SELECT tick_id, market, 'b' || book AS book, {{r:level}} AS left_line FROM t WHERE market IN ('click', 'view') AND book <> 2 AND minutes_before_tip >= 60"),
     "s7_backup_table": entry(_s7, f"WITH {ORDERS} SELECT id, season, {{r:v}} AS v FROM o"),
     "s10_write_partitioned": entry(_s10, f"WITH {ORDERS} SELECT id, {{r:v}} AS v, season FROM o WHERE season <> 1995 OR id % 2 = 0"),
@@ -121,13 +102,6 @@ QUERIES = {
         lambda s, d: filters.repair_home_flag(_sides(s, d).select("g", "n", F.lit(True).alias("home"), F.concat(F.lit("S"), F.col("n").cast("string")).alias("team"), F.lit("S2 @ S1").alias("m")), "g", "home", "m", "team").select("g", "n", "home"),
         f"WITH {ITEMS}, u AS (SELECT DISTINCT g, n FROM i WHERE n <= 2) SELECT g, n, CASE WHEN count(*) OVER (PARTITION BY g) > 1 THEN n = 1 ELSE TRUE END AS home FROM u",
     ),
-    "f10_transform_ticks": entry(lambda s, d: _f10(s, d)[0]),
-    "f10_transform_losses": entry(
-        lambda s, d: _f10(s, d)[2],
-        """SELECT CASE WHEN user_id % 5 = 0 THEN 'no game' WHEN event_id % 4 = 3 THEN 'no book' WHEN event_id % 3 = 2 THEN 'no market' ELSE 'kept' END AS reason, count(*) AS rows
-        FROM events WHERE NOT (month(ts) = 3 AND day(ts) >= 25 AND dayofweek(ts) = 0 AND hour(ts) = 2) AND NOT (month(ts) = 10 AND day(ts) >= 25 AND dayofweek(ts) = 0 AND hour(ts) = 2) GROUP BY 1
-        UNION ALL SELECT 'no time', count(*) FROM events WHERE (month(ts) IN (3, 10) AND day(ts) >= 25 AND dayofweek(ts) = 0 AND hour(ts) = 2) HAVING count(*) > 0""",
-    ),
     "f11_select_point_in_time": entry(
         lambda s, d: filters.select_point_in_time(windows.rolling_mean(orders(s, d), ["v"], 5, ["k"], ["d", "id"]), static=("id",), banned=("v",)),
         f"WITH {ORDERS} SELECT id, {{r:avg(v) OVER (PARTITION BY k ORDER BY d, id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)}} AS v_last_5_BEFORE FROM o",
@@ -153,8 +127,6 @@ QUERIES = {
         lambda s, d: items(s, d).select("g", "n", "p", "q", asof.up_probability(1.5 + F.col("disc"), 1.6 + F.col("tax")).alias("u")).withColumn("x", asof.market_level(F.col("q"), F.col("u"), F.when(F.col("n") > 3, "moneyline").otherwise("total"))),
         f"WITH {ITEMS}, u AS (SELECT *, (1 / (1.5 + disc)) / (1 / (1.5 + disc) + 1 / (1.6 + tax)) AS u FROM i) SELECT g, n, p, {{r:q}} AS q, {{r:u}} AS u, {{r:CASE WHEN n > 3 THEN u ELSE q END}} AS x FROM u",
     ),
-    "x4_center_line": entry(lambda s, d: items(s, d).select("g", "n", "p", "q", X.center_line(F.round(F.col("q") * 2) / 2 + 200, 1.5 + F.col("disc") * 4, 1.6 + F.col("tax") * 4).alias("x"))),
-    "x9_localize_strict": entry(lambda s, d: table(s, d, "events").select("event_id", X.localize_strict(F.col("ts").cast("timestamp"), "Europe/Madrid").alias("utc"))),
     "x14_normalize_side": entry(
         lambda s, d: items(s, d).select("g", "n", "p", "q", X.normalize_side(F.when(F.col("flag") == "A", " Over").when(F.col("flag") == "R", "U")).alias("x")),
         f"WITH {ITEMS} SELECT g, n, p, {{r:q}} AS q, CASE flag WHEN 'A' THEN 'over' WHEN 'R' THEN 'under' END AS x FROM i",
@@ -184,16 +156,11 @@ QUERIES = {
         f"""WITH {ORDERS}, p AS (SELECT id % 3 AS seed, v, 150000 + (k % 7 - 3) * 1000 AS pred FROM o)
         SELECT seed, count(*) AS n, {{r:avg(abs(v - pred))}} AS mae, {{r:sqrt(avg((v - pred) * (v - pred)))}} AS rmse, {{r:avg(abs(v - 150000))}} AS line_mae, count(*) FILTER (pred <> 150000) AS n_bets, count(*) FILTER ((v - 150000) * (pred - 150000) > 0) AS wins, count(*) FILTER ((v - 150000) * (pred - 150000) < 0) AS losses FROM p GROUP BY seed""",
     ),
-    "q4_leak_probe": entry(
-        lambda s, d: audits.leak_probe(lambda x: windows.rolling_mean(x, ["v"], 3, ["k"], ["d", "id"]).withColumn("w", F.col("v") * 2), orders(s, d).select("id", "k", "d", "v"), "v", "id % 1000 = 0").groupBy("side").agg(F.count_distinct("id").alias("n")).where("n >= 0").select("side", (F.col("n") > 0).alias("leaks")),
-        "SELECT unnest(['before', 'after']) AS side, TRUE AS leaks",
-    ),
     "q6_diagnose": entry(
         lambda s, d: audits.diagnose(items(s, d).where("n <= 2").select("g", (F.col("n") == 1).alias("home"), F.col("d").cast("timestamp").alias("start")), orders(s, d).select(F.col("id").alias("g"), F.col("d").cast("timestamp").alias("start")), "g", "home", "start").select("g", "n_home", "n_away", F.array_join("problems", ",").alias("why")),
         f"""WITH {ORDERS}, {ITEMS}, x AS (SELECT g, count(*) FILTER (n = 1) AS n_home, count(*) FILTER (n = 2) AS n_away, min(d) AS d FROM i WHERE n <= 2 GROUP BY g),
         y AS (SELECT g, n_home, n_away, concat_ws(',', CASE WHEN n_home <> 1 OR n_away <> 1 THEN 'sides' END, CASE WHEN x.d <> o.d THEN 'start' END) AS why FROM x LEFT JOIN o ON o.id = x.g) SELECT * FROM y WHERE why <> ''""",
     ),
-    "m1_design_matrix": entry(lambda s, d: experiments.design_matrix(table(s, d, "events").select(F.col("event_id").alias("run_id"), F.col("props").alias("config")))),
     "m4_rescore": entry(
         lambda s, d: experiments.rescore(orders(s, d).select(F.col("prio").alias("run_id")).distinct(), orders(s, d).select(F.col("prio").alias("run_id"), (F.col("k") % 7 - 3).cast("double").alias("edge"), F.col("v").alias("actual"), F.lit(150000.0).alias("line")), 1.0).select("run_id", "n_bets", "wins", "losses"),
         f"WITH {ORDERS} SELECT prio AS run_id, count(*) FILTER (abs(k % 7 - 3) > 1) AS n_bets, count(*) FILTER (abs(k % 7 - 3) > 1 AND (v - 150000) * (k % 7 - 3) > 0) AS wins, count(*) FILTER (abs(k % 7 - 3) > 1 AND (v - 150000) * (k % 7 - 3) < 0) AS losses FROM o GROUP BY prio",
@@ -245,12 +212,10 @@ QUERIES = {
         w AS (SELECT g, n, q, avg(q) OVER (PARTITION BY s, n ORDER BY d0 + n0, CAST(g AS VARCHAR) ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS a, count(*) OVER (PARTITION BY g) AS c FROM t)
         SELECT CAST(g AS VARCHAR) AS game_id, {{r:sum(q)}} AS TOTAL, {{r:max(CASE WHEN n = 1 THEN a END)}} AS h, {{r:max(CASE WHEN n = 2 THEN a END)}} AS a, {{r:max(CASE WHEN n = 1 THEN a END) - max(CASE WHEN n = 2 THEN a END)}} AS x FROM w WHERE c = 2 GROUP BY g""",
     ),
-    "b1_build_feature_frame": entry(_b1),
     "v1_rolling_apply": entry(
         lambda s, d: splits.rolling_apply(orders(s, d), "v", 5, ["k"], ["d", "id"], lambda v: F.array_max(v) - F.array_min(v), "x").select("id", "x"),
         f"WITH {ORDERS} SELECT id, {{r:max(v) OVER w - min(v) OVER w}} AS x FROM o WINDOW w AS (PARTITION BY k ORDER BY d, id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)",
     ),
-    "w24_jetlag_hours": entry(lambda s, d: windows.jetlag_hours(orders(s, d).withColumn("z", F.when(F.col("id") % 2 == 0, "America/New_York").otherwise("America/Los_Angeles")), "k", "d", ["d", "id"], "z", 90).select("id", "jetlag_hours")),
     "st2_stream_pregame": entry(_st2, f"WITH {TICKS} SELECT tick_id AS event_id, {{r:minutes_before_tip}} AS minutes_before_tip FROM t WHERE minutes_before_tip >= 600"),
     "st3_stream_path_state": entry(
         _st3,

@@ -188,8 +188,8 @@ QUERIES = {
         SELECT flag, p, {{r:median(sh)}} AS median_share, {{r:median(r / n)}} AS median_rank_fraction, {{r:avg((r / n <= 0.25)::INT)}} AS top_quarter_rate, {{r:avg((r <= 20)::INT)}} AS top_k_rate, count(*) AS models FROM r GROUP BY flag, p""",
     ),
     "m7_topk_overlap": entry(
-        lambda s, d: experiments.topk_overlap(_importance(s, d).where("flag = 'A'"), 50, "s", "p", "x"),
-        f"""WITH {ITEMS}, m AS (SELECT s, p, sum(q) AS x FROM i WHERE flag = 'A' GROUP BY s, p), t AS (SELECT s, list(p) AS f FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY x DESC, p) AS r FROM m) WHERE r <= 50 GROUP BY s)
+        lambda s, d: experiments.topk_overlap(items(s, d).groupBy("s", "p").agg(F.sum("q").alias("x")), 50, "s", "p", "x"),
+        f"""WITH {ITEMS}, m AS (SELECT s, p, sum(q) AS x FROM i GROUP BY s, p), t AS (SELECT s, list(p) AS f FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY x DESC, p) AS r FROM m) WHERE r <= 50 GROUP BY s)
         SELECT a.s AS model_a, b.s AS model_b, {{r:len(list_intersect(a.f, b.f)) / len(list_distinct(list_concat(a.f, b.f)))::DOUBLE}} AS jaccard FROM t a JOIN t b ON a.s < b.s""",
     ),
     "m8_fold_table": entry(

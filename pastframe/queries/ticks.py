@@ -114,7 +114,6 @@ QUERIES = {
         lambda s, d: market.style_matchups(items(s, d).select("g", "n", "p", F.col("q").alias("R_BEFORE_TEAM_HOME"), F.col("tax").alias("R_BEFORE_TEAM_AWAY"), F.col("disc").alias("R_opp_BEFORE_TEAM_HOME"), F.col("price").alias("R_opp_BEFORE_TEAM_AWAY")), ["R"]).select("g", "n", "p", F.col("R_EXPECTED_HOME_BEFORE").alias("a"), F.col("R_EXPECTED_AWAY_BEFORE").alias("b")),
         f"WITH {ITEMS} SELECT g, n, p, {{r:(q + price) / 2}} AS a, {{r:(tax + disc) / 2}} AS b FROM i",
     ),
-    "o5_normalize_lines": entry(lambda s, d: market.normalize_lines(_odds(s, d)).select("g", "total_a_line_over", "total_a_price_over", "total_b_line_over", "total_b_price_over")),
     "st1_stream_ticks": entry(_st1, "SELECT event_type AS market, count(*) AS n, {r:sum(value)} AS x FROM events GROUP BY event_type"),
     "st4_stream_latest": entry(_st4, "SELECT user_id, event_type, arg_max(event_id, ts) AS event_id FROM events GROUP BY user_id, event_type"),
 }

@@ -154,15 +154,29 @@ _FRAME_AGGS: dict[str, Callable[[str], Column]] = {
 }
 
 
-def rolling_prior_dates_rows(df: DataFrame, value: str, n: int, date: str, order: list[str], func: str = "mean", keys: tuple[str, ...] = ()) -> DataFrame:
-    """Over the last n rows of strictly earlier dates; all rows of a date share the value.
+def rows_before_dates(df: DataFrame, n: int, date: str, order: list[str], cols: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, __day, __back, cols): for every date the last n rows of strictly earlier dates, __back 1 the latest.
 
-    Without keys this orders one row per row of the league: an input of games, not of ticks.
+    A date passes on its own last n rows at most, under their positions in the key's order, which are its count of
+    earlier rows and a rank within the date. Dates meet rows by blocks of n positions: no window runs over all rows.
     """
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-n, -1)
-    first = Window.partitionBy(*keys, date).orderBy(*order)
+    d = df.select(*keys, F.to_date(date).alias("__day"), F.struct(*order).alias("__o"), *cols)
+    day = d.groupBy(*keys, "__day").agg(F.count("*").alias("__n"))
+    w = Window.partitionBy(*keys).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    upto = day.withColumn("__c", F.coalesce(F.sum("__n").over(w), F.lit(0)))  # one row per key and date
+    own = d.withColumn("__r", F.row_number().over(Window.partitionBy(*keys, "__day").orderBy(F.col("__o").desc()))).where(F.col("__r") <= n)
+    at = own.join(upto, [*keys, "__day"]).withColumn("__pos", F.col("__c") + F.col("__n") - F.col("__r"))
+    block = lambda c: F.floor(c / n)
+    asked = upto.where("__c > 0").select(*keys, "__day", "__c", F.explode(F.array_distinct(F.array(block(F.col("__c") - n), block(F.col("__c") - 1)))).alias("__b"))
+    met = asked.join(at.select(*keys, "__pos", block(F.col("__pos")).alias("__b"), *cols), [*keys, "__b"])
+    return met.where((F.col("__pos") < F.col("__c")) & (F.col("__pos") >= F.col("__c") - n)).select(*keys, "__day", (F.col("__c") - F.col("__pos")).alias("__back"), *cols)
+
+
+def rolling_prior_dates_rows(df: DataFrame, value: str, n: int, date: str, order: list[str], func: str = "mean", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Over the last n rows of strictly earlier dates; all rows of a date share the value."""
     name = f"{value}_{func}_{n}_rows_BEFORE"
-    return df.withColumn("__f", _FRAME_AGGS[func](value).over(w)).withColumn(name, F.first("__f").over(first)).drop("__f")
+    past = rows_before_dates(df, n, date, order, [value], keys).groupBy(*keys, "__day").agg(_FRAME_AGGS[func](value).alias(name))
+    return df.withColumn("__day", F.to_date(date)).join(past, [*keys, "__day"], "left").drop("__day")
 
 
 def rolling_days(df: DataFrame, value: str, days: int, date: str, func: str = "mean", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -180,64 +194,72 @@ def rolling_days_mean(df: DataFrame, value: str, days: int, date: str, keys: tup
     return df.withColumn("__day", F.to_date(date)).join(daily.select(*keys, "__day", mean), [*keys, "__day"], "left").drop("__day")
 
 
-def ewm_prior_dates(df: DataFrame, value: str, span: int, date: str, order: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
-    """Exponentially weighted mean and bias-corrected deviation (adjusted form) over rows of earlier dates.
+def ewm_by_date(df: DataFrame, value: str, span: int, date: str, order: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, __day, mean, deviation) of W15, one row per date.
 
-    Each row ages the weights, null ones too. Rows are first folded per date, then dates in order.
+    Every row ages the weights by b, so a row's weight at a date is b to the power of the rows between. A date is summed
+    up with the ages at its end; its rows beyond `reach` weigh less than a double can tell. Dates lie in blocks of reach
+    rows: within a block, sums of weights scaled up to the block's begin give every date's past, and of the blocks before
+    only the last still counts.
     """
     b = 1 - 2 / (span + 1)
-    per = df.select(*keys, F.to_date(date).alias("__day"), F.struct(*order).alias("__o"), F.col(value).cast("double").alias("__x"))
-    rows = per.groupBy(*keys, "__day").agg(F.array_sort(F.collect_list(F.struct("__o", "__x"))).alias("__xs"))
-    zero = F.struct(*[F.lit(0.0).alias(k) for k in ("w", "ww", "s", "q")])
-
-    def step(a: Column, x: Column) -> Column:
-        v, has = F.coalesce(x["__x"], F.lit(0.0)), x["__x"].isNotNull().cast("double")
-        return F.struct((a["w"] * b + has).alias("w"), (a["ww"] * b * b + has).alias("ww"), (a["s"] * b + v).alias("s"), (a["q"] * b + v * v).alias("q"))
+    reach = math.ceil(60 * math.log(2) / -math.log(b))
+    sums = ("__w", "__ww", "__s", "__q")
+    d = df.select(*keys, F.to_date(date).alias("__day"), F.struct(*order).alias("__o"), F.col(value).cast("double").alias("__x"))
+    count = d.groupBy(*keys, "__day").agg(F.count("*").alias("__n"))
+    by_day = Window.partitionBy(*keys).orderBy("__day")
+    ends = count.withColumn("__e", F.sum("__n").over(by_day.rowsBetween(Window.unboundedPreceding, 0))).drop("__n")  # one row per key and date
+    own = d.withColumn("__r", F.row_number().over(Window.partitionBy(*keys, "__day").orderBy(F.col("__o").desc()))).where(F.col("__r") <= reach)
+    age, has = F.pow(F.lit(b), F.col("__r") - 1), F.col("__x").isNotNull().cast("double")
+    own = own.groupBy(*keys, "__day").agg(F.sum(age * has).alias("__w"), F.sum(age * age * has).alias("__ww"), F.coalesce(F.sum(age * F.col("__x")), F.lit(0.0)).alias("__s"), F.coalesce(F.sum(age * F.col("__x") * F.col("__x")), F.lit(0.0)).alias("__q"))
+    t = own.join(ends, [*keys, "__day"]).withColumn("__k", F.floor(F.col("__e") / reach)).withColumn("__off", F.col("__e") - F.col("__k") * reach)
+    grow = {c: F.pow(F.lit(b * b if c == "__ww" else b), F.col("__off")) for c in sums}
+    inside = Window.partitionBy(*keys, "__k").orderBy("__day").rowsBetween(Window.unboundedPreceding, 0)
+    t = t.select(*keys, "__day", "__k", "__e", *[(F.sum(F.col(c) / grow[c]).over(inside) * grow[c]).alias(c) for c in sums])
+    block = t.groupBy(*keys, "__k").agg(F.max_by(F.struct("__e", *sums), "__day").alias("__end"))
+    block = block.select(*keys, "__k", F.lag("__end").over(Window.partitionBy(*keys).orderBy("__k")).alias("__was"))  # one row per block
+    gap = F.col("__e") - F.col("__was.__e")
+    t = t.join(block, [*keys, "__k"], "left").select(*keys, "__day", *[(F.col(c) + F.coalesce(F.col(f"__was.{c}") * F.pow(F.lit(b * b if c == "__ww" else b), gap), F.lit(0.0))).alias(c) for c in sums])
+    t = t.select(*keys, "__day", *[F.lag(c).over(by_day).alias(c) for c in sums])
+    mean = F.try_divide("__s", "__w")
+    var = F.try_divide("__q", "__w") - mean * mean
+    square = F.col("__w") * F.col("__w")
+    fix = F.when(square - F.col("__ww") > 1e-12 * square, square / (square - F.col("__ww")))  # none for a single row
+    return t.select(*keys, "__day", mean.alias(f"{value}_ewm_{span}_BEFORE"), F.when(fix.isNotNull(), F.sqrt(F.greatest(var * fix, F.lit(0.0)))).alias(f"{value}_ewstd_{span}_BEFORE"))
 
-    day = rows.select(*keys, "__day", F.size("__xs").alias("__n"), F.aggregate("__xs", zero, step).alias("__a"))
-    reach = math.ceil(60 * math.log(2) / -math.log(b))  # dates further back weigh less than a double can tell
-    past = F.collect_list(F.struct("__n", "__a")).over(Window.partitionBy(*keys).orderBy("__day").rowsBetween(-reach, -1))
 
-    def join(a: Column, x: Column) -> Column:
-        f = F.pow(F.lit(b), x["__n"])
-        return F.struct((a["w"] * f + x["__a"]["w"]).alias("w"), (a["ww"] * f * f + x["__a"]["ww"]).alias("ww"), (a["s"] * f + x["__a"]["s"]).alias("s"), (a["q"] * f + x["__a"]["q"]).alias("q"))
+def ewm_prior_dates(df: DataFrame, value: str, span: int, date: str, order: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
+    """Exponentially weighted mean and bias-corrected deviation (adjusted form) over rows of earlier dates.
 
-    t = day.withColumn("__p", past).withColumn("__t", F.aggregate("__p", zero, join))
-    mean = F.try_divide(F.col("__t.s"), F.col("__t.w"))
-    var = F.try_divide(F.col("__t.q"), F.col("__t.w")) - mean * mean
-    fix = F.try_divide(F.col("__t.w") * F.col("__t.w"), F.col("__t.w") * F.col("__t.w") - F.col("__t.ww"))
-    out = t.select(*keys, "__day", mean.alias(f"{value}_ewm_{span}_BEFORE"), F.when(fix.isNotNull(), F.sqrt(F.greatest(var * fix, F.lit(0.0)))).alias(f"{value}_ewstd_{span}_BEFORE"))
-    return df.withColumn("__day", F.to_date(date)).join(out, [*keys, "__day"], "left").drop("__day")
+    Each row ages the weights, null ones too.
+    """
+    return df.withColumn("__day", F.to_date(date)).join(ewm_by_date(df, value, span, date, order, keys), [*keys, "__day"], "left").drop("__day")
 
 
 def market_regime_features(df: DataFrame, actual: str, line: str, date: str, order: list[str], rows: tuple[int, ...] = (15, 30, 75, 150), days: tuple[int, ...] = (3, 7, 14), spans: tuple[int, ...] = (15, 30, 75), eps: float = 1e-6) -> DataFrame:
     """How the line has done in the league lately: bias, error sizes, over and push rates, ratios, activity.
 
-    Games are few; everything is at one row per game and one per date. A day window without a game is null, its game
-    count 0; rows windows take games of strictly earlier dates.
+    All features are computed once per date: from the last rows of earlier dates, from sums per date, and from weights
+    folded by date. A day window without a game is null, its game count 0.
     """
     e = F.col(actual) - F.col(line)
-    g = df.select("*", F.to_date(date).alias("__day"), e.alias("__e"), F.abs(e).alias("__ae"), (e > 0).cast("double").alias("__over"), (e == 0).cast("double").alias("__push"))
-    w = {n: Window.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(-n, -1) for n in rows}
-    aggs = [a for n in rows for a in (
-        F.avg("__e").over(w[n]).alias(f"regime_bias_{n}_BEFORE"), F.avg("__ae").over(w[n]).alias(f"regime_mae_{n}_BEFORE"), F.stddev_samp("__e").over(w[n]).alias(f"regime_std_{n}_BEFORE"),
-        F.percentile("__e", F.lit(0.5)).over(w[n]).alias(f"regime_median_{n}_BEFORE"), F.avg("__over").over(w[n]).alias(f"regime_over_{n}_BEFORE"), F.avg("__push").over(w[n]).alias(f"regime_push_{n}_BEFORE"),
-        F.avg((F.col("__ae") > 15).cast("double")).over(w[n]).alias(f"regime_tail_{n}_BEFORE"), F.avg(actual).over(w[n]).alias(f"regime_score_{n}_BEFORE"), F.avg(line).over(w[n]).alias(f"regime_line_{n}_BEFORE"),
-    )]
-    names = [f"regime_{k}_{n}_BEFORE" for n in rows for k in ("bias", "mae", "std", "median", "over", "push", "tail", "score", "line")]
-    at = g.select("__day", F.struct(*order).alias("__o"), *aggs).groupBy("__day").agg(F.min_by(F.struct(*names), "__o").alias("__r")).select("__day", "__r.*")
-    daily = g.groupBy("__day").agg(F.sum("__e").alias("s"), F.sum("__ae").alias("a"), F.sum("__over").alias("o"), F.count("__e").alias("n"), F.count("*").alias("games"))
-    wd = {d: Window.partitionBy(F.lit(0)).orderBy(F.unix_date("__day")).rangeBetween(-d, -1) for d in (1, *days)}
+    g = df.select(*{*order, date}, F.to_date(date).alias("__day"), F.col(actual).alias("__a"), F.col(line).alias("__l"), e.alias("__err"))
+    past = rows_before_dates(g, max(rows), date, order, ["__a", "__l", "__err"])
+    v = F.col("__err")
+    parts = {"bias": v, "mae": F.abs(v), "std": v, "median": v, "over": (v > 0).cast("double"), "push": (v == 0).cast("double"), "tail": (F.abs(v) > 15).cast("double"), "score": F.col("__a"), "line": F.col("__l")}
+    how = {"std": F.stddev_samp, "median": lambda c: F.percentile(c, F.lit(0.5))}
+    t = past.groupBy("__day").agg(*[how.get(k, F.avg)(F.when(F.col("__back") <= n, c)).alias(f"regime_{k}_{n}_BEFORE") for n in rows for k, c in parts.items()])
+    daily = g.groupBy("__day").agg(F.sum("__err").alias("s"), F.sum(F.abs("__err")).alias("a"), F.sum((v > 0).cast("double")).alias("o"), F.count("__err").alias("n"), F.count("*").alias("games"))
+    wd = {d: Window.partitionBy(F.lit(0)).orderBy(F.unix_date("__day")).rangeBetween(-d, -1) for d in (1, *days)}  # one row per date
     day_cols = [c for d in days for c in (F.try_divide(F.sum("s").over(wd[d]), F.sum("n").over(wd[d])).alias(f"regime_bias_{d}d_BEFORE"), F.try_divide(F.sum("a").over(wd[d]), F.sum("n").over(wd[d])).alias(f"regime_mae_{d}d_BEFORE"), F.try_divide(F.sum("o").over(wd[d]), F.sum("n").over(wd[d])).alias(f"regime_over_{d}d_BEFORE"))]
     day_cols += [F.coalesce(F.sum("games").over(wd[d]), F.lit(0)).alias(f"regime_games_{d}d_BEFORE") for d in (1, *days)]
-    got = df.withColumn("__day", F.to_date(date)).join(at, "__day", "left").join(daily.select("__day", *day_cols), "__day", "left").drop("__day")
+    t = daily.select("__day", *day_cols).join(t, "__day", "left")
     for short, long in ((15, 75), (30, 150)):
         if short in rows and long in rows:
-            got = got.withColumn(f"regime_mae_ratio_{short}_{long}_BEFORE", F.col(f"regime_mae_{short}_BEFORE") / (F.col(f"regime_mae_{long}_BEFORE") + eps)).withColumn(f"regime_bias_accel_{short}_{long}_BEFORE", F.col(f"regime_bias_{short}_BEFORE") - F.col(f"regime_bias_{long}_BEFORE"))
-    err = got.withColumn("__err", e)
+            t = t.withColumn(f"regime_mae_ratio_{short}_{long}_BEFORE", F.col(f"regime_mae_{short}_BEFORE") / (F.col(f"regime_mae_{long}_BEFORE") + eps)).withColumn(f"regime_bias_accel_{short}_{long}_BEFORE", F.col(f"regime_bias_{short}_BEFORE") - F.col(f"regime_bias_{long}_BEFORE"))
     for s in spans:
-        err = ewm_prior_dates(err, "__err", s, date, order)
-    return err.drop("__err").withColumnsRenamed({f"__err_{k}_{s}_BEFORE": f"regime_{k}_{s}_BEFORE" for s in spans for k in ("ewm", "ewstd")})
+        t = t.join(ewm_by_date(g, "__err", s, date, order).withColumnsRenamed({f"__err_{k}_{s}_BEFORE": f"regime_{k}_{s}_BEFORE" for k in ("ewm", "ewstd")}), "__day", "left")
+    return df.withColumn("__day", F.to_date(date)).join(t, "__day", "left").drop("__day")
 
 
 def prior_dynamics(log: DataFrame, values: list[str], team: str, date: str, order: list[str], season: str, windows: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
@@ -326,29 +348,75 @@ def shift_to_next(df: DataFrame, keys: list[str], order: list[str], id_col: str,
     return df.withColumn(out, F.lead(id_col).over(spec(keys, order)))
 
 
-def season_prior_stats(df: DataFrame, value: str, line: str, date: str, season: str) -> DataFrame:
+def _binned(df: DataFrame, value: str, bins: int) -> Column:
+    """The bin of a value: borders are quantiles of all values, so that bins hold about as many distinct places."""
+    some = df.agg(F.percentile_approx(value, [i / bins for i in range(1, bins)], 10 * bins)).first()[0] or []
+    return F.size(F.filter(F.array(*[F.lit(float(x)) for x in sorted(set(some))]) if some else F.array().cast("array<double>"), lambda x: x < F.col(value)))
+
+
+def _earlier(df: DataFrame, value: str, season: str, bins: int) -> tuple[DataFrame, DataFrame]:
+    """(values, grid) of rows (season, __day, value): distinct values with their count c and bin; per season, day and bin,
+    how many values of earlier days lie in the bin (n) and in lower ones (low)."""
+    vals = df.where(F.col(value).isNotNull()).groupBy(season, "__day", F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__c"))
+    vals = vals.withColumn("__bin", _binned(vals, "__v", bins))
+    cell = vals.groupBy(season, "__bin", "__day").agg(F.sum("__c").alias("__c"))
+    grid = df.select(season, "__day").distinct().join(cell.select(season, "__bin").distinct(), season)  # days times bins
+    grid = grid.join(cell, [season, "__bin", "__day"], "left")
+    before_ = Window.partitionBy(season, "__bin").orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    grid = grid.select(season, "__bin", "__day", F.coalesce(F.sum("__c").over(before_), F.lit(0)).alias("__n"))
+    lower = Window.partitionBy(season, "__day").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    return vals, grid.withColumn("__low", F.coalesce(F.sum("__n").over(lower), F.lit(0)))
+
+
+def _median_before(vals: DataFrame, grid: DataFrame, season: str) -> DataFrame:
+    """(season, __day, median) of the values of earlier days: the bins that hold the middle ranks are known from the grid, and only these are ranked."""
+    total = grid.groupBy(season, "__day").agg(F.sum("__n").alias("__all")).where("__all > 0")
+    ranks = total.select(season, "__day", F.explode(F.array(F.floor((F.col("__all") + 1) / 2), F.floor((F.col("__all") + 2) / 2))).alias("__rank"), F.lit(1).alias("__one"))
+    at = grid.where("__n > 0").join(ranks, [season, "__day"]).where((F.col("__rank") > F.col("__low")) & (F.col("__rank") <= F.col("__low") + F.col("__n")))
+    asked = at.groupBy(season, "__bin", "__day").agg(F.collect_list(F.col("__rank") - F.col("__low")).alias("__ranks"))  # two ranks at most
+    met = asked.join(vals.select(season, "__bin", F.col("__day").alias("__of"), "__v", "__c"), [season, "__bin"]).where(F.col("__of") < F.col("__day"))
+    one = met.groupBy(season, "__bin", "__day", "__v").agg(F.sum("__c").alias("__c"), F.first("__ranks").alias("__ranks"))
+    upto = F.sum("__c").over(Window.partitionBy(season, "__bin", "__day").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
+    hit = one.withColumn("__u", upto).withColumn("__hits", F.size(F.filter("__ranks", lambda r: (r <= F.col("__u")) & (r > F.col("__u") - F.col("__c")))))
+    return hit.where("__hits > 0").groupBy(season, "__day").agg((F.sum(F.col("__v") * F.col("__hits")) / 2).alias("__median"))
+
+
+def _share_before(vals: DataFrame, grid: DataFrame, season: str) -> DataFrame:
+    """(season, __day, v, share): the share of earlier days' values that are v or less.
+
+    Lower bins come from the grid. Within a bin a day is before another if, in binary, they first differ where it has a 0: for each place of the
+    binary numbers, days that agree before it meet, those with a 0 are counted by those with a 1 in the order of the values.
+    """
+    days = vals.select(season, "__day").distinct().withColumn("__i", F.row_number().over(Window.partitionBy(season).orderBy("__day")))  # one row per day
+    x = vals.join(days, [season, "__day"]).select(season, "__bin", "__day", "__v", "__c", "__i", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("__place"))
+    one = F.expr("shiftright(__i, __place) & 1") == 1
+    group = Window.partitionBy(season, "__bin", "__place", F.expr("shiftright(__i, __place + 1)")).orderBy("__v").rangeBetween(Window.unboundedPreceding, 0)
+    got = x.withColumn("__s", F.coalesce(F.sum(F.when(~one, F.col("__c"))).over(group), F.lit(0))).withColumn("__s", F.when(one, F.col("__s")).otherwise(0))
+    inside = got.groupBy(season, "__bin", "__day", "__v").agg(F.sum("__s").alias("__s"))
+    total = grid.groupBy(season, "__day").agg(F.sum("__n").alias("__all"))
+    return inside.join(grid.select(season, "__bin", "__day", "__low"), [season, "__bin", "__day"]).join(total, [season, "__day"]).select(season, "__day", "__v", F.try_divide(F.col("__s") + F.col("__low"), F.col("__all")).alias("__share"))
+
+
+def season_prior_stats(df: DataFrame, value: str, line: str, date: str, season: str, bins: int = 128) -> DataFrame:
     """Mean, median, deviation and rate of a season's values on earlier dates, and where the line stands among earlier lines.
 
-    Counts, sums and squares are per date first; median and percentile come from per-date lists of one season's values.
+    Counts, sums and squares are per date first; median and share come from counts by date and bin of values, and only
+    within a bin are values ranked. Neither a season nor its past is held in one row or ordered in one task.
     """
-    day = df.groupBy(season, F.to_date(date).alias("__day")).agg(
-        F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q"), F.count(value).alias("n"), F.collect_list(value).alias("vs"),
-        F.sum(line).alias("ls"), F.sum(F.col(line) * F.col(line)).alias("lq"), F.count(line).alias("ln"), F.collect_list(line).alias("lv"),
-    )
-    w = Window.partitionBy(season).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
-    day = day.select(season, "__day", *[F.sum(c).over(w).alias(c) for c in ("s", "q", "n", "ls", "lq", "ln")], F.flatten(F.collect_list("vs").over(w)).alias("vs"), F.flatten(F.collect_list("lv").over(w)).alias("lv"))
-    got = df.withColumn("__day", F.to_date(date)).join(day, [season, "__day"], "left")
-    mean = F.try_divide("s", "n")
+    d = df.withColumn("__day", F.to_date(date))
+    day = d.groupBy(season, "__day").agg(F.sum(value).alias("__s"), F.sum(F.col(value) * F.col(value)).alias("__q"), F.count(value).alias("__n"), F.sum(line).alias("__ls"), F.sum(F.col(line) * F.col(line)).alias("__lq"), F.count(line).alias("__ln"))
+    w = Window.partitionBy(season).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)  # one row per date
+    day = day.select(season, "__day", *[F.sum(c).over(w).alias(c) for c in ("__s", "__q", "__n", "__ls", "__lq", "__ln")])
+    vals, grid = _earlier(d, value, season, bins)
+    lines, line_grid = (vals, grid) if line == value else _earlier(d, line, season, bins)
+    day = day.join(_median_before(vals, grid, season), [season, "__day"], "left")
+    got = d.withColumn("__v", F.col(line).cast("double")).join(day, [season, "__day"], "left").join(_share_before(lines, line_grid, season), [season, "__day", "__v"], "left")
+    mean = F.try_divide("__s", "__n")
     root = lambda v: F.when(v.isNotNull(), F.sqrt(F.greatest(v, F.lit(0.0))))  # noqa: E731  rounding may leave a little below zero
-    std = root(F.try_divide(F.col("q") - F.col("s") * mean, F.col("n") - 1))
-    lm = F.try_divide("ls", "ln")
-    ls = root(F.try_divide(F.col("lq") - F.col("ls") * lm, F.col("ln") - 1))
-    v = F.array_sort("vs")
-    k = F.size(v)
-    at = lambda i: F.try_element_at(v, i.cast("int"))
-    median = F.when(k > 0, (at(F.floor((k + 1) / 2)) + at(F.floor((k + 2) / 2))) / 2)
-    pct = F.when(F.size("lv") > 0, F.size(F.filter("lv", lambda x: x <= F.col(line))) / F.size("lv"))
-    return got.select(*df.columns, mean.alias(f"{value}_prior_mean"), median.alias(f"{value}_prior_median"), std.alias(f"{value}_prior_std"), F.try_divide(F.col(line) - lm, ls).alias(f"{line}_prior_z"), pct.alias(f"{line}_prior_pct"))
+    std = root(F.try_divide(F.col("__q") - F.col("__s") * mean, F.col("__n") - 1))
+    lm = F.try_divide("__ls", "__ln")
+    ls = root(F.try_divide(F.col("__lq") - F.col("__ls") * lm, F.col("__ln") - 1))
+    return got.select(*df.columns, mean.alias(f"{value}_prior_mean"), F.col("__median").alias(f"{value}_prior_median"), std.alias(f"{value}_prior_std"), F.try_divide(F.col(line) - lm, ls).alias(f"{line}_prior_z"), F.col("__share").alias(f"{line}_prior_pct"))
 
 
 def daily_context(df: DataFrame, values: list[str], date: str, windows: tuple[int, ...] = (3, 5, 10)) -> DataFrame:

@@ -10,6 +10,20 @@ from pastframe.queries.tables import ITEMS, ORDERS, entry, items, orders
 _B = "PARTITION BY k ORDER BY d, id ROWS BETWEEN"
 _O = ["d", "id"]
 
+_ROWS, _DAYS, _SPANS = (15, 30, 75, 150), (3, 7, 14), (15, 30, 75)
+_OF = {"bias": "avg(e)", "mae": "avg(abs(e))", "std": "stddev_samp(e)", "median": "median(e)", "over": "avg((e > 0)::INT)", "push": "avg((e = 0)::INT)", "tail": "avg((abs(e) > 15)::INT)", "score": "avg(v)", "line": "avg(l)"}
+#: Each date with the rows before it, by how far back; windows of rows, of days and weights that fade by the row.
+_W16 = f"""WITH {ORDERS}, g AS (SELECT id, d, v, round(v, -4) AS l, v - round(v, -4) AS e, row_number() OVER (ORDER BY d, id) AS p FROM o), y AS (SELECT d, min(p) AS p0 FROM g GROUP BY d),
+    b AS (SELECT y.d, y.p0 - g.p AS back, e, v, l, y.d - g.d AS age FROM y LEFT JOIN g ON g.p < y.p0 AND g.p >= y.p0 - 1600),
+    w AS (SELECT d, {', '.join(f"{a} FILTER (back <= {n}) AS {k}_{n}" for n in _ROWS for k, a in _OF.items())} FROM b GROUP BY d),
+    z AS (SELECT y.d, {', '.join(f"avg(e) FILTER (y.d - g.d <= {n}) AS bias_{n}d, avg(abs(e)) FILTER (y.d - g.d <= {n}) AS mae_{n}d, avg((e > 0)::INT) FILTER (y.d - g.d <= {n}) AS over_{n}d" for n in _DAYS)}, {', '.join(f"count(e) FILTER (y.d - g.d <= {n}) AS games_{n}d" for n in (1, *_DAYS))}
+      FROM y LEFT JOIN g ON g.d < y.d AND y.d - g.d <= {max(_DAYS)} GROUP BY y.d),
+    x AS (SELECT d, {', '.join(f"sum(e * pow({1 - 2 / (s + 1)!r}, back - 1)) / sum(pow({1 - 2 / (s + 1)!r}, back - 1)) AS m{s}, sum(pow({1 - 2 / (s + 1)!r}, back - 1)) AS w{s}, sum(pow({1 - 2 / (s + 1)!r}, 2 * (back - 1))) AS ww{s}, sum(e * e * pow({1 - 2 / (s + 1)!r}, back - 1)) AS q{s}" for s in _SPANS)} FROM b WHERE back IS NOT NULL GROUP BY d)
+    SELECT g.id, {', '.join(f"{{r:{k}_{n}}} AS regime_{k}_{n}_BEFORE" for n in _ROWS for k in _OF)}, {', '.join(f"{{r:{k}_{n}d}} AS regime_{k}_{n}d_BEFORE" for n in _DAYS for k in ("bias", "mae", "over"))},
+    {', '.join(f"coalesce(games_{n}d, 0) AS regime_games_{n}d_BEFORE" for n in (1, *_DAYS))}, {', '.join(f"{{r:mae_{a} / (mae_{c} + 1e-6)}} AS regime_mae_ratio_{a}_{c}_BEFORE, {{r:bias_{a} - bias_{c}}} AS regime_bias_accel_{a}_{c}_BEFORE" for a, c in ((15, 75), (30, 150)))},
+    {', '.join(f"{{r:m{s}}} AS regime_ewm_{s}_BEFORE, {{r:CASE WHEN w{s} * w{s} > ww{s} THEN sqrt(greatest(0, (q{s} / w{s} - m{s} * m{s}) * w{s} * w{s} / (w{s} * w{s} - ww{s}))) END}} AS regime_ewstd_{s}_BEFORE" for s in _SPANS)}
+    FROM g JOIN w ON w.d = g.d JOIN z ON z.d = g.d LEFT JOIN x ON x.d = g.d"""
+
 QUERIES = {
     "w1_rolling_mean": entry(
         lambda s, d: windows.rolling_mean(orders(s, d), ["v"], 5, ["k"], _O).select("id", F.col("v_last_5_BEFORE").alias("x")),
@@ -98,13 +112,8 @@ QUERIES = {
         SELECT id, {{r:m}} AS x FROM o LEFT JOIN e ON e.k = o.k AND e.d = o.d""",
     ),
     "w16_market_regime_features": entry(
-        lambda s, d: windows.market_regime_features(orders(s, d).withColumn("line", F.round(F.col("v"), -4)), "v", "line", "d", _O).select("id", F.col("regime_bias_30_BEFORE").alias("a"), F.col("regime_mae_75_BEFORE").alias("b"), F.col("regime_over_7d_BEFORE").alias("c"), F.col("regime_games_14d_BEFORE").alias("g")),
-        f"""WITH {ORDERS}, g AS (SELECT id, d, v - round(v, -4) AS e FROM o),
-        r AS (SELECT id, d, avg(e) OVER (ORDER BY d, id ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS a, avg(abs(e)) OVER (ORDER BY d, id ROWS BETWEEN 75 PRECEDING AND 1 PRECEDING) AS b FROM g),
-        f AS (SELECT d, arg_min({{'x': a}}, id)['x'] AS a, arg_min({{'x': b}}, id)['x'] AS b FROM r GROUP BY d), y AS (SELECT d, sum(CASE WHEN e > 0 THEN 1.0 ELSE 0.0 END) AS ov, count(*) AS n FROM g GROUP BY d),
-        w AS (SELECT d, sum(ov) OVER (ORDER BY d RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND INTERVAL 1 DAY PRECEDING) / sum(n) OVER (ORDER BY d RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND INTERVAL 1 DAY PRECEDING) AS c,
-          coalesce(sum(n) OVER (ORDER BY d RANGE BETWEEN INTERVAL 14 DAYS PRECEDING AND INTERVAL 1 DAY PRECEDING), 0) AS g FROM y)
-        SELECT g.id, {{r:f.a}} AS a, {{r:f.b}} AS b, {{r:w.c}} AS c, CAST(w.g AS BIGINT) AS g FROM g JOIN f ON f.d = g.d JOIN w ON w.d = g.d""",
+        lambda s, d: windows.market_regime_features(orders(s, d).withColumn("line", F.round(F.col("v"), -4)), "v", "line", "d", _O).drop("k", "d", "season", "v", "status", "prio", "line"),
+        _W16,
     ),
     "w17_prior_dynamics": entry(
         lambda s, d: windows.prior_dynamics(orders(s, d), ["v"], "k", "d", _O, "season", (5,)).select("id", F.col("v_team_5_BEFORE").alias("a"), F.col("v_team_season_BEFORE").alias("b"), F.col("v_league_5_BEFORE").alias("c")),
@@ -153,10 +162,9 @@ QUERIES = {
         f"WITH {ORDERS} SELECT id, lead(id) OVER (PARTITION BY k ORDER BY d, id) AS next_id FROM o",
     ),
     "w27_season_prior_stats": entry(
-        lambda s, d: windows.season_prior_stats(orders(s, d).withColumn("g", F.concat_ws("-", "season", (F.col("k") % 50).cast("string"))), "v", "v", "d", "g").select("id", F.col("v_prior_mean").alias("a"), F.col("v_prior_median").alias("b"), F.col("v_prior_std").alias("c"), F.col("v_prior_pct").alias("p")),
-        f"""WITH {ORDERS}, g AS (SELECT *, concat_ws('-', season, k % 50) AS g FROM o)
-        SELECT a.id, {{r:avg(b.v)}} AS a, {{r:median(b.v)}} AS b, {{r:stddev_samp(b.v)}} AS c, {{r:count(*) FILTER (b.v <= a.v) / nullif(count(b.v), 0)::DOUBLE}} AS p
-        FROM g a LEFT JOIN g b ON a.g = b.g AND b.d < a.d GROUP BY a.id""",
+        lambda s, d: windows.season_prior_stats(orders(s, d), "v", "v", "d", "season").select("id", F.col("v_prior_mean").alias("a"), F.col("v_prior_median").alias("b"), F.col("v_prior_std").alias("c"), F.col("v_prior_pct").alias("p")),
+        f"""WITH {ORDERS} SELECT a.id, {{r:avg(b.v)}} AS a, {{r:median(b.v)}} AS b, {{r:stddev_samp(b.v)}} AS c, {{r:count(*) FILTER (b.v <= a.v) / nullif(count(b.v), 0)::DOUBLE}} AS p
+        FROM o a LEFT JOIN o b ON a.season = b.season AND b.d < a.d GROUP BY a.id""",
     ),
     "w28_daily_context": entry(
         lambda s, d: windows.daily_context(orders(s, d), ["v"], "d", (3, 5)).select("id", F.col("v_day_mean").alias("a"), "day_games", F.col("v_day_3_BEFORE").alias("b"), F.col("v_day_5_BEFORE").alias("c")),

@@ -10,13 +10,13 @@ from pastframe.operators import aggregates, asof, audits, experiments, filters,
 from pastframe.plans import frames
 from pastframe.queries.history import _sides
 from pastframe.queries.tables import ITEMS, ORDERS, TICKS, entry, items, orders, table, ticks
-from pastframe.queries.ticks import _folder
 from pastframe.sources import readers, writers
+from pastframe.sources.stored import shared_folder
 from pastframe.streaming import ticks as streaming
 
 
 def _s1(s, d):
-    out = _folder(s, "csv")
+    out = shared_folder(s, "csv")
     for season in range(1995, 2002):  # the years of the orders
         orders(s, d).where(F.col("season") == season).select("id", "v", "prio").write.option("header", True).csv(f"{out}/{season}/part")
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("v", T.DoubleType()), T.StructField("prio", T.StringType())])
@@ -33,19 +33,19 @@ def _s4(s, d):
 
 
 def _s7(s, d):
-    path = writers.backup_table(orders(s, d), _folder(s, "backup"), "orders", "2024-01-01", "season")
+    path = writers.backup_table(orders(s, d), shared_folder(s, "backup"), "orders", "2024-01-01", "season")
     return s.read.parquet(path).select("id", F.col("season").cast("int").alias("season"), "v")
 
 
 def _s10(s, d):
-    out = _folder(s, "partitioned")
+    out = shared_folder(s, "partitioned")
     writers.write_partitioned(orders(s, d).select("id", "v", "season"), out, ["season"])
     writers.write_partitioned(orders(s, d).where("season = 1995 and id % 2 = 0").select("id", "v", "season"), out, ["season"])
     return s.read.parquet(out).select("id", "v", F.col("season").cast("int").alias("season"))
 
 
 def _s12(s, d):
-    root = _folder(s, "runs")
+    root = shared_folder(s, "runs")
     return s.read.parquet(writers.write_run_snapshot(orders(s, d).select("id", "v"), root, "r1", "features", "m")).select("id", "v")
 
 
@@ -74,20 +74,20 @@ def _st2(s, d):
     src = s.readStream.schema(table(s, d, "events").schema).parquet(f"{d}/events*.parquet")
     t = src.select(F.col("user_id").alias("game_id"), F.col("event_id"), F.col("ts").cast("timestamp").alias("line_ts"))
     games = table(s, d, "events").groupBy(F.col("user_id").alias("game_id")).agg(F.max(F.col("ts").cast("timestamp")).alias("tipoff_utc"))
-    out = _folder(s, "pregame")
-    streaming.stream_pregame(t, games, 600).select("event_id", "minutes_before_tip").writeStream.format("parquet").option("path", out).option("checkpointLocation", _folder(s, "pregame-state")).trigger(availableNow=True).start().awaitTermination()
+    out = shared_folder(s, "pregame")
+    streaming.stream_pregame(t, games, 600).select("event_id", "minutes_before_tip").writeStream.format("parquet").option("path", out).option("checkpointLocation", shared_folder(s, "pregame-state")).trigger(availableNow=True).start().awaitTermination()
     return s.read.parquet(out)
 
 
 def _st3(s, d):
     src = s.readStream.schema(table(s, d, "events").schema).parquet(f"{d}/events*.parquet")
     t = src.select(F.col("user_id").cast("string").alias("game_id"), F.col("event_type").alias("market"), (F.col("event_id") % 3).cast("string").alias("book"), F.col("ts").cast("timestamp").alias("line_ts"), F.col("event_id").alias("tick_id"), F.round("value", 0).alias("level"))
-    out = _folder(s, "state")
+    out = shared_folder(s, "state")
 
     def keep(batch, n):
         batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
 
-    streaming.stream_path_state(t).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", _folder(s, "state-log")).trigger(availableNow=True).start().awaitTermination()
+    streaming.stream_path_state(t).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", shared_folder(s, "state-log")).trigger(availableNow=True).start().awaitTermination()
     last = s.read.parquet(out).groupBy("game_id", "market", "book").agg(F.max_by(F.struct("level", "first", "n_ticks", "n_moves", "n_reversals"), "n_ticks").alias("x"))
     return last.select("game_id", "market", "book", "x.*")
 

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from pastframe.operators import asof, market
 from pastframe.queries.tables import ITEMS, TICKS, entry, items, table, ticks
+from pastframe.sources.stored import shared_folder
 from pastframe.streaming import ticks as streaming
 
 GRID = (600, 6000, 20000)
@@ -16,24 +14,18 @@ _K = "game_id, market, book"
 _H = "h AS (SELECT t.*, horizon FROM t JOIN (SELECT unnest([600, 6000, 20000]) AS horizon) ON horizon <= minutes_before_tip)"
 
 
-def _folder(spark, name: str) -> str:
-    """A folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    return f"{root}/{name}-{uuid.uuid4().hex[:10]}"
-
-
 def _st1(spark, d):
     src = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events*.parquet")
     t = src.select(F.col("user_id").cast("string").alias("game_id"), F.col("event_type").alias("market"), (F.col("event_id") % 3).cast("string").alias("book"), F.col("ts").cast("timestamp").alias("line_ts"), "value")
-    sink = _folder(spark, "ticks")
-    streaming.stream_ticks(t.unionByName(t), sink, _folder(spark, "ticks-state"), late="3650 days").awaitTermination()
+    sink = shared_folder(spark, "ticks")
+    streaming.stream_ticks(t.unionByName(t), sink, shared_folder(spark, "ticks-state"), late="3650 days").awaitTermination()
     return spark.read.parquet(sink).groupBy("market").agg(F.count("*").alias("n"), F.sum("value").alias("x"))
 
 
 def _st4(spark, d):
     src = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events*.parquet")
-    sink = _folder(spark, "latest")
-    streaming.stream_latest(src.select("user_id", "event_type", "ts", "event_id", "value"), sink, _folder(spark, "latest-state"), ["user_id", "event_type"], "ts").awaitTermination()
+    sink = shared_folder(spark, "latest")
+    streaming.stream_latest(src.select("user_id", "event_type", "ts", "event_id", "value"), sink, shared_folder(spark, "latest-state"), ["user_id", "event_type"], "ts").awaitTermination()
     return streaming.latest_version(spark, sink).select("user_id", "event_type", "event_id")
 
 

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
+import unicodedata
+from functools import cache, reduce
 from statistics import NormalDist
 
 import numpy as np
@@ -105,18 +106,40 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius:
     return 2 * radius * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
 
 
-#: Accented letters and what they are written as, and name suffixes that do not count.
-ACCENTED = "áàâäãåčćçéèêëěíìîïľłñňóòôöõøřšśťúùûüůýžź"
-PLAIN = "aaaaaacccee" + "eeeiiiillnnoooooorsstuuuuuyzz"
+#: Letters that are written out, beside what Unicode decomposes, and name suffixes that do not count.
+WRITTEN_OUT = {"ё": "e", "Ё": "E", "đ": "dj", "Đ": "Dj"}
 SUFFIXES = ("jr", "sr", "ii", "iii", "iv", "v")
 
 
+@cache
+def _plain_letters() -> tuple[str, str, dict[str, str]]:
+    """For translate: characters and their base letters, by Unicode's compatibility decomposition, then the marks, which go; and what has several letters."""
+    one, more = {}, {}
+    for c in map(chr, range(0x80, 0x10000)):
+        if "\ud800" <= c <= "\udfff" or unicodedata.combining(c) or c in WRITTEN_OUT:
+            continue
+        base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        base = "".join(x if x.isascii() else " " for x in base) if base != c else ""
+        if base.strip():
+            (one if len(base) == 1 else more)[c] = base
+    latin = {c: b for c, b in more.items() if not "\u2000" <= c <= "\uf000" and c < "\ufb10"} | WRITTEN_OUT
+    marks = "".join(c for c in map(chr, range(0x300, 0x370)) if unicodedata.combining(c))
+    return "".join(one) + marks, "".join(one.values()), latin
+
+
 def canonical_name(c: Column, sort_tokens: bool = False) -> Column:
-    """Lower case without accents, signs, shirt numbers and suffixes; with sort_tokens, tokens in order."""
-    s = F.translate(F.lower(F.regexp_replace(c, r"\(#\d+\)", " ")), ACCENTED, PLAIN)
-    s = F.regexp_replace(F.regexp_replace(s, r"[.'’]", ""), r"[^a-z0-9]+", " ")
-    t = F.array_except(F.filter(F.split(F.trim(s), " "), lambda x: x != ""), F.array(*map(F.lit, SUFFIXES)))
-    return F.array_join(F.array_sort(t) if sort_tokens else t, " ")
+    """Lower case without accents, signs, shirt numbers and the suffixes at its end; with sort_tokens, tokens in order.
+
+    Letters that don't decompose into plain ones, of whatever script, count as gaps.
+    """
+    marked, plain, several = _plain_letters()
+    s = F.regexp_replace(c, r"\(#\d+\)", " ")
+    for letter, by in several.items():
+        s = F.replace(s, F.lit(letter), F.lit(by))
+    s = F.lower(F.translate(s, marked, plain))
+    s = F.trim(F.regexp_replace(F.regexp_replace(s, r"[.']", ""), r"[^a-z0-9]+", " "))
+    s = F.regexp_replace(s, rf"(?:(?:^| )(?:{'|'.join(SUFFIXES)}))+$", "")
+    return F.array_join(F.array_sort(F.split(s, " ")), " ") if sort_tokens else s
 
 
 def standardize(c: Column, names: dict[str, str]) -> Column:

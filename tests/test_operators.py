@@ -1,6 +1,8 @@
 """Operators that need texts, nesting, files or streams of their own, on small fixtures."""
 
 import datetime as dt
+import re
+import unicodedata
 
 import numpy as np
 import pytest
@@ -305,3 +307,21 @@ def test_raw_quotes_become_ticks(spark):
     assert got[1].line_ts == dt.datetime(2024, 1, 10, 19) and got[1].left_line == 451 and got[1].mins_to_tip == -300 and got[1].is_pregame
     assert got[2].left_line is None and got[2].left_price == -3.0 and got[2].right_price == 105.0
     assert dim.count() == 1 and rows(lost, "reason", "rows") == [("kept", 3), ("no game", 1), ("no time", 1)]
+
+
+def test_names_are_folded_as_unicode_decomposes_them(spark):
+    blocks = [*range(0x80, 0x250), *range(0x1E00, 0x1F00), *range(0xFB00, 0xFB07)]
+    names = [f"Ab{chr(c)}cd X{chr(c)}" for c in blocks] + ["e\u0301a\u0323b", "V J Edgecombe", "Mo Mo", "Ken Griffey Jr. III", "Jr.", "x Sr (#3)", "", "O'Neal-Smith  v"]
+
+    def plain(n):
+        n = n.translate(str.maketrans(X.WRITTEN_OUT)).replace("(#3)", " ")
+        n = "".join(c for c in unicodedata.normalize("NFKD", n) if not unicodedata.combining(c))
+        t = re.sub(r"[^a-z0-9]+", " ", n.lower().replace(".", "").replace("'", "")).split()
+        while t and t[-1] in X.SUFFIXES:
+            t.pop()
+        return " ".join(t), " ".join(sorted(t))
+
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    got = {r[0]: (r[1], r[2]) for r in df.select("n", X.canonical_name(F.col("n")), X.canonical_name(F.col("n"), sort_tokens=True)).collect()}
+    bad = {n: (got[n], plain(n)) for n in names if got[n] != plain(n)}
+    assert not bad

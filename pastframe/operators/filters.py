@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -111,17 +114,43 @@ def column_profile(df: DataFrame) -> DataFrame:
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-def correlations(df: DataFrame, cols: list[str], block: int = 40) -> list[tuple[str, str, float]]:
-    """Pairwise correlations of rows where both are there; sums of products in column blocks, one aggregate per pair of blocks."""
-    out = []
-    parts = [cols[i : i + block] for i in range(0, len(cols), block)]
-    for i, a in enumerate(parts):
-        for b in parts[i:]:
-            pairs = [(x, y) for x in a for y in b if cols.index(x) < cols.index(y)]
-            if pairs:
-                r = df.agg(*[F.try_divide(F.covar_pop(x, y), F.stddev_pop(F.when(F.col(y).isNotNull(), F.col(x))) * F.stddev_pop(F.when(F.col(x).isNotNull(), F.col(y)))).alias(f"p{k}") for k, (x, y) in enumerate(pairs)]).first()
-                out += [(x, y, v) for (x, y), v in zip(pairs, r, strict=True) if v is not None]
-    return out
+def correlations(df: DataFrame, cols: list[str], above: float = -1.0) -> list[tuple[str, str, float]]:
+    """Pairwise correlations of rows where both are there, those of a size over `above`, in one pass over the rows.
+
+    A task adds up its rows' products as matrices, batch by batch, and gives one row per column; these are summed and
+    turned into correlations column by column. Values are taken less their column's mean, so that nothing cancels.
+    """
+    if len(cols) < 2:
+        return []
+    x = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    mean = np.array([m or 0.0 for m in x.agg(*[F.avg(c) for c in x.columns]).first()])
+    parts = ("n", "a", "aa", "b", "bb", "ab")
+
+    def partial(batches):
+        sums = None
+        for batch in batches:
+            v = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]) - mean
+            there = (~np.isnan(v)).astype(float)
+            v = np.nan_to_num(v, nan=0.0)
+            new = there.T @ there, v.T @ there, (v * v).T @ there, v.T @ v
+            sums = new if sums is None else tuple(s + t for s, t in zip(sums, new, strict=True))
+        if sums is not None:
+            n, a, aa, ab = sums
+            rows = {"n": n, "a": a, "aa": aa, "b": a.T, "bb": aa.T, "ab": ab}
+            for i in range(len(mean)):
+                yield pa.RecordBatch.from_pydict({"i": pa.array([i], pa.int32()), **{k: pa.array([np.ascontiguousarray(m[i]).tobytes()], pa.binary()) for k, m in rows.items()}})
+
+    def finished(key, pdf):
+        n, a, aa, b, bb, ab = (sum(np.frombuffer(v) for v in pdf[k]) for k in parts)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            r = (ab - a * b / n) / np.sqrt((aa - a * a / n) * (bb - b * b / n))
+        j = np.flatnonzero(np.isfinite(r) & (np.abs(r) > above))
+        j = j[j > key[0]]
+        return pd.DataFrame({"i": np.full(len(j), key[0], np.int32), "j": j.astype(np.int32), "r": np.clip(r[j], -1, 1)})
+
+    sums = x.mapInArrow(partial, "i int, " + ", ".join(f"{k} binary" for k in parts))
+    got = sums.groupBy("i").applyInPandas(finished, "i int, j int, r double").orderBy("i", "j").collect()  # pairs above the threshold
+    return [(cols[k.i], cols[k.j], k.r) for k in got]
 
 
 def prune_columns(df: DataFrame, nan_pct: float = 50, corr: float = 0.99, keep: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, str]]:
@@ -146,8 +175,8 @@ def prune_columns(df: DataFrame, nan_pct: float = 50, corr: float = 0.99, keep:
         else:
             seen[r["hash"]], twins[r["abs_hash"]] = c, c
     numeric = [c for c in df.columns if c not in why and isinstance(df.schema[c].dataType, T.NumericType)]
-    for x, y, v in correlations(df, numeric):
-        if abs(v) > corr and x not in keep and x not in why and y not in why:
+    for x, y, _ in correlations(df, numeric, corr):
+        if x not in keep and x not in why and y not in why:
             why[x] = f"correlates with {y}"
     return df.drop(*why), why
 

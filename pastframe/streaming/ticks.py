@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,18 +25,30 @@ def exists(spark: SparkSession, path: str) -> bool:
 def stream_ticks(src: DataFrame, sink: str, checkpoint: str, keys: list[str] = KEYS, ts: str = "line_ts", late: str = "1 day") -> StreamingQuery:
     """ST1: ticks appended once per key: repeats within the watermark go by state, later ones by an anti join with the sink.
 
-    A batch is written under its number, so that one that is tried again replaces its own files.
+    The sink is partitioned by the tick's day: a batch reads only the days that it has ticks of. Within a day it is
+    partitioned by batch, so that a batch that is tried again replaces its own files. The time must be among the keys.
     """
     unique = src.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
     def write(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        old = spark.read.parquet(sink).where(F.col("batch") != n) if exists(spark, sink) else None
-        append_new(old, batch, keys).write.mode("overwrite").parquet(f"{sink}/batch={n}")
+        batch = batch.withColumn("day", F.to_date(ts)).persist()
+        days = [r.day for r in batch.select("day").distinct().collect()]  # the days of one batch
+        old = spark.read.parquet(sink).where(F.col("day").isin(days) & (F.col("batch") != n)) if exists(spark, sink) else None
+        new = append_new(old, batch, keys).withColumn("batch", F.lit(n))
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(sink)
+        batch.unpersist()
 
     return unique.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def compact_ticks(spark: SparkSession, sink: str, out: str, before: str) -> DataFrame:
+    """ST1: the sink's days before a date as one batch each, written to out; the caller puts it in their place while no stream runs."""
+    rows = spark.read.parquet(sink).where(F.col("day") < F.to_date(F.lit(before))).withColumn("batch", F.lit(-1).cast("long"))
+    rows.repartition("day").write.mode("overwrite").partitionBy("day", "batch").parquet(out)
+    return spark.read.parquet(out)
+
+
 def stream_pregame(ticks: DataFrame, games: DataFrame, margin_minutes: float = 5) -> DataFrame:
     """ST2: only ticks up to the margin before their game's start; games are a static table, so the join keeps no state."""
     j = ticks.join(games.select("game_id", "tipoff_utc"), "game_id")
@@ -43,39 +56,52 @@ def stream_pregame(ticks: DataFrame, games: DataFrame, margin_minutes: float = 5
     return j.withColumn("minutes_before_tip", before).where(F.col("minutes_before_tip") >= margin_minutes)
 
 
-STATE = "last_ts timestamp, level double, first double, n_ticks long, n_moves long, n_reversals long, sign int"
+STATE = "last_ts timestamp, level double, first double, n_ticks long, n_moves long, n_reversals long, sign int, n_late long"
 OUT = "game_id string, market string, book string, " + STATE
 
 
-def stream_path_state(ticks: DataFrame, level: str = "level", tie: str = "tick_id") -> DataFrame:
+def stream_path_state(ticks: DataFrame, level: str = "level", tie: str = "tick_id", expire: str | None = None) -> DataFrame:
     """ST3: per (game, market, book) the last quote, ticks, moves and reversals so far, one row per key and batch that had ticks.
 
-    Ticks of a batch are taken in order of time; ticks older than the state's last one are late and are left out.
+    Ticks of a batch are taken in order of time; ticks older than the state's last one are late: they are counted, in
+    n_late, and change nothing else. expire: how long after the watermark a key without ticks is kept; by default for ever.
     """
+    wait = GroupStateTimeout.NoTimeout if expire is None else GroupStateTimeout.EventTimeTimeout
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, value, first, n, moves, turns, sign = state.get if state.exists else (None, None, None, 0, 0, 0, 0)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, value, first, n, moves, turns, sign, late = state.get if state.exists else (None, None, None, 0, 0, 0, 0, 0)
         rows = pd.concat(list(frames)).sort_values(["line_ts", tie])
-        for at, x in zip(rows["line_ts"], rows[level], strict=True):
-            if last is not None and at < last:
-                continue
-            n += 1
-            first = x if first is None else first
-            s = 0 if value is None else int(x > value) - int(x < value)
-            if s:
-                moves += 1
-                turns += int(sign != 0 and s != sign)
-                sign = s
-            last, value = at.to_pydatetime(), float(x)
-        new = (last, value, first, n, moves, turns, sign)
+        if last is not None:
+            fresh = rows["line_ts"] >= last
+            late += int((~fresh).sum())
+            rows = rows[fresh]
+        if len(rows):
+            x = rows[level].to_numpy(float)
+            step_ = np.sign(np.diff(x if value is None else np.append(value, x)))
+            signs = np.append(sign, step_[step_ != 0]) if sign else step_[step_ != 0]
+            moves += int((step_ != 0).sum())
+            turns += int((np.diff(signs) != 0).sum())
+            sign = int(signs[-1]) if len(signs) else 0
+            n, first = n + len(x), float(x[0]) if first is None else first
+            last, value = rows["line_ts"].iloc[-1].to_pydatetime(), float(x[-1])
+        new = (last, value, first, n, moves, turns, sign, late)
         state.update(new)
+        if expire is not None:
+            state.setTimeoutTimestamp(max(int(last.timestamp() * 1000), state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame([(*key, *new)], columns=[c.split()[0] for c in OUT.split(", ")])
 
-    return ticks.groupBy("game_id", "market", "book").applyInPandasWithState(step, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    timed = ticks if expire is None else ticks.withWatermark("line_ts", expire)
+    return timed.groupBy("game_id", "market", "book").applyInPandasWithState(step, OUT, STATE, "update", wait)
 
 
 def stream_latest(preds: DataFrame, sink: str, checkpoint: str, keys: list[str], at: str) -> StreamingQuery:
-    """ST4: the latest prediction per key. Each batch makes a new version of the table; readers take the last complete one."""
+    """ST4: the latest prediction per key. Each batch makes a new version of the table; readers take the last complete one.
+
+    The version before stays for those who still read it, and older ones go.
+    """
 
     def write(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
@@ -83,16 +109,23 @@ def stream_latest(preds: DataFrame, sink: str, checkpoint: str, keys: list[str],
         if (old := latest_version(spark, sink, n - 1)) is not None:
             new = upsert(old, latest_per_key(old.unionByName(new), keys, [at]), keys, [at])
         new.write.mode("overwrite").parquet(f"{sink}/version={n}")
+        for old_version in sorted(versions(spark, sink))[:-2]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{sink}/version={old_version}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
     return preds.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_version(spark: SparkSession, sink: str, most: int | None = None) -> DataFrame | None:
-    """ST4: the table after the last batch (number `most` at most)."""
+def versions(spark: SparkSession, sink: str) -> list[int]:
+    """ST4: the numbers of the complete versions."""
     p = spark._jvm.org.apache.hadoop.fs.Path(sink)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(p):
-        return None
-    done = [int(s.getPath().getName().removeprefix("version=")) for s in fs.listStatus(p) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{sink}/{s.getPath().getName()}/_SUCCESS"))]
-    done = [v for v in done if most is None or v <= most]
+        return []
+    return [int(s.getPath().getName().removeprefix("version=")) for s in fs.listStatus(p) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{sink}/{s.getPath().getName()}/_SUCCESS"))]
+
+
+def latest_version(spark: SparkSession, sink: str, most: int | None = None) -> DataFrame | None:
+    """ST4: the table after the last batch (number `most` at most)."""
+    done = [v for v in versions(spark, sink) if most is None or v <= most]
     return spark.read.parquet(f"{sink}/version={max(done)}") if done else None

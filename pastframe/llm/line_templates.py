@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pastframe.llm.common import let, row_key, salted_join, written
+from pastframe.llm.common import let, row_key, salted_join, settled, written
 
 #: Leading tokens that choose a leaf of the tree, after the token count.
 DEPTH = 4
@@ -103,12 +103,15 @@ def recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     same lines. A template that stands in a third of all lines is no task's burden: its lines are dealt to many.
     """
     base = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    lines = parsed(base, "id", "text")
-    places = written(lines.select("key", "id", "ln", "n", "h1", "h2", "f1", "f2"), "lines")
-    of = leaf_templates(lines, places)
-    placed = salted_join(places.select("key", "id", "ln", "n", "h1", "h2"), of, ["h1", "h2"], "left")
-    placed = placed.select("key", "id", "ln", "n", F.coalesce("t1", "h1").alias("t1"), F.coalesce("t2", "h2").alias("t2"))
-    placed = written(placed, "templates")
+
+    def templates() -> DataFrame:
+        lines = parsed(base, "id", "text")
+        places = written(lines.select("key", "id", "ln", "n", "h1", "h2", "f1", "f2"), "lines")
+        of = leaf_templates(lines, places)
+        met = salted_join(places.select("key", "id", "ln", "n", "h1", "h2"), of, ["h1", "h2"], "left")
+        return met.select("key", "id", "ln", "n", F.coalesce("t1", "h1").alias("t1"), F.coalesce("t2", "h2").alias("t2"))
+
+    placed = settled(df.sparkSession, templates, "templates")
     per_doc = placed.groupBy("t1", "t2", "key").agg(F.min(F.struct("id", "ln")).alias("first"), F.first("n").alias("n"))
     common = per_doc.groupBy("t1", "t2").agg(F.count("*").alias("docs"), F.min("first").alias("first"), F.first("n").alias("n"))
     common = common.where(F.col("docs") >= F.when(F.col("n") >= LONG, long_docs).otherwise(min_docs)).select("t1", "t2", "first")

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pastframe.llm.common import let, row_key, salted_join, written
+from pastframe.llm.common import let, row_key, salted_join, settled, written
 
 KINDS = ("email", "ip", "card", "phone")
 # Possessive quantifiers and the condition on what stands before make each scan linear; the matches are the same ones
@@ -175,11 +175,15 @@ def find_personal_data(df: DataFrame, p: Bootstrap = Bootstrap(), id_col: str =
     none = F.array().cast("array<struct<start:int,end:int,text:string,before:string>>")
     runs = F.when(F.col("text").rlike("[0-9@]"), located(F.col("text"), CANDIDATE)).otherwise(none)
     found = written(docs.select("key", "id", base_spans(F.col("text")).alias("base"), runs.alias("runs")), "pii-found")
-    cands = written(candidates(found), "pii-candidates")
-    new = cands.where("kind is null").withColumn("i", F.sha2("instance", 256))
-    new = salted_join(new, discovered(cands, p).select("i", F.col("kind").alias("of")), ["i"])
-    more = new.select("key", F.col("of").alias("kind"), "start", "end").distinct()
-    more = more.groupBy("key").agg(F.collect_list(F.struct("kind", "start", "end")).alias("more"))
+
+    def discoveries() -> DataFrame:
+        cands = written(candidates(found), "pii-candidates")
+        new = cands.where("kind is null").withColumn("i", F.sha2("instance", 256))
+        new = salted_join(new, discovered(cands, p).select("i", F.col("kind").alias("of")), ["i"])
+        more = new.select("key", F.col("of").alias("kind"), "start", "end").distinct()
+        return more.groupBy("key").agg(F.collect_list(F.struct("kind", "start", "end")).alias("more"))
+
+    more = settled(df.sparkSession, discoveries, "pii-discovered")
     out = found.select("key", "id", "base").join(more, "key", "left")
     rank = lambda k: F.array_position(F.array(*map(F.lit, KINDS)), k)
     keyed = F.transform(F.concat("base", F.coalesce("more", F.array().cast("array<struct<kind:string,start:int,end:int>>"))), lambda x: F.struct(rank(x["kind"]).alias("rank"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pastframe.llm.common import with_text_columns, written
+from pastframe.llm.common import settled, with_text_columns, written
 from pastframe.llm.components import connected_components
 
 BITS = 64
@@ -88,7 +88,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     fps = with_fingerprint(df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), "text", "fp", words, seed).select("id", "fp")
     fps = written(fps, "fingerprints")
     least = fps.groupBy("fp").agg(F.min("id").alias("least"))
-    comp = written(connected_components(ball_edges(least.select("fp"))), "components")
+    comp = settled(df.sparkSession, lambda: connected_components(ball_edges(least.select("fp"))), "components")
     linked = least.join(comp, least.fp == comp.node, "left").select("fp", "least", "component")
     root = linked.where("component is not null").groupBy("component").agg(F.min("least").alias("root"))
     labels = linked.join(root, "component", "left").select("fp", F.coalesce("root", "least").alias("component_id"))

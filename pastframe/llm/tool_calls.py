@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pastframe.llm.common import forget, let_workers_import, written
+from pastframe.llm.common import forget, let_workers_import, settled, written
 
 #: What a message's text may hold as JSON: an assistant's calls, a tool's result, a system message's tools.
 CALLS = "struct<content:string,tool_calls:array<struct<id:string,name:string,arguments:string,depends_on:array<string>>>>"
@@ -159,7 +159,7 @@ def formatted(messages: DataFrame, most: int = 50_000) -> DataFrame:
 
     first = known.groupBy(*key).agg(F.min(F.struct("turn", "slot", "name", "arguments")).alias("one"))
     answer = results.groupBy(*key).agg(F.min(F.struct("turn", "content")).alias("one"))
-    level = written(_levels(known.groupBy(*key).agg(F.flatten(F.collect_set("depends_on")).alias("depends_on")), most), "call-levels")
+    level = settled(messages.sparkSession, lambda: _levels(known.groupBy(*key).agg(F.flatten(F.collect_set("depends_on")).alias("depends_on")), most), "call-levels")
     call = calls.join(first.select(*key, F.col("one").alias("first")), key, "left").join(answer.select(*key, F.col("one").alias("answer")), key, "left").join(level, key, "left").join(tools, ["conv_id", "name"], "left")
     call = call.withColumn("ok", checked("arguments", "schema"))
     is_first = F.struct("turn", "slot", "name", "arguments").eqNullSafe(F.col("first"))

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pastframe.llm.common import hash_sample, let_workers_import, with_text_columns, written
+from pastframe.llm.common import forget, hash_sample, let_workers_import, with_text_columns, written
 
 BITS = 18
 #: A word's first letters count besides the whole word: inflected forms then share what is learned.
@@ -101,8 +101,8 @@ def fit(rows: DataFrame, p: Ftrl = Ftrl(), id_col: str = "doc_id", text_col: str
             x = [features(t, words) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("h"), b.column("y"), pa.array(x, pa.list_(pa.int32()))], names=["h", "y", "x"])
 
-    data = written(take.mapInArrow(featured, "h bigint, y int, x array<int>").withColumn("shard", F.pmod("h", F.lit(p.shards)).cast("int")), "toxic-features")
-    data = data.repartition(p.shards, "shard").persist()  # dealt once; what a lost executor held is dealt again from the table
+    table = written(take.mapInArrow(featured, "h bigint, y int, x array<int>").withColumn("shard", F.pmod("h", F.lit(p.shards)).cast("int")), "toxic-features")
+    data = table.repartition(p.shards, "shard").persist()  # dealt once; what a lost executor held is dealt again from the table
     size = (1 << BITS) + 1
     z, n = np.zeros(size), np.zeros(size)
     for _ in range(p.epochs):
@@ -125,6 +125,7 @@ def fit(rows: DataFrame, p: Ftrl = Ftrl(), id_col: str = "doc_id", text_col: str
         z[got.i], n[got.i] = z[got.i] + got.z, n[got.i] + got.n  # at most 2**BITS + 1 rows
         state.unpersist()
     data.unpersist()
+    forget(table)
     return _weights(z, n, p)
 
 

@@ -19,7 +19,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pastframe.llm.common import let, let_workers_import, salted_join, sliced, written
+from pastframe.llm.common import let, let_workers_import, salted_join, scratch, sliced, written
 
 MANIFEST = "MANIFEST.parquet"
 _END = b"\r\n\r\n"
@@ -132,6 +132,12 @@ def write_archives(pages: DataFrame, out: str, p: Layout = Layout(), date: str =
     has an id all are responses. A page id that repeats is written each time, in the order of its payload digest. Other
     columns are not carried. No pages: an empty manifest.
     """
+    spark = pages.sparkSession
+    with scratch(spark):
+        return _write_archives(pages, out, p, date)
+
+
+def _write_archives(pages: DataFrame, out: str, p: Layout, date: str) -> DataFrame:
     spark = pages.sparkSession
     let_workers_import(spark)
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")

@@ -4,6 +4,8 @@ import collections
 import gzip
 import hashlib
 import json
+import math
+import os
 import re
 import time
 import zlib
@@ -15,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from pastframe.llm import bpe, decontamination, line_templates, near_copies, pii, quality_rules, simhash, tool_calls, toxicity, warc, weak_quality
-from pastframe.llm.common import hot_keys, new_folder, salted_join
+from pastframe.llm.common import hot_keys, new_folder, salted_join, shared_root
 from pastframe.llm.components import connected_components
 from pastframe.llm.queries import oracle_sql, queries, vocabulary_path
 
@@ -214,6 +216,42 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(r.predicted == (r.score >= 0.5) and 0 <= r.score <= 1 for r in rows)
 
 
+def test_ftrl_equals_a_plain_version(spark):
+    rng = np.random.default_rng(2)
+    good, bad = [f"ok{c}" for c in "abcdefghij"], [f"vile{c}" for c in "abcd"]
+    rows = [(i, " ".join([*rng.choice(good, 6), *(rng.choice(bad, 2) if i % 3 == 0 else [])]), int(i % 3 == 0)) for i in range(90)]
+    p = toxicity.Ftrl(epochs=2, shards=3)
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    got = toxicity.fit(df, p)
+    words, shards = toxicity.Words(), collections.defaultdict(list)
+    for r in df.select(F.xxhash64("doc_id", "text").alias("h"), "text", "label").collect():
+        shards[r.h % p.shards].append((r.h, toxicity.features(r.text, words).tolist(), r.label))
+    z, n = collections.Counter(), collections.Counter()
+    weight = lambda z, n: 0.0 if abs(z) <= p.l1 else -(z - math.copysign(p.l1, z)) / ((p.beta + math.sqrt(n)) / p.alpha + p.l2)
+    for _ in range(p.epochs):
+        changes = collections.defaultdict(list)
+        for rows_ in shards.values():
+            z1, n1, touched = dict(z), dict(n), set()
+            for _, x, y in sorted(rows_):
+                x = [*x, 1 << toxicity.BITS]
+                margin = sum(weight(z1.get(i, 0), n1.get(i, 0)) for i in x)
+                g = 1 / (1 + math.exp(-margin)) - y
+                for i, w in [(i, weight(z1.get(i, 0), n1.get(i, 0))) for i in x]:
+                    before = n1.get(i, 0)
+                    z1[i] = z1.get(i, 0) + g - (math.sqrt(before + g * g) - math.sqrt(before)) / p.alpha * w
+                    n1[i] = before + g * g
+                    touched.add(i)
+            for i in touched:
+                changes[i].append((z1[i] - z.get(i, 0), n1[i] - n.get(i, 0)))
+        for i, c in changes.items():
+            z[i] += sum(a for a, _ in c) / len(c)
+            n[i] += sum(b for _, b in c) / len(c)
+    want = np.zeros(len(got))
+    for i in z:
+        want[i] = weight(z[i], n[i])
+    assert np.allclose(got, want, atol=1e-9) and (got[got != 0]).size > 3
+
+
 def test_toxicity_of_odd_texts_and_without_labels(spark):
     df = docs(spark, ODD, score="old", held_out="old")
     none = spark.createDataFrame([], "doc_id long, toxic int")
@@ -236,6 +274,51 @@ def test_label_model_finds_accuracies():
     assert np.abs(model.accuracy - acc).max() < 0.03
 
 
+def test_label_model_equals_a_plain_version(spark, real):
+    hashes = weak_quality.WordHashes(lambda w: xxhash.xxh64_intdigest(w, 11))
+    texts = [r.text or "" for r in real.select("text").collect()]
+    vs = [weak_quality.votes(t, hashes).tolist() for t in texts]
+    acc, share = [0.9] * weak_quality.N_LABELLERS, 0.6
+
+    def good(v):
+        a, b = share, 1 - share
+        for x, p in zip(v, acc, strict=True):
+            if x:
+                a, b = a * (p if x > 0 else 1 - p), b * (p if x < 0 else 1 - p)
+        return a / (a + b)
+
+    for _ in range(200):
+        ps, new = [good(v) for v in vs], []
+        for k in range(len(acc)):
+            right = sum(p if v[k] > 0 else 1 - p for v, p in zip(vs, ps, strict=True) if v[k])
+            spoke = sum(1 for v in vs if v[k])
+            new.append(min(max((right + 9) / (spoke + 10), 0.55), 0.999))
+        done, acc = max(abs(x - y) for x, y in zip(acc, new, strict=True)) < 1e-7, new
+        if done:
+            break
+    model = weak_quality.fit(real.select("doc_id", "text"))
+    assert np.allclose(model.labels.accuracy, acc, atol=1e-6)
+    kept = {r.doc_id: r for r in weak_quality.quality(real).collect()}
+    shapes = weak_quality.shape_hashes()
+    for r in real.limit(60).collect():
+        score = model.score(*weak_quality.features(r.text or "", shapes))
+        assert kept[r.doc_id].score == pytest.approx(score, abs=1e-6) and kept[r.doc_id].kept == (kept[r.doc_id].score >= 0.5)
+
+
+def test_intermediate_tables_go(spark, real):
+    import corpus_pipeline as c
+
+    root = shared_root(spark).removeprefix("file://")
+    before = set(os.listdir(root))
+    out = c.run(spark, D)
+    assert out.count() > 0
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(root)) - before}
+    assert left == {"decontaminate"}
+    before = set(os.listdir(root))
+    simhash.near_duplicates(real).count(), pii.find_personal_data(real).count(), toxicity.toxicity(real, spark.read.parquet(f"{D}/labels.parquet")).count()
+    assert {x.rsplit("-", 1)[0] for x in set(os.listdir(root)) - before} == {"fingerprints", "components", "pii-found", "pii-discovered"}
+
+
 def test_classifier_agrees_with_the_labels(spark):
     d = "/root/testdata/sf0.01"
     rows = weak_quality.quality(spark.read.parquet(f"{d}/documents.parquet")).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").collect()

@@ -56,33 +56,53 @@ def path_aggregates(ticks: DataFrame, level: str, grid: tuple[int, ...] = GRID,
     """T5: per key and horizon: ticks, moves, distinct levels, extremes, deviation, first direction, total path, opener, reversals.
 
     A reversal is a move whose sign differs from that of the move before; it is the same whatever horizon reads it.
+    Ticks are summed up once, between neighbouring horizons, and a horizon's figures run on over what lies before it: one
+    shuffle by key serves all, and no tick is copied to the horizons that read it.
     """
     d = tick_deltas(ticks, level, price or level, keys, ("line_ts", tie))
-    w = Window.partitionBy(*keys).orderBy("line_ts", tie).rowsBetween(Window.unboundedPreceding, -1)
-    last_sign = F.last(F.when(F.col("is_move"), F.col("move_sign")), ignorenulls=True).over(w)
-    d = d.withColumn("is_reversal", F.coalesce(F.col("is_move") & (F.col("move_sign") != last_sign), F.lit(False)))
+    timed = Window.partitionBy(*keys).orderBy("line_ts", tie)
+    last_sign = F.last(F.when(F.col("is_move"), F.col("move_sign")), ignorenulls=True).over(timed.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.row_number().over(Window.partitionBy(*keys, level).orderBy(F.col(offset).desc(), tie)) == 1
+    base = F.first(level, ignorenulls=True).over(timed.rowsBetween(Window.unboundedPreceding, 0))
+    d = d.select("*", F.coalesce(F.col("is_move") & (F.col("move_sign") != last_sign), F.lit(False)).alias("is_reversal"), (new & F.col(level).isNotNull()).alias("__new"), (F.col(level) - base).alias("__x"))
     o = F.struct("line_ts", tie)
-    first = F.min_by(level, o)
-    open_ = F.coalesce(F.max_by(level, F.when(F.col(opener), F.struct(-F.unix_micros(F.col("line_ts").cast("timestamp")), tie))), first) if opener else first
-    return _grid(d, grid, offset).groupBy(*keys, "horizon").agg(
-        F.count("*").alias("n_ticks"), F.count_if("is_move").alias("n_moves"), F.count_if("price_only").alias("n_price_moves"), F.count_distinct(level).alias("n_levels"),
-        F.max(level).alias("level_max"), F.min(level).alias("level_min"), F.stddev_samp(level).alias("level_std"), F.coalesce(F.sum(F.abs("delta")), F.lit(0.0)).alias("path_length"),
-        open_.alias("opener"), F.max_by(level, o).alias("level"), F.coalesce(F.min_by("move_sign", F.when(F.col("is_move"), o)), F.lit(0)).alias("first_direction"), F.count_if("is_reversal").alias("n_reversals"),
+    moved, opens = F.when(F.col("is_move"), o), F.when(F.col(opener), F.struct(-F.unix_micros(F.col("line_ts").cast("timestamp")), tie)) if opener else None
+    slot = F.array_max(F.filter(F.array(*map(F.lit, grid)), lambda h: h <= F.col(offset)))
+    got = d.withColumn("__slot", slot).where("__slot is not null").groupBy(*keys, "__slot").agg(
+        F.count("*").alias("n_ticks"), F.count_if("is_move").alias("n_moves"), F.count_if("price_only").alias("n_price_moves"), F.count_if("__new").alias("n_levels"), F.count_if("is_reversal").alias("n_reversals"),
+        F.max(level).alias("level_max"), F.min(level).alias("level_min"), F.count(level).alias("__n"), F.sum("__x").alias("__s"), F.sum(F.col("__x") * F.col("__x")).alias("__q"), F.sum(F.abs("delta")).alias("path_length"),
+        F.min(F.struct(o.alias("o"), F.col(level).alias("v"))).alias("__first"), F.max(F.struct(o.alias("o"), F.col(level).alias("v"))).alias("__last"), F.min(F.when(F.col("is_move"), F.struct(moved.alias("o"), "move_sign"))).alias("__turn"),
+        *([F.max(F.when(opens.isNotNull(), F.struct(opens.alias("o"), F.col(level).alias("v")))).alias("__open")] if opener else []),
     )
+    desc = Window.partitionBy(*keys).orderBy(F.col("__slot").desc())
+    w = desc.rowsBetween(Window.unboundedPreceding, 0)
+    first = F.min("__first").over(w)["v"]
+    open_ = F.coalesce(F.max("__open").over(w)["v"], first) if opener else first
+    n, s, q = (F.sum(c).over(w) for c in ("__n", "__s", "__q"))
+    sums = [F.sum(c).over(w).alias(c) for c in ("n_ticks", "n_moves", "n_price_moves", "n_levels")]
+    run = got.select(
+        *keys, "__slot", F.lead("__slot").over(desc).alias("__below"), *sums, F.max("level_max").over(w).alias("level_max"), F.min("level_min").over(w).alias("level_min"),
+        F.when(n > 1, F.sqrt(F.greatest((q - s * s / n) / (n - 1), F.lit(0.0)))).alias("level_std"), F.coalesce(F.sum("path_length").over(w), F.lit(0.0)).alias("path_length"),
+        open_.alias("opener"), F.max("__last").over(w)["v"].alias("level"), F.coalesce(F.min("__turn").over(w)["move_sign"], F.lit(0)).alias("first_direction"), F.sum("n_reversals").over(w).alias("n_reversals"),
+    )
+    reads = F.filter(F.array(*map(F.lit, grid)), lambda h: (h <= F.col("__slot")) & (F.col("__below").isNull() | (h > F.col("__below"))))
+    return run.select(*keys, F.explode(reads).alias("horizon"), *[c for c in run.columns if c not in (*keys, "__slot", "__below")])
 
 
 def lookback_moves(ticks: DataFrame, level: str, grid: tuple[int, ...] = GRID, windows: tuple[int, ...] = LOOKBACKS, keys: list[str] = KEYS, offset: str = "minutes_before_tip", tie: str = "tick_id") -> DataFrame:
     """The level's move over the w minutes before each horizon, whether there is such a window (0 if not), per hour, and acceleration.
 
-    One panel over the grid and the grid moved by every window; the earlier rows meet the later ones on the moved horizon.
+    One panel over the grid and the grid moved by every window; each of its rows goes to the horizons that it is the present or the past of.
     """
     wide = tuple(sorted({h + w for h in grid for w in (0, *windows)}))
     panel = snapshot_panel(ticks.select(*keys, offset, tie, level), wide, keys, offset, tie).select(*keys, "horizon", level)
-    out = panel.where(F.col("horizon").isin(list(grid)))
+    uses = F.explode(F.array(*[F.struct((F.col("horizon") - w).alias("horizon"), F.lit(w).alias("w")) for w in (0, *windows)])).alias("__u")
+    far = panel.select(*keys, uses, F.col(level).alias("__v")).where(F.col("__u.horizon").isin(list(grid)))
+    out = far.groupBy(*keys, F.col("__u.horizon").alias("horizon")).agg(F.count_if(F.col("__u.w") == 0).alias("__here"), *[F.max(F.when(F.col("__u.w") == w, F.col("__v"))).alias(f"__{w}") for w in (0, *windows)])
+    out = out.where("__here > 0").drop("__here").withColumnRenamed("__0", level)
     for w in windows:
-        past = panel.select(*keys, (F.col("horizon") - w).alias("horizon"), F.col(level).alias(f"__{w}"))
         move = F.col(level) - F.col(f"__{w}")
-        out = out.join(past, [*keys, "horizon"], "left").withColumn(f"has_{w}", F.col(f"__{w}").isNotNull().cast("int")).withColumn(f"move_{w}", F.coalesce(move, F.lit(0.0))).withColumn(f"velocity_{w}", F.coalesce(move * 60 / w, F.lit(0.0))).drop(f"__{w}")
+        out = out.withColumn(f"has_{w}", F.col(f"__{w}").isNotNull().cast("int")).withColumn(f"move_{w}", F.coalesce(move, F.lit(0.0))).withColumn(f"velocity_{w}", F.coalesce(move * 60 / w, F.lit(0.0))).drop(f"__{w}")
     pairs = list(zip(windows, windows[1:], strict=False))
     return out.withColumns({f"acceleration_{a}_{b}": F.col(f"velocity_{a}") - F.col(f"velocity_{b}") for a, b in pairs}) if pairs else out
 

@@ -102,13 +102,17 @@ def fit(rows: DataFrame, p: Ftrl = Ftrl(), id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([b.column("h"), b.column("y"), pa.array(x, pa.list_(pa.int32()))], names=["h", "y", "x"])
 
     table = written(take.mapInArrow(featured, "h bigint, y int, x array<int>").withColumn("shard", F.pmod("h", F.lit(p.shards)).cast("int")), "toxic-features")
-    data = table.repartition(p.shards, "shard").persist()  # dealt once; what a lost executor held is dealt again from the table
+    data = table.repartitionById(p.shards, F.col("shard")).persist()  # dealt once; what a lost executor held is dealt again from the table
     size = (1 << BITS) + 1
     z, n = np.zeros(size), np.zeros(size)
     for _ in range(p.epochs):
         state = spark.sparkContext.broadcast((z, n))
 
-        def one_pass(pdf):  # noqa: B023  runs before the next pass binds another state
+        def one_pass(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:  # noqa: B023  runs before the next pass binds another state
+            held = [f for f in frames if len(f)]  # a shard: p.max_rows / p.shards rows
+            if not held:
+                return
+            pdf = pd.concat(held)
             z0, n0 = state.value  # noqa: B023
             z1, n1 = z0.copy(), n0.copy()
             for x, y in pdf.sort_values("h")[["x", "y"]].itertuples(index=False):
@@ -119,9 +123,9 @@ def fit(rows: DataFrame, p: Ftrl = Ftrl(), id_col: str = "doc_id", text_col: str
                 z1[i] += g - s * w
                 n1[i] += g * g
             i = np.flatnonzero((z1 != z0) | (n1 != n0))
-            return pd.DataFrame({"i": i, "z": z1[i] - z0[i], "n": n1[i] - n0[i]})
+            yield pd.DataFrame({"i": i, "z": z1[i] - z0[i], "n": n1[i] - n0[i]})
 
-        got = data.groupBy("shard").applyInPandas(one_pass, "i long, z double, n double").groupBy("i").agg(F.avg("z").alias("z"), F.avg("n").alias("n")).toPandas()
+        got = data.mapInPandas(one_pass, "i long, z double, n double").groupBy("i").agg(F.avg("z").alias("z"), F.avg("n").alias("n")).toPandas()
         z[got.i], n[got.i] = z[got.i] + got.z, n[got.i] + got.n  # at most 2**BITS + 1 rows
         state.unpersist()
     data.unpersist()

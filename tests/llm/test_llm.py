@@ -180,6 +180,61 @@ def test_base_spans_equal_brute_force(spark, real):
     assert got == want
 
 
+def brute_discoveries(texts, p=pii.Bootstrap()):
+    """Runs, contexts and three rounds of scores over the pattern-instance graph, in plain Python."""
+    space = r"[^\x20\x09-\x0D]"
+    runs, edges, seeds = [], collections.Counter(), collections.Counter()
+    for d, t in texts.items():
+        base = [(int(b), int(e), k) for k, b, e in (x.split(":") for x in filter(None, brute_spans(t).split(",")))]
+        last = 0
+        for m in re.finditer(rf"(?<!{space})(?:(?!\d|@){space})*[0-9@]{space}*(?: (?:(?![0-9@]){space})*[0-9]{space}*)*", t):
+            lead = re.match(r"[^A-Za-z0-9+]*", m[0]).end()
+            core = re.match(r"[^A-Za-z0-9+]*(.*?)[^A-Za-z0-9]*$", m[0], re.S)[1]
+            start, end = m.start() + lead, m.start() + lead + len(core)
+            words = re.findall(f"{space}+", t[last : m.start()][-pii.CONTEXT :].lower())
+            last = m.end()
+            kind = min((k for b, e, k in base if (b, e) == (start, end)), key=pii.KINDS.index, default=None)
+            if kind or not any(b < end and e > start for b, e, _ in base):
+                pats = [f"{n} " + " ".join(words[-n:]) for n in (1, 2) if len(words) >= n]
+                runs.append((d, start, end, core, kind))
+                for q in pats:
+                    edges[core, kind, q] += 1
+    for (_, k, q), n in edges.items():
+        if k:
+            seeds[q, k] += n
+    total = collections.Counter()
+    for (_, _, q), n in edges.items():
+        total[q] += n
+    scores = {}
+    for _ in range(p.rounds):
+        conf = {(q, k): (s + sum(n * scores.get((i, k), 0) for (i, kk, qq), n in edges.items() if kk is None and qq == q)) / (total[q] + 1) for (q, k), s in seeds.items() if s >= p.support}
+        new = collections.defaultdict(float)
+        for (i, kk, q) in edges:
+            if kk is None:
+                for (qq, k), c in conf.items():
+                    if qq == q:
+                        new[i, k] = max(new[i, k], c)
+        scores = {x: v for x, v in new.items() if v >= p.confidence / 2}
+    best = {}
+    for (i, k), v in scores.items():
+        if v >= p.confidence:
+            best[i] = max(best.get(i, (0, "")), (v, k))
+    return {(d, b, e, best[i][1]) for d, b, e, i, k in runs if k is None and i in best}
+
+
+def test_discoveries_equal_brute_force(spark):
+    rng = np.random.default_rng(6)
+    texts = {i: f"row {i} call us at +49 30 {1000000 + i * 37} now, mail to u{i}@a{i % 3}.org or" for i in range(14)}
+    texts |= {100 + i: f"call us at 0{i}55-77{i}1 x now, mail to nobody{i} and ref no 88{i}7 of" for i in range(6)}
+    texts |= {200 + i: " ".join(rng.choice(["at", "mail", "to", "us", "12-3", "a@b.cd", "(77)", "+12 345 678 901", "call", "1.2.3.4"], 25)) for i in range(20)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = set()
+    for r in pii.find_personal_data(df).collect():
+        base = {(s.kind, s.start, s.end) for s in r.base}
+        got |= {(r.doc_id, s.start, s.end, s.kind) for s in r.spans if (s.kind, s.start, s.end) not in base}
+    assert got == brute_discoveries(texts) and len(got) >= 6
+
+
 def test_many_matches_take_linear_time(spark):
     n = 100_000
     text = "".join(f"u{i}@mail.example.org, " for i in range(n))
@@ -353,6 +408,25 @@ def test_rule_counts_equal_brute_force(spark, real):
         assert g.base_failed == (n < 20 or 100 * rep > 30 * n) and not (g.kept and g.base_failed)
 
 
+def test_rule_verdicts_equal_a_plain_version(spark, real):
+    labels = spark.read.parquet(f"{D}/labels.parquet")
+    got = {r.doc_id: r for r in quality_rules.quality_rules(real, labels).collect()}
+    hashes = quality_rules.WordHashes(lambda w: xxhash.xxh64_intdigest(w, 11))
+    stats = {r.doc_id: quality_rules.statistics(r.text or "", hashes) for r in real.collect()}
+    failed = {i: c[0] < 20 or 100 * c[4] > 30 * c[0] for i, (c, _) in stats.items()}
+    y = {r.doc_id: r.quality for r in labels.collect() if r.doc_id in stats and not failed[r.doc_id]}
+    forest = quality_rules.boost(np.array([stats[i][1] for i in sorted(y)]), np.array([float(y[i]) for i in sorted(y)]))
+    for i, (counts, x) in stats.items():
+        raw = forest.base
+        for f, t, v in zip(forest.feature, forest.threshold, forest.value, strict=True):
+            node = 0
+            while 2 * node + 2 < len(f):
+                node = 2 * node + 1 + (x[f[node]] > t[node])
+            raw += v[node]
+        score = 1 / (1 + math.exp(-raw))
+        assert got[i].quality_score == pytest.approx(score) and got[i].base_failed == failed[i] and got[i].kept == (not failed[i] and score >= 0.5)
+
+
 def test_trees_obey_their_constraints():
     rng = np.random.default_rng(2)
     x = rng.random((4000, 2))
@@ -724,6 +798,17 @@ def test_pipeline_stages(spark):
     assert c.run(spark, D).count() > 0
 
 
+def test_stages_keep_columns_of_clashing_names(spark):
+    import corpus_pipeline as c
+
+    d = spark.read.parquet(f"{D}/documents.parquet").limit(60)
+    for name in ("key", "id", "at", "row", "fps", "ka", "n", "m", "drop", "hits", "quality", "node", "label", "a", "b"):
+        d = d.withColumn(name, F.concat(F.lit(name), F.col("doc_id").cast("string")))
+    for _, stage in c.STAGES:
+        got = stage(spark, d, D)
+        assert set(d.columns) <= set(got.columns) and got.where("key = concat('key', doc_id) and b = concat('b', doc_id)").count() == got.count() > 0
+
+
 def test_stages_of_an_empty_table(spark):
     import corpus_pipeline as c
 

@@ -121,24 +121,23 @@ def ridge(features: list[str], target: str, penalty: float = 1.0, weight: str |
 def score_folds(df: DataFrame, folds: DataFrame, key: str, learner: Learner, extra: DataFrame | None = None) -> DataFrame:
     """V2: predictions of each fold's test rows by a learner that sees its training rows only: (fold, key, prediction).
 
-    A fold's rows are bounded by its spec; folds run side by side. extra: rows of parameters, each of which scores every
-    fold (E24); the learner then finds them as constant columns.
+    A fold's rows are bounded by its spec; folds run side by side. extra: a short grid of parameters, each row of which
+    scores every fold (E24); it goes to the folds, not the folds' rows to it. The learner finds them as constant columns.
     """
     data = folds.select("fold", key, "role").join(df, key)
-    keys = ["fold"]
-    if extra is not None:
-        data, keys = data.crossJoin(F.broadcast(extra)), ["fold", *extra.columns]  # a short grid
-    kinds = {**dict(data.dtypes)}
+    grid = extra.toPandas().to_dict("records") if extra is not None else [{}]
+    kinds = {**dict(data.dtypes), **(dict(extra.dtypes) if extra is not None else {})}
+    keys = ["fold", *(extra.columns if extra is not None else [])]
     schema = ", ".join(f"{k} {kinds[k]}" for k in [*keys, key]) + ", prediction double"
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)
         train, test = pdf[pdf.role == "train"], pdf[pdf.role == "test"]
-        if not len(train) or not len(test):
+        if not len(train) or not len(test) or not grid:
             return pd.DataFrame({c: [] for c in [*keys, key, "prediction"]})
-        return test[[*keys, key]].assign(prediction=learner(train, test))
+        return pd.concat([test.assign(**p, prediction=learner(train.assign(**p), test.assign(**p)))[[*keys, key, "prediction"]] for p in grid])
 
-    return data.groupBy(*keys).applyInPandas(one, schema)
+    return data.groupBy("fold").applyInPandas(one, schema)
 
 
 def walk_forward_score(df: DataFrame, date: str, key: str, learner: Learner, days: int, max_rows: int) -> DataFrame:

@@ -8,11 +8,20 @@ from pyspark.sql import functions as F
 from pastframe.llm.common import forget, written
 
 
+#: Edges of a node are dealt to so many tasks; minima, one row a node, are repeated for each.
+SPREAD = 8
+
+
+def _spread(edges: DataFrame, minima: DataFrame) -> DataFrame:
+    """edges (u, v) with the minimum m of u; a node with a third of all edges keeps no task for itself."""
+    left = edges.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SPREAD)).cast("int"))
+    return left.join(minima.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))), ["u", "s"]).drop("s")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node that has an edge; component is the smallest node reachable.
 
-    Each round joins edges with per-node minima (partial aggregation first, so a node with a third of all edges costs a
-    task no more than others) and is written to the shared folder; the driver sees a count and a checksum only. Self
+    Each round joins edges with per-node minima (partial aggregation first, and edges of a node dealt to several tasks) and is written to the shared folder; the driver sees a count and a checksum only. Self
     edges and repeated edges have no effect; null ends are ignored. No edges: no rows.
     """
     e = written(
@@ -23,9 +32,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = _spread(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         root = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(root, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = _spread(large, root).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = written(small.unionByName(root.select("u", F.col("m").alias("v"))).distinct(), "edges")
         now = tuple(after.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.col("u").cast("decimal(38,0)"))).first())
         forget(e)

@@ -84,6 +84,8 @@ def test_ball_links_every_distance_up_to_three_and_no_more(spark):
     fps = {v: v for v in values}
     signed = lambda v: v - (1 << 64) if v >> 63 else v
     df = spark.createDataFrame([(signed(v),) for v in values], "fp long")
+    plan = simhash.ball_edges(df.groupBy("fp").count().select("fp"))._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan  # the few bytes of fingerprints are dealt out before they emit
     edges = [(r.a, r.b) for r in simhash.ball_edges(df).collect()]
     assert all(((a ^ b) & (1 << 64) - 1).bit_count() <= 3 for a, b in edges)
     comp = {r.node: r.component for r in connected_components(simhash.ball_edges(df)).collect()}

@@ -170,8 +170,8 @@ QUERIES = {
         f"WITH {ORDERS}, c AS (SELECT avg(v) AS c FROM o WHERE prio = '1-URGENT') SELECT prio, {{r:avg(v)}} AS v, count(*) AS n, {{r:max(c)}} AS control, {{r:avg(v) - max(c)}} AS gap FROM o, c GROUP BY prio",
     ),
     "a17_calibrate_timezone": entry(
-        lambda s, d: aggregates.calibrate_timezone(table(s, d, "events").select(F.from_utc_timestamp(F.col("ts").cast("timestamp"), "America/New_York").alias("l"), F.col("ts").cast("timestamp").alias("u")), "l", "u", ["America/New_York", "UTC"]).where("zone = 'America/New_York'").select("zone", "median_residual", "rows"),
-        "SELECT 'America/New_York' AS zone, {r:0} AS median_residual, count(*) AS rows FROM events",
+        lambda s, d: aggregates.calibrate_timezone(table(s, d, "events").select(F.from_utc_timestamp(F.col("ts").cast("timestamp"), "America/New_York").alias("l"), (F.col("ts").cast("timestamp") + F.make_dt_interval(mins=(F.col("event_id") % 3).cast("int"))).alias("u")), "l", "u", ["America/New_York", "UTC", "Europe/Madrid"]),
+        """WITH z AS (SELECT unnest(['America/New_York', 'UTC', 'Europe/Madrid']) AS zone, unnest([0, 300, 360]) AS off) SELECT zone, {r:median(off + event_id % 3)} AS median_residual, {r:max(off + event_id % 3)} AS max_residual, count(*) AS rows FROM events, z GROUP BY zone""",
     ),
     "e20_timing_metrics": entry(
         lambda s, d: scoring.timing_metrics(ticks(s, d), "minutes_before_tip", "price", "level", X.timing_bucket(F.col("minutes_before_tip"), (600, 6000))),

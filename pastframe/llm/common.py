@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -196,3 +197,27 @@ class WordHashes(dict):
             self.clear()
         h = self[word] = self.hash_of(word)
         return h
+
+
+class WordTable(dict):
+    """Facts of words, whole numbers of 64 bits each, kept while there is room: words of bytes to rows of a table."""
+
+    def __init__(self, facts: Callable[[bytes], tuple[int, ...]], columns: int, most: int = 400_000):
+        super().__init__()
+        self.facts, self.most, self.table = facts, most, np.empty((1024, columns), np.uint64)
+
+    def __missing__(self, word: bytes) -> int:
+        k = len(self)
+        if k == len(self.table):
+            self.table = np.concatenate([self.table, np.empty_like(self.table)])
+        self.table[k] = self.facts(word)
+        self[word] = k
+        return k
+
+    def rows(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Row numbers and facts of the words of a text, split at \\x20 and \\x09-\\x0D."""
+        if len(self) > self.most:
+            self.clear()
+        words = data.split()
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return at, self.table[at]

@@ -7,16 +7,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pastframe.llm.common import WordHashes, hash_sample, with_text_columns, written
+from pastframe.llm.common import WordTable, hash_sample, with_text_columns, written
 
-SYMBOLS = regex.compile(r"[#*$%&|<>]")
-SPACES = " \t\n\x0b\f\r"
-_SPLIT = regex.compile(r"[\x20\x09-\x0D]+")
+SYMBOLS = [c.encode() for c in "#*$%&|<>"]
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 WINDOW = 8
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -28,8 +25,14 @@ FEATURES = {
 }
 
 
-def split_words(text: str) -> list[str]:
-    return [w for w in _SPLIT.split(text) if w]
+def word_table() -> WordTable:
+    """Of each word its hash, code points, digits, and whether it is in capitals."""
+
+    def facts(word: bytes) -> tuple[int, ...]:
+        w = word.decode("utf-8", "surrogatepass")
+        return xxhash.xxh64_intdigest(word, 11), len(w), 0 if w.isalpha() else sum(map(str.isdigit, w)), int(len(w) > 1 and w.isupper())
+
+    return WordTable(facts, 4)
 
 
 def repeated_words(h: np.ndarray, window: int = WINDOW) -> int:
@@ -40,38 +43,37 @@ def repeated_words(h: np.ndarray, window: int = WINDOW) -> int:
     acc = np.zeros(n, np.uint64)
     for j in range(window):
         acc = acc * _P + h[j : j + n]
-    _, inverse, counts = np.unique(acc, return_inverse=True, return_counts=True)
-    starts = np.flatnonzero(counts[inverse] > 1)
+    ordered = np.sort(acc)
+    twice = ordered[1:][ordered[1:] == ordered[:-1]]
+    if not len(twice):
+        return 0
+    starts = np.flatnonzero(np.isin(acc, twice))
     cover = np.zeros(len(h) + 1, np.int64)
     np.add.at(cover, starts, 1)
     np.add.at(cover, starts + window, -1)
     return int(np.count_nonzero(np.cumsum(cover[:-1])))
 
 
-def duplicate_lines(text: str) -> tuple[int, int]:
+def duplicate_lines(data: bytes) -> tuple[int, int]:
     """Lines with a word, and those of them that equal an earlier one."""
-    seen, n = set(), 0
-    for line in text.split("\n"):
-        if line.strip(SPACES):
-            n += 1
-            seen.add(line)
-    return n, n - len(seen)
+    lines = [x for x in data.split(b"\n") if x.strip()]
+    return len(lines), len(lines) - len(set(lines))
 
 
-def statistics(text: str, hashes: WordHashes) -> tuple[tuple[int, ...], tuple[float, ...]]:
+def statistics(text: str, words: WordTable) -> tuple[tuple[int, ...], tuple[float, ...]]:
     """The counts COUNTS and the values of FEATURES of one whole text."""
-    words = split_words(text)
-    n = len(words)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
-    chars, symbols, repeats = sum(map(len, words)), len(SYMBOLS.findall(text)), repeated_words(h)
-    lines, dup = duplicate_lines(text)
+    data = text.encode("utf-8", "surrogatepass")
+    _, facts = words.rows(data)
+    n, h = len(facts), np.ascontiguousarray(facts[:, 0])
+    chars, digits, upper = map(int, facts[:, 1:].sum(0))
+    symbols, repeats = sum(map(data.count, SYMBOLS)), repeated_words(h)
+    lines, dup = duplicate_lines(data)
     d, c = max(n, 1), max(chars, 1)
     uniq, counts = np.unique(h, return_counts=True)
     top = np.sort(counts)[::-1][:20].sum() if n else 0
-    upper = sum(1 for w in words if w.isupper() and len(w) > 1)
     values = (
-        float(n), chars / d, symbols / d, dup / max(lines, 1), repeats / d, upper / d, sum(map(str.isdigit, text)) / c if n else 0.0,
-        float(np.count_nonzero(h[1:] == h[:-1])) / d, len(uniq) / d, float(top) / d, text.count("!") / d, text.count("|") / d,
+        float(n), chars / d, symbols / d, dup / max(lines, 1), repeats / d, upper / d, digits / c,
+        float(np.count_nonzero(h[1:] == h[:-1])) / d, len(uniq) / d, float(top) / d, data.count(b"!") / d, data.count(b"|") / d,
     )
     return (n, chars, symbols, dup, repeats), values
 
@@ -79,13 +81,13 @@ def statistics(text: str, hashes: WordHashes) -> tuple[tuple[int, ...], tuple[fl
 def with_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with the five counts and an array of feature values of each whole text; null counts as empty: all zero."""
 
-    def made(texts: list[str], hashes: WordHashes) -> list[pa.Array]:
-        both = [statistics(t, hashes) for t in texts]
+    def made(texts: list[str], words: WordTable) -> list[pa.Array]:
+        both = [statistics(t, words) for t in texts]
         cols = [pa.array([c[k] for c, _ in both], pa.int64()) for k in range(len(COUNTS))]
         return [*cols, pa.array([v for _, v in both], pa.list_(pa.float64()))]
 
     outputs = [*((c, "bigint", pa.int64()) for c in COUNTS), ("features", "array<double>", pa.list_(pa.float64()))]
-    return with_text_columns(df, text_col, outputs, made, lambda: WordHashes(lambda w: xxhash.xxh64_intdigest(w, 11)))
+    return with_text_columns(df, text_col, outputs, made, word_table)
 
 
 @dataclass(frozen=True)

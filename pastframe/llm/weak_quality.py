@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pastframe.llm.common import WordHashes, hash_sample, let_workers_import, with_text_columns
-from pastframe.llm.quality_rules import FEATURES, split_words, statistics
+from pastframe.llm.common import WordTable, hash_sample, let_workers_import, with_text_columns
+from pastframe.llm.quality_rules import FEATURES, statistics, word_table
 
 BITS = 14
 #: Behind the hashed weights: that of repeats, then those of lengths.
@@ -41,9 +41,9 @@ _GOOD_AT = [[(list(FEATURES).index(name), most) for name, most in g.items()] for
 N_LABELLERS = len(BAD) + len(GOOD)
 
 
-def votes(text: str, hashes: WordHashes) -> np.ndarray:
+def votes(text: str, words: WordTable) -> np.ndarray:
     """What each labeller says of a whole text; none says anything of a text without words."""
-    (n, *_), values = statistics(text, hashes)
+    (n, *_), values = statistics(text, words)
     bad = [-(n >= least and values[at] > most) for at, (_, most, least) in zip(_BAD_AT, BAD, strict=True)]
     return np.array([*bad, *(n > 0 and all(values[at] <= most for at, most in g) for g in _GOOD_AT)], np.int8)
 
@@ -80,33 +80,40 @@ def expectation_maximisation(v: np.ndarray, counts: np.ndarray, good_share: floa
     return model
 
 
+class _Kinds(dict):
+    """What a character counts as in a shape."""
+
+    def __missing__(self, c: str) -> str:
+        k = self[c] = "X" if c.isupper() else "x" if c.isalpha() else "d" if c.isdigit() else c
+        return k
+
+
+_KINDS, _RUN = _Kinds(), re.compile(r"(.)\1+", re.DOTALL)
+
+
 def shape(word: str) -> str:
     """The word's kinds of characters, runs as one: X, x and d for letters and digits, other signs as they are."""
-    out = ""
-    for c in word[:64]:
-        k = "X" if c.isupper() else "x" if c.isalpha() else "d" if c.isdigit() else c
-        if not out.endswith(k):
-            out += k
-    return out
+    return _RUN.sub(r"\1", "".join(map(_KINDS.__getitem__, word[:64])))
 
 
-def shape_hashes() -> WordHashes:
-    return WordHashes(lambda w: xxhash.xxh64_intdigest(shape(w), 5))
+def shape_table() -> WordTable:
+    return WordTable(lambda w: (xxhash.xxh64_intdigest(shape(w.decode("utf-8", "surrogatepass")).encode("utf-8", "surrogatepass"), 5),), 1)
 
 
-def features(text: str, shapes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+def features(text: str, shapes: WordTable) -> tuple[np.ndarray, np.ndarray]:
     """Hashed word shapes and pairs of neighbouring shapes with their shares, the share of words that repeat the one
     before, and the text's length by powers of two."""
-    words = split_words(text)
-    n = len(words)
+    at, facts = shapes.rows(text.encode("utf-8", "surrogatepass"))
+    n = len(at)
     if not n:
         return np.empty(0, np.int32), np.empty(0, np.float32)
-    h = np.fromiter(map(shapes.__getitem__, words), np.uint64, n)
+    h = facts[:, 0]
     shift = np.uint64(64 - BITS)
-    idx, count = np.unique(np.concatenate([h * _A >> shift, (h[:-1] * _A + h[1:] * _B) * _A >> shift]), return_counts=True)
-    again = sum(map(eq, words[1:], words)) / n
+    counts = np.bincount(np.concatenate([h * _A >> shift, (h[:-1] * _A + h[1:] * _B) * _A >> shift]).astype(np.int64))
+    idx = np.flatnonzero(counts)
+    again = np.count_nonzero(at[1:] == at[:-1]) / n
     size = EXTRA + min(n.bit_length(), 20)
-    return np.append(idx, [1 << BITS, size]).astype(np.int32), np.append(count / n, [again, 1.0]).astype(np.float32)
+    return np.append(idx, [1 << BITS, size]).astype(np.int32), np.append(counts[idx] / n, [again, 1.0]).astype(np.float32)
 
 
 @dataclass(frozen=True)
@@ -136,17 +143,16 @@ def fit(docs: DataFrame, p: Settings = Settings(), id_col: str = "doc_id", text_
     """
     let_workers_import(docs.sparkSession)
     texts = docs.select(F.col(f"`{text_col}`").alias("text"))
-    say = lambda ts, hashes: [pa.array([(votes(t, hashes) + 1).tobytes() for t in ts], pa.binary())]
-    setup = lambda: WordHashes(lambda w: xxhash.xxh64_intdigest(w, 11))
-    counted = with_text_columns(texts, "text", [("votes", "binary", pa.binary())], say, setup).groupBy("votes").count().toPandas()
+    say = lambda ts, words: [pa.array([(votes(t, words) + 1).tobytes() for t in ts], pa.binary())]
+    counted = with_text_columns(texts, "text", [("votes", "binary", pa.binary())], say, word_table).groupBy("votes").count().toPandas()
     patterns = np.array([np.frombuffer(b, np.int8) for b in counted.votes]).reshape(-1, N_LABELLERS) - 1
     labels = expectation_maximisation(patterns, counted["count"].to_numpy(float))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shapes, hashes = shape_hashes(), setup()
+        shapes, words = shape_table(), word_table()
         for b in batches:
             ts = [t or "" for t in b.column("text").to_pylist()]
-            y = labels.posterior(np.array([votes(t, hashes) for t in ts]).reshape(-1, N_LABELLERS))
+            y = labels.posterior(np.array([votes(t, words) for t in ts]).reshape(-1, N_LABELLERS))
             x = [features(t, shapes) for t in ts]
             yield pa.RecordBatch.from_arrays([pa.array(y), pa.array([i for i, _ in x], pa.list_(pa.int32())), pa.array([v for _, v in x], pa.list_(pa.float32()))], names=["y", "i", "v"])
 
@@ -169,7 +175,7 @@ def fit(docs: DataFrame, p: Settings = Settings(), id_col: str = "doc_id", text_
 def with_quality(df: DataFrame, model: QualityModel, text_col: str = "text", out: str = "quality") -> DataFrame:
     """df with the scorer's P(good) of each whole text; null counts as empty. Without words the bias alone decides."""
     made = lambda texts, shapes: [pa.array([model.score(*features(t, shapes)) for t in texts], pa.float64())]
-    return with_text_columns(df, text_col, [(out, "double", pa.float64())], made, shape_hashes)
+    return with_text_columns(df, text_col, [(out, "double", pa.float64())], made, shape_table)
 
 
 def quality(docs: DataFrame, p: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:

@@ -332,7 +332,7 @@ def test_label_model_finds_accuracies():
 
 
 def test_label_model_equals_a_plain_version(spark, real):
-    hashes = weak_quality.WordHashes(lambda w: xxhash.xxh64_intdigest(w, 11))
+    hashes = weak_quality.word_table()
     texts = [r.text or "" for r in real.select("text").collect()]
     vs = [weak_quality.votes(t, hashes).tolist() for t in texts]
     acc, share = [0.9] * weak_quality.N_LABELLERS, 0.6
@@ -356,7 +356,7 @@ def test_label_model_equals_a_plain_version(spark, real):
     model = weak_quality.fit(real.select("doc_id", "text"))
     assert np.allclose(model.labels.accuracy, acc, atol=1e-6)
     kept = {r.doc_id: r for r in weak_quality.quality(real).collect()}
-    shapes = weak_quality.shape_hashes()
+    shapes = weak_quality.shape_table()
     for r in real.limit(60).collect():
         score = model.score(*weak_quality.features(r.text or "", shapes))
         assert kept[r.doc_id].score == pytest.approx(score, abs=1e-6) and kept[r.doc_id].kept == (kept[r.doc_id].score >= 0.5)
@@ -413,7 +413,7 @@ def test_rule_counts_equal_brute_force(spark, real):
 def test_rule_verdicts_equal_a_plain_version(spark, real):
     labels = spark.read.parquet(f"{D}/labels.parquet")
     got = {r.doc_id: r for r in quality_rules.quality_rules(real, labels).collect()}
-    hashes = quality_rules.WordHashes(lambda w: xxhash.xxh64_intdigest(w, 11))
+    hashes = quality_rules.word_table()
     stats = {r.doc_id: quality_rules.statistics(r.text or "", hashes) for r in real.collect()}
     failed = {i: c[0] < 20 or 100 * c[4] > 30 * c[0] for i, (c, _) in stats.items()}
     y = {r.doc_id: r.quality for r in labels.collect() if r.doc_id in stats and not failed[r.doc_id]}

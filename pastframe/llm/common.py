@@ -124,7 +124,7 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "i
     if not hot.take(1):
         return big.join(small, keys, how)
     hot = F.broadcast(hot.withColumn("__hot", F.lit(True)))  # under 1 / HOT_SHARE rows
-    rest = [c for c in big.columns if c not in keys and dict(big.dtypes)[c].split("<")[0] not in ("map", "array")]
+    rest = [c for c, kind in big.dtypes if c not in keys and "map<" not in kind and "array<" not in kind]
     mark = F.when(F.col("__hot"), F.pmod(F.xxhash64(*rest) if rest else F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).otherwise(0)
     left = big.join(hot, keys, "left").withColumn("__salt", mark).drop("__hot")
     spread = F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pastframe.sources.stored import stored
+from pastframe.sources.ordered import running_total
 
 
 def topk_by_group(df: DataFrame, keys: list[str], value: str, k: int, meets: str | None = None, ascending: bool = False, tie: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -50,14 +50,10 @@ def last_n_dates(df: DataFrame, n: int, date: str) -> DataFrame:
 def leaderboard(runs: DataFrame, by: str, baseline: str | None = None, ascending: bool = False, tie: str = "run_id") -> DataFrame:
     """K5: runs in order of a metric, missing ones last, with rank and improvement over the baseline column.
 
-    Runs are range-partitioned in that order and kept so; a rank is the one within the partition and the rows of those before.
+    A rank is the number of rows before, as a running total over range partitions counts them.
     """
     order = [F.col(by).asc_nulls_last() if ascending else F.col(by).desc_nulls_last(), F.col(tie)]
-    n = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = stored(runs.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()), "leaderboard")
-    upto = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    base = cut.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__base"))
-    out = cut.join(F.broadcast(base), "__part").withColumn("rank", (F.col("__base") + F.row_number().over(Window.partitionBy("__part").orderBy(*order))).cast("int")).drop("__part", "__base")
+    out = running_total(runs, order, "__before", name="leaderboard").withColumn("rank", (F.col("__before") + 1).cast("int")).drop("__before")
     return out.withColumn("improvement", F.col(by) - F.col(baseline)) if baseline else out
 
 

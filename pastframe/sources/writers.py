@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pastframe.operators.topk import latest_per_key
+from pastframe.sources.ordered import running_total
 
 
 def backup_table(df: DataFrame, root: str, table: str, date_tag: str, partition_col: str | None = None) -> str:
@@ -43,10 +44,11 @@ def write_partitioned(df: DataFrame, path: str, by: list[str], mode: str = "over
 
 
 def assign_surrogate_ids(dim: DataFrame, new_values: DataFrame, value: str, id_col: str) -> DataFrame:
-    """The dimension with the next ids for values that it lacks, in the order of the values. A dimension is small."""
+    """The dimension with the next ids for values that it lacks, in the order of the values, counted over range partitions."""
     fresh = new_values.select(value).where(F.col(value).isNotNull()).distinct().join(dim, value, "left_anti")
     top = dim.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("__top"))
-    rows = fresh.crossJoin(F.broadcast(top)).select((F.col("__top") + F.row_number().over(Window.orderBy(value))).cast(dim.schema[id_col].dataType).alias(id_col), value)
+    placed = running_total(fresh, [F.col(value)], "__before", name="surrogate-ids")
+    rows = placed.crossJoin(F.broadcast(top)).select((F.col("__top") + F.col("__before") + 1).cast(dim.schema[id_col].dataType).alias(id_col), value)  # one row
     return dim.select(id_col, value).unionByName(rows)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pastframe.llm import bpe, decontamination, line_templates, pii, quality_rules, simhash, tool_calls, toxicity, warc, weak_quality
+from pastframe.llm import bpe, decontamination, lexical, line_templates, mixing, pii, quality_rules, simhash, tool_calls, toxicity, warc, weak_quality
 from pastframe.llm.common import new_folder
 
 
@@ -99,8 +99,16 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(_table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_pii, op3_toxicity, op4_quality_classifier, op5_quality_rules, op6_chat_formatting, op7_bpe_round_trip, op8_line_dedup, op9_warc, op10_benchmark_decontamination, chat_tool_links)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_pii, op3_toxicity, op4_quality_classifier, op5_quality_rules, op6_chat_formatting, op7_bpe_round_trip, op8_line_dedup, op9_warc, op10_benchmark_decontamination, op12_mixing, op13_lexical_search, chat_tool_links)}
 
 
 #: For conversations without tool calls, which is what the tables hold; chat_tool_links has calls.
@@ -147,5 +155,53 @@ FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest
 """
 
 
+OP12_SQL = r"""
+WITH z AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM z GROUP BY source
+), r AS (
+  SELECT 3 * source_size / weight AS ratio,
+    (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER w, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS level
+  FROM s WINDOW w AS (ORDER BY 3 * source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), t AS (
+  SELECT source, source_size, least((SELECT min_by(level, ratio) FROM r WHERE level <= ratio) * weight, CAST(3 * source_size AS DOUBLE)) AS target FROM s
+), q AS (
+  SELECT z.*, source_size, target, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS shuffled,
+    sum(size) OVER (PARTITION BY z.source ORDER BY md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+  FROM z JOIN t ON z.source IS NOT DISTINCT FROM t.source
+), c AS (
+  SELECT q.*, epoch, upto + epoch * source_size AS served FROM q, (SELECT unnest([0, 1, 2]) AS epoch) WHERE size > 0 AND 2 * (upto + epoch * source_size) - size <= 2 * target
+), m AS (
+  SELECT *, sum(size) OVER (ORDER BY served / target, source NULLS LAST, upto, epoch ROWS UNBOUNDED PRECEDING) - size AS place FROM c
+), g AS (
+  SELECT doc_id, source, count(*) AS times, min(place) AS first_at FROM m GROUP BY doc_id, source
+)
+SELECT q.doc_id, q.source, size, source_size, target, CAST(coalesce(times, 0) * size AS BIGINT) AS taken, CAST(first_at AS BIGINT) AS first_at
+FROM q LEFT JOIN g ON q.doc_id = g.doc_id AND q.source IS NOT DISTINCT FROM g.source
+"""
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), e AS (
+  SELECT doc_id, len(terms) AS n, terms FROM d WHERE len(terms) > 0
+), a AS (
+  SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS all_terms FROM e
+), p AS (
+  SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(terms) AS term FROM e) GROUP BY ALL
+), i AS (
+  SELECT item_id, term, count(*) AS c FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL
+), f AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, a WHERE term IN (SELECT term FROM i) GROUP BY term, n_docs
+), s AS (
+  SELECT item_id, doc_id, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // all_terms)))) AS BIGINT) AS score
+  FROM i JOIN f USING (term) JOIN p USING (term), a GROUP BY item_id, doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_formatting": OP6_SQL, "op9_warc": OP9_SQL, "chat_tool_links": LINKS_SQL}
+    return {"op6_chat_formatting": OP6_SQL, "op9_warc": OP9_SQL, "op12_mixing": OP12_SQL, "op13_lexical_search": OP13_SQL, "chat_tool_links": LINKS_SQL}

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pastframe.llm import bpe, decontamination, lexical, line_templates, mixing, pii, quality_rules, simhash, tool_calls, toxicity, warc, weak_quality
-from pastframe.llm.common import new_folder
+from pastframe.llm import bpe, conversation_trie, decontamination, lexical, line_templates, mixing, pii, quality_rules, simhash, tool_calls, toxicity, warc, weak_quality
+from pastframe.llm.common import new_folder, settled
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,6 +99,11 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, members = conversation_trie.positioned(_table(spark, sf_dir, "conversations"))
+    return settled(spark, lambda: conversation_trie.trie(*conversation_trie.reopened(turns, members)), "trie")
+
+
 def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents"))
 
@@ -108,7 +113,7 @@ def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_pii, op3_toxicity, op4_quality_classifier, op5_quality_rules, op6_chat_formatting, op7_bpe_round_trip, op8_line_dedup, op9_warc, op10_benchmark_decontamination, op12_mixing, op13_lexical_search, chat_tool_links)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_pii, op3_toxicity, op4_quality_classifier, op5_quality_rules, op6_chat_formatting, op7_bpe_round_trip, op8_line_dedup, op9_warc, op10_benchmark_decontamination, op11_conversation_trie, op12_mixing, op13_lexical_search, chat_tool_links)}
 
 
 #: For conversations without tool calls, which is what the tables hold; chat_tool_links has calls.
@@ -155,6 +160,45 @@ FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest
 """
 
 
+OP11_SQL = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS p
+  FROM conversations WHERE conv_id IS NOT NULL
+), bits AS (
+  SELECT conv_id, count(*) AS turns, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda ch: list_transform(range(8), lambda i: (ascii(ch) >> CAST(i AS INTEGER)) & 1))) AS bits
+  FROM t GROUP BY conv_id
+), c AS (
+  SELECT conv_id, turns, conv_id - conv_id % 20 AS base,
+    xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(bits, lambda b: CAST(b AS BIGINT))), lambda a, b: xor(a >> 1, CASE WHEN (a & 1) <> b THEN 3988292384 ELSE 0 END))) % 4 AS h
+  FROM bits
+), m AS (
+  SELECT c.*, least(c.h, coalesce(b.turns, 0)) AS m FROM c LEFT JOIN c AS b ON b.conv_id = c.base
+), r AS (
+  SELECT m.conv_id, p, role, text FROM m JOIN t ON t.conv_id = m.base AND p < h
+  UNION ALL SELECT m.conv_id, p - h + m, role, text FROM m JOIN t ON t.conv_id = m.conv_id AND p >= h
+), k AS (
+  SELECT conv_id, p + 1 AS depth, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words, p + 1 = count(*) OVER (PARTITION BY conv_id) AS last,
+    list({'r': role, 'x': text}) OVER (PARTITION BY conv_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS k
+  FROM r
+  UNION ALL SELECT conv_id, 0, 0, conv_id NOT IN (SELECT conv_id FROM r), [] FROM c
+), n AS (
+  SELECT k, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS saved,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256
+  FROM k GROUP BY k
+), p AS (
+  SELECT n.*, o.k AS up FROM n LEFT JOIN k AS o ON o.conv_id = n.conv_id AND o.depth = n.depth - 1
+), ch AS (
+  SELECT up, count(*) AS n_children FROM p WHERE depth > 0 GROUP BY up
+), q AS (
+  SELECT p.*, coalesce(n_children, 0) AS n_children, a.conv_id AS parent_conv_id FROM p LEFT JOIN ch ON ch.up = p.k LEFT JOIN n AS a ON a.k = p.up
+), s AS (
+  SELECT o.k, sum(CASE WHEN q.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(q.saved) AS saved_tokens FROM q JOIN k AS o ON o.conv_id = q.conv_id AND o.depth <= q.depth GROUP BY o.k
+)
+SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+FROM q JOIN s USING (k)
+"""
+
 OP12_SQL = r"""
 WITH z AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
@@ -204,4 +248,4 @@ FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_formatting": OP6_SQL, "op9_warc": OP9_SQL, "op12_mixing": OP12_SQL, "op13_lexical_search": OP13_SQL, "chat_tool_links": LINKS_SQL}
+    return {"op6_chat_formatting": OP6_SQL, "op9_warc": OP9_SQL, "op11_conversation_trie": OP11_SQL, "op12_mixing": OP12_SQL, "op13_lexical_search": OP13_SQL, "chat_tool_links": LINKS_SQL}

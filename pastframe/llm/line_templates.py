@@ -13,7 +13,7 @@ from pastframe.llm.common import let, row_key, salted_join, settled, written
 DEPTH = 4
 #: Parts of the tokens behind them that divide a leaf's lines further.
 PARTS = 3
-#: Share of a line's tokens that must equal the template.
+#: Share of a line's tokens behind the leading ones that must equal the template: of one to four, all of them.
 ALIKE = 0.8
 #: A template recurs if it is found in so many documents; lines of LONG tokens recur by chance no more in LONG_DOCS.
 MIN_DOCS, LONG_DOCS, LONG = 3, 2, 50
@@ -51,7 +51,7 @@ def followed(lines: DataFrame) -> DataFrame:
     """(h1, h2, t1, t2) of the distinct lines (h1, h2, f1, f2, m) that follow the template of their group (f1, f2).
 
     The template has at each place the token that most lines of the group have there (of those, the smallest); a line
-    follows it if ALIKE of its tokens are the same. Tokens are counted with partial aggregation: no group is gathered.
+    follows it if ALIKE of its tokens behind the leading ones, which the group has in common, are the same. Tokens are counted with partial aggregation: no group is gathered.
     """
     group = ["f1", "f2"]
     counts = lines.select(*group, F.posexplode(F.split("m", " ")).alias("at", "token")).groupBy(*group, "at", "token").agg(F.count("*").alias("c"))
@@ -60,7 +60,7 @@ def followed(lines: DataFrame) -> DataFrame:
     template = template.select(*group, F.transform("t", lambda x: x["token"]).alias("t"))
     same = F.size(F.filter(F.zip_with(F.split("m", " "), "t", lambda a, b: a == b), lambda x: x))
     t1, t2 = _pair(F.lit("template"), F.col("f1"), F.col("f2"))
-    return lines.join(template, group).where(same >= ALIKE * F.size("t")).select("h1", "h2", t1.alias("t1"), t2.alias("t2"))
+    return lines.join(template, group).where(same - DEPTH >= ALIKE * (F.size("t") - DEPTH)).select("h1", "h2", t1.alias("t1"), t2.alias("t2"))
 
 
 def _part(k: int) -> Column:

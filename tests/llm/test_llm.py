@@ -592,7 +592,7 @@ def brute_lines(texts, min_docs=3):
         for name, ms in groups.items():
             if len(ms) > 1:
                 modal = [min(collections.Counter(col).items(), key=lambda kv: (-kv[1], kv[0].encode()))[0] for col in zip(*ms, strict=True)]
-                of |= {m: ("t", k, name) for m in ms if sum(a == b for a, b in zip(m, modal, strict=True)) >= line_templates.ALIKE * len(m)}
+                of |= {m: ("t", k, name) for m in ms if sum(a == b for a, b in zip(m[depth:], modal[depth:], strict=True)) >= line_templates.ALIKE * (len(m) - depth)}
     by, size = collections.defaultdict(list), {}
     for i, n, m in places:
         by[of.get(m, m)].append((i, n))
@@ -602,6 +602,15 @@ def brute_lines(texts, min_docs=3):
     return {i: None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone) for i, t in texts.items()}
 
 
+def test_short_lines_that_differ_in_a_word_stay(spark):
+    ends = ["king", "cook", "nurse", "king of all", "cook of all", "nurse of all", "king of the hill", "cook of the hill", "nurse of the hill", "big king", "big cook", "big nurse"]
+    texts = [f"He said to the {x}" for x in ends] + ["He said to the smith at 5", "He said to the smith at 6", "He said to the smith at 7"]
+    df = docs(spark, texts)
+    got = {r.doc_id: r.text for r in line_templates.with_kept_lines(df).collect()}
+    assert got == brute_lines(dict(enumerate(texts))) == {i: t if i < 13 else "" for i, t in enumerate(texts)}
+    assert line_templates.drop_recurring_lines(df).count() == 13
+
+
 def test_two_templates_of_one_leaf_and_long_passages(spark):
     first = [f"you may call us at {'abcdefg'[i]} on week days only" for i in range(5)]
     second = [f"you may call us {'uvwxyzk'[i]} times a year no more" for i in range(4)]

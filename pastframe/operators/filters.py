@@ -105,14 +105,16 @@ def basic_clean(df: DataFrame, required: list[str], minimum: dict[str, float] =
 def column_profile(df: DataFrame) -> DataFrame:
     """per column: null share, distinct values (approximate), and an order-free hash of its contents by row; one aggregate.
 
-    A row's hash is a column of its own, computed once for all columns.
+    A row's hash is a column of its own, computed once for all columns. Hashes of (row, value) are added up, in three parts
+    of 21 bits that no number of rows under 2^42 overflows: rows that are repeated add to the sum, and don't cancel.
     """
     hashed = df.select(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)])
     aggs, row = [], F.col("__row")
+    total = lambda x: F.concat_ws(".", *[F.sum(F.shiftrightunsigned(F.xxhash64(row, x.cast("string")), k).bitwiseAND(F.lit((1 << 21) - 1))) for k in (0, 21, 42)])
     for i, c in enumerate(df.columns):
         x = F.col(f"c{i}")
         twin = F.abs(x) if isinstance(df.schema[c].dataType, T.NumericType) else x
-        aggs += [F.avg(x.isNull().cast("double")).alias(f"n{i}"), F.approx_count_distinct(x).alias(f"d{i}"), F.bit_xor(F.xxhash64(row, x.cast("string"))).alias(f"h{i}"), F.bit_xor(F.xxhash64(row, twin.cast("string"))).alias(f"a{i}")]
+        aggs += [F.avg(x.isNull().cast("double")).alias(f"n{i}"), F.approx_count_distinct(x).alias(f"d{i}"), total(x).alias(f"h{i}"), total(twin).alias(f"a{i}")]
     one = hashed.agg(*aggs)
     rows = [F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("null_share"), F.col(f"d{i}").alias("distinct"), F.col(f"h{i}").alias("hash"), F.col(f"a{i}").alias("abs_hash")) for i, c in enumerate(df.columns)]
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")

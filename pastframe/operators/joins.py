@@ -118,6 +118,29 @@ def last_value_asof(events: DataFrame, probes: DataFrame, key: list[str], ts: st
     return got.select("__row.*", *[F.col("__last")[v].alias(f"last_{v}" if v in probes.columns else v) for v in values])
 
 
+def members_asof(probes: DataFrame, sources: list[tuple[DataFrame, str]], keys: list[str], date: str, tie: str = "tie", member: str = "member", out: str = "members") -> DataFrame:
+    """Probes with what the first source that knows says a key belonged to at a date: an array, null if none knows.
+
+    sources, the one to be heard first first: (keys, date, member, tie) and how close: "before" is the last row of an
+    earlier date, "upto" the last up to the date, "on" all rows of that very date. Of rows of one date the one of the
+    largest tie is the last. Rows without a key, date or member don't count. One union and one window over it, whatever
+    the number of sources: those of a day are gathered first, so a day is a row a source.
+    """
+    told, cases = [], []
+    for i, (df, close) in enumerate(sources):
+        rows = df.select(*keys, date, F.col(member).alias("m"), (F.col(tie) if tie in df.columns else F.lit(None)).cast("string").alias("t")).dropna(subset=[*keys, date, "m"])
+        last = F.array(F.max_by("m", F.struct("t", "m"))) if close != "on" else F.array_sort(F.collect_set("m"))
+        told.append(rows.groupBy(*keys, date).agg(last.alias("__m")).select(*keys, date, F.lit(i).alias("__i"), F.lit(2 if close == "before" else 0).alias("__k"), F.struct(F.col(date).alias("d"), F.col("__m").alias("m")).alias("__told")))
+    kind = told[0].schema["__told"].dataType
+    asked = probes.select(*keys, date, F.lit(-1).alias("__i"), F.lit(1).alias("__k"), F.lit(None).cast(kind).alias("__told"), F.struct(*[F.col(f"`{c}`") for c in probes.columns]).alias("__row"))
+    w = Window.partitionBy(*keys).orderBy(date, "__k").rowsBetween(Window.unboundedPreceding, 0)
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), told, asked)
+    for i, (_, close) in enumerate(sources):
+        both = both.withColumn(f"__{i}", F.last(F.when(F.col("__i") == i, F.col("__told")), ignorenulls=True).over(w))
+        cases.append(F.when((F.col(f"__{i}.d") == F.col(date)) if close == "on" else F.lit(True), F.col(f"__{i}.m")))
+    return both.where("__i = -1").select("__row.*", F.coalesce(*cases).alias(out))
+
+
 def roster_asof(players: DataFrame, games: DataFrame, injuries: DataFrame, season: str = "season") -> DataFrame:
     """(game_id, team_id, player_id): players with any row for the team in the season whose last row before the date is this team.
 
@@ -148,10 +171,25 @@ def resolve_names(names: DataFrame, index: DataFrame, name: str = "name", recenc
     return names.join(best, name, "left"), want.join(best, name, "left_anti").select(name)
 
 
-def team_at_cutoff(players: DataFrame, cutoffs: DataFrame, season: str = "season", date: str = "game_date") -> DataFrame:
-    """Each player's team at the season's cut-off date: that of the last row up to it."""
+def team_at_cutoff(players: DataFrame, cutoffs: DataFrame, season: str = "season", date: str = "game_date", injuries: DataFrame | None = None, known: DataFrame | None = None, asked: DataFrame | None = None) -> DataFrame:
+    """Each player's team at the season's cut-off date: that of the last row up to it.
+
+    With injuries (season, player_id, team_id, date) a player without such a row is of the team that last listed him up to
+    then, and with known (season, player_id, team_id) else of the team given there. asked: (season, player_id) to be told
+    of, with null where no source knows; without it, those whom one does.
+    """
     upto = players.join(F.broadcast(cutoffs), season).where(F.col(date) <= F.col("cutoff"))  # one row per season
-    return upto.groupBy(season, "player_id").agg(F.max_by("team_id", F.struct(date, "team_id")).alias("team_id"))
+    if injuries is None and known is None and asked is None:
+        return upto.groupBy(season, "player_id").agg(F.max_by("team_id", F.struct(date, "team_id")).alias("team_id"))
+    key = [season, "player_id"]
+    said = lambda df, day: df.select(*key, day.cast("date").alias("__day"), F.col("team_id").alias("member"), F.col("team_id").cast("string").alias("tie"))
+    sources = [(said(players, F.col(date)), "upto")]
+    sources += [(said(injuries, F.col(date)), "upto")] if injuries is not None else []
+    sources += [(said(known, F.lit("0001-01-01")), "upto")] if known is not None else []
+    probes = (asked.select(*key) if asked is not None else reduce(DataFrame.unionByName, [df.select(*key) for df, _ in sources])).distinct()
+    probes = probes.join(F.broadcast(cutoffs), season).select(*key, F.col("cutoff").alias("__day"))
+    got = members_asof(probes, sources, key, "__day").select(*key, F.col("members")[0].alias("team_id"))
+    return got if asked is not None else got.where("team_id is not null")
 
 
 def safe_join(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner", validate: str = "one_to_one") -> DataFrame:

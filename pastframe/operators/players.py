@@ -6,7 +6,7 @@ so no row scans its history.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pastframe.operators.topk import topk_by_group
@@ -49,6 +49,55 @@ def player_availability_features(players: DataFrame, roster: DataFrame, out_list
     return roster.select(*keys).distinct().join(parts[0], keys, "left").join(parts[1], keys, "left").fillna(0, [f"{n}_{value}_n" for n in ("available", "unavailable")])
 
 
+#: Games of a player that tell his bench form, minutes that a game must exceed to count, and the mean minutes of the bench.
+BENCH_GAMES, BENCH_COUNTS, BENCH_MINUTES = 5, 2, (7, 21)
+
+
+def absence_streaks(games: DataFrame, absences: DataFrame, seasons: int = 2, season: str = "season_year") -> DataFrame:
+    """(game_id, team_id, player_id, streak): how many of the team's games in a row, up to and with this one, the player has been absent.
+
+    games: season, game_id, team_id, game_date. absences: game_id, team_id, player_id. Only games of the latest `seasons`
+    seasons count. A team's games get their places in order, and an absence's place less its number among the player's
+    absences is the same for all of one streak (gaps and islands over two tables), so no row looks back at the games before.
+    """
+    order = Window.partitionBy("team_id").orderBy("game_date", "game_id")
+    placed = games.select(F.col(season).alias("__s"), "game_id", "team_id", "game_date").dropDuplicates(["game_id", "team_id"]).withColumn("__at", F.row_number().over(order))
+    away = absences.select("game_id", "team_id", "player_id").dropna().distinct().join(placed, ["game_id", "team_id"])
+    player = Window.partitionBy("team_id", "player_id").orderBy("__at")
+    island = away.withColumn("__island", F.col("__at") - F.row_number().over(player))
+    recent = Window.partitionBy("team_id", "player_id", "__island").orderBy("__s").rangeBetween(1 - seasons, 0)
+    return island.select("game_id", "team_id", "player_id", (F.col("__at") - F.min("__at").over(recent) + 1).cast("long").alias("streak"))
+
+
+def with_streaks(slots: DataFrame, streaks: DataFrame, value: str) -> DataFrame:
+    """The streak of each unavailable slot of player_availability_features, beside the player's id."""
+    by = streaks.groupBy("game_id", "team_id").agg(F.map_from_entries(F.collect_list(F.struct("player_id", "streak"))).alias("__by"))  # the absent of a team's game
+    got = slots.join(by, ["game_id", "team_id"], "left")
+    ids = [f"unavailable_{value}_player_id_top_{i}" for i in range(1, UNAVAILABLE_SLOTS + 1)]
+    return got.withColumns({c.replace("player_id", "streak"): F.when(F.col(c).isNotNull(), F.coalesce(F.try_element_at("__by", F.col(c)), F.lit(0))) for c in ids}).drop("__by")
+
+
+def bench_features(players: DataFrame, roster: DataFrame, out_list: DataFrame, value: str, other: str) -> DataFrame:
+    """Per team game the bench, available players whose last BENCH_GAMES counting games before had BENCH_MINUTES on average.
+
+    players: game_id, game_date, player_id, minutes, value and other; games of more than BENCH_COUNTS minutes count. Mean
+    and largest of the value a minute and of the other, each the player's mean over those games, and how many the bench
+    are. roster and out_list as in player_availability_features. A player's means run over his games in one window; what
+    stood before a game's date is read as of it, and the bench is picked from that.
+    """
+    from pastframe.operators.joins import last_value_asof
+
+    w = Window.partitionBy("player_id").orderBy("game_date", "game_id").rowsBetween(1 - BENCH_GAMES, 0)
+    means = {"__minutes": F.avg("minutes").over(w), "__value": F.avg(F.coalesce(value, F.lit(0)) / F.col("minutes")).over(w), "__other": F.avg(F.coalesce(other, F.lit(0))).over(w)}
+    form = players.where(F.col("minutes") > BENCH_COUNTS).select("player_id", "game_date", "game_id", *[x.alias(c) for c, x in means.items()])
+    form = form.groupBy("player_id", "game_date").agg(F.max_by(F.struct(*means), "game_id").alias("__form"))  # of a day, what stands after it
+    free = roster.join(out_list.select("game_id", "team_id", "player_id").distinct(), ["game_id", "team_id", "player_id"], "left_anti").distinct()
+    bench = last_value_asof(form, free, ["player_id"], "game_date", ["__form"]).where(F.col("__form.__minutes").between(*BENCH_MINUTES))
+    keys = ["game_id", "team_id"]
+    stats = [f(F.col(f"__form.__{x}")).alias(f"bench_{n}_{c}") for x, c in (("value", f"{value}_per_minute"), ("other", other)) for f, n in ((F.avg, "mean"), (F.max, "max"))]
+    return roster.select(*keys).distinct().join(bench.groupBy(*keys).agg(*stats, F.count("*").alias("n_bench")), keys, "left").fillna(0, ["n_bench"])
+
+
 def availability_effect(games: DataFrame, slots: DataFrame, absences: DataFrame, value: str, expected: str, k: float = 10.0, season: str = "season_year") -> DataFrame:
     """Mean of (value - expected) with the player less without, over the team's earlier games of this and the last season,
     shrunk by n / (n + k), n the smaller of the two counts.
@@ -154,6 +203,107 @@ def roster_movement(players: DataFrame, games: DataFrame, minutes: str = "minute
     return got.select("game_id", "team_id", F.try_divide("came", own).alias("incoming"), F.try_divide("gone", own).alias("outgoing"), F.try_divide(F.col("came") - F.col("gone"), own).alias("net"))
 
 
+#: Where the window before a season begins (month, day), from where the season before is looked at, months of the near
+#: window, the months whose near windows begin on the first of March, and a team's minutes of a game.
+LATE_LAST_SEASON, LAST_SEASON_FROM, NEAR_MONTHS, SUMMER, TEAM_MINUTES = (3, 15), (3, 1), 2, (6, 9), 240.0
+
+
+def near_window_end(day: Column) -> Column:
+    """The last date whose near window, NEAR_MONTHS before it, still holds the day; months that are shorter end early."""
+    after = F.date_add(day, 1)
+    then = F.add_months(after, NEAR_MONTHS)
+    return F.when(F.dayofmonth(then) < F.dayofmonth(after), then).otherwise(F.date_sub(then, 1))
+
+
+def in_near_window(at: Column, day: Column) -> Column:
+    """Whether the near window of a date holds an earlier day: two months, but back to the first of March where that would be summer."""
+    first, last = (m + NEAR_MONTHS for m in SUMMER)
+    summer = F.month(at).between(first, last) & (F.year(at) == F.year(day)) & (F.month(day) >= 3)
+    return (at <= near_window_end(day)) | summer
+
+
+def roster_windows(players: DataFrame, games: DataFrame, injuries: DataFrame) -> DataFrame:
+    """P4 as the feature frame has it: per team game continuity, incoming and net minute shares over the season's and the near window.
+
+    players: season_year, game_id, game_date, team_id, player_id, minutes, and scheduled (true for rows of games to come,
+    which are known on the day; others are known the day after). injuries: season_year, game_date, team_id, player_id of
+    those listed, who count as of that team on the day. The season's window begins on 15 March before it, the near one two
+    months before the game (1 March if that is June to September).
+
+    A team's candidates are the players with a row for it in the window; one is lost if his latest row is another team's,
+    and new if it is this one's and the row of another team before it is in the window. Candidates weigh their minutes for
+    the team by the team's game days so far, in this season or else the last; new ones their mean minutes with the team before.
+
+    A player's state towards a team changes on few days: those on which a row of his becomes known, falls out of the near
+    window, or the window jumps. What he adds to the team's sums is told as a change on such a day; changes are summed
+    by team and day, sums run on, and games read them. So work grows with the players' rows, and no game meets its players.
+    """
+    march = lambda s, md: F.make_date(s, F.lit(md[0]), F.lit(md[1]))
+    date, season = F.col("game_date"), F.col("season_year")
+    waits = F.when(F.coalesce("scheduled", F.lit(False)) & F.col("minutes").isNull(), 0).otherwise(1)
+    seen = players.select(season.alias("s"), "team_id", "player_id", date.alias("actual"), F.date_add("game_date", waits).alias("known"), F.lit(1).alias("rank"))
+    seen = seen.unionByName(injuries.select(season.alias("s"), "team_id", "player_id", date.alias("actual"), date.alias("known"), F.lit(2).alias("rank"))).dropna().distinct()
+    events = seen.withColumn("old", F.lit(False)).unionByName(seen.where(F.col("actual") >= march(F.col("s") + 1, LAST_SEASON_FROM)).withColumn("s", F.col("s") + 1).withColumn("old", F.lit(True)))
+
+    # of whom a player is, and of whom he was before, by day
+    w = Window.partitionBy("s", "player_id").orderBy("known", "actual", "rank", "team_id")
+    moved = F.struct(F.lag("team_id").over(w).alias("was"), F.lag("actual").over(w).alias("until"))
+    line = events.withColumn("moved", F.when(~F.col("team_id").eqNullSafe(F.lag("team_id").over(w)), moved)).withColumn("moved", F.last("moved", ignorenulls=True).over(w))
+    latest = line.groupBy("s", "player_id", F.col("known").alias("at")).agg(F.max_by(F.struct(F.col("team_id").alias("now"), "moved.*"), F.struct("actual", "rank", "team_id")).alias("of"))
+    year = F.year("actual")
+    days = F.array("known", F.date_add(near_window_end(F.col("actual")), 1), F.make_date(year, F.lit(SUMMER[0] + NEAR_MONTHS), F.lit(1)), F.make_date(year, F.lit(SUMMER[1] + NEAR_MONTHS + 1), F.lit(1)))
+    steps = events.select("s", "player_id", "known", F.explode(days).alias("at")).where("at >= known").select("s", "player_id", "at").distinct()
+    steps = steps.join(latest, ["s", "player_id", "at"], "left").withColumn("of", F.last("of", ignorenulls=True).over(Window.partitionBy("s", "player_id").orderBy("at")))
+    steps = steps.join(events.select("s", "player_id", "team_id").distinct(), ["s", "player_id"])
+
+    # his last row for each of his teams, and his minutes there, by day
+    kind = "decimal(20,6)"
+    played = players.where("minutes > 0").groupBy(season.alias("s"), "player_id", "team_id", F.date_add("game_date", 1).alias("at")).agg(F.sum(F.col("minutes").cast(kind)).cast(kind).alias("m"), F.count("*").alias("n"))
+    none = lambda t: F.lit(None).cast(t)
+    key = ["s", "player_id", "team_id", "at"]
+    known = events.groupBy("s", "player_id", "team_id", F.col("known").alias("at")).agg(F.max("actual").alias("last"))
+    facts = steps.select(*key, "of", none("date").alias("last"), *[none(kind).alias(c) for c in ("m1", "m0")], *[none("long").alias(c) for c in ("n1", "n0")])
+    facts = facts.unionByName(known, allowMissingColumns=True).unionByName(played.withColumnsRenamed({"m": "m1", "n": "n1"}), allowMissingColumns=True)
+    facts = facts.unionByName(played.withColumn("s", F.col("s") + 1).withColumnsRenamed({"m": "m0", "n": "n0"}), allowMissingColumns=True)
+    facts = facts.groupBy(*key).agg(F.max("of").alias("of"), F.max("last").alias("last"), *[F.sum(c).alias(c) for c in ("m1", "n1", "m0", "n0")])
+    own = Window.partitionBy("s", "player_id", "team_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    facts = facts.select(*key, "of", F.max("last").over(own).alias("last"), *[F.coalesce(F.sum(c).over(own), F.lit(0)).alias(c) for c in ("m1", "n1", "m0", "n0")]).where("of is not null")
+    mean = F.when(F.col("n1") > 0, F.col("m1").cast("double") / F.col("n1")).otherwise(F.coalesce(F.try_divide(F.col("m0").cast("double"), F.col("n0")), F.lit(0.0)))
+    together = facts.withColumn("mean", mean).groupBy("s", "player_id", "at", "of").agg(F.collect_list(F.struct("team_id", "last", "m1", "n1", "m0", "mean")).alias("teams"))  # a player's teams of a season
+    each = together.select("s", "player_id", "at", "of", F.explode("teams").alias("t"), F.get(F.filter("teams", lambda x: x["team_id"] == F.col("of.was")), F.lit(0))["mean"].alias("was_mean"))
+
+    # what he adds to his team's sums from that day on
+    here = F.col("of.now") == F.col("t.team_id")
+    adds = {}
+    for name, holds in (("far", lambda day: day >= march(F.col("s"), LATE_LAST_SEASON)), ("near", lambda day: in_near_window(F.col("at"), day))):
+        c, fresh = F.coalesce(holds(F.col("t.last")), F.lit(False)), F.coalesce(holds(F.col("of.until")), F.lit(False))
+        zero = F.lit(0).cast(kind)
+        for tag, who in (("c", c), ("l", c & ~here)):
+            adds[f"{name}_{tag}1"] = F.when(who & (F.col("t.n1") > 0), F.col("t.m1").cast(kind)).otherwise(zero)
+            adds[f"{name}_{tag}0"] = F.when(who & (F.col("t.n1") == 0), F.col("t.m0").cast(kind)).otherwise(zero)
+        adds[f"{name}_new"] = F.when(c & here & fresh, F.coalesce("was_mean", F.lit(0.0))).otherwise(0.0)
+        adds[f"{name}_n"] = c.cast("long")
+    w = Window.partitionBy("s", "player_id", "team_id").orderBy("at")
+    state = each.select("s", "player_id", F.col("t.team_id").alias("team_id"), "at", *[x.alias(c) for c, x in adds.items()])
+    change = state.select("s", "team_id", "at", *[(F.col(c) - F.coalesce(F.lag(c).over(w), F.lit(0))).alias(c) for c in adds]).groupBy("s", "team_id", "at").agg(*[F.sum(c).alias(c) for c in adds])
+    dates = played.select("s", "team_id", "at").distinct()
+    based = events.where(F.col("old") & (F.col("actual") >= march(F.col("s"), LATE_LAST_SEASON))).select("s", "team_id", F.col("known").alias("at"), F.lit(1).alias("based"))
+    more = dates.withColumn("days1", F.lit(1)).unionByName(dates.withColumn("s", F.col("s") + 1).withColumn("days0", F.lit(1)), allowMissingColumns=True).unionByName(based, allowMissingColumns=True)
+    sums = [*adds, "days1", "days0", "based"]
+    now = standing(change.unionByName(more, allowMissingColumns=True), ["s", "team_id"], sums, games.withColumn("s", season))
+
+    got = games.withColumn("s", season).join(now, ["s", "team_id", "game_date"], "left")
+    out = []
+    for name, tag in (("far", ""), ("near", "_2m")):
+        weight = lambda x: F.coalesce(F.try_divide(F.col(f"{name}_{x}1").cast("double"), F.col("days1")), F.lit(0.0)) + F.coalesce(F.try_divide(F.col(f"{name}_{x}0").cast("double"), F.col("days0")), F.lit(0.0))  # noqa: E731, B023
+        some = (F.col(f"{name}_n") > 0) & ((F.col("based") > 0) if name == "far" else F.lit(True))
+        clipped = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
+        kept = F.when(some & (weight("c") > 0), clipped(1 - weight("l") / weight("c")))
+        came = F.when(some, clipped(F.col(f"{name}_new") / TEAM_MINUTES))
+        out += [kept.alias(f"continuity{tag}"), came.alias(f"incoming{tag}"), (came + kept - 1).alias(f"net{tag}")]
+    return got.select("game_id", "team_id", *out)
+
+
 def voting_year(date: str):
     """P5: votes of a year count from the first of March of that year."""
     return F.year(date) - (F.month(date) < 3).cast("int")
@@ -174,6 +324,38 @@ def vote_share(rosters: DataFrame, votes: DataFrame, out_list: DataFrame, date:
     return got.groupBy("game_id", "team_id").agg(F.sum("share").alias("vote_share"), F.min(F.when(F.col("v").isNotNull(), F.col("share"))).alias("vote_min"), F.max("share").alias("vote_max"), F.count("v").alias("n_voted"), F.coalesce(F.sum(F.when(F.col("__out"), F.col("share"))), F.lit(0.0)).alias("vote_share_out"))
 
 
+def vote_features(games: DataFrame, players: DataFrame, votes: DataFrame, injuries: DataFrame, rosters: DataFrame) -> DataFrame:
+    """P5 as the feature frame has it: what share of the votes a team's candidates hold before a game, from four sources of who they are.
+
+    games: game_id, team_id, game_date. players: player_id, team_id, game_date, game_id, all rows, those to come too.
+    votes: season_year, player_id, team_id (may be null), fan_votes, score. injuries: game_id, team_id, player_id.
+    rosters: game_id, team_id, player_id. Candidates are players with votes of the voting year who are listed for the
+    team, have a row for it on the day, or are in its roster, if they are of that team then; and all whom it lists as
+    injured. A player is of the teams that list him injured on the day, else of the team of his last row up to it; if
+    neither is known, being listed with the votes will do. Nothing of the game itself is read.
+    """
+    from pastframe.operators.joins import members_asof
+
+    g = games.select("game_id", "team_id", F.to_date("game_date").alias("day"), voting_year("game_date").alias("year"))
+    v = votes.groupBy(F.col("season_year").alias("year"), "player_id").agg(F.max("fan_votes").alias("v"), F.min("score").alias("score"), F.max("team_id").alias("listed"))
+    total = v.groupBy("year").agg(F.sum("v").alias("all_votes"))
+    key = ["game_id", "team_id", "player_id"]
+    rows = players.select("player_id", "team_id", F.to_date("game_date").alias("day"), "game_id")
+    hurt = injuries.select(*key).dropna().distinct()
+    found = g.join(v.select("year", F.col("listed").alias("team_id"), "player_id"), ["year", "team_id"]).select(*key, F.lit(1).alias("listed"), F.lit(0).alias("hurt"))
+    found = found.unionByName(g.join(rows.select("team_id", "day", "player_id").distinct(), ["team_id", "day"]).select(*key, F.lit(0).alias("listed"), F.lit(0).alias("hurt")))
+    found = found.unionByName(rosters.select(*key, F.lit(0).alias("listed"), F.lit(0).alias("hurt"))).unionByName(hurt.select(*key, F.lit(0).alias("listed"), F.lit(1).alias("hurt")))
+    found = found.groupBy(*key).agg(F.max("listed").alias("listed"), F.max("hurt").alias("hurt")).join(g, ["game_id", "team_id"])
+    found = found.join(v.select("year", "player_id", "v", "score"), ["year", "player_id"])
+    on_day = hurt.join(g.select("game_id", "day").distinct(), "game_id").select("player_id", "day", F.col("team_id").alias("member"))
+    sources = [(on_day, "on"), (rows.select("player_id", "day", F.col("team_id").alias("member"), F.lpad(F.col("game_id").cast("string"), 20, "0").alias("tie")), "upto")]
+    found = members_asof(found, sources, ["player_id"], "day").where((F.col("hurt") == 1) | F.array_contains("members", F.col("team_id")) | (F.col("members").isNull() & (F.col("listed") == 1)))
+    sums = found.groupBy("game_id", "team_id").agg(F.sum("v").alias("votes"), F.count("*").alias("n_candidates"), F.min("score").alias("min_score"), F.max(F.when(F.col("hurt") == 1, F.col("v"))).alias("hurt_votes"), F.min(F.when(F.col("hurt") == 1, F.col("score"))).alias("min_score_out"))
+    got = g.join(total, "year", "left").join(sums, ["game_id", "team_id"], "left")
+    share = lambda x: F.when(F.col("all_votes") > 0, F.coalesce(x, F.lit(0)) / F.col("all_votes")).otherwise(F.raise_error(F.lit("a voting year has no votes")).cast("double"))
+    return got.select("game_id", "team_id", share(F.col("votes")).alias("vote_share"), F.coalesce("votes", F.lit(0)).alias("votes"), F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"), "min_score", share(F.col("hurt_votes")).alias("vote_share_out"), "min_score_out", F.col("year").alias("voting_year"))
+
+
 def official_effects(games: DataFrame, slots: list[str], metrics: list[str], season: str = "season_year", date: str = "game_date", game: str = "game_id") -> DataFrame:
     """Per official the mean of earlier games of the season with less without, else over the whole season before; mean, population
     deviation and sum over the crew.

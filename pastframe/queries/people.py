@@ -63,6 +63,53 @@ def _p3(s, d):
     return players.availability_effect(g, x.select("game_id", "team_id", "player_id"), x.where("minutes >= 45").select("game_id", "team_id", "player_id"), "v", "e")
 
 
+def _p4_windows(s, d):
+    """Orders as games of ten teams in seasons from October, suppliers as players; one whose quantity is below 2 is listed, without minutes; the last 60 days are to come."""
+    g = _teams(s, d).withColumn("season_year", (F.year("game_date") - (F.month("game_date") < 10).cast("int")).cast("int"))
+    x = _appearances(s, d, g)
+    ends = g.agg(F.date_sub(F.max("game_date"), 60).alias("end"))
+    rows = x.where("minutes >= 2").crossJoin(F.broadcast(ends)).withColumn("scheduled", F.col("game_date") > F.col("end"))  # one row
+    rows = rows.withColumn("minutes", F.when(~F.col("scheduled"), F.col("minutes"))).drop("end")
+    return players.roster_windows(rows, g.select("season_year", "game_id", "team_id", "game_date"), x.where("minutes < 2").select("season_year", "game_date", "team_id", "player_id"))
+
+
+_NEAR = "(greatest({c}, {c}) >= {d} - INTERVAL 2 MONTH AND month({d} - INTERVAL 2 MONTH) NOT BETWEEN 6 AND 9 OR month({d} - INTERVAL 2 MONTH) BETWEEN 6 AND 9 AND {c} >= make_date(year({d} - INTERVAL 2 MONTH), 3, 1))"
+_FAR = "({c} >= make_date(s, 3, 15))"
+
+
+def _p4_sums(name, window):
+    c, fresh = window.format(c="a", d="d"), window.format(c="until", d="d")
+    w = "CASE WHEN m1 IS NOT NULL THEN m1 / days1 WHEN m0 IS NOT NULL THEN m0 / days0 ELSE 0 END"
+    return f"""sum({w}) FILTER ({c}) AS {name}_c, coalesce(sum({w}) FILTER ({c} AND now <> team), 0) AS {name}_l,
+      coalesce(sum(was_mean) FILTER ({c} AND now = team AND {fresh}), 0) AS {name}_new, count(*) FILTER ({c}) AS {name}_n"""
+
+
+#: By each team's day: its candidates, met with what is known of them then.
+_P4_WINDOWS = f"""WITH {ORDERS}, {ITEMS}, g AS (SELECT id, k % 10 AS team, d, CAST(year(d) - (month(d) < 10)::INT AS INTEGER) AS s FROM o), e AS (SELECT max(d) - 60 AS e FROM g),
+    x AS (SELECT g.id, g.team, g.d, g.s, i.s AS p, CASE WHEN g.d <= e THEN q END AS q, q < 2 AS hurt FROM i JOIN g ON g.id = i.g, e),
+    ev AS (SELECT DISTINCT s, team, p, d AS a, CASE WHEN hurt OR q IS NULL THEN d ELSE d + 1 END AS k, CASE WHEN hurt THEN 2 ELSE 1 END AS r FROM x),
+    b AS (SELECT *, FALSE AS old FROM ev UNION ALL SELECT s + 1, team, p, a, k, r, TRUE FROM ev WHERE a >= make_date(s + 1, 3, 1)),
+    l0 AS (SELECT *, lag(team) OVER w AS lt, lag(a) OVER w AS la FROM b WINDOW w AS (PARTITION BY s, p ORDER BY k, a, r, team)),
+    l1 AS (SELECT *, last_value(CASE WHEN lt IS DISTINCT FROM team THEN {{'was': lt, 'until': la}} END IGNORE NULLS) OVER (PARTITION BY s, p ORDER BY k, a, r, team ROWS UNBOUNDED PRECEDING) AS m FROM l0),
+    l AS (SELECT s, p, k, arg_max({{'now': team, 'was': m.was, 'until': m.until}}, (a, r, team)) AS o FROM l1 GROUP BY ALL),
+    t AS (SELECT s, p, team, k, max(max(a)) OVER (PARTITION BY s, p, team ORDER BY k) AS a FROM b GROUP BY s, p, team, k),
+    y AS (SELECT s, p, team, d, sum(sum(q)) OVER w AS m, sum(count(*)) OVER w AS n FROM x WHERE NOT hurt AND q > 0 GROUP BY s, p, team, d WINDOW w AS (PARTITION BY s, p, team ORDER BY d)),
+    z AS (SELECT s, team, d, row_number() OVER (PARTITION BY s, team ORDER BY d) AS days FROM (SELECT DISTINCT s, team, d FROM y)),
+    days AS (SELECT DISTINCT s, team, d FROM g),
+    c0 AS (SELECT days.s, days.team, days.d, q.p FROM days JOIN (SELECT DISTINCT s, p, team FROM b) q ON q.s = days.s AND q.team = days.team),
+    c1 AS (SELECT c0.*, t.a, o.now AS now, o.was AS was, o.until AS until FROM c0 ASOF JOIN t ON t.s = c0.s AND t.p = c0.p AND t.team = c0.team AND c0.d >= t.k ASOF JOIN l ON l.s = c0.s AND l.p = c0.p AND c0.d >= l.k),
+    c2 AS (SELECT c1.*, y1.m AS m1, y0.m AS m0, coalesce(w1.m / w1.n, w0.m / w0.n, 0) AS was_mean FROM c1 ASOF LEFT JOIN y y1 ON y1.s = c1.s AND y1.p = c1.p AND y1.team = c1.team AND c1.d > y1.d
+      ASOF LEFT JOIN y y0 ON y0.s + 1 = c1.s AND y0.p = c1.p AND y0.team = c1.team AND c1.d > y0.d ASOF LEFT JOIN y w1 ON w1.s = c1.s AND w1.p = c1.p AND w1.team = c1.was AND c1.d > w1.d
+      ASOF LEFT JOIN y w0 ON w0.s + 1 = c1.s AND w0.p = c1.p AND w0.team = c1.was AND c1.d > w0.d),
+    c3 AS (SELECT c2.*, z1.days AS days1, z0.days AS days0 FROM c2 ASOF LEFT JOIN z z1 ON z1.s = c2.s AND z1.team = c2.team AND c2.d > z1.d ASOF LEFT JOIN z z0 ON z0.s + 1 = c2.s AND z0.team = c2.team AND c2.d > z0.d),
+    u AS (SELECT s, team, d, {_p4_sums("far", _FAR)}, {_p4_sums("near", _NEAR)} FROM c3 GROUP BY ALL),
+    v AS (SELECT u.*, EXISTS (SELECT 1 FROM b WHERE b.s = u.s AND b.team = u.team AND old AND b.k <= u.d AND b.a >= make_date(u.s, 3, 15)) AS based FROM u),
+    f AS (SELECT s, team, d, CASE WHEN based AND far_n > 0 AND far_c > 0 THEN greatest(0, least(1, 1 - far_l / far_c)) END AS k1, CASE WHEN based AND far_n > 0 THEN least(1, far_new / 240) END AS i1,
+      CASE WHEN near_n > 0 AND near_c > 0 THEN greatest(0, least(1, 1 - near_l / near_c)) END AS k2, CASE WHEN near_n > 0 THEN least(1, near_new / 240) END AS i2 FROM v)
+    SELECT g.id AS game_id, g.team AS team_id, {{r:k1}} AS continuity, {{r:i1}} AS incoming, {{r:i1 + k1 - 1}} AS net, {{r:k2}} AS continuity_2m, {{r:i2}} AS incoming_2m, {{r:i2 + k2 - 1}} AS net_2m
+    FROM g LEFT JOIN f ON f.s = g.s AND f.team = g.team AND f.d = g.d"""
+
+
 def _officiated(s, d):
     return orders(s, d).select(F.col("id").alias("game_id"), F.col("season").alias("season_year"), F.col("d").alias("game_date"), "v", (F.col("k") % 20).alias("r1"), ((F.col("k") * 7 + 3) % 20).alias("r2"))
 
@@ -74,7 +121,94 @@ def _p5(s, d):
     return players.vote_share(r.where(F.col("game_date") >= "1995-03-01"), v, r.where("game_id % 10 = 0").select("game_id", "team_id", "player_id"))
 
 
+def _p5_features(s, d):
+    """Customers of orders as players of 200 squads. Votes list two of three with the squad of their first order of the year; every tenth order's customer is hurt, of the squad of the order before."""
+    p = _squads(s, d).where("game_date >= '1995-03-01'")
+    g = p.select(F.col("id").alias("game_id"), "team_id", "game_date")
+    rows = p.where("id % 3 > 0").select("player_id", "team_id", "game_date", F.col("id").alias("game_id"))
+    v = _squads(s, d).groupBy(F.col("season").alias("season_year"), "player_id").agg(F.count("*").alias("fan_votes"), F.min(F.col("id") % 50).cast("double").alias("score"), F.min_by("team_id", F.struct("game_date", "id")).alias("team_id"))
+    v = v.withColumn("team_id", F.when(F.col("player_id") % 3 > 0, F.col("team_id"))).where("player_id % 7 > 0")
+    hurt = p.where("id % 10 = 0").select(F.col("id").alias("game_id"), "team_id", "player_id")
+    return players.vote_features(g, rows, v, hurt, _j12(s, d).where("player_id <> 7"))
+
+
+_P5_FEATURES = f"""WITH {ORDERS}, s AS (SELECT *, (k % 40) || '/' || prio AS t, CAST(year(d) - (month(d) < 3)::INT AS INTEGER) AS y FROM o), g AS (SELECT * FROM s WHERE d >= DATE '1995-03-01'), r AS (SELECT * FROM g WHERE id % 3 > 0),
+    v AS (SELECT season AS y, k, count(*) AS v, min(id % 50) AS sc, CASE WHEN k % 3 > 0 THEN arg_min(t, (d, id)) END AS t FROM s WHERE k % 7 > 0 GROUP BY season, k), tot AS (SELECT y, sum(v) AS tv FROM v GROUP BY y),
+    rp AS (SELECT season, k, d, max(t) AS t FROM s GROUP BY ALL), rc AS (SELECT DISTINCT s.id, s.t, s.d, s.season, rp.k FROM s JOIN rp ON rp.season = s.season AND rp.t = s.t),
+    ro AS (SELECT id, t, k FROM (SELECT rc.id, rc.t, rc.k, rp.t AS last FROM rc ASOF JOIN rp ON rp.season = rc.season AND rp.k = rc.k AND rc.d > rp.d) WHERE last = t AND k <> 7),
+    h AS (SELECT id, t, k, d FROM g WHERE id % 10 = 0), hd AS (SELECT k, d, list(DISTINCT t) AS ts FROM h GROUP BY k, d),
+    c AS (SELECT g.id, g.t, v.k, 1 AS l, 0 AS h FROM g JOIN v ON v.y = g.y AND v.t = g.t UNION ALL SELECT g.id, g.t, r.k, 0, 0 FROM g JOIN r ON r.t = g.t AND r.d = g.d UNION ALL SELECT id, t, k, 0, 0 FROM ro UNION ALL SELECT id, t, k, 0, 1 FROM h),
+    f AS (SELECT c.id, c.t, c.k, g.d, g.y, v.v, v.sc, max(l) AS l, max(h) AS h FROM c JOIN g ON g.id = c.id AND g.t = c.t JOIN v ON v.y = g.y AND v.k = c.k GROUP BY ALL),
+    rd AS (SELECT k, d, arg_max(t, id) AS t FROM r GROUP BY k, d), a AS (SELECT f.*, rd.t AS latest FROM f ASOF LEFT JOIN rd ON rd.k = f.k AND f.d >= rd.d), b AS (SELECT a.*, hd.ts FROM a LEFT JOIN hd ON hd.k = a.k AND hd.d = a.d),
+    u AS (SELECT id, t, sum(v) AS v, count(*) AS n, min(sc) AS sc, max(v) FILTER (h = 1) AS hv, min(sc) FILTER (h = 1) AS hs FROM b WHERE h = 1 OR CASE WHEN ts IS NOT NULL THEN list_contains(ts, t) WHEN latest IS NOT NULL THEN latest = t ELSE l = 1 END GROUP BY id, t)
+    SELECT g.id AS game_id, g.t AS team_id, {{r:coalesce(u.v, 0) / tv}} AS vote_share, CAST(coalesce(u.v, 0) AS BIGINT) AS votes, coalesce(n, 0) AS n_candidates, {{r:sc}} AS min_score, {{r:coalesce(hv, 0) / tv}} AS vote_share_out, {{r:hs}} AS min_score_out, g.y AS voting_year
+    FROM g JOIN tot ON tot.y = g.y LEFT JOIN u ON u.id = g.id AND u.t = g.t"""
+
+
+def _j14_sources(s, d):
+    """Orders as rows of players, without every fourth player; orders in hand as injury lists; the rest by their customer's number."""
+    p = orders(s, d).select("season", F.col("k").alias("player_id"), F.col("prio").alias("team_id"), F.col("d").alias("game_date"), "status")
+    cut = p.groupBy("season").agg(F.date_sub(F.max("game_date"), 60).alias("cutoff"))
+    known = p.where("player_id % 3 > 0").select("season", "player_id", F.concat(F.lit("team "), (F.col("player_id") % 5).cast("string")).alias("team_id")).distinct()
+    return joins.team_at_cutoff(p.where("player_id % 4 > 0").drop("status"), cut, injuries=p.where("status = 'P' or player_id % 8 = 0").drop("status"), known=known, asked=p.select("season", "player_id"))
+
+
+def _p2_streaks(s, d):
+    """Orders as the games of ten teams, suppliers as players; one with a quantity of 20 or more is absent. With the slots' streaks of P2."""
+    g = _teams(s, d)
+    x = _appearances(s, d, g)
+    return players.absence_streaks(g.select("season_year", "game_id", "team_id", "game_date"), x.where("minutes >= 20 or player_id % 10 = 0").select("game_id", "team_id", "player_id").unionByName(g.select("game_id", "team_id", (F.col("game_id") % 4 + 1000).alias("player_id"))).unionByName(g.where("game_id % 40 > 2").select("game_id", "team_id", F.lit(2000).cast("long").alias("player_id"))))
+
+
+def _p2_slots(s, d):
+    """P2 over suppliers as players of every order, with the streaks of those who are out; an order's customer's tens are its team."""
+    x = items(s, d).select(F.col("g").alias("game_id"), F.col("s").alias("player_id"), F.col("d").alias("ship"), F.col("q").alias("minutes"), F.col("price").alias("pts")).join(_teams(s, d).select("game_id", "team_id", "game_date", "season_year"), "game_id")
+    x = x.groupBy("game_id", "team_id", "player_id", "season_year", "game_date").agg(F.sum("minutes").alias("minutes"), F.sum("pts").alias("pts"))
+    out = x.where("minutes < 15").select("game_id", "team_id", "player_id")
+    slots = players.player_availability_features(x, x.select("game_id", "team_id", "player_id", "game_date"), out, "pts")
+    got = players.with_streaks(slots, players.absence_streaks(x.select("season_year", "game_id", "team_id", "game_date"), out), "pts")
+    return got.select("game_id", "team_id", *[f"unavailable_pts_{c}_top_{i}" for i in range(1, 5) for c in ("player_id", "streak")])
+
+
+def _p2_bench(s, d):
+    x = items(s, d).join(_teams(s, d).select(F.col("game_id").alias("g"), "team_id", "game_date"), "g")
+    x = x.groupBy(F.col("g").alias("game_id"), "team_id", "game_date", F.col("s").alias("player_id")).agg(F.min("q").alias("minutes"), F.sum("price").alias("pts"), F.sum("disc").alias("pace"))
+    return players.bench_features(x, x.select("game_id", "team_id", "player_id", "game_date"), x.where("minutes > 45").select("game_id", "team_id", "player_id"), "pts", "pace")
+
+
 QUERIES = {
+    "p2_absence_streaks": entry(
+        _p2_streaks,
+        f"""WITH {_TEAMS}, p AS (SELECT *, row_number() OVER (PARTITION BY team ORDER BY d, id) AS pos FROM g), a AS (SELECT id, team, s FROM x WHERE q >= 20 OR s % 10 = 0 UNION SELECT id, team, id % 4 + 1000 FROM g UNION SELECT id, team, 2000 FROM g WHERE id % 40 > 2),
+        z AS (SELECT a.*, p.pos, p.season FROM a JOIN p ON p.id = a.id), y AS (SELECT *, pos - row_number() OVER (PARTITION BY team, s ORDER BY pos) AS i FROM z)
+        SELECT y.id AS game_id, y.team AS team_id, y.s AS player_id, (SELECT count(*) FROM y q WHERE q.team = y.team AND q.s = y.s AND q.i = y.i AND q.pos <= y.pos AND q.season >= y.season - 1) AS streak FROM y""",
+    ),
+    "p2_injured_streaks": entry(
+        _p2_slots,
+        f"""WITH {_TEAMS}, w AS (SELECT id, team, season, d, s, sum(q) AS m FROM x GROUP BY ALL), pr AS (SELECT g, s, sum(price) AS pts FROM i GROUP BY ALL),
+        f AS (SELECT w.*, list(pts) OVER v AS pl, list(m) OVER v AS ml FROM w JOIN pr ON pr.g = w.id AND pr.s = w.s WINDOW v AS (PARTITION BY w.s ORDER BY w.d, w.id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        e AS (SELECT *, coalesce(list_reduce(pl, lambda a, b: a * pow(2, -0.1) + b * (1 - pow(2, -0.1))), 0) AS val, coalesce(list_reduce(ml, lambda a, b: a * pow(2, -0.1) + b * (1 - pow(2, -0.1))), 0) AS mm FROM f),
+        r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY mm >= 12 DESC, val DESC, s) AS n FROM e WHERE m < 15),
+        p AS (SELECT id, team, season, row_number() OVER (PARTITION BY team ORDER BY d, id) AS pos FROM (SELECT DISTINCT id, team, season, d FROM w)), z AS (SELECT w.id, w.team, w.s, p.pos, p.season FROM w JOIN p ON p.id = w.id WHERE m < 15), y AS (SELECT *, pos - row_number() OVER (PARTITION BY team, s ORDER BY pos) AS i FROM z),
+        k AS (SELECT y.id, y.s, (SELECT count(*) FROM y q WHERE q.team = y.team AND q.s = y.s AND q.i = y.i AND q.pos <= y.pos AND q.season >= y.season - 1) AS streak FROM y)
+        SELECT p.id AS game_id, p.team AS team_id, {", ".join(f"max(r.s) FILTER (n = {i}) AS unavailable_pts_player_id_top_{i}, max(streak) FILTER (n = {i}) AS unavailable_pts_streak_top_{i}" for i in range(1, 5))}
+        FROM p LEFT JOIN r ON r.id = p.id LEFT JOIN k ON k.id = r.id AND k.s = r.s GROUP BY p.id, p.team""",
+    ),
+    "p2_bench_features": entry(
+        _p2_bench,
+        f"""WITH {ORDERS}, {ITEMS}, x AS (SELECT g, k % 10 AS team, o.d, s, min(q) AS m, sum(price) AS pts, sum(disc) AS pace FROM i JOIN o ON o.id = i.g GROUP BY ALL),
+        f AS (SELECT s, d, g, avg(m) OVER w AS am, avg(pts / m) OVER w AS ap, avg(pace) OVER w AS ac FROM x WHERE m > 2 WINDOW w AS (PARTITION BY s ORDER BY d, g ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
+        y AS (SELECT s, d, arg_max(am, g) AS am, arg_max(ap, g) AS ap, arg_max(ac, g) AS ac FROM f GROUP BY s, d), b AS (SELECT x.g, y.* FROM (SELECT * FROM x WHERE m <= 45) x ASOF JOIN y ON y.s = x.s AND x.d > y.d WHERE am BETWEEN 7 AND 21),
+        u AS (SELECT g, avg(ap) AS a, max(ap) AS b, avg(ac) AS c, max(ac) AS e, count(*) AS n FROM b GROUP BY g)
+        SELECT x.g AS game_id, x.team AS team_id, {{r:u.a}} AS bench_mean_pts_per_minute, {{r:u.b}} AS bench_max_pts_per_minute, {{r:u.c}} AS bench_mean_pace, {{r:u.e}} AS bench_max_pace, coalesce(u.n, 0) AS n_bench FROM (SELECT DISTINCT g, team FROM x) x LEFT JOIN u ON u.g = x.g""",
+    ),
+    "p5_vote_features": entry(_p5_features, _P5_FEATURES),
+    "j14_team_from_all_sources": entry(
+        _j14_sources,
+        f"""WITH {ORDERS}, c AS (SELECT season, max(d) - 60 AS c FROM o GROUP BY season), a AS (SELECT DISTINCT season, k FROM o),
+        x AS (SELECT o.season, k, arg_max(prio, (d, prio)) AS t FROM o JOIN c ON c.season = o.season AND d <= c WHERE k % 4 > 0 GROUP BY o.season, k), y AS (SELECT o.season, k, arg_max(prio, (d, prio)) AS t FROM o JOIN c ON c.season = o.season AND d <= c WHERE status = 'P' OR k % 8 = 0 GROUP BY o.season, k)
+        SELECT a.season, a.k AS player_id, coalesce(x.t, y.t, CASE WHEN a.k % 3 > 0 THEN 'team ' || (a.k % 5) END) AS team_id FROM a LEFT JOIN x ON x.season = a.season AND x.k = a.k LEFT JOIN y ON y.season = a.season AND y.k = a.k""",
+    ),
     "j12_roster_asof": entry(
         _j12,
         f"""WITH {ORDERS}, s AS (SELECT *, (k % 40) || '/' || prio AS t FROM o), p AS (SELECT season, k, d, max(t) AS t FROM s GROUP BY ALL), c AS (SELECT DISTINCT s.id, s.t, s.d, s.season, p.k FROM s JOIN p ON p.season = s.season AND p.t = s.t),
@@ -104,6 +238,7 @@ QUERIES = {
         SELECT g.id AS game_id, g.team AS team_id, {{r:coalesce(kept, 0) / tm}} AS continuity, {{r:coalesce(came, 0) / tm}} AS incoming, {{r:(coalesce(kept, 0) + coalesce(came, 0) - tm) / tm}} AS net
         FROM g LEFT JOIN tot ON tot.season = g.season AND tot.team = g.team LEFT JOIN h ON h.season = g.season AND h.d = g.d AND h.team = g.team""",
     ),
+    "p4_roster_windows": entry(_p4_windows, _P4_WINDOWS),
     "p4_roster_movement": entry(
         lambda s, d: (lambda g: players.roster_movement(_appearances(s, d, g), g.select("game_id", "team_id", "game_date"), days=30))(_teams(s, d)),
         f"""WITH {_TEAMS}, known AS (SELECT s, d, arg_max(team, id) AS team FROM x GROUP BY s, d), days AS (SELECT DISTINCT d FROM g), r AS (SELECT s, d, team, sum(q) AS m FROM x GROUP BY ALL),

@@ -71,8 +71,8 @@ def seed_spread(runs: DataFrame, group: list[str], metrics: list[str]) -> DataFr
 
 
 def run_summaries(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    """M6: the metric files root/<run>/metrics.json as one row per run."""
-    return spark.read.schema(schema).option("multiLine", True).json(f"{root}/*/metrics.json").withColumn("run_id", F.regexp_extract(F.input_file_name(), r"/([^/]+)/metrics\.json$", 1))
+    """M6: the metric files root/<run>/metrics.json, or folders of that name, as one row per run."""
+    return spark.read.schema(schema).option("multiLine", True).json(f"{root}/*/metrics.json").withColumn("run_id", F.regexp_extract(F.input_file_name(), r"/([^/]+)/metrics\.json", 1))
 
 
 def importance_stability(imp: DataFrame, k: int = 100, target: str = "target", model: str = "model", feature: str = "feature", importance: str = "importance", families: dict[str, str] = {}) -> DataFrame:  # noqa: B006

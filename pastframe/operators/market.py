@@ -22,9 +22,12 @@ def books_in(columns: list[str], market: str, suffix: str) -> list[str]:
 
 def market_features(df: DataFrame, books: list[str] | None = None, ref: str | None = None) -> DataFrame:
     """O1: per book mid line, probability difference, margin and log price ratio; how many books quote; row statistics across books;
-    favourite and implied team totals from a spread if there is one. A missing spread is no favourite (0), not null.
+    favourite and implied team totals from a spread if there is one. A missing spread is no favourite (0), not null. From
+    moneylines per book the home side's probability without the margin, and the margin; of their means over the books
+    that quote both sides, the favourite's probability, the gap between the sides, and the mean margin.
 
-    Reads <market>_<book>_line_over, line_under, price_over, price_under of totals and spread_<book>_line_home.
+    Reads <market>_<book>_line_over, line_under, price_over, price_under of totals, spread_<book>_line_home, and
+    ml_<book>_price_home and price_away.
     """
     books = books or books_in(df.columns, "total", "line_over")
     cols: dict[str, Column] = {}
@@ -41,6 +44,12 @@ def market_features(df: DataFrame, books: list[str] | None = None, ref: str | No
     if spread in df.columns:
         s = F.col(spread)
         out = out.withColumns({"odds_is_fav_home": F.coalesce(s < 0, F.lit(False)).cast("int"), "odds_abs_spread": F.abs(s), "odds_implied_home": line / 2 - s / 2, "odds_implied_away": line / 2 + s / 2, "odds_line_x_spread": line * F.abs(s)})
+    sides = {b: [1 / to_decimal(F.col(f"ml_{b}_price_{x}")) for x in ("home", "away")] for b in books_in(df.columns, "ml", "price_home") if f"ml_{b}_price_away" in df.columns}
+    if sides:
+        out = out.withColumns({c: x for b, (p, q) in sides.items() for c, x in ((f"odds_ml_{b}_home_prob", safe_div(p, p + q)), (f"odds_ml_{b}_vig", p + q - 1))})
+        mean = lambda kind: F.try_divide(reduce(Column.__add__, [F.coalesce(f"odds_ml_{b}_{kind}", F.lit(0.0)) for b in sides]), reduce(Column.__add__, [F.col(f"odds_ml_{b}_{kind}").isNotNull().cast("int") for b in sides]))
+        home = mean("home_prob")
+        out = out.withColumns({"odds_ml_favorite_prob": F.when(home.isNotNull(), F.greatest(home, 1 - home)), "odds_ml_prob_gap": F.abs(2 * home - 1), "odds_ml_vig_mean": mean("vig")})
     return out
 
 

@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from pastframe.functions.scalar import haversine_km
+from pastframe.operators.aggregates import with_row_stats
+from pastframe.sources.ordered import running_total
+from pastframe.sources.stored import stored
 
 
 def spec(keys: list[str], order: list[str]) -> WindowSpec:
@@ -179,11 +182,58 @@ def rolling_prior_dates_rows(df: DataFrame, value: str, n: int, date: str, order
     return df.withColumn("__day", F.to_date(date)).join(past, [*keys, "__day"], "left").drop("__day")
 
 
+#: Values are cut into so many bins of about as many rows each where medians are taken over all rows.
+MEDIAN_BINS = 256
+
+
 def rolling_days(df: DataFrame, value: str, days: int, date: str, func: str = "mean", keys: tuple[str, ...] = ()) -> DataFrame:
-    """Over the calendar days [d - days, d); with no key, days are aggregated first for what can be summed."""
-    w = Window.partitionBy(*keys).orderBy("__d").rangeBetween(-days, -1)
-    got = df.withColumn("__d", F.unix_date(F.to_date(date)))
-    return got.withColumn(f"{value}_{func}_{days}d_BEFORE", _FRAME_AGGS[func](value).over(w)).drop("__d")
+    """Mean, sum, count, std, min, max or median over the calendar days [d - days, d), per key or over all rows.
+
+    Days are summed up first, and the window runs over one row per key and day. Medians per key are taken over the key's
+    rows; those over all rows by counts of days and bins of values (median_of_days), so that no task sees all rows.
+    """
+    name = f"{value}_{func}_{days}d_BEFORE"
+    w = Window.partitionBy(*keys).orderBy(F.unix_date("__day")).rangeBetween(-days, -1)  # one row per key and day
+    got = df.withColumn("__day", F.to_date(date))
+    if func == "median":
+        past = median_of_days(got, value, days, name) if not keys else None
+        return got.withColumn(name, F.percentile(value, F.lit(0.5)).over(w)).drop("__day") if keys else got.join(past, "__day", "left").drop("__day")
+    mid = got.agg(F.coalesce(F.avg(value), F.lit(0.0)).alias("__mid"))  # squares are taken from here, so that they don't cancel
+    x = F.col(value).cast("double")
+    at = x - F.col("__mid")
+    daily = got.crossJoin(F.broadcast(mid)).groupBy(*keys, "__day").agg(F.sum(at).alias("s"), F.sum(at * at).alias("q"), F.count(value).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"), F.first("__mid").alias("m"))  # one row
+    s, q, n = (F.sum(c).over(w) for c in ("s", "q", "n"))
+    of = {"mean": F.try_divide(s, n) + F.col("m"), "sum": F.when(n > 0, s + n * F.col("m")), "count": F.coalesce(n, F.lit(0)), "min": F.min("lo").over(w), "max": F.max("hi").over(w), "std": F.when(n > 1, F.sqrt(F.greatest(q - s * s / n, F.lit(0.0)) / (n - 1)))}
+    return got.join(daily.select(*keys, "__day", of[func].alias(name)), [*keys, "__day"], "left").drop("__day")
+
+
+def median_of_days(df: DataFrame, value: str, days: int, name: str, bins: int = MEDIAN_BINS) -> DataFrame:
+    """(__day, name): the exact median of all rows of the days [d - days, d), for every day of df; null without such rows.
+
+    Rows are counted by day and value. Values are cut into bins of about as many rows by a running total over them. Counts
+    run over the days of each bin, and over the bins of each day: so each day knows the bin of its middle ranks and the
+    ranks within it, and only that bin's values of those days are ordered.
+    """
+    x = df.select("__day", F.col(value).cast("double").alias("v"))
+    day = x.select("__day").distinct()
+    some = stored(x.where("v is not null").groupBy("__day", "v").agg(F.count("*").alias("c")), "day-values")
+    values = running_total(some.groupBy("v").agg(F.sum("c").alias("c")), [F.col("v")], "before", F.col("c"), "values")
+    size = some.agg(F.ceil(F.greatest(F.sum("c"), F.lit(1)) / bins).alias("size"))
+    some = stored(some.join(values.crossJoin(F.broadcast(size)).select("v", F.floor(F.col("before") / F.col("size")).alias("bin")), "v"), "binned")  # one row
+    per = some.groupBy("bin", "__day").agg(F.sum("c").alias("c"))
+    grid = day.crossJoin(F.broadcast(per.select("bin").distinct())).join(per, ["bin", "__day"], "left")  # bins times dates
+    own = Window.partitionBy("bin").orderBy(F.unix_date("__day")).rangeBetween(-days, -1)
+    upto = Window.partitionBy("__day").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    all_ = Window.partitionBy("__day")
+    grid = grid.withColumn("n", F.coalesce(F.sum("c").over(own), F.lit(0))).where("n > 0")
+    grid = grid.withColumns({"before": F.coalesce(F.sum("n").over(upto), F.lit(0)), "all": F.sum("n").over(all_)})
+    rank = F.explode(F.array(F.floor((F.col("all") - 1) / 2), F.floor(F.col("all") / 2)))
+    asked = grid.withColumn("rank", rank).where("rank >= before and rank < before + n").select("__day", "bin", (F.col("rank") - F.col("before")).alias("rank"))
+    met = asked.groupBy("__day", "bin").agg(F.collect_list("rank").alias("ranks")).withColumn("then", F.explode(F.sequence(F.date_sub("__day", days), F.date_sub("__day", 1))))
+    met = met.join(some.withColumnRenamed("__day", "then"), ["bin", "then"]).groupBy("__day", "bin", "v").agg(F.sum("c").alias("c"), F.first("ranks").alias("ranks"))
+    below = F.coalesce(F.sum("c").over(Window.partitionBy("__day", "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    hits = met.withColumn("below", below).withColumn("k", F.size(F.filter("ranks", lambda r: (r >= F.col("below")) & (r < F.col("below") + F.col("c")))))
+    return hits.where("k > 0").groupBy("__day").agg((F.sum(F.col("v") * F.col("k")) / F.sum("k")).alias(name))
 
 
 def rolling_days_mean(df: DataFrame, value: str, days: int, date: str, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -236,23 +286,40 @@ def ewm_prior_dates(df: DataFrame, value: str, span: int, date: str, order: list
     return df.withColumn("__day", F.to_date(date)).join(ewm_by_date(df, value, span, date, order, keys), [*keys, "__day"], "left").drop("__day")
 
 
-def market_regime_features(df: DataFrame, actual: str, line: str, date: str, order: list[str], rows: tuple[int, ...] = (15, 30, 75, 150), days: tuple[int, ...] = (3, 7, 14), spans: tuple[int, ...] = (15, 30, 75), eps: float = 1e-6) -> DataFrame:
+def market_regime_features(df: DataFrame, actual: str, line: str, date: str, order: list[str], rows: tuple[int, ...] = (15, 30, 75, 150), days: tuple[int, ...] = (3, 7, 14), spans: tuple[int, ...] = (15, 30, 75), eps: float = 1e-6, open_line: str | None = None, books: tuple[str, ...] = ()) -> DataFrame:
     """How the line has done in the league lately: bias, error sizes, over and push rates, ratios, activity.
 
+    With an opening line also how far the line moved to its close, with and without sign, how often the close came nearer,
+    and the opening line's bias and errors; with two or more books' lines also how far they lie apart, in this row
+    (deviation of the population, range) and lately.
+
     All features are computed once per date: from the last rows of earlier dates, from sums per date, and from weights
     folded by date. A day window without a game is null, its game count 0.
     """
     e = F.col(actual) - F.col(line)
-    g = df.select(*{*order, date}, F.to_date(date).alias("__day"), F.col(actual).alias("__a"), F.col(line).alias("__l"), e.alias("__err"))
-    past = rows_before_dates(g, max(rows), date, order, ["__a", "__l", "__err"])
+    extra: dict[str, Column] = {}
+    if open_line:
+        opened = F.col(actual) - F.col(open_line)
+        extra |= {"__move": F.col(line) - F.col(open_line), "__open": opened, "__beats": F.when(e.isNotNull() & opened.isNotNull(), (F.abs(e) < F.abs(opened)).cast("double"))}
+    if len(books) > 1:
+        df = with_row_stats(df, list(books), "regime_crossbook").drop(*[f"regime_crossbook_{k}" for k in ("n", "mean", "iqr", "mad")])
+        extra["__apart"] = F.col("regime_crossbook_std")
+    g = df.select(*{*order, date}, F.to_date(date).alias("__day"), F.col(actual).alias("__a"), F.col(line).alias("__l"), e.alias("__err"), *[x.alias(c) for c, x in extra.items()])
+    past = rows_before_dates(g, max(rows), date, order, ["__a", "__l", "__err", *extra])
     v = F.col("__err")
     parts = {"bias": v, "mae": F.abs(v), "std": v, "median": v, "over": (v > 0).cast("double"), "push": (v == 0).cast("double"), "tail": (F.abs(v) > 15).cast("double"), "score": F.col("__a"), "line": F.col("__l")}
-    how = {"std": F.stddev_samp, "median": lambda c: F.percentile(c, F.lit(0.5))}
+    if open_line:
+        o, m = F.col("__open"), F.col("__move")
+        parts |= {"move": m, "abs_move": F.abs(m), "close_beats_open": F.col("__beats"), "open_bias": o, "open_mae": F.abs(o), "open_std": o}
+    if "__apart" in extra:
+        parts["crossbook_std"] = F.col("__apart")
+    how = {"std": F.stddev_samp, "open_std": F.stddev_samp, "median": lambda c: F.percentile(c, F.lit(0.5))}
     t = past.groupBy("__day").agg(*[how.get(k, F.avg)(F.when(F.col("__back") <= n, c)).alias(f"regime_{k}_{n}_BEFORE") for n in rows for k, c in parts.items()])
-    daily = g.groupBy("__day").agg(F.sum("__err").alias("s"), F.sum(F.abs("__err")).alias("a"), F.sum((v > 0).cast("double")).alias("o"), F.count("__err").alias("n"), F.count("*").alias("games"))
+    daily = g.groupBy("__day").agg(F.sum("__err").alias("s"), F.sum(F.abs("__err")).alias("a"), F.sum((v > 0).cast("double")).alias("o"), F.count("__err").alias("n"), F.count("*").alias("games"), *([F.sum(F.abs("__move")).alias("m"), F.count("__move").alias("nm")] if open_line else []))
     wd = {d: Window.partitionBy(F.lit(0)).orderBy(F.unix_date("__day")).rangeBetween(-d, -1) for d in (1, *days)}  # one row per date
     day_cols = [c for d in days for c in (F.try_divide(F.sum("s").over(wd[d]), F.sum("n").over(wd[d])).alias(f"regime_bias_{d}d_BEFORE"), F.try_divide(F.sum("a").over(wd[d]), F.sum("n").over(wd[d])).alias(f"regime_mae_{d}d_BEFORE"), F.try_divide(F.sum("o").over(wd[d]), F.sum("n").over(wd[d])).alias(f"regime_over_{d}d_BEFORE"))]
     day_cols += [F.coalesce(F.sum("games").over(wd[d]), F.lit(0)).alias(f"regime_games_{d}d_BEFORE") for d in (1, *days)]
+    day_cols += [F.try_divide(F.sum("m").over(wd[d]), F.sum("nm").over(wd[d])).alias(f"regime_abs_move_{d}d_BEFORE") for d in days] if open_line else []
     t = daily.select("__day", *day_cols).join(t, "__day", "left")
     for short, long in ((15, 75), (30, 150)):
         if short in rows and long in rows:

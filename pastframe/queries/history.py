@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from pastframe.operators import sets, topk, windows
@@ -24,6 +26,13 @@ _W16 = f"""WITH {ORDERS}, g AS (SELECT id, d, v, round(v, -4) AS l, v - round(v,
     {', '.join(f"{{r:m{s}}} AS regime_ewm_{s}_BEFORE, {{r:CASE WHEN w{s} * w{s} > ww{s} THEN sqrt(greatest(0, (q{s} / w{s} - m{s} * m{s}) * w{s} * w{s} / (w{s} * w{s} - ww{s}))) END}} AS regime_ewstd_{s}_BEFORE" for s in _SPANS)}
     FROM g JOIN w ON w.d = g.d JOIN z ON z.d = g.d LEFT JOIN x ON x.d = g.d"""
 
+def _w16_open(s, d):
+    """Orders as games: the line, the opening line and one of three books are missing in some."""
+    x = orders(s, d).withColumns({"line": F.when(F.col("id") % 9 > 0, F.round("v", -4)), "open": F.when(F.col("id") % 7 > 0, F.round(F.col("v") * 0.9, -4)), "b1": F.when(F.col("id") % 5 > 0, F.col("v") + 500), "b2": F.col("v") - 900})
+    got = windows.market_regime_features(x, "v", "line", "d", _O, (15, 30), (3,), (), open_line="open", books=("v", "b1", "b2"))
+    return got.select("id", *[c for c in got.columns if c.startswith("regime_") and any(w in c for w in ("move", "open", "crossbook"))])
+
+
 QUERIES = {
     "w1_rolling_mean": entry(
         lambda s, d: windows.rolling_mean(orders(s, d), ["v"], 5, ["k"], _O).select("id", F.col("v_last_5_BEFORE").alias("x")),
@@ -104,6 +113,21 @@ QUERIES = {
         lambda s, d: windows.rolling_days_mean(orders(s, d), "v", 14, "d", ("prio",)).select("id", F.col("v_mean_14d_BEFORE").alias("x")),
         f"WITH {ORDERS} SELECT id, {{r:avg(v) OVER (PARTITION BY prio ORDER BY d RANGE BETWEEN INTERVAL 14 DAYS PRECEDING AND INTERVAL 1 DAY PRECEDING)}} AS x FROM o",
     ),
+    "w14_rolling_days_all": entry(
+        lambda s, d: reduce(lambda df, f: windows.rolling_days(df, "v", 60, "d", f), ("mean", "std", "median", "min", "max", "count"), orders(s, d).select("id", "d", "v")).drop("d", "v"),
+        f"""WITH {ORDERS}, y AS (SELECT DISTINCT d FROM o), m AS (SELECT y.d, avg(v) AS a, stddev_samp(v) AS s, median(v) AS m, min(v) AS lo, max(v) AS hi, count(v) AS n FROM y LEFT JOIN o ON o.d < y.d AND o.d >= y.d - 60 GROUP BY y.d)
+        SELECT id, {{r:a}} AS v_mean_60d_BEFORE, {{r:s}} AS v_std_60d_BEFORE, {{r:m}} AS v_median_60d_BEFORE, {{r:lo}} AS v_min_60d_BEFORE, {{r:hi}} AS v_max_60d_BEFORE, n AS v_count_60d_BEFORE FROM o JOIN m ON m.d = o.d""",
+    ),
+    "w16_open_and_books": entry(
+        _w16_open,
+        f"""WITH {ORDERS}, q AS (SELECT *, CASE WHEN id % 9 > 0 THEN round(v, -4) END AS l, CASE WHEN id % 7 > 0 THEN round(v * 0.9, -4) END AS op, CASE WHEN id % 5 > 0 THEN v + 500 END AS b1 FROM o),
+        g AS (SELECT id, d, v - op AS oe, l - op AS mv, CASE WHEN v - l IS NOT NULL AND op IS NOT NULL THEN CAST(abs(v - l) < abs(v - op) AS INT) END AS bt, CASE WHEN b1 IS NULL THEN 0 ELSE (greatest(v, b1, v - 900) - least(v, b1, v - 900)) END AS unused,
+          list_stddev_pop(list_filter([v, b1, v - 900], lambda x: x IS NOT NULL)) AS sd, list_max(list_filter([v, b1, v - 900], lambda x: x IS NOT NULL)) - list_min(list_filter([v, b1, v - 900], lambda x: x IS NOT NULL)) AS rg, row_number() OVER (ORDER BY d, id) AS p FROM q), y AS (SELECT d, min(p) AS p0 FROM g GROUP BY d),
+        w AS (SELECT y.d, {", ".join(f"avg(mv) FILTER (g.p >= p0 - {n}) AS mv{n}, avg(abs(mv)) FILTER (g.p >= p0 - {n}) AS am{n}, avg(bt) FILTER (g.p >= p0 - {n}) AS bt{n}, avg(oe) FILTER (g.p >= p0 - {n}) AS ob{n}, avg(abs(oe)) FILTER (g.p >= p0 - {n}) AS om{n}, stddev_samp(oe) FILTER (g.p >= p0 - {n}) AS os{n}, avg(sd) FILTER (g.p >= p0 - {n}) AS sd{n}" for n in (15, 30))} FROM y LEFT JOIN g ON g.p < y.p0 AND g.p >= y.p0 - 30 GROUP BY y.d),
+        z AS (SELECT y.d, avg(abs(mv)) AS a3 FROM y LEFT JOIN g ON g.d < y.d AND y.d - g.d <= 3 GROUP BY y.d)
+        SELECT g.id, {{r:sd}} AS regime_crossbook_std, {{r:rg}} AS regime_crossbook_range, {{r:a3}} AS regime_abs_move_3d_BEFORE, {", ".join(f"{{r:{a}{n}}} AS regime_{c}_{n}_BEFORE" for n in (15, 30) for a, c in (("mv", "move"), ("am", "abs_move"), ("bt", "close_beats_open"), ("ob", "open_bias"), ("om", "open_mae"), ("os", "open_std"), ("sd", "crossbook_std")))}
+        FROM g JOIN w ON w.d = g.d JOIN z ON z.d = g.d""",
+    ),
     "w15_ewm_prior_dates": entry(
         lambda s, d: windows.ewm_prior_dates(orders(s, d), "v", 15, "d", ["id"], ("k",)).select("id", F.col("v_ewm_15_BEFORE").alias("x")),
         f"""WITH {ORDERS}, r AS (SELECT id, k, d, v, row_number() OVER (PARTITION BY k ORDER BY d, id) AS n FROM o),

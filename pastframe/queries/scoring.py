@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pastframe.operators import audits, experiments, players, scoring, splits
 from pastframe.queries.tables import ITEMS, ORDERS, entry, items, orders
+from pastframe.sources.stored import shared_folder, stored
 
 def _bets(s, d):
     """Line items as bets: the edge is the quantity less 25.5, the outcome the tax against the discount."""
@@ -18,6 +19,15 @@ _METRICS = """count(*) AS n_bets, count(*) FILTER (m > 0) AS wins, count(*) FILT
 _M = ["n_bets", "wins", "losses", "pushes", "win_rate", "profit", "roi"]
 
 
+def _m6_runs(s, d):
+    """Each of the five order priorities as a run that has written its metrics."""
+    root, runs = shared_folder(s, "runs"), orders(s, d).groupBy("prio").agg(F.avg("v").alias("roi"), F.count("*").alias("bets"))
+    runs = stored(runs, "run-metrics")
+    for run in "12345":
+        runs.where(F.col("prio").startswith(run)).drop("prio").coalesce(1).write.json(f"{root}/run-{run}/metrics.json")
+    return experiments.run_summaries(s, root, "roi double, bets long").where("bets is not null")
+
+
 QUERIES = {
     "e1_holdout_latest_dates": entry(
         lambda s, d: splits.holdout_latest_dates(orders(s, d), "d", n=500)[1].select("id", "d"),
@@ -178,6 +188,10 @@ QUERIES = {
         lambda s, d: experiments.win_rate_by(scoring.placed(_bets(s, d), "edge", "actual", "line"), ["flag", "ls"]),
         f"WITH {_PLACED} SELECT flag, ls, {{r:avg(CASE WHEN m > 0 THEN 1.0 WHEN m < 0 THEN 0.0 END)}} AS win_rate, count(*) FILTER (m <> 0) AS decided FROM c GROUP BY GROUPING SETS ((flag, ls), ())",
     ),
+    "m6_run_summaries": entry(
+        _m6_runs,
+        f"WITH {ORDERS} SELECT 'run-' || substr(prio, 1, 1) AS run_id, {{r:avg(v)}} AS roi, count(*) AS bets FROM o GROUP BY prio",
+    ),
     "m6_seed_spread": entry(
         lambda s, d: experiments.seed_spread(orders(s, d).withColumnRenamed("k", "seed"), ["prio"], ["v"]),
         f"WITH {ORDERS} SELECT prio, count(DISTINCT k) AS seeds, {{r:max(v) - min(v)}} AS v_spread, {{r:stddev_samp(v)}} AS v_std FROM o GROUP BY prio",

@@ -94,6 +94,12 @@ QUERIES = {
         f"""WITH {ITEMS}, b AS (SELECT g, max(q) + 180 AS la, min(q) + 185 AS lb, max(disc) + 1.8 AS po, max(tax) + 1.85 AS pu, max(CASE WHEN n = 1 THEN q - 25 END) AS sp FROM i GROUP BY g)
         SELECT g, {{r:la}} AS odds_total_a_mid, {{r:1 / po + 1 / pu - 1}} AS odds_total_b_vig, {{r:(la + lb) / 2}} AS odds_total_mid_mean, {{r:abs(la - lb)}} AS odds_total_mid_range, coalesce(sp < 0, FALSE)::INT AS odds_is_fav_home, {{r:la / 2 - sp / 2}} AS odds_implied_home FROM b""",
     ),
+    "o1_moneyline": entry(
+        lambda s, d: market.market_features(_odds(s, d).join(items(s, d).groupBy("g").agg(F.max(F.when(F.col("n") == 1, F.col("q") * 5 + 101)).alias("ml_a_price_home"), (F.min("q") * -3 - 100).alias("ml_a_price_away"), (F.max("disc") * 8 + 1.2).alias("ml_b_price_home"), F.max(F.when(F.col("n") > 2, F.col("tax") * 9 + 1.3)).alias("ml_b_price_away")), "g")).select("g", "odds_ml_a_home_prob", "odds_ml_b_vig", "odds_ml_favorite_prob", "odds_ml_prob_gap", "odds_ml_vig_mean"),
+        f"""WITH {ITEMS}, b AS (SELECT g, 1 / (1 + max(CASE WHEN n = 1 THEN q * 5 + 101 END) / 100) AS ph, 1 / (1 + 100 / (min(q) * 3 + 100)) AS pa, 1 / (max(disc) * 8 + 1.2) AS qh, 1 / max(CASE WHEN n > 2 THEN tax * 9 + 1.3 END) AS qa FROM i GROUP BY g),
+        c AS (SELECT g, ph / (ph + pa) AS h1, qh / (qh + qa) AS h2, ph + pa - 1 AS v1, qh + qa - 1 AS v2 FROM b), m AS (SELECT *, list_avg(list_filter([h1, h2], lambda x: x IS NOT NULL)) AS h, list_avg(list_filter([v1, v2], lambda x: x IS NOT NULL)) AS v FROM c)
+        SELECT g, {{r:h1}} AS odds_ml_a_home_prob, {{r:v2}} AS odds_ml_b_vig, {{r:CASE WHEN h IS NOT NULL THEN greatest(h, 1 - h) END}} AS odds_ml_favorite_prob, {{r:abs(2 * h - 1)}} AS odds_ml_prob_gap, {{r:v}} AS odds_ml_vig_mean FROM m""",
+    ),
     "o2_side_differences": entry(
         lambda s, d: market.side_differences(items(s, d).select("g", "n", "p", F.col("q").alias("X_BEFORE_TEAM_HOME"), F.col("tax").alias("X_BEFORE_TEAM_AWAY")), ["_BEFORE$|_BEFORE_"]).select("g", "n", "p", F.col("X_BEFORE_DIFF").alias("x")),
         f"WITH {ITEMS} SELECT g, n, p, {{r:q - tax}} AS x FROM i",

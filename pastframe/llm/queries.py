@@ -52,13 +52,14 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chat_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 6 on calls, which the given conversations lack: every assistant's turn is told as a call, the user's turn after it as its result.
 
-    A call's arguments are its turn and the length of its text, and it depends on the conversation's call before. Every
+    A call's arguments are its turn and the length of its text, and it depends on the conversation's call before, or in
+    conversations whose id leaves 3 by 7 on the one after. Every
     fourth conversation has no schema; every third one's schema knows no length, and those of an even id allow turns of
     one and three only. A last turn of the assistant has no result; in conversations whose id leaves 1 by 5, results name another call.
     """
     m = _table(spark, sf_dir, "conversations")
     w = Window.partitionBy("conv_id", "role").orderBy("turn")
-    m = m.withColumn("before", F.lag("turn").over(w)).withColumn("asked", F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn")) == "assistant")
+    m = m.withColumn("before", F.when(F.col("conv_id") % 7 == 3, F.lead("turn").over(w)).otherwise(F.lag("turn").over(w))).withColumn("asked", F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn")) == "assistant")
     name = lambda turn: F.concat(F.lit("call-"), turn.cast("string"))
     args = F.to_json(F.struct(F.length("text").alias("size"), F.col("turn").cast("int").alias("turn")))
     call = F.to_json(F.struct(F.array(F.struct(name(F.col("turn")).alias("id"), F.lit("reply").alias("name"), args.alias("arguments"), F.when(F.col("before").isNotNull(), F.array(name(F.col("before")))).otherwise(F.array().cast("array<string>")).alias("depends_on"))).alias("tool_calls")))
@@ -118,7 +119,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 #: For conversations without tool calls, which is what the tables hold; chat_tool_links has calls.
 OP6_SQL = """
-SELECT conv_id, CAST(turn AS INTEGER) AS turn, 0 AS level, 'message' AS kind, CAST(NULL AS VARCHAR) AS call_id,
+SELECT conv_id, CAST(turn AS INTEGER) AS turn, CAST(turn AS INTEGER) AS order_turn, 0 AS level, 'message' AS kind, CAST(NULL AS VARCHAR) AS call_id,
   CAST(NULL AS VARCHAR) AS status, CAST(NULL AS VARCHAR) AS problem,
   CAST(to_json({'content': text, 'conv_id': conv_id, 'role': role, 'turn': CAST(turn AS INTEGER)}) AS VARCHAR) AS json
 FROM conversations
@@ -127,22 +128,23 @@ FROM conversations
 LINKS_SQL = """
 WITH m AS (
   SELECT conv_id, CAST(turn AS INTEGER) AS turn, role, text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1 AS k,
-    lag(turn) OVER (PARTITION BY conv_id, role ORDER BY turn) AS before, coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn) = 'assistant', FALSE) AS asked,
+    CASE WHEN conv_id % 7 = 3 THEN lead(turn) OVER (PARTITION BY conv_id, role ORDER BY turn) ELSE lag(turn) OVER (PARTITION BY conv_id, role ORDER BY turn) END AS before,
+    count(*) OVER (PARTITION BY conv_id, role) AS n, max(turn) OVER (PARTITION BY conv_id, role) AS last_turn, coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn) = 'assistant', FALSE) AS asked,
     coalesce(lead(role) OVER (PARTITION BY conv_id ORDER BY turn) = 'user', FALSE) AS answered
   FROM conversations
 ), c AS (
-  SELECT conv_id, turn, CAST(k AS INTEGER) AS level, 'call-' || turn AS call_id, CASE WHEN answered AND conv_id % 5 <> 1 THEN 'linked' ELSE 'orphan' END AS status,
+  SELECT conv_id, turn, CAST(CASE WHEN conv_id % 7 = 3 THEN last_turn ELSE turn END AS INTEGER) AS order_turn, CAST(CASE WHEN conv_id % 7 = 3 THEN n - 1 - k ELSE k END AS INTEGER) AS level, 'call-' || turn AS call_id, CASE WHEN answered AND conv_id % 5 <> 1 THEN 'linked' ELSE 'orphan' END AS status,
     CASE WHEN conv_id % 4 = 3 THEN 'unknown tool' WHEN conv_id % 3 = 0 THEN '$.size: not allowed' WHEN conv_id % 2 = 0 AND turn NOT IN (1, 3) THEN '$.turn: not one of the allowed values' END AS problem,
     '{"arguments":{"size":' || length(text) || ',"turn":' || turn || '},"call_id":"call-' || turn || '","conv_id":' || conv_id || ',"depends_on":[' || coalesce('"call-' || before || '"', '') || '],"name":"reply","turn":' || turn || '}' AS json
   FROM m WHERE role = 'assistant'
 )
-SELECT conv_id, turn, level, 'call' AS kind, call_id, status, problem, json FROM c
+SELECT conv_id, turn, order_turn, level, 'call' AS kind, call_id, status, problem, json FROM c
 UNION ALL
-SELECT conv_id, turn, -1, 'message', NULL, NULL, NULL, NULL FROM c
+SELECT conv_id, turn, turn, -1, 'message', NULL, NULL, NULL, NULL FROM c
 UNION ALL
-SELECT conv_id, turn, 0, 'message', NULL, NULL, NULL, NULL FROM m WHERE role <> 'assistant' AND NOT (role = 'user' AND asked)
+SELECT conv_id, turn, turn, 0, 'message', NULL, NULL, NULL, NULL FROM m WHERE role <> 'assistant' AND NOT (role = 'user' AND asked)
 UNION ALL
-SELECT m.conv_id, m.turn, coalesce(c.level, 0), 'result', CASE WHEN m.conv_id % 5 = 1 THEN 'call-none' ELSE 'call-' || (m.turn - 1) END, CASE WHEN c.level IS NULL THEN 'orphan' ELSE 'linked' END, NULL,
+SELECT m.conv_id, m.turn, greatest(m.turn, c.order_turn), coalesce(c.level, 0), 'result', CASE WHEN m.conv_id % 5 = 1 THEN 'call-none' ELSE 'call-' || (m.turn - 1) END, CASE WHEN c.level IS NULL THEN 'orphan' ELSE 'linked' END, NULL,
   '{"call_id":"' || CASE WHEN m.conv_id % 5 = 1 THEN 'call-none' ELSE 'call-' || (m.turn - 1) END || '","content":"' || md5(m.text) || '","conv_id":' || m.conv_id || ',"role":"tool","turn":' || m.turn || '}'
 FROM m LEFT JOIN c ON c.conv_id = m.conv_id AND c.turn = m.turn - 1 AND m.conv_id % 5 <> 1 WHERE m.role = 'user' AND m.asked
 """

@@ -459,12 +459,12 @@ def test_calls_are_linked_ordered_and_checked(spark):
     rows = tool_calls.formatted(df).collect()
     by = {(r.kind, r.call_id, r.status): r for r in rows if r.kind != "message"}
     assert by["call", "c1", "linked"].level == 0 and by["call", "c2", "linked"].level == 1
-    assert by["result", "c1", "linked"].turn == 3 and ("result", "c2", "repeat") in by and ("result", "zz", "orphan") in by
+    assert by["result", "c1", "linked"].order_turn == 3 and by["result", "c1", "linked"].turn == 2 and ("result", "c2", "repeat") in by and ("result", "zz", "orphan") in by
     assert by["call", "c2", "linked"].problem == "$.a: missing" and by["call", "c1", "linked"].problem is None
     assert by["call", "c1", "linked"].json.startswith('{"arguments":{"a":2,"z":1},"call_id":"c1"')
     assert by["call", "a", "cycle"].problem == "$: not JSON" and ("call", "b", "cycle") in by
     assert [json.loads(r.json)["content"] for r in rows if r.conv_id == 3] == [None]
-    order = sorted((r.turn, r.level, r.kind, r.call_id) for r in rows if r.conv_id == 1 and r.call_id in ("c1", "c2") and r.status == "linked")
+    order = sorted((r.order_turn, r.level, r.kind, r.call_id) for r in rows if r.conv_id == 1 and r.call_id in ("c1", "c2") and r.status == "linked")
     assert [(k, c) for _, _, k, c in order] == [("call", "c1"), ("result", "c1"), ("call", "c2"), ("result", "c2")]
     assert tool_calls.formatted(df.where("false")).count() == 0
 
@@ -504,19 +504,36 @@ def test_odd_calls_lose_nothing(spark):
     assert '{"a":"?"}' in next(r.json for r in got if r.call_id == "c2") and all(json.loads(r.json) for r in got)
 
 
+def test_calls_come_after_what_they_wait_for_in_later_turns(spark):
+    call = lambda i, *on: json.dumps({"tool_calls": [{"id": i, "name": "f", "arguments": "{}", "depends_on": list(on)}]})
+    rows = [(1, 1, "assistant", call("a", "b")), (1, 2, "tool", json.dumps({"tool_call_id": "a", "content": "early"})), (1, 3, "assistant", call("b")), (1, None, "assistant", call("c")), (1, 2, "assistant", call("d", "a", "c"))]
+    got = {(r.kind, r.call_id): r for r in tool_calls.formatted(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect() if r.kind != "message"}
+    assert {k: (r.turn, r.order_turn, r.level) for k, r in got.items()} == {("call", "a"): (1, 3, 1), ("result", "a"): (2, 3, 1), ("call", "b"): (3, 3, 0), ("call", "c"): (None, None, 0), ("call", "d"): (2, 3, 2)}
+
+
 def test_long_conversations_are_settled_alike(spark):
     rng = np.random.default_rng(5)
-    calls = [(c, f"n{i}", [f"n{j}" for j in rng.choice(max(i, 1), min(i, 2), replace=False)] + (["gone"] if i % 7 == 0 else [])) for c in (1, 2) for i in range(40)]
-    calls += [(3, "a", ["b"]), (3, "b", ["a"]), (3, "c", ["a"]), (3, "d", []), (4, "z", ["z"])]
-    df = spark.createDataFrame(calls, "conv_id long, call_id string, depends_on array<string>")
+    calls = [(c, f"n{i}", int(rng.integers(30)), [f"n{j}" for j in rng.choice(max(i, 1), min(i, 2), replace=False)] + (["gone"] if i % 7 == 0 else [])) for c in (1, 2) for i in range(40)]
+    calls += [(3, "a", 1, ["b"]), (3, "b", 1, ["a"]), (3, "c", 2, ["a"]), (3, "d", 0, []), (4, "z", 0, ["z"])]
+    df = spark.createDataFrame(calls, "conv_id long, call_id string, turn int, depends_on array<string>")
     want = {}
     for c in {x[0] for x in calls}:
-        want |= {(c, k): v for k, v in tool_calls.settle([x[1] for x in calls if x[0] == c], {x[1]: x[2] for x in calls if x[0] == c}).items()}
-    for most in (1, 60, 10_000):
-        assert {(r.conv_id, r.call_id): r.level for r in tool_calls._levels(df, most).collect()} == want
-    assert want[3, "d"] == 0 and not any(k in want for k in [(3, "a"), (3, "c"), (4, "z")])
-    waits = {x[1]: x[2] for x in calls if x[0] == 1}
-    assert all(want[1, k] == max((want[1, w] + 1 for w in ws if w != "gone"), default=0) for k, ws in waits.items())
+        want |= {(c, k): v for k, v in tool_calls.settle({x[1]: x[2] for x in calls if x[0] == c}, {x[1]: x[3] for x in calls if x[0] == c}).items()}
+    for most in (20, 60, 10_000):
+        assert {(r.conv_id, r.call_id): (r.level, r.after) for r in tool_calls._levels(df, most).collect()} == want
+    assert want[3, "d"] == (0, 0) and not any(k in want for k in [(3, "a"), (3, "c"), (4, "z")])
+    own = {x[1]: x for x in calls if x[0] == 1}
+    for k, (_, _, turn, ws) in own.items():
+        on = [want[1, w] for w in ws if w != "gone"]
+        assert want[1, k] == (max((x + 1 for x, _ in on), default=0), max([turn, *(t for _, t in on)]))
+
+
+def test_a_long_chain_takes_few_rounds(spark):
+    n = 20_000
+    df = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.concat(F.lit("c"), "id").alias("call_id"), F.col("id").cast("int").alias("turn"), F.when(F.col("id") > 0, F.array(F.concat(F.lit("c"), F.col("id") - 1))).otherwise(F.array().cast("array<string>")).alias("depends_on"))
+    began = time.time()
+    got = tool_calls._levels(df, 10_000)
+    assert got.where("level = after and concat('c', level) = call_id").count() == n and time.time() - began < 120
 
 
 @pytest.mark.parametrize("name", ["op6_chat_formatting", "op9_warc", "chat_tool_links"])

@@ -26,7 +26,7 @@ def _st4(spark, d):
     src = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events*.parquet")
     sink = shared_folder(spark, "latest")
     streaming.stream_latest(src.select("user_id", "event_type", "ts", "event_id", "value"), sink, shared_folder(spark, "latest-state"), ["user_id", "event_type"], "ts").awaitTermination()
-    return streaming.latest_version(spark, sink).select("user_id", "event_type", "event_id")
+    return streaming.latest(spark, sink, ["user_id", "event_type"], "ts").select("user_id", "event_type", "event_id")
 
 
 QUERIES = {

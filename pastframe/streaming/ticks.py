@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pastframe.operators.topk import latest_per_key
-from pastframe.sources.writers import append_new, upsert
+from pastframe.sources.writers import append_new
 
 KEYS = ["game_id", "market", "book", "line_ts"]
 
@@ -98,34 +99,51 @@ def stream_path_state(ticks: DataFrame, level: str = "level", tie: str = "tick_i
 
 
 def stream_latest(preds: DataFrame, sink: str, checkpoint: str, keys: list[str], at: str) -> StreamingQuery:
-    """ST4: the latest prediction per key. Each batch makes a new version of the table; readers take the last complete one.
+    """ST4: the latest prediction per key, read by latest(). A batch writes the latest rows of its own keys, as a run of one batch.
 
-    The version before stays for those who still read it, and older ones go.
+    Two neighbouring runs of as many batches each are merged into one, like a carry in binary counting: a row is written
+    again log2(batches) times in all, and a batch's writes grow with its keys, not with the table. A batch that is tried
+    again writes its run anew, or finds it merged and does nothing. What has been merged goes with the next batch, so that
+    those who read it can end.
     """
 
     def write(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        new = latest_per_key(batch, keys, [at])
-        if (old := latest_version(spark, sink, n - 1)) is not None:
-            new = upsert(old, latest_per_key(old.unionByName(new), keys, [at]), keys, [at])
-        new.write.mode("overwrite").parquet(f"{sink}/version={n}")
-        for old_version in sorted(versions(spark, sink))[:-2]:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f"{sink}/version={old_version}")
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        done = runs(spark, sink)
+        for lo, hi in set(done) - set(cover(done)):
+            delete(spark, f"{sink}/run={lo}-{hi}")
+        if any(hi >= n for _, hi in done):
+            return
+        latest_per_key(batch, keys, [at]).write.mode("overwrite").parquet(f"{sink}/run={n}-{n}")
+        own = [*cover(done), (n, n)]
+        while len(own) > 1 and own[-1][1] - own[-1][0] == own[-2][1] - own[-2][0] and own[-2][1] + 1 == own[-1][0]:
+            (lo, _), (_, hi) = own[-2:]
+            both = [spark.read.parquet(f"{sink}/run={a}-{b}") for a, b in own[-2:]]
+            latest_per_key(both[0].unionByName(both[1]), keys, [at]).write.mode("overwrite").parquet(f"{sink}/run={lo}-{hi}")
+            own[-2:] = [(lo, hi)]
 
     return preds.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def versions(spark: SparkSession, sink: str) -> list[int]:
-    """ST4: the numbers of the complete versions."""
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def runs(spark: SparkSession, sink: str) -> list[tuple[int, int]]:
+    """ST4: first and last batch of each run that is complete."""
     p = spark._jvm.org.apache.hadoop.fs.Path(sink)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return []
-    return [int(s.getPath().getName().removeprefix("version=")) for s in fs.listStatus(p) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{sink}/{s.getPath().getName()}/_SUCCESS"))]
+    names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(tuple(map(int, n.removeprefix("run=").split("-"))) for n in names if n.startswith("run=") and exists(spark, f"{sink}/{n}/_SUCCESS"))
+
+
+def cover(done: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """ST4: the runs that no other run holds, in order: together all batches, each once."""
+    return [r for r in done if not any(o != r and o[0] <= r[0] and r[1] <= o[1] for o in done)]
 
 
-def latest_version(spark: SparkSession, sink: str, most: int | None = None) -> DataFrame | None:
-    """ST4: the table after the last batch (number `most` at most)."""
-    done = [v for v in versions(spark, sink) if most is None or v <= most]
-    return spark.read.parquet(f"{sink}/version={max(done)}") if done else None
+def latest(spark: SparkSession, sink: str, keys: list[str], at: str) -> DataFrame | None:
+    """ST4: the table after the last batch: the latest row per key over the runs, of which there are log2(batches) or so."""
+    tables = [spark.read.parquet(f"{sink}/run={lo}-{hi}") for lo, hi in cover(runs(spark, sink))]
+    return latest_per_key(reduce(DataFrame.unionByName, tables), keys, [at]) if tables else None

@@ -146,3 +146,20 @@ def test_helpers(spark):
     audits.assert_frames_equal(df, df.orderBy(F.col("id").desc()), ["id"])
     with pytest.raises(Exception):  # noqa: B017
         audits.assert_frames_equal(df, df.withColumn("b", F.col("b") + 1), ["id"])
+
+
+def test_latest_rows_are_merged_like_a_carry(spark, tmp_path):
+    from pastframe.operators.topk import latest_per_key
+    from pastframe.streaming import ticks as streaming
+
+    rng = np.random.default_rng(2)
+    src, sink = f"{tmp_path}/src", f"{tmp_path}/sink"
+    read = lambda: spark.readStream.schema("k int, at int, v int").option("maxFilesPerTrigger", 1).parquet(src)
+    for n in range(9):
+        spark.createDataFrame([(int(k), int(rng.integers(1000)) * 10 + n, i) for i, k in enumerate(rng.integers(0, 30, 12))], "k int, at int, v int").dropDuplicates(["k", "at"]).coalesce(1).write.mode("append").parquet(src)
+        if n in (6, 8):
+            streaming.stream_latest(read(), sink, f"{tmp_path}/log", ["k"], "at").awaitTermination()
+            assert [hi - lo + 1 for lo, hi in streaming.cover(streaming.runs(spark, sink))] == ([4, 2, 1] if n == 6 else [8, 1])
+            want = latest_per_key(spark.read.parquet(src), ["k"], ["at"])
+            assert {(r.k, r["at"]) for r in streaming.latest(spark, sink, ["k"], "at").collect()} == {(r.k, r["at"]) for r in want.collect()}
+    assert len(streaming.runs(spark, sink)) <= 6 and streaming.latest(spark, f"{tmp_path}/none", ["k"], "at") is None

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pastframe.operators import joins, players
+from pastframe.plans import frames
+from pastframe.queries import scoring
 from pastframe.queries.tables import ITEMS, ORDERS, entry, items, orders
 
 
@@ -176,6 +178,30 @@ def _p2_bench(s, d):
     return players.bench_features(x, x.select("game_id", "team_id", "player_id", "game_date"), x.where("minutes > 45").select("game_id", "team_id", "player_id"), "pts", "pace")
 
 
+#: Of each family its columns in the frame, and the query that has the same games.
+_FAMILIES = {
+    "bench": ("p2_bench_features", ["bench_mean_pts_per_minute", "bench_max_pace", "n_bench"]),
+    "roster": ("p4_roster_windows", ["continuity", "incoming", "net", "continuity_2m", "incoming_2m", "net_2m"]),
+    "crew": ("r1_official_effects", ["v_official_mean", "v_official_std"]),
+}
+
+
+def _b0_families(s, d):
+    """Every order as a team's game: its history, bench, roster windows and officials."""
+    g = _teams(s, d).select("game_id", "team_id", "game_date", "v")
+    crew = players.official_effects(scoring._officiated(s, d), ["r1", "r2"], ["v"])
+    got = frames.team_frame(g, ["v"], {"bench": _p2_bench(s, d), "roster": _p4_windows(s, d)}, {"crew": crew})
+    return got.select("game_id", "team_id", "v_last_5_BEFORE", "v_last_10_BEFORE", *[f"{f}_{c}_BEFORE" for f, (_, cols) in _FAMILIES.items() for c in cols])
+
+
+def _b0_sql():
+    known = QUERIES | scoring.QUERIES
+    cols = ", ".join(f"{f}.{c} AS {f}_{c}_BEFORE" for f, (_, cs) in _FAMILIES.items() for c in cs)
+    on = " ".join(f"LEFT JOIN ({known[q][1]}) {f} ON {f}.game_id = h.game_id" for f, (q, _) in _FAMILIES.items())
+    w = "(PARTITION BY k % 10 ORDER BY d, id ROWS BETWEEN {} PRECEDING AND 1 PRECEDING)"
+    return f"""SELECT h.*, {cols} FROM (WITH {ORDERS} SELECT id AS game_id, k % 10 AS team_id, {{r:avg(v) OVER {w.format(5)}}} AS v_last_5_BEFORE, {{r:avg(v) OVER {w.format(10)}}} AS v_last_10_BEFORE FROM o) h {on}"""
+
+
 QUERIES = {
     "p2_absence_streaks": entry(
         _p2_streaks,
@@ -261,3 +287,5 @@ QUERIES = {
         SELECT g.id AS game_id, {{r:a.m - b.m}} AS v_crew_effect FROM g JOIN m a ON a.c = g.c AND a.season = g.season AND a.d = g.d JOIN m b ON b.c IS NULL AND b.season = g.season AND b.d = g.d""",
     ),
 }
+
+QUERIES["b0_team_frame"] = entry(_b0_families, _b0_sql())

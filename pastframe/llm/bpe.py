@@ -275,7 +275,8 @@ def engine(vocab_path: str, joined: bool) -> tuple[Encoder, Decoder]:
 def encode_decode(df: DataFrame, vocab_path: str, text_col: str = "text", ids_out: str = "ids", decoded_out: str = "decoded", joined: bool = True) -> DataFrame:
     """df with the ids of each whole text and the text that they decode to; null text counts as empty: no ids, "".
 
-    Columns of these names are replaced, others pass through. vocab_path must be readable on every executor.
+    Columns of these names are replaced, others pass through. vocab_path must be readable on every executor. Very long texts
+    are encoded whole, token by token; rows repeated whole are each encoded; an empty table gives no rows.
     """
 
     def made(texts: list[str], state: tuple[Encoder, Decoder]) -> list[pa.Array]:

@@ -194,7 +194,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, p: Boosting = Boosting(),
     base_failed: fewer than 20 words, or over 30 % of the words in repeated windows. kept: not base_failed, and a score of
     `least` or more. The trees learn from labelled rows that pass the base rules (p.max_rows of them at most; an id
     labelled twice counts with its smaller label); without labels the score is 0.5 and the base rules alone decide.
-    Null text counts as empty: base_failed. Repeated rows get equal results; other columns are not carried.
+    Null text counts as empty: base_failed. Very long texts are read whole. Repeated rows get equal results; other columns
+    are not carried. An empty table gives no rows.
     """
     d = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias("text"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))

@@ -83,7 +83,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     component_id is the smallest id reachable over links of RADIUS or fewer differing bits. Null and empty texts have
     fingerprint 0 and are linked like any other; null ids stay, and are never a component's id unless all its ids are
-    null. Repeated rows stay repeated. An empty table gives no rows; other columns are not carried.
+    null. Repeated rows stay repeated. Very long texts count whole. An empty table gives no rows; other columns are not carried.
     """
     fps = with_fingerprint(df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), "text", "fp", words, seed).select("id", "fp")
     fps = written(fps, "fingerprints")

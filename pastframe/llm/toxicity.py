@@ -162,7 +162,9 @@ def held_out(id_col: str = "doc_id", folds: int = 5):
 def toxicity(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """id, held_out, score and predicted (score of 0.5 or more) of every row; learns from rows that aren't held out.
 
-    Repeated rows get equal scores. An id labelled more than once counts with its largest label.
+    Repeated rows get equal scores. An id labelled more than once counts with its largest label. Null and empty texts get
+    the score of a text without features; very long texts are read whole. Rows without an id are held out of nothing and
+    have no label. Other columns are not carried. An empty table gives no rows; without labels every score is 0.5.
     """
     docs = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias("text"))
     marks = labels.where(F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(label_col).alias("label"))

@@ -93,7 +93,7 @@ _KINDS, _RUN = _Kinds(), re.compile(r"(.)\1+", re.DOTALL)
 
 def shape(word: str) -> str:
     """The word's kinds of characters, runs as one: X, x and d for letters and digits, other signs as they are."""
-    return _RUN.sub(r"\1", "".join(map(_KINDS.__getitem__, word[:64])))
+    return _RUN.sub(r"\1", "".join(map(_KINDS.__getitem__, word)))
 
 
 def shape_table() -> WordTable:
@@ -179,7 +179,10 @@ def with_quality(df: DataFrame, model: QualityModel, text_col: str = "text", out
 
 
 def quality(docs: DataFrame, p: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """id, score and kept (score of `least` or more) of every row; repeated rows get equal results."""
+    """id, score and kept (score of `least` or more) of every row; repeated rows get equal results.
+
+    Null texts count as empty; very long texts, and words, are read whole. Other columns are not carried. An empty table gives no rows.
+    """
     d = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias("text"))
     return with_quality(d, fit(d, p, id_col), "text", "score").select(id_col, "score", (F.col("score") >= least).alias("kept"))
 

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pastframe.functions.scalar import SIGMA_TOTAL, center_line, log_ratio, pair_mean, round_half_away, safe_div, to_decimal
 from pastframe.operators.aggregates import with_row_stats
@@ -54,9 +55,10 @@ def market_features(df: DataFrame, books: list[str] | None = None, ref: str | No
 
 
 def side_differences(df: DataFrame, patterns: list[str], suffixes: tuple[str, str] = ("_TEAM_HOME", "_TEAM_AWAY")) -> DataFrame:
-    """O2: home less away for every column whose name before the side fits a pattern and that has both sides; a difference that is there already is replaced."""
+    """O2: home less away for every numeric column whose name before the side fits a pattern and that has both sides; a difference that is there already is replaced."""
     stems = [c.removesuffix(suffixes[0]) for c in df.columns if c.endswith(suffixes[0])]
-    stems = [s for s in stems if any(re.search(p, s) for p in patterns)]
+    numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)}
+    stems = [s for s in stems if s + suffixes[0] in numeric and any(re.search(p, s) for p in patterns)]
     return df.withColumns({f"{s}_DIFF": F.col(s + suffixes[0]) - F.col(s + suffixes[1]) for s in stems if s + suffixes[1] in df.columns})
 
 

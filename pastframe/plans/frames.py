@@ -61,7 +61,7 @@ def base_game_features(team_rows: DataFrame, measures: list[str], outcome: str,
     t = filters.keep_complete_groups(team_frame(team_rows, measures, families, {}, team, date, game), game)
     known = [c for c in t.columns if c.endswith("_BEFORE")]
     wide = joins.pair_sides(t.select(game, date, "season_year", home, team, F.col(outcome).alias("__y"), *known), [game, date, "season_year"], home)
-    wide = market.side_differences(wide, [r"_BEFORE$"])
+    wide = market.side_differences(wide, [r"^(?!.*_id_).*_BEFORE$"])  # ids have no difference
     total = F.col("__y_TEAM_HOME") + F.col("__y_TEAM_AWAY")
     out = wide.withColumn("TOTAL", total).drop("__y_TEAM_HOME", "__y_TEAM_AWAY")
     for name, df in by_game.items():

@@ -163,3 +163,31 @@ def test_latest_rows_are_merged_like_a_carry(spark, tmp_path):
             want = latest_per_key(spark.read.parquet(src), ["k"], ["at"])
             assert {(r.k, r["at"]) for r in streaming.latest(spark, sink, ["k"], "at").collect()} == {(r.k, r["at"]) for r in want.collect()}
     assert len(streaming.runs(spark, sink)) <= 6 and streaming.latest(spark, f"{tmp_path}/none", ["k"], "at") is None
+
+
+def test_the_composed_frame_knows_nothing_of_later_outcomes(spark):
+    """B0 with all families of players, votes and officials, probed as a whole (Q4)."""
+    from pastframe.plans import frames
+
+    cutoff, rows = dt.date(2024, 1, 15), []
+    for i in range(14):
+        day = dt.date(2024, 1, 1) + dt.timedelta(2 * i)
+        for k, (a, b) in enumerate((("A", "B"), ("C", "D")) if i % 2 else (("A", "C"), ("B", "D"))):
+            rows += [(f"{i:02d}{k}", day, t, t == a, 2023, 90 + (7 * i + 3 * ord(t)) % 31, i % 3, 3 + (i + k) % 2) for t in (a, b)]
+    df = spark.createDataFrame(rows, "game_id string, game_date date, team_id string, home boolean, season_year int, PTS int, r1 int, r2 int")
+
+    def build(x):
+        games = x.select("season_year", "game_id", "team_id", "game_date")
+        each = x.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("player_id", F.concat("team_id", F.col("i").cast("string")))
+        per = each.select(*games.columns, "player_id", (F.col("PTS") % 23 + F.col("i") * 4).cast("double").alias("minutes"), (F.col("PTS") / (F.col("i") + 2)).alias("pts"), (F.col("PTS") % 7).cast("double").alias("pace"), F.lit(False).alias("scheduled"))
+        hurt = each.where("i = 1 and cast(game_id as int) % 3 = 0").select("game_id", "team_id", "player_id")
+        votes = per.select(F.lit(2023).alias("season_year"), "player_id", "team_id").distinct().withColumns({"fan_votes": F.length("player_id").cast("long"), "score": F.lit(1.0)})
+        votes = votes.unionByName(votes.withColumn("season_year", F.lit(2024)))
+        families = frames.player_families(games, per, hurt, votes, "pts", "pace")
+        crew = players.official_effects(x.groupBy("game_id", "season_year", "game_date", "r1", "r2").agg(F.sum("PTS").alias("v")), ["r1", "r2"], ["v"])
+        return frames.base_game_features(x, ["PTS"], "PTS", families=families, by_game={"crew": crew}).where(F.col("game_date") <= F.lit(cutoff))
+
+    frame = build(df)
+    names = [c for c in frame.columns if "_BEFORE" in c]
+    assert {c.split("_")[0] for c in names} >= {"PTS", "slots", "bench", "roster", "votes", "crew", "rest"} and frame.count() == 16
+    assert audits.leak_probe(build, df, "PTS", f"game_date >= date'{cutoff}'", ("TOTAL",)).count() == 0

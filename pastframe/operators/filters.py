@@ -8,6 +8,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -120,17 +121,26 @@ def column_profile(df: DataFrame) -> DataFrame:
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-def correlations(df: DataFrame, cols: list[str], above: float = -1.0) -> list[tuple[str, str, float]]:
+#: Sums of so many tasks meet in one group where matrices are added up.
+FAN = 16
+
+
+def correlations(df: DataFrame, cols: list[str], above: float = -1.0, tasks: int | None = None) -> list[tuple[str, str, float]]:
     """Pairwise correlations of rows where both are there, those of a size over `above`, in one pass over the rows.
 
-    A task adds up its rows' products as matrices, batch by batch, and gives one row per column; these are summed and
-    turned into correlations column by column. Values are taken less their column's mean, so that nothing cancels.
+    A task adds up its rows' products as matrices, batch by batch, and gives one row per column: of the two halves of a
+    symmetric matrix the one right of the diagonal. Input splits are dealt to `tasks` tasks (by default, the cluster's slots), so what
+    is sent grows with those and the columns' square, not with the table. Rows of a column are added up FAN at a time, level
+    by level, so a group never holds more than FAN of them, and turned into correlations column by column. Values are taken
+    less their column's mean, so that nothing cancels.
     """
     if len(cols) < 2:
         return []
     x = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
     mean = np.array([m or 0.0 for m in x.agg(*[F.avg(c) for c in x.columns]).first()])
+    tasks = tasks or df.sparkSession.sparkContext.defaultParallelism
     parts = ("n", "a", "aa", "b", "bb", "ab")
+    shape = "part int, i int, " + ", ".join(f"{k} binary" for k in parts)
 
     def partial(batches):
         sums = None
@@ -142,19 +152,25 @@ def correlations(df: DataFrame, cols: list[str], above: float = -1.0) -> list[tu
             sums = new if sums is None else tuple(s + t for s, t in zip(sums, new, strict=True))
         if sums is not None:
             n, a, aa, ab = sums
+            part = TaskContext.get().partitionId()
             rows = {"n": n, "a": a, "aa": aa, "b": a.T, "bb": aa.T, "ab": ab}
-            for i in range(len(mean)):
-                yield pa.RecordBatch.from_pydict({"i": pa.array([i], pa.int32()), **{k: pa.array([np.ascontiguousarray(m[i]).tobytes()], pa.binary()) for k, m in rows.items()}})
+            for i in range(len(mean) - 1):
+                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "i": pa.array([i], pa.int32()), **{k: pa.array([np.ascontiguousarray(m[i, i + 1 :]).tobytes()], pa.binary()) for k, m in rows.items()}})
+
+    def added(key, pdf):
+        return pd.DataFrame({"part": np.array([key[0]], np.int32), "i": np.array([key[1]], np.int32), **{k: [sum(np.frombuffer(v) for v in pdf[k]).tobytes()] for k in parts}})
 
     def finished(key, pdf):
         n, a, aa, b, bb, ab = (sum(np.frombuffer(v) for v in pdf[k]) for k in parts)
         with np.errstate(divide="ignore", invalid="ignore"):
             r = (ab - a * b / n) / np.sqrt((aa - a * a / n) * (bb - b * b / n))
         j = np.flatnonzero(np.isfinite(r) & (np.abs(r) > above))
-        j = j[j > key[0]]
-        return pd.DataFrame({"i": np.full(len(j), key[0], np.int32), "j": j.astype(np.int32), "r": np.clip(r[j], -1, 1)})
+        return pd.DataFrame({"i": np.full(len(j), key[0], np.int32), "j": (j + key[0] + 1).astype(np.int32), "r": np.clip(r[j], -1, 1)})
 
-    sums = x.mapInArrow(partial, "i int, " + ", ".join(f"{k} binary" for k in parts))
+    sums = x.coalesce(tasks).mapInArrow(partial, shape)
+    while tasks > FAN:
+        tasks = -(-tasks // FAN)
+        sums = sums.withColumn("part", F.floor(F.col("part") / FAN).cast("int")).groupBy("part", "i").applyInPandas(added, shape)
     got = sums.groupBy("i").applyInPandas(finished, "i int, j int, r double").orderBy("i", "j").collect()  # pairs above the threshold
     return [(cols[k.i], cols[k.j], k.r) for k in got]
 

@@ -157,20 +157,33 @@ _FRAME_AGGS: dict[str, Callable[[str], Column]] = {
 }
 
 
-def rows_before_dates(df: DataFrame, n: int, date: str, order: list[str], cols: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, __day, __back, cols): for every date the last n rows of strictly earlier dates, __back 1 the latest.
+def ranked_by_date(df: DataFrame, most: int, date: str, order: list[str], cols: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, __day, __r, __n, __c, cols): the last `most` rows of every date, __r 1 the latest, with the date's rows and those of earlier dates.
 
-    A date passes on its own last n rows at most, under their positions in the key's order, which are its count of
-    earlier rows and a rank within the date. Dates meet rows by blocks of n positions: no window runs over all rows.
+    One rank within a date and one count per date: no window runs over all rows, and a date passes on `most` rows at most.
     """
     d = df.select(*keys, F.to_date(date).alias("__day"), F.struct(*order).alias("__o"), *cols)
     day = d.groupBy(*keys, "__day").agg(F.count("*").alias("__n"))
     w = Window.partitionBy(*keys).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
     upto = day.withColumn("__c", F.coalesce(F.sum("__n").over(w), F.lit(0)))  # one row per key and date
-    own = d.withColumn("__r", F.row_number().over(Window.partitionBy(*keys, "__day").orderBy(F.col("__o").desc()))).where(F.col("__r") <= n)
-    at = own.join(upto, [*keys, "__day"]).withColumn("__pos", F.col("__c") + F.col("__n") - F.col("__r"))
+    own = d.withColumn("__r", F.row_number().over(Window.partitionBy(*keys, "__day").orderBy(F.col("__o").desc()))).where(F.col("__r") <= most)
+    return own.join(upto, [*keys, "__day"]).select(*keys, "__day", "__r", "__n", "__c", *cols)
+
+
+def rows_before_dates(df: DataFrame, n: int, date: str, order: list[str], cols: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, __day, __back, cols): for every date the last n rows of strictly earlier dates, __back 1 the latest."""
+    return meet_dates(ranked_by_date(df, n, date, order, cols, keys), n, cols, keys)
+
+
+def meet_dates(ranked: DataFrame, n: int, cols: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
+    """rows_before_dates from ranked_by_date's rows of n or more a date.
+
+    A row's position in the key's order is its date's count of earlier rows and its rank within the date. Dates meet rows by
+    blocks of n positions.
+    """
+    at = ranked.where(F.col("__r") <= n).withColumn("__pos", F.col("__c") + F.col("__n") - F.col("__r"))
     block = lambda c: F.floor(c / n)
-    asked = upto.where("__c > 0").select(*keys, "__day", "__c", F.explode(F.array_distinct(F.array(block(F.col("__c") - n), block(F.col("__c") - 1)))).alias("__b"))
+    asked = ranked.where("__r = 1 and __c > 0").select(*keys, "__day", "__c", F.explode(F.array_distinct(F.array(block(F.col("__c") - n), block(F.col("__c") - 1)))).alias("__b"))
     met = asked.join(at.select(*keys, "__pos", block(F.col("__pos")).alias("__b"), *cols), [*keys, "__b"])
     return met.where((F.col("__pos") < F.col("__c")) & (F.col("__pos") >= F.col("__c") - n)).select(*keys, "__day", (F.col("__c") - F.col("__pos")).alias("__back"), *cols)
 
@@ -244,38 +257,56 @@ def rolling_days_mean(df: DataFrame, value: str, days: int, date: str, keys: tup
     return df.withColumn("__day", F.to_date(date)).join(daily.select(*keys, "__day", mean), [*keys, "__day"], "left").drop("__day")
 
 
+def ewm_reach(span: int) -> int:
+    """Rows further back than this weigh less than a double can tell."""
+    return math.ceil(60 * math.log(2) / -math.log(1 - 2 / (span + 1)))
+
+
 def ewm_by_date(df: DataFrame, value: str, span: int, date: str, order: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, __day, mean, deviation) of W15, one row per date.
+    """(keys, __day, mean, deviation) of W15, one row per date."""
+    return ewm_of_ranked(ranked_by_date(df, ewm_reach(span), date, order, [value], keys), value, (span,), keys)
+
+
+def ewm_of_ranked(ranked: DataFrame, value: str, spans: tuple[int, ...], keys: tuple[str, ...] = ()) -> DataFrame:
+    """ewm_by_date for several spans at once, from ranked_by_date's rows of the longest span's reach or more a date.
 
     Every row ages the weights by b, so a row's weight at a date is b to the power of the rows between. A date is summed
-    up with the ages at its end; its rows beyond `reach` weigh less than a double can tell. Dates lie in blocks of reach
-    rows: within a block, sums of weights scaled up to the block's begin give every date's past, and of the blocks before
-    only the last still counts.
+    up with the ages at its end, for all spans in one aggregation; its rows beyond a span's reach are left out. Dates lie in
+    blocks of reach rows: within a block, sums of weights scaled up to the block's begin give every date's past, and of the
+    blocks before only the one next to it still counts. Spans share the blocks of the longest of them as long as the shortest one's
+    weights over a block keep within a double's exponents.
     """
-    b = 1 - 2 / (span + 1)
-    reach = math.ceil(60 * math.log(2) / -math.log(b))
-    sums = ("__w", "__ww", "__s", "__q")
-    d = df.select(*keys, F.to_date(date).alias("__day"), F.struct(*order).alias("__o"), F.col(value).cast("double").alias("__x"))
-    count = d.groupBy(*keys, "__day").agg(F.count("*").alias("__n"))
-    by_day = Window.partitionBy(*keys).orderBy("__day")
-    ends = count.withColumn("__e", F.sum("__n").over(by_day.rowsBetween(Window.unboundedPreceding, 0))).drop("__n")  # one row per key and date
-    own = d.withColumn("__r", F.row_number().over(Window.partitionBy(*keys, "__day").orderBy(F.col("__o").desc()))).where(F.col("__r") <= reach)
-    age, has = F.pow(F.lit(b), F.col("__r") - 1), F.col("__x").isNotNull().cast("double")
-    own = own.groupBy(*keys, "__day").agg(F.sum(age * has).alias("__w"), F.sum(age * age * has).alias("__ww"), F.coalesce(F.sum(age * F.col("__x")), F.lit(0.0)).alias("__s"), F.coalesce(F.sum(age * F.col("__x") * F.col("__x")), F.lit(0.0)).alias("__q"))
-    t = own.join(ends, [*keys, "__day"]).withColumn("__k", F.floor(F.col("__e") / reach)).withColumn("__off", F.col("__e") - F.col("__k") * reach)
-    grow = {c: F.pow(F.lit(b * b if c == "__ww" else b), F.col("__off")) for c in sums}
+    longest = max(spans)
+    reach = ewm_reach(longest)
+    b = {s: 1 - 2 / (s + 1) for s in spans}
+    apart = tuple(s for s in spans if s != longest and -2 * reach * math.log2(b[s]) > 900)
+    here = tuple(s for s in spans if s not in apart)
+    x = F.col(value).cast("double")
+    has = x.isNotNull().cast("double")
+    aggs, base = [], {}
+    for s in here:
+        age = F.when(F.col("__r") <= ewm_reach(s), F.pow(F.lit(b[s]), F.col("__r") - 1)).otherwise(0.0)
+        aggs += [F.sum(age * has).alias(f"__w{s}"), F.sum(age * age * has).alias(f"__ww{s}"), F.coalesce(F.sum(age * x), F.lit(0.0)).alias(f"__s{s}"), F.coalesce(F.sum(age * x * x), F.lit(0.0)).alias(f"__q{s}")]
+        base |= {f"__w{s}": b[s], f"__ww{s}": b[s] * b[s], f"__s{s}": b[s], f"__q{s}": b[s]}
+    t = ranked.where(F.col("__r") <= reach).groupBy(*keys, "__day").agg(F.first(F.col("__c") + F.col("__n")).alias("__e"), *aggs)
+    t = t.withColumn("__k", F.floor(F.col("__e") / reach)).withColumn("__off", F.col("__e") - F.col("__k") * reach)
+    grow = {c: F.pow(F.lit(v), F.col("__off")) for c, v in base.items()}
     inside = Window.partitionBy(*keys, "__k").orderBy("__day").rowsBetween(Window.unboundedPreceding, 0)
-    t = t.select(*keys, "__day", "__k", "__e", *[(F.sum(F.col(c) / grow[c]).over(inside) * grow[c]).alias(c) for c in sums])
-    block = t.groupBy(*keys, "__k").agg(F.max_by(F.struct("__e", *sums), "__day").alias("__end"))
-    block = block.select(*keys, "__k", F.lag("__end").over(Window.partitionBy(*keys).orderBy("__k")).alias("__was"))  # one row per block
+    t = t.select(*keys, "__day", "__k", "__e", *[(F.sum(F.col(c) / grow[c]).over(inside) * grow[c]).alias(c) for c in base])
+    was = F.max(F.struct("__e", *base)).over(Window.partitionBy(*keys).orderBy("__k").rangeBetween(-1, -1))  # one row per key and date
     gap = F.col("__e") - F.col("__was.__e")
-    t = t.join(block, [*keys, "__k"], "left").select(*keys, "__day", *[(F.col(c) + F.coalesce(F.col(f"__was.{c}") * F.pow(F.lit(b * b if c == "__ww" else b), gap), F.lit(0.0))).alias(c) for c in sums])
-    t = t.select(*keys, "__day", *[F.lag(c).over(by_day).alias(c) for c in sums])
-    mean = F.try_divide("__s", "__w")
-    var = F.try_divide("__q", "__w") - mean * mean
-    square = F.col("__w") * F.col("__w")
-    fix = F.when(square - F.col("__ww") > 1e-12 * square, square / (square - F.col("__ww")))  # none for a single row
-    return t.select(*keys, "__day", mean.alias(f"{value}_ewm_{span}_BEFORE"), F.when(fix.isNotNull(), F.sqrt(F.greatest(var * fix, F.lit(0.0)))).alias(f"{value}_ewstd_{span}_BEFORE"))
+    t = t.withColumn("__was", was).select(*keys, "__day", *[(F.col(c) + F.coalesce(F.col(f"__was.{c}") * F.pow(F.lit(v), gap), F.lit(0.0))).alias(c) for c, v in base.items()])
+    by_day = Window.partitionBy(*keys).orderBy("__day")
+    t = t.select(*keys, "__day", *[F.lag(c).over(by_day).alias(c) for c in base])  # one row per key and date
+    out = []
+    for s in here:
+        w, ww = F.col(f"__w{s}"), F.col(f"__ww{s}")
+        mean = F.try_divide(F.col(f"__s{s}"), w)
+        var = F.try_divide(F.col(f"__q{s}"), w) - mean * mean
+        fix = F.when(w * w - ww > 1e-12 * w * w, w * w / (w * w - ww))  # none for a single row
+        out += [mean.alias(f"{value}_ewm_{s}_BEFORE"), F.when(fix.isNotNull(), F.sqrt(F.greatest(var * fix, F.lit(0.0)))).alias(f"{value}_ewstd_{s}_BEFORE")]
+    t = t.select(*keys, "__day", *out)
+    return t.join(ewm_of_ranked(ranked, value, apart, keys), [*keys, "__day"]) if apart else t
 
 
 def ewm_prior_dates(df: DataFrame, value: str, span: int, date: str, order: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
@@ -294,7 +325,7 @@ def market_regime_features(df: DataFrame, actual: str, line: str, date: str, ord
     (deviation of the population, range) and lately.
 
     All features are computed once per date: from the last rows of earlier dates, from sums per date, and from weights
-    folded by date. A day window without a game is null, its game count 0.
+    folded by date. Rows are ranked within their date once, and the ranked table serves all windows and spans. A day window without a game is null, its game count 0.
     """
     e = F.col(actual) - F.col(line)
     extra: dict[str, Column] = {}
@@ -305,7 +336,9 @@ def market_regime_features(df: DataFrame, actual: str, line: str, date: str, ord
         df = with_row_stats(df, list(books), "regime_crossbook").drop(*[f"regime_crossbook_{k}" for k in ("n", "mean", "iqr", "mad")])
         extra["__apart"] = F.col("regime_crossbook_std")
     g = df.select(*{*order, date}, F.to_date(date).alias("__day"), F.col(actual).alias("__a"), F.col(line).alias("__l"), e.alias("__err"), *[x.alias(c) for c, x in extra.items()])
-    past = rows_before_dates(g, max(rows), date, order, ["__a", "__l", "__err", *extra])
+    most = max([*rows, *map(ewm_reach, spans)])
+    ranked = stored(ranked_by_date(g, most, date, order, ["__a", "__l", "__err", *extra]), "ranked")
+    past = meet_dates(ranked, max(rows), ["__a", "__l", "__err", *extra])
     v = F.col("__err")
     parts = {"bias": v, "mae": F.abs(v), "std": v, "median": v, "over": (v > 0).cast("double"), "push": (v == 0).cast("double"), "tail": (F.abs(v) > 15).cast("double"), "score": F.col("__a"), "line": F.col("__l")}
     if open_line:
@@ -324,8 +357,8 @@ def market_regime_features(df: DataFrame, actual: str, line: str, date: str, ord
     for short, long in ((15, 75), (30, 150)):
         if short in rows and long in rows:
             t = t.withColumn(f"regime_mae_ratio_{short}_{long}_BEFORE", F.col(f"regime_mae_{short}_BEFORE") / (F.col(f"regime_mae_{long}_BEFORE") + eps)).withColumn(f"regime_bias_accel_{short}_{long}_BEFORE", F.col(f"regime_bias_{short}_BEFORE") - F.col(f"regime_bias_{long}_BEFORE"))
-    for s in spans:
-        t = t.join(ewm_by_date(g, "__err", s, date, order).withColumnsRenamed({f"__err_{k}_{s}_BEFORE": f"regime_{k}_{s}_BEFORE" for k in ("ewm", "ewstd")}), "__day", "left")
+    if spans:
+        t = t.join(ewm_of_ranked(ranked, "__err", spans).withColumnsRenamed({f"__err_{k}_{s}_BEFORE": f"regime_{k}_{s}_BEFORE" for k in ("ewm", "ewstd") for s in spans}), "__day", "left")
     return df.withColumn("__day", F.to_date(date)).join(t, "__day", "left").drop("__day")
 
 

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,3 +192,35 @@ def test_the_composed_frame_knows_nothing_of_later_outcomes(spark):
     names = [c for c in frame.columns if "_BEFORE" in c]
     assert {c.split("_")[0] for c in names} >= {"PTS", "slots", "bench", "roster", "votes", "crew", "rest"} and frame.count() == 16
     assert audits.leak_probe(build, df, "PTS", f"game_date >= date'{cutoff}'", ("TOTAL",)).count() == 0
+
+
+def test_correlations_added_up_by_a_tree(spark):
+    """Forty tasks are added up in two levels; columns with nulls count the rows where both are there."""
+    r = np.random.default_rng(5)
+    v = r.normal(size=(2000, 4))
+    v[:, 2] = v[:, 0] * 0.7 + v[:, 2]
+    v[r.random((2000, 4)) < 0.1] = np.nan
+    df = spark.createDataFrame(pd.DataFrame(v, columns=list("abcd"))).replace(float("nan"), None).repartition(40)
+    got = {(x, y): c for x, y, c in filters.correlations(df, list("abcd"), tasks=40)}
+    want = pd.DataFrame(v, columns=list("abcd")).corr()
+    assert len(got) == 6
+    assert all(abs(c - want.loc[x, y]) < 1e-9 for (x, y), c in got.items())
+
+
+def test_spans_of_one_ranked_table(spark):
+    """Spans that share blocks (15 and 75) and one that can't (2) against the plain weights over rows of earlier dates."""
+    r = np.random.default_rng(6)
+    days = np.sort(r.integers(0, 300, 6000))
+    x = np.where(r.random(6000) < 0.1, np.nan, r.normal(size=6000))
+    rows = pd.DataFrame({"id": np.arange(6000), "d": pd.to_datetime("2024-01-01") + pd.to_timedelta(days, "D"), "x": x})
+    df = spark.createDataFrame(rows).withColumn("x", F.when(~F.isnan("x"), F.col("x")))
+    spans = (2, 15, 75)
+    ranked = windows.ranked_by_date(df, windows.ewm_reach(75), "d", ["d", "id"], ["x"])
+    got = windows.ewm_of_ranked(ranked, "x", spans).toPandas().sort_values("__day")
+    first = np.searchsorted(days, np.unique(days))
+    assert len(got) == len(first)
+    for s in spans:
+        e = rows["x"].ewm(span=s)
+        for name, all_ in ((f"x_ewm_{s}_BEFORE", e.mean()), (f"x_ewstd_{s}_BEFORE", e.std())):
+            want = np.array([all_[i - 1] if i else np.nan for i in first])
+            np.testing.assert_allclose(got[name].astype(float), want, rtol=1e-6, atol=1e-9)

@@ -25,7 +25,8 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 #: A token with a digit or an @, and those that follow it at one space each.
 CANDIDATE = r"(?:\G|(?<![^\x20\x09-\x0D]))[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+(?:\x20[^\x20\x09-\x0D0-9@]*+[0-9][^\x20\x09-\x0D]*+)*+"
-CONTEXT = 80
+#: The last two words of what stands before a run, or its only one, however long they are; each word is a start once, so time is linear.
+CONTEXT = r"(?<![^\x20\x09-\x0D])(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++)?[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+\z"
 #: Places are summed in chunks of so many matches.
 CHUNK = 256
 
@@ -80,18 +81,20 @@ def _ends(lengths: Column) -> Column:
     return let(lengths, lambda all_: F.when(F.size(all_) > 0, let(within(all_), joined)).otherwise(empty))
 
 
-def located(text: Column, pattern: str) -> Column:
-    """Matches of a pattern in order, with the code points where they start and end, and the end of the text from the match before.
+def located(text: Column, pattern: str, context: str | None = None) -> Column:
+    """Matches of a pattern in order, with the code points where they start and end, and with a context also what matches
+    that in the text between the match before and this one.
 
     The pieces between matches and the matches themselves alternate, so the places are running sums of their lengths;
     time is linear in text and matches.
     """
     matches, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    both = let(matches, lambda ms: F.zip_with(F.slice(pieces, 1, F.size(ms)), ms, lambda p, m: F.struct(F.length(p).alias("gap"), F.right(p, F.lit(CONTEXT)).alias("before"), m.alias("text"))))
+    before = lambda p: [] if context is None else [F.regexp_extract(p, context, 0).alias("before")]
+    both = let(matches, lambda ms: F.zip_with(F.slice(pieces, 1, F.size(ms)), ms, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("text"), *before(p))))
 
     def placed(found: Column) -> Column:
         ends = _ends(F.transform(found, lambda x: x["gap"] + F.length(x["text"])))
-        return F.zip_with(found, ends, lambda x, e: F.struct((e - F.length(x["text"])).alias("start"), e.alias("end"), x["text"].alias("text"), x["before"].alias("before")))
+        return F.zip_with(found, ends, lambda x, e: F.struct((e - F.length(x["text"])).alias("start"), e.alias("end"), x["text"].alias("text"), *([] if context is None else [x["before"].alias("before")])))
 
     return let(both, placed)
 
@@ -173,7 +176,7 @@ def find_personal_data(df: DataFrame, p: Bootstrap = Bootstrap(), id_col: str =
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).select(row_key("id", "text").alias("key"), "id", text.alias("text"))
     none = F.array().cast("array<struct<start:int,end:int,text:string,before:string>>")
-    runs = F.when(F.col("text").rlike("[0-9@]"), located(F.col("text"), CANDIDATE)).otherwise(none)
+    runs = F.when(F.col("text").rlike("[0-9@]"), located(F.col("text"), CANDIDATE, CONTEXT)).otherwise(none)
     found = written(docs.select("key", "id", base_spans(F.col("text")).alias("base"), runs.alias("runs")), "pii-found")
 
     def discoveries() -> DataFrame:

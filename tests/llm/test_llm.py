@@ -193,7 +193,7 @@ def brute_discoveries(texts, p=pii.Bootstrap()):
             lead = re.match(r"[^A-Za-z0-9+]*", m[0]).end()
             core = re.match(r"[^A-Za-z0-9+]*(.*?)[^A-Za-z0-9]*$", m[0], re.S)[1]
             start, end = m.start() + lead, m.start() + lead + len(core)
-            words = re.findall(f"{space}+", t[last : m.start()][-pii.CONTEXT :].lower())
+            words = re.findall(f"{space}+", t[last : m.start()].lower())
             last = m.end()
             kind = min((k for b, e, k in base if (b, e) == (start, end)), key=pii.KINDS.index, default=None)
             if kind or not any(b < end and e > start for b, e, _ in base):
@@ -228,13 +228,16 @@ def test_discoveries_equal_brute_force(spark):
     rng = np.random.default_rng(6)
     texts = {i: f"row {i} call us at +49 30 {1000000 + i * 37} now, mail to u{i}@a{i % 3}.org or" for i in range(14)}
     texts |= {100 + i: f"call us at 0{i}55-77{i}1 x now, mail to nobody{i} and ref no 88{i}7 of" for i in range(6)}
+    far = "at" + "h" * 90
+    texts |= {300 + i: f"the {far} +49 30 {2000000 + i * 41} now" for i in range(12)} | {320 + i: f"the {'b' * 20 + far} 77/{i}3 x, the {far}{' ' * 90}0{i}66/77{i} now" for i in range(3)}
     texts |= {200 + i: " ".join(rng.choice(["at", "mail", "to", "us", "12-3", "a@b.cd", "(77)", "+12 345 678 901", "call", "1.2.3.4"], 25)) for i in range(20)}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = set()
     for r in pii.find_personal_data(df).collect():
         base = {(s.kind, s.start, s.end) for s in r.base}
         got |= {(r.doc_id, s.start, s.end, s.kind) for s in r.spans if (s.kind, s.start, s.end) not in base}
-    assert got == brute_discoveries(texts) and len(got) >= 6
+    assert got == brute_discoveries(texts) and len(got) >= 9
+    assert {d for d, *_ in got if d >= 300} == {320, 321, 322}  # words and gaps of over 80 characters are contexts too
 
 
 def test_many_matches_take_linear_time(spark):
@@ -248,6 +251,16 @@ def test_many_matches_take_linear_time(spark):
     assert pii.find_personal_data(docs(spark, [])).count() == 0
 
 
+def test_contexts_take_linear_time(spark):
+    """One word of a million characters before a run, and a million words."""
+    df = docs(spark, ["w" * 1_000_000 + " 12-34", "w " * 1_000_000 + "12-34", "\n" * 1_000_000 + "12-34"])
+    began = time.monotonic()
+    runs = pii.located(F.col("text"), pii.CANDIDATE, pii.CONTEXT)
+    got = [r.b for r in df.orderBy("doc_id").select(F.get(F.transform(runs, lambda x: x["before"]), F.lit(0)).alias("b")).collect()]
+    assert got == ["w" * 1_000_000 + " ", "w w ", ""]
+    assert time.monotonic() - began < 30
+
+
 def test_contexts_discover_unseen_identifiers(spark):
     seeds = [f"reach me by mail at user{i}@example.com today" for i in range(12)]
     unseen = [f"reach me by mail at user{i}(at)example{i} today" for i in range(2)]

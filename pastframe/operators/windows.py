@@ -8,11 +8,13 @@ Windows of one key and order are one sort, however many features are asked for:
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pastframe.functions.scalar import haversine_km
 from pastframe.operators.aggregates import with_row_stats
@@ -141,15 +143,37 @@ def gap_days(df: DataFrame, keys: list[str], date: str, order: list[str], defaul
     return df.withColumn("rest_days_BEFORE", F.coalesce(F.datediff(date, F.lag(date).over(spec(keys, order))), F.lit(default)))
 
 
-def ewm_recursive(df: DataFrame, value: str, keys: list[str], order: list[str], halflife: float = 10, valid: str | None = None) -> DataFrame:
-    """Exponentially weighted mean, recursive form, over earlier rows that are valid and not null; 0 if none."""
+def ewm_recursive(df: DataFrame, value: str | list[str], keys: list[str], order: list[str], halflife: float = 10, valid: str | None = None) -> DataFrame:
+    """Exponentially weighted mean, recursive form, over earlier rows that are valid and not null; 0 if none. For one column or several.
+
+    A key's rows go by in order, and a task holds one mean a column: no row looks back at its history.
+    """
     a = 1 - math.exp(-math.log(2) / halflife)
-    x = F.when(F.expr(valid), F.col(value)) if valid else F.col(value)
-    reach = math.ceil(60 * halflife)  # what is older weighs less than a double can tell
-    got = df.withColumn("__x", x.cast("double")).withColumn("__b", known_before(F.col("__x"), keys, order))
-    got = got.withColumn("__past", F.array_sort(F.collect_list(F.when(F.col("__x").isNotNull(), F.struct("__b", "__x"))).over(last_known(keys, reach))))
-    fold = F.aggregate("__past", F.lit(None).cast("double"), lambda m, v: F.when(m.isNull(), v["__x"]).otherwise(m * (1 - a) + v["__x"] * a))
-    return got.withColumn(f"{value}_ewm_BEFORE", F.coalesce(fold, F.lit(0.0))).drop("__past", "__x", "__b")
+    values = [value] if isinstance(value, str) else list(value)
+    names = [f"{v}_ewm_BEFORE" for v in values]
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in names])
+    x = [(F.when(F.expr(valid), F.col(v)) if valid else F.col(v)).cast("double").alias(f"__x{i}") for i, v in enumerate(values)]
+    first = (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1).alias("__first")
+    kept = len(df.columns)
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        means: list[float | None] = [None] * len(names)
+        for b in batches:
+            begins, out = b.column(kept + len(names)).to_pylist(), []
+            for i in range(len(names)):
+                m, known = means[i], []
+                for begin, v in zip(begins, b.column(kept + i).to_pylist(), strict=True):
+                    if begin:
+                        m = None
+                    known.append(0.0 if m is None else m)
+                    if v is not None:
+                        m = v if m is None else m * (1 - a) + v * a
+                means[i] = m
+                out.append(pa.array(known, pa.float64()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:kept], *out], names=[*b.schema.names[:kept], *names])
+
+    schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
+    return df.select("*", *x, first).mapInArrow(folded, schema)
 
 
 _FRAME_AGGS: dict[str, Callable[[str], Column]] = {

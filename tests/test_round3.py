@@ -31,3 +31,19 @@ def test_k5_runs_of_equal_values_tie(spark, tmp_path):
     o.coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
     got = history.QUERIES["k5_leaderboard"][0](spark, str(tmp_path)).collect()
     assert sorted((r.rank, r.run_id) for r in got) == [(1, "0"), (2, "1")]
+
+
+def test_w12_is_the_recursion_over_all_earlier_rows(spark):
+    n, r = 1500, math.exp(-math.log(2) / 10)
+    x = {k: [1e300 if i == 0 else None if i % 7 == k else float(i % 5 + k) for i in range(n)] for k in (1, 2)}
+    df = spark.createDataFrame([(k, i, v, v and -v, f"t{i}") for k, vs in x.items() for i, v in enumerate(vs)], "k int, i int, v double, u double, t string")
+    got = windows.ewm_recursive(df.repartition(7), ["v", "u"], ["k"], ["i"], 10)
+    want = []
+    for k, vs in x.items():
+        m = None
+        for i, v in enumerate(vs):
+            want.append((k, i, 0.0 if m is None else m, 0.0 if m is None else -m, f"t{i}"))
+            if v is not None:
+                m = v if m is None else m * (1 - (1 - r)) + v * (1 - r)
+    assert rows(got, ["k", "i", "v_ewm_BEFORE", "u_ewm_BEFORE", "t"]) == want
+    assert "collect_list" not in plan(got).toString()

@@ -47,3 +47,12 @@ def test_w12_is_the_recursion_over_all_earlier_rows(spark):
                 m = v if m is None else m * (1 - (1 - r)) + v * (1 - r)
     assert rows(got, ["k", "i", "v_ewm_BEFORE", "u_ewm_BEFORE", "t"]) == want
     assert "collect_list" not in plan(got).toString()
+
+
+def test_j12_members_are_not_shuffled(spark):
+    p = spark.createDataFrame([(1, "p1", "A", day(0)), (1, "p1", "A", day(3)), (1, "p1", "B", day(5)), (1, "p2", "A", day(1)), (2, "p2", "B", day(1))], "season int, player_id string, team_id string, game_date date")
+    g = spark.createDataFrame([(1, "g0", "A", day(0)), (1, "g1", "A", day(4)), (1, "g1", "A", day(4)), (1, "g2", "A", day(5)), (1, "g3", "A", day(6)), (1, "g3", "A", day(4))], "season int, game_id string, team_id string, game_date date")
+    inj = spark.createDataFrame([("g1", "A", "p2"), ("g1", "A", "p2"), ("g2", "Z", "p2"), ("g9", "A", "x")], "game_id string, team_id string, player_id string")
+    got = joins.roster_asof(p, g, inj)
+    assert rows(got, KEY) == [("g1", "A", "p1"), ("g1", "A", "p2"), ("g2", "A", "p1"), ("g2", "Z", "p2"), ("g3", "A", "p1"), ("g3", "A", "p2"), ("g9", "A", "x")]
+    assert plan(got).nodeName() == "Union"

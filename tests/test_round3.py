@@ -56,3 +56,12 @@ def test_j12_members_are_not_shuffled(spark):
     got = joins.roster_asof(p, g, inj)
     assert rows(got, KEY) == [("g1", "A", "p1"), ("g1", "A", "p2"), ("g2", "A", "p1"), ("g2", "Z", "p2"), ("g3", "A", "p1"), ("g3", "A", "p2"), ("g9", "A", "x")]
     assert plan(got).nodeName() == "Union"
+
+
+def test_j18_result_is_not_shuffled_for_repeats(spark):
+    rep = spark.createDataFrame([("A", day(1), "José Ray", "Out"), ("A", day(1), "Jose Ray", "Out"), ("A", day(2), "Jose Ray", "Out")], "team_id string, game_date date, player_name string, status string")
+    pl = spark.createDataFrame([("A", "9", "Jose Ray", day(0))], "team_id string, player_id string, player_name string, game_date date")
+    g = spark.createDataFrame([("g", "A", day(1)), ("g", "A", day(1)), ("h", "A", day(1)), ("h", "A", day(2))], "game_id string, team_id string, game_date date")  # g twice, h on two days
+    got = joins.listed_unavailable(rep, pl, g)
+    assert rows(got, KEY) == [("g", "A", "9"), ("h", "A", "9")]
+    assert plan(got).nodeName() == "Union"

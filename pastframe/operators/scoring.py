@@ -13,6 +13,7 @@ from pastframe.functions.scalar import entropy, to_decimal
 from pastframe.operators.aggregates import with_row_stats
 from pastframe.operators.filters import wilson
 from pastframe.operators.topk import latest_per_key
+from pastframe.sources.ordered import running_total
 
 #: Fixed value: the price where a quote has none, -110 in decimal form.
 DEFAULT_PRICE = 1 + 100 / 110
@@ -257,14 +258,32 @@ def average_rank(keys: list[str], value: str) -> Column:
     return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / 2
 
 
+def _ranks_of_counts(counts: DataFrame, value: str, out: str) -> DataFrame:
+    """(__by, value, out, __n) of counts (__by, value, __c): a value's rank among its group's rows with ties at their mean, and the group's rows."""
+    levels = counts.groupBy("__by", value).agg(F.sum("__c").alias("__c"))
+    upto = running_total(levels, [F.col("__by"), F.col(value)], "__before", F.col("__c"), "ranks")
+    whole = upto.groupBy(F.col("__by").alias("__g")).agg(F.min("__before").alias("__base"), F.sum("__c").alias("__n"))
+    return upto.join(whole, F.col("__by").eqNullSafe(F.col("__g"))).select("__by", value, (F.col("__before") - F.col("__base") + (F.col("__c") + 1) / 2).alias(out), "__n")
+
+
 def confidence_trend(df: DataFrame, score: str, won: str, by: str, n: int = 5) -> tuple[DataFrame, DataFrame]:
     """Win rate by bucket of the confidence's rank within its run, and per run the Spearman correlation with winning and its p-value
-    (two-sided, normal approximation of t)."""
-    r = df.where(F.col(score).isNotNull() & F.col(won).isNotNull()).withColumn("__w", F.col(won).cast("double"))
-    r = r.withColumn("__r", average_rank([by], score)).withColumn("__rw", average_rank([by], "__w")).withColumn("__n", F.count("*").over(Window.partitionBy(by)))
+    (two-sided, normal approximation of t).
+
+    Rows of one run, score and outcome are counted; ranks come from running totals of the counts over range partitions, so
+    no task orders the rows of a run.
+    """
+    rows = df.where(F.col(score).isNotNull() & F.col(won).isNotNull())
+    r = rows.groupBy(F.col(by).alias("__by"), F.col(score).alias("__s"), F.col(won).cast("double").alias("__w")).agg(F.count("*").alias("__c"))
+    s, w = _ranks_of_counts(r, "__s", "__r"), _ranks_of_counts(r, "__w", "__rw")
+    same = lambda a, b, cols: reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in cols])
+    r = r.join(s, same(r, s, ["__by", "__s"])).select(r["__by"], r["__s"], r["__w"], r["__c"], "__r", "__n")
     bucket = F.least(F.floor((F.col("__r") / F.col("__n")) * n), F.lit(n - 1)).cast("int")
-    table = r.groupBy(by, bucket.alias("bucket")).agg(F.count("*").alias("n"), F.avg("__w").alias("win_rate"), F.avg(score).alias("mean_score"))
-    t = r.groupBy(by).agg(F.corr("__r", "__rw").alias("rho"), F.count("*").alias("n"))
+    mean = lambda c: (F.sum(F.col(c) * F.col("__c")) / F.sum("__c"))
+    table = r.groupBy(F.col("__by").alias(by), bucket.alias("bucket")).agg(F.sum("__c").alias("n"), mean("__w").alias("win_rate"), mean("__s").alias("mean_score"))
+    r = r.join(w, same(r, w, ["__by", "__w"])).select(r["__by"], r["__c"], (F.col("__r") - (r["__n"] + 1) / 2).alias("__x"), (F.col("__rw") - (r["__n"] + 1) / 2).alias("__y"))  # less the mean rank
+    over = lambda a, b: F.sum(F.col("__c") * F.col(a) * F.col(b))
+    t = r.groupBy(F.col("__by").alias(by)).agg(F.try_divide(over("__x", "__y"), F.sqrt(over("__x", "__x") * over("__y", "__y"))).alias("rho"), F.sum("__c").alias("n"))
     return table, t.withColumn("z", F.col("rho") * F.sqrt((F.col("n") - 2) / (1 - F.col("rho") * F.col("rho")))).withColumn("p_value", _two_sided(F.col("z"))).drop("z")
 
 

@@ -65,3 +65,15 @@ def test_j18_result_is_not_shuffled_for_repeats(spark):
     got = joins.listed_unavailable(rep, pl, g)
     assert rows(got, KEY) == [("g", "A", "9"), ("h", "A", "9")]
     assert plan(got).nodeName() == "Union"
+
+
+def test_e26_ranks_without_a_window_over_a_run(spark):
+    d = pd.DataFrame({"run": ["x"] * 9 + ["y"] * 4, "s": [1.0, 2, 2, 3, 3, 3, 4, 5, 5, 1, 1, 2, 3], "y": [0, 1, 0, 1, 0, 1, 1, 1, 1, 1, 0, 0, 1]})
+    got, t = scoring.confidence_trend(spark.createDataFrame(d), "s", "y", "run")
+    d["n"] = d.groupby("run").s.transform("size")
+    d["bucket"] = (d.groupby("run").s.rank() / d.n * 5).astype(int).clip(upper=4)
+    want = d.groupby(["run", "bucket"]).agg(n=("y", "size"), w=("y", "mean"), m=("s", "mean")).reset_index()
+    assert rows(got, ["run", "bucket", "n", "win_rate", "mean_score"]) == [(r[0], r[1], r[2], pytest.approx(r[3]), pytest.approx(r[4])) for r in want.itertuples(index=False)]
+    rho = {k: g.s.rank().corr(g.y.rank()) for k, g in d.groupby("run")}
+    assert {r.run: r.rho for r in t.collect()} == pytest.approx(rho)
+    assert "windowspecdefinition(run" not in plan(got).toString()

@@ -11,12 +11,20 @@ from pastframe.operators.scoring import average_rank, score_bets
 
 
 def design_matrix(runs: DataFrame, config: str = "config", run: str = "run_id", factors: list[str] | None = None) -> DataFrame:
-    """M1: nested JSON configs as one column per dotted key; with factors, only those."""
-    flat = runs.select(run, F.from_json(config, "map<string,string>").alias("m"))
-    long = flat.select(run, F.explode("m").alias("k", "v"))
+    """M1: nested JSON configs as one column per dotted key; with factors, only those.
+
+    Levels are opened within the row, so a config is read and parsed once however deep it is.
+    """
+    found = F.map_entries(F.from_json(config, "map<string,string>"))
+    none = F.array().cast("array<struct<key:string,value:string>>")
+
+    def opened(e: Column) -> Column:
+        deeper = F.transform(F.map_entries(F.from_json(e["value"], "map<string,string>")), lambda x: F.struct(F.concat_ws(".", e["key"], x["key"]).alias("key"), x["value"].alias("value")))
+        return F.when(F.coalesce(e["value"].startswith("{"), F.lit(False)), F.coalesce(deeper, none)).otherwise(F.array(e))
+
     for _ in range(4):  # levels of nesting
-        deeper = long.where(F.col("v").startswith("{")).select(run, "k", F.explode(F.from_json("v", "map<string,string>")).alias("k2", "v")).select(run, F.concat_ws(".", "k", "k2").alias("k"), "v")
-        long = long.where(~F.coalesce(F.col("v").startswith("{"), F.lit(False))).unionByName(deeper)
+        found = F.flatten(F.transform(found, opened))
+    long = runs.select(run, F.explode(found).alias("e")).select(run, F.col("e.key").alias("k"), F.col("e.value").alias("v"))
     return long.groupBy(run).pivot("k", factors).agg(F.first("v")) if factors else long.groupBy(run).pivot("k").agg(F.first("v"))
 
 

@@ -77,3 +77,10 @@ def test_e26_ranks_without_a_window_over_a_run(spark):
     rho = {k: g.s.rank().corr(g.y.rank()) for k, g in d.groupby("run")}
     assert {r.run: r.rho for r in t.collect()} == pytest.approx(rho)
     assert "windowspecdefinition(run" not in plan(got).toString()
+
+
+def test_m1_reads_the_configs_once(spark):
+    runs = spark.createDataFrame([("a", '{"a": {"b": {"c": {"d": {"e": 5}}}}, "n": null, "none": {}, "bad": "{x"}'), ("b", '{"n": "7"}'), ("c", "{")], "run_id string, config string")
+    got = experiments.design_matrix(runs, factors=["a.b.c.d.e", "n", "none"])
+    assert rows(got, ["run_id", "`a.b.c.d.e`", "n"]) == [("a", "5", None), ("b", None, "7")]
+    assert plan(got).collectLeaves().size() == 1

@@ -33,6 +33,43 @@ def test_k5_runs_of_equal_values_tie(spark, tmp_path):
     assert sorted((r.rank, r.run_id) for r in got) == [(1, "0"), (2, "1")]
 
 
+def test_m1_reads_the_configs_once(spark):
+    runs = spark.createDataFrame([("a", '{"a": {"b": {"c": {"d": {"e": 5}}}}, "n": null, "none": {}, "bad": "{x"}'), ("b", '{"n": "7"}'), ("c", "{")], "run_id string, config string")
+    got = experiments.design_matrix(runs, factors=["a.b.c.d.e", "n", "none"])
+    assert rows(got, ["run_id", "`a.b.c.d.e`", "n"]) == [("a", "5", None), ("b", None, "7")]
+    assert plan(got).collectLeaves().size() == 1
+
+
+def test_e26_ranks_without_a_window_over_a_run(spark):
+    d = pd.DataFrame({"run": ["x"] * 9 + ["y"] * 4, "s": [1.0, 2, 2, 3, 3, 3, 4, 5, 5, 1, 1, 2, 3], "y": [0, 1, 0, 1, 0, 1, 1, 1, 1, 1, 0, 0, 1]})
+    got, t = scoring.confidence_trend(spark.createDataFrame(d), "s", "y", "run")
+    d["n"] = d.groupby("run").s.transform("size")
+    d["bucket"] = (d.groupby("run").s.rank() / d.n * 5).astype(int).clip(upper=4)
+    want = d.groupby(["run", "bucket"]).agg(n=("y", "size"), w=("y", "mean"), m=("s", "mean")).reset_index()
+    assert rows(got, ["run", "bucket", "n", "win_rate", "mean_score"]) == [(r[0], r[1], r[2], pytest.approx(r[3]), pytest.approx(r[4])) for r in want.itertuples(index=False)]
+    rho = {k: g.s.rank().corr(g.y.rank()) for k, g in d.groupby("run")}
+    assert {r.run: r.rho for r in t.collect()} == pytest.approx(rho)
+    assert "windowspecdefinition(run" not in plan(got).toString()
+
+
+def test_j18_result_is_not_shuffled_for_repeats(spark):
+    rep = spark.createDataFrame([("A", day(1), "José Ray", "Out"), ("A", day(1), "Jose Ray", "Out"), ("A", day(2), "Jose Ray", "Out")], "team_id string, game_date date, player_name string, status string")
+    pl = spark.createDataFrame([("A", "9", "Jose Ray", day(0))], "team_id string, player_id string, player_name string, game_date date")
+    g = spark.createDataFrame([("g", "A", day(1)), ("g", "A", day(1)), ("h", "A", day(1)), ("h", "A", day(2))], "game_id string, team_id string, game_date date")  # g twice, h on two days
+    got = joins.listed_unavailable(rep, pl, g)
+    assert rows(got, KEY) == [("g", "A", "9"), ("h", "A", "9")]
+    assert plan(got).nodeName() == "Union"
+
+
+def test_j12_members_are_not_shuffled(spark):
+    p = spark.createDataFrame([(1, "p1", "A", day(0)), (1, "p1", "A", day(3)), (1, "p1", "B", day(5)), (1, "p2", "A", day(1)), (2, "p2", "B", day(1))], "season int, player_id string, team_id string, game_date date")
+    g = spark.createDataFrame([(1, "g0", "A", day(0)), (1, "g1", "A", day(4)), (1, "g1", "A", day(4)), (1, "g2", "A", day(5)), (1, "g3", "A", day(6)), (1, "g3", "A", day(4))], "season int, game_id string, team_id string, game_date date")
+    inj = spark.createDataFrame([("g1", "A", "p2"), ("g1", "A", "p2"), ("g2", "Z", "p2"), ("g9", "A", "x")], "game_id string, team_id string, player_id string")
+    got = joins.roster_asof(p, g, inj)
+    assert rows(got, KEY) == [("g1", "A", "p1"), ("g1", "A", "p2"), ("g2", "A", "p1"), ("g2", "Z", "p2"), ("g3", "A", "p1"), ("g3", "A", "p2"), ("g9", "A", "x")]
+    assert plan(got).nodeName() == "Union"
+
+
 def test_w12_is_the_recursion_over_all_earlier_rows(spark):
     n, r = 1500, math.exp(-math.log(2) / 10)
     x = {k: [1e300 if i == 0 else None if i % 7 == k else float(i % 5 + k) for i in range(n)] for k in (1, 2)}
@@ -49,38 +86,15 @@ def test_w12_is_the_recursion_over_all_earlier_rows(spark):
     assert "collect_list" not in plan(got).toString()
 
 
-def test_j12_members_are_not_shuffled(spark):
-    p = spark.createDataFrame([(1, "p1", "A", day(0)), (1, "p1", "A", day(3)), (1, "p1", "B", day(5)), (1, "p2", "A", day(1)), (2, "p2", "B", day(1))], "season int, player_id string, team_id string, game_date date")
-    g = spark.createDataFrame([(1, "g0", "A", day(0)), (1, "g1", "A", day(4)), (1, "g1", "A", day(4)), (1, "g2", "A", day(5)), (1, "g3", "A", day(6)), (1, "g3", "A", day(4))], "season int, game_id string, team_id string, game_date date")
-    inj = spark.createDataFrame([("g1", "A", "p2"), ("g1", "A", "p2"), ("g2", "Z", "p2"), ("g9", "A", "x")], "game_id string, team_id string, player_id string")
-    got = joins.roster_asof(p, g, inj)
-    assert rows(got, KEY) == [("g1", "A", "p1"), ("g1", "A", "p2"), ("g2", "A", "p1"), ("g2", "Z", "p2"), ("g3", "A", "p1"), ("g3", "A", "p2"), ("g9", "A", "x")]
-    assert plan(got).nodeName() == "Union"
-
-
-def test_j18_result_is_not_shuffled_for_repeats(spark):
-    rep = spark.createDataFrame([("A", day(1), "José Ray", "Out"), ("A", day(1), "Jose Ray", "Out"), ("A", day(2), "Jose Ray", "Out")], "team_id string, game_date date, player_name string, status string")
-    pl = spark.createDataFrame([("A", "9", "Jose Ray", day(0))], "team_id string, player_id string, player_name string, game_date date")
-    g = spark.createDataFrame([("g", "A", day(1)), ("g", "A", day(1)), ("h", "A", day(1)), ("h", "A", day(2))], "game_id string, team_id string, game_date date")  # g twice, h on two days
-    got = joins.listed_unavailable(rep, pl, g)
-    assert rows(got, KEY) == [("g", "A", "9"), ("h", "A", "9")]
-    assert plan(got).nodeName() == "Union"
-
-
-def test_e26_ranks_without_a_window_over_a_run(spark):
-    d = pd.DataFrame({"run": ["x"] * 9 + ["y"] * 4, "s": [1.0, 2, 2, 3, 3, 3, 4, 5, 5, 1, 1, 2, 3], "y": [0, 1, 0, 1, 0, 1, 1, 1, 1, 1, 0, 0, 1]})
-    got, t = scoring.confidence_trend(spark.createDataFrame(d), "s", "y", "run")
-    d["n"] = d.groupby("run").s.transform("size")
-    d["bucket"] = (d.groupby("run").s.rank() / d.n * 5).astype(int).clip(upper=4)
-    want = d.groupby(["run", "bucket"]).agg(n=("y", "size"), w=("y", "mean"), m=("s", "mean")).reset_index()
-    assert rows(got, ["run", "bucket", "n", "win_rate", "mean_score"]) == [(r[0], r[1], r[2], pytest.approx(r[3]), pytest.approx(r[4])) for r in want.itertuples(index=False)]
-    rho = {k: g.s.rank().corr(g.y.rank()) for k, g in d.groupby("run")}
-    assert {r.run: r.rho for r in t.collect()} == pytest.approx(rho)
-    assert "windowspecdefinition(run" not in plan(got).toString()
-
-
-def test_m1_reads_the_configs_once(spark):
-    runs = spark.createDataFrame([("a", '{"a": {"b": {"c": {"d": {"e": 5}}}}, "n": null, "none": {}, "bad": "{x"}'), ("b", '{"n": "7"}'), ("c", "{")], "run_id string, config string")
-    got = experiments.design_matrix(runs, factors=["a.b.c.d.e", "n", "none"])
-    assert rows(got, ["run_id", "`a.b.c.d.e`", "n"]) == [("a", "5", None), ("b", None, "7")]
-    assert plan(got).collectLeaves().size() == 1
+def test_m7_models_meet_in_blocks(spark):
+    imp = [(f"m{m}", f"f{(m * m + 3 * f) % 17}", float((m * 7 + f * 5) % 11)) for m in range(23) for f in range(6)] + [("none", None, 1.0)]
+    top = {}
+    for m in {m for m, _, _ in imp}:
+        best = sorted(((-x, f or "") for n, f, x in imp if n == m))[:4]
+        top[m] = {f for _, f in best if f}
+    want = sorted((a, b, len(top[a] & top[b]) / max(len(top[a] | top[b]), 1)) for a in top for b in top if a < b)
+    df = spark.createDataFrame(imp, "model string, feature string, importance double")
+    for block in (5, 1000):
+        got = experiments.topk_overlap(df, 4, block=block)
+        assert rows(got, ["model_a", "model_b", "jaccard"]) == [(a, b, pytest.approx(x)) for a, b, x in want]
+    assert "array_intersect" not in plan(got).toString()

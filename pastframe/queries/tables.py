@@ -13,6 +13,15 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+#: Line items of one task, where a query says how many tasks share them.
+TASK_ROWS = 500_000
+
+
+def tasks(spark: SparkSession, d: str) -> int:
+    """So many tasks that the line items of one are bounded, Spark's number of shuffle partitions at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-table(spark, d, "lineitem").count() // TASK_ROWS))
+
+
 def orders(spark: SparkSession, d: str) -> DataFrame:
     """Orders as game rows: customer is the key, the order date the date, the order key the tie."""
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("k"), F.to_date("o_orderdate").alias("d"), F.year("o_orderdate").alias("season"), F.col("o_totalprice").alias("v"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("prio"))

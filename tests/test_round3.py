@@ -151,3 +151,14 @@ def test_p5_candidates_by_stretches_of_days(spark):
 def test_p5_query_meets_no_roster_with_its_games(spark):
     p = plan(people.QUERIES["p5_vote_features"][0](spark, "/root/testdata/sf0.001")).toString()
     assert "__until" not in p  # the spans that games meet, as in J12
+
+
+def test_p3_slots_are_shared_by_the_tasks_asked_for(spark):
+    """Slots and absences meet the games once, and nothing is joined by player again."""
+    games = spark.createDataFrame([("T", f"g{i}", day(i // 2), 2020 + i % 2, float(i * i % 7), 1.0) for i in range(12)], "team_id string, game_id string, game_date date, season_year int, v double, e double")
+    slots = spark.createDataFrame([(f"g{i}", "T", p) for i in range(12) for p in "pq"] * 2, "game_id string, team_id string, player_id string")
+    out = slots.where("game_id in ('g0', 'g1', 'g4', 'g5', 'g8') and player_id = 'p'")
+    one, many = (players.availability_effect(games, slots, out, "v", "e", parts=n) for n in (None, 23))
+    assert rows(one, one.columns) == rows(many, many.columns) and one.count() == 24
+    tree = many._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(team_id" in tree and ", 23)" in tree and "player_id" not in "".join(x for x in tree.split("\n") if "SortMergeJoin" in x or "HashJoin" in x)

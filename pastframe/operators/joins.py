@@ -108,13 +108,17 @@ def prior_matchups(games: DataFrame, pairs: DataFrame, home: str, away: str, dat
     return g.where(F.col(date) < F.lit(before)).join(pairs.select(home, away).distinct(), [home, away], "left_semi").select(id_col, home, away, date)
 
 
-def last_value_asof(events: DataFrame, probes: DataFrame, key: list[str], ts: str, values: list[str], strict: bool = True) -> DataFrame:
-    """For each probe the last event of its key before (strict) or up to its time: one union and one window, no range join."""
+def last_value_asof(events: DataFrame, probes: DataFrame, key: list[str], ts: str, values: list[str], strict: bool = True, parts: int | None = None) -> DataFrame:
+    """For each probe the last event of its key before (strict) or up to its time: one union and one window, no range join.
+
+    parts: how many tasks share events and probes; by default Spark's own number.
+    """
     kind = {"e": 1, "p": 0} if strict else {"e": 0, "p": 1}
     e = events.select(*key, ts, F.struct(*values).alias("__v"), F.lit(kind["e"]).alias("__k"), F.lit(None).alias("__row"))
     p = probes.select(*key, ts, F.lit(None).alias("__v"), F.lit(kind["p"]).alias("__k"), F.struct(*[F.col(c) for c in probes.columns]).alias("__row"))
     w = Window.partitionBy(*key).orderBy(ts, "__k").rowsBetween(Window.unboundedPreceding, 0)
-    got = e.unionByName(p).withColumn("__last", F.last("__v", ignorenulls=True).over(w)).where("__row is not null")
+    both = e.unionByName(p).repartition(parts, *key) if parts else e.unionByName(p)
+    got = both.withColumn("__last", F.last("__v", ignorenulls=True).over(w)).where("__row is not null")
     return got.select("__row.*", *[F.col("__last")[v].alias(f"last_{v}" if v in probes.columns else v) for v in values])
 
 

@@ -162,3 +162,12 @@ def test_p3_slots_are_shared_by_the_tasks_asked_for(spark):
     assert rows(one, one.columns) == rows(many, many.columns) and one.count() == 24
     tree = many._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(team_id" in tree and ", 23)" in tree and "player_id" not in "".join(x for x in tree.split("\n") if "SortMergeJoin" in x or "HashJoin" in x)
+
+
+def test_p2_bench_rows_are_shared_by_the_tasks_asked_for(spark):
+    per = spark.createDataFrame([(f"g{i}", "T", p, day(i), 8.0 + i + 3 * j, float(i * j), 1.0 + j) for i in range(9) for j, p in enumerate("pqr")], "game_id string, team_id string, player_id string, game_date date, minutes double, pts double, pace double")
+    ros, out = per.select("game_id", "team_id", "player_id", "game_date"), per.where("game_id = 'g4' and player_id = 'p'").select("game_id", "team_id", "player_id")
+    one, many = (players.bench_features(per, ros, out, "pts", "pace", n) for n in (None, 23))
+    assert rows(one, one.columns) == rows(many, many.columns) and {r.game_id: r.n_bench for r in many.collect()}["g4"] == 2
+    tree = plan(many).toString()
+    assert tree.count("RepartitionByExpression") == 6 and tree.count(", 23") >= 6

@@ -86,8 +86,11 @@ def run_summaries(spark: SparkSession, root: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(f"{root}/*/metrics.json").withColumn("run_id", F.regexp_extract(F.input_file_name(), r"/([^/]+)/metrics\.json", 1))
 
 
-def importance_stability(imp: DataFrame, k: int = 100, target: str = "target", model: str = "model", feature: str = "feature", importance: str = "importance", families: dict[str, str] = {}) -> DataFrame:  # noqa: B006
-    """M7: per target and feature: medians of share and rank fraction over models, how often it is used, in the top quarter, in the top k."""
+def importance_stability(imp: DataFrame, k: int = 100, target: str = "target", model: str = "model", feature: str = "feature", importance: str = "importance", families: dict[str, str] = {}, parts: int | None = None) -> DataFrame:  # noqa: B006
+    """M7: per target and feature: medians of share and rank fraction over models, how often it is used, in the top quarter, in the top k.
+
+    parts: how many tasks share the targets and features; by default Spark's own number.
+    """
     g = [target, model]
     w = Window.partitionBy(*g)
     s = imp.withColumn("__neg", -F.col(importance)).withColumn("share", F.try_divide(F.col(importance), F.sum(importance).over(w))).withColumn("__n", F.count("*").over(w))
@@ -95,6 +98,7 @@ def importance_stability(imp: DataFrame, k: int = 100, target: str = "target", m
     fam: Column = F.lit("other")
     for word, name in reversed(families.items()):
         fam = F.when(F.lower(feature).contains(word.lower()), name).otherwise(fam)
+    s = s.repartition(parts, target, feature) if parts else s
     return s.groupBy(target, feature).agg(F.median("share").alias("median_share"), F.median("rank_fraction").alias("median_rank_fraction"), F.avg((F.col(importance) > 0).cast("double")).alias("used_rate"), F.avg((F.col("rank_fraction") <= 0.25).cast("double")).alias("top_quarter_rate"), F.avg((F.col("rank") <= k).cast("double")).alias("top_k_rate"), F.count("*").alias("models")).withColumn("family", fam)
 
 

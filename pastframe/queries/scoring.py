@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pastframe.operators import audits, experiments, players, scoring, splits
-from pastframe.queries.tables import ITEMS, ORDERS, entry, items, orders
+from pastframe.queries.tables import ITEMS, ORDERS, entry, items, orders, tasks
 from pastframe.sources.stored import shared_folder, stored
 
 def _bets(s, d):
@@ -197,7 +197,7 @@ QUERIES = {
         f"WITH {ORDERS} SELECT prio, count(DISTINCT k) AS seeds, {{r:max(v) - min(v)}} AS v_spread, {{r:stddev_samp(v)}} AS v_std FROM o GROUP BY prio",
     ),
     "m7_importance_stability": entry(
-        lambda s, d: experiments.importance_stability(_importance(s, d), 20, "flag", "s", "p", "x").select("flag", "p", "median_share", "median_rank_fraction", "top_quarter_rate", "top_k_rate", "models"),
+        lambda s, d: experiments.importance_stability(_importance(s, d), 20, "flag", "s", "p", "x", parts=tasks(s, d)).select("flag", "p", "median_share", "median_rank_fraction", "top_quarter_rate", "top_k_rate", "models"),
         f"""WITH {ITEMS}, m AS (SELECT flag, s, p, sum(q) AS x FROM i GROUP BY ALL), r AS (SELECT flag, p, x / sum(x) OVER (PARTITION BY flag, s) AS sh, rank() OVER (PARTITION BY flag, s ORDER BY -x) + (count(*) OVER (PARTITION BY flag, s, x) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY flag, s) AS n FROM m)
         SELECT flag, p, {{r:median(sh)}} AS median_share, {{r:median(r / n)}} AS median_rank_fraction, {{r:avg((r / n <= 0.25)::INT)}} AS top_quarter_rate, {{r:avg((r <= 20)::INT)}} AS top_k_rate, count(*) AS models FROM r GROUP BY flag, p""",
     ),
@@ -233,7 +233,8 @@ def _three(s, d):
 
 
 def _importance(s, d):
-    return items(s, d).groupBy("flag", "s", "p").agg(F.sum("q").alias("x"))
+    """By flag and supplier, over tasks whose share is bounded: sums, and windows of a supplier, need no other shuffle."""
+    return items(s, d).select("flag", "s", "p", "q").repartition(tasks(s, d), "flag", "s").groupBy("flag", "s", "p").agg(F.sum("q").alias("x"))
 
 
 def _officiated(s, d):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pastframe.operators import experiments, joins, players, scoring, windows
 from pastframe.queries import history, people
+from pastframe.queries import scoring as scoring_queries
 
 KEY = ["game_id", "team_id", "player_id"]
 
@@ -171,3 +172,10 @@ def test_p2_bench_rows_are_shared_by_the_tasks_asked_for(spark):
     assert rows(one, one.columns) == rows(many, many.columns) and {r.game_id: r.n_bench for r in many.collect()}["g4"] == 2
     tree = plan(many).toString()
     assert tree.count("RepartitionByExpression") == 6 and tree.count(", 23") >= 6
+
+
+def test_m7_sums_and_windows_share_a_shuffle(spark):
+    got = scoring_queries.QUERIES["m7_importance_stability"][0](spark, "/root/testdata/sf0.001")
+    assert got.count() > 0
+    tree = got._jdf.queryExecution().executedPlan().toString()
+    assert tree.count("hashpartitioning(") == 2 and tree.count("REPARTITION_BY_NUM") == 2

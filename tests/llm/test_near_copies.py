@@ -1,6 +1,7 @@
 """Near copies of a similarity of 0.8 or more: the cover meets every pair, alone and in crowds."""
 
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -112,6 +113,36 @@ def test_crowds_of_near_copies(spark):
     assert kept - groups(texts) <= 0.02 * len(texts), (kept, groups(texts))
 
 
+def test_no_link_of_a_crowd_is_missed(spark):
+    """Short texts near the threshold: some are near to none of the central ones. Stars alone left 31 groups of 6."""
+    rng, texts = np.random.default_rng(13), []
+    for kind in ("scattered", "block"):
+        for how in ("star", "tree", "drift"):
+            own = [[str(w) for w in rng.choice(POOL, 60)]]
+            while len(own) < 120:
+                before = own[0 if how == "star" else -1 if how == "drift" else int(rng.integers(len(own)))]
+                if (new := edited(rng, before, kind, 0.8, 0.82)) is not None:
+                    own.append(new)
+            texts += own
+    order = rng.permutation(len(texts))
+    kept = near_copies.drop_near_copies(frame(spark, [texts[i] for i in order]).repartition(3)).count()
+    assert kept == groups(texts)
+
+
+def test_common_shingles_make_no_pairs(spark):
+    """Half of every text is one passage: texts meet by what is rare in them, and the near ones among them are found."""
+    rng = np.random.default_rng(6)
+    passage = [str(w) for w in rng.choice(POOL, 60)]
+    texts = [passage + [str(w) for w in rng.choice(POOL, 60)] for _ in range(300)]
+    texts += [t[:-3] + [str(w) for w in rng.choice(POOL, 3)] for t in texts[:20]]
+    nodes = [(i, i, sorted(zlib.crc32(" ".join(g).encode()) & 0x7FFFFFFF for g in grams(t))) for i, t in enumerate(texts)]
+    table = spark.createDataFrame(nodes, "node long, comp long, grams array<int>")
+    shared = spark.createDataFrame([(i, 1, 1) for i in range(len(texts))], "node long, code long, size int")
+    comp = spark.createDataFrame([], "node long, component long")
+    met = {(min(r.a, r.b), max(r.a, r.b)) for r in near_copies.unmet(shared, table.drop("comp"), comp).collect()}
+    assert met == {(i, 300 + i) for i in range(20)}
+
+
 def test_common_codes_are_linked_like_others(spark):
     """The sample decides how shared codes are found, never which."""
     rng = np.random.default_rng(4)

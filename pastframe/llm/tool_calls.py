@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Container, Iterable
-from functools import reduce
+from collections.abc import Container, Iterable, Iterator
+from functools import lru_cache, reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,6 +44,9 @@ def problem(value: object, schema: dict, at: str = "$") -> str | None:
     return None
 
 
+_schema = lru_cache(1024)(json.loads)  # the same few schemas come again and again
+
+
 def _checked(arguments: str | None, schema: str | None) -> tuple[str | None, str | None]:
     try:
         value = json.loads(arguments) if arguments else {}
@@ -53,7 +57,7 @@ def _checked(arguments: str | None, schema: str | None) -> tuple[str | None, str
     if schema is None:
         return text, "unknown tool"
     try:
-        wrong = problem(value, json.loads(schema))
+        wrong = problem(value, _schema(schema))
     except (ValueError, AttributeError, TypeError, RecursionError):
         return text, "broken schema"
     return text, wrong and wrong.encode("utf-8", "replace").decode()
@@ -89,19 +93,24 @@ def settle(turns: dict[str, int], waits: dict[str, Iterable[str]], base: dict[st
     return out
 
 
+#: Conversations of up to so many calls and dependencies go through Python many at a time.
+_FEW = 100
+
+
 def _levels(calls: DataFrame, most: int = 50_000) -> DataFrame:
     """(conv_id, call_id, level, after) of calls (conv_id, call_id, turn, depends_on); no row for those in or behind a cycle.
 
     level: 0 for calls that wait for none, else one more than the calls they wait for. after: the latest turn of the call
     and of all that it waits for, directly or not. Conversations of up to `most` calls and dependencies are settled each in
-    one go. Longer ones, which no task should hold, are cut into runs of so many in the order of turns, and go in rounds:
+    one go, those of up to _FEW many in a batch. Longer ones, which no task should hold, are cut into runs of so many in the order of turns, and go in rounds:
     each settles, in every run, what waits for nothing that is open in other runs. So a chain takes as many rounds as it
     goes from one run to another, not as many as it has calls. The result is the same. A dependency that isn't a call of
     the conversation does not hold anything up.
     """
     key = ["conv_id", "call_id"]
     size = calls.groupBy("conv_id").agg(F.sum(1 + F.size("depends_on")).alias("__n"))
-    long_ = written(size.where(F.col("__n") > most).select("conv_id"), "long-conversations")
+    more = written(size.where(F.col("__n") > min(_FEW, most)), "more-calls")
+    long_ = more.where(F.col("__n") > most).select("conv_id")
     schema = f"conv_id {dict(calls.dtypes)['conv_id']}, call_id string, level int, after int"
 
     def told(pdf: pd.DataFrame, levels: dict[str, tuple[int, int]]) -> pd.DataFrame:
@@ -116,9 +125,22 @@ def _levels(calls: DataFrame, most: int = 50_000) -> DataFrame:
         base = {c: (int(level), int(after)) for c, level, after in zip(pdf.call_id, pdf.level, pdf.after, strict=True) if level == level and level is not None}
         return told(pdf, settle(turns, waits, base, {c for c, ws in waits.items() if any(w not in turns for w in ws)}))
 
-    parts = [calls.join(long_, "conv_id", "left_anti").groupBy("conv_id").applyInPandas(one, schema)]
+    def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, names, levels, after = [], [], [], []
+            for i, own in enumerate(b.column("calls").to_pylist()):
+                for name, (level, turn) in settle({c["call_id"]: c["turn"] for c in own}, {c["call_id"]: c["depends_on"] for c in own}).items():
+                    at.append(i), names.append(name), levels.append(level), after.append(turn)
+            ids = b.column("conv_id").take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(names, pa.string()), pa.array(levels, pa.int32()), pa.array(after, pa.int32())], names=["conv_id", "call_id", "level", "after"])
+
+    short = calls.join(more.select("conv_id"), "conv_id", "left_anti").groupBy("conv_id").agg(F.collect_list(F.struct("call_id", "turn", "depends_on")).alias("calls"))
+    parts = [short.mapInArrow(few, schema)]
+    if more.take(1):
+        middle = more.where(F.col("__n") <= most).select("conv_id")
+        parts.append(calls.join(middle, "conv_id", "left_semi").groupBy("conv_id").applyInPandas(one, schema))
     if not long_.take(1):
-        return parts[0]
+        return reduce(DataFrame.unionByName, parts)
     placed = running_total(calls.join(long_, "conv_id", "left_semi"), [F.col(c) for c in ("conv_id", "turn", "call_id")], "before", 1 + F.size("depends_on"), "call-order", written)
     placed = placed.withColumn("run", F.floor(F.col("before") / most))
     rest = written(placed.select(*key, "turn", "run"), "open-calls")

@@ -32,3 +32,15 @@ def test_rows_repeated_whole_are_each_encoded(spark):
 
 def test_long_words_have_whole_shapes():
     assert weak_quality.shape("a" * 100 + "7") == "xd"
+
+
+def test_levels_of_short_conversations_go_many_at_a_time(spark):
+    from pastframe.llm import tool_calls
+
+    data = [(c, f"k{i}", i, [f"k{i - 1}", "gone"] if i else (["k4"] if c == 3 else [])) for c in range(8) for i in range(2 + c)]
+    calls = spark.createDataFrame(data, "conv_id long, call_id string, turn int, depends_on array<string>")
+    told = lambda df: sorted(map(tuple, df.collect()))
+    got = tool_calls._levels(calls)
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = [(c, f"k{i}", i, i) for c in range(8) if c != 3 for i in range(2 + c)]  # in conversation 3 calls wait for each other
+    assert told(got) == want == told(tool_calls._levels(calls, 12)) == told(tool_calls._levels(calls, 4))

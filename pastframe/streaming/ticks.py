@@ -57,8 +57,32 @@ def stream_pregame(ticks: DataFrame, games: DataFrame, margin_minutes: float = 5
     return j.withColumn("minutes_before_tip", before).where(F.col("minutes_before_tip") >= margin_minutes)
 
 
-STATE = "last_ts timestamp, level double, first double, n_ticks long, n_moves long, n_reversals long, sign int, n_late long"
-OUT = "game_id string, market string, book string, " + STATE
+FIELDS = "last_ts long, level double, first double, n_ticks long, n_moves long, n_reversals long, sign int, n_late long"
+OUT = "game_id string, market string, book string, " + FIELDS  # last_ts in microseconds until the end
+#: The state of a game: one place in each array for each of its markets and books; times in microseconds, until in milliseconds.
+STATE = "market array<string>, book array<string>, last_ts array<long>, level array<double>, first array<double>, n_ticks array<long>, n_moves array<long>, n_reversals array<long>, sign array<int>, n_late array<long>, until array<long>"
+_UNKNOWN = (1 << 63) - 1
+_NEW = (None, None, None, 0, 0, 0, 0, 0, 0)
+
+
+def _path(held: tuple, at: np.ndarray, x: np.ndarray) -> tuple:
+    """The state of one market and book after ticks of levels x, in order, at microseconds `at`; unknown times are _UNKNOWN."""
+    last, value, first, n, moves, turns, sign, late, _ = held
+    known = at != _UNKNOWN
+    if last is not None:
+        fresh = known & (at >= last)
+        late += int(len(at) - fresh.sum())
+        at, x, known = at[fresh], x[fresh], known[fresh]
+    if len(x):
+        step = np.sign(np.diff(x if value is None else np.append(value, x)))
+        step = step[step != 0]
+        signs = np.append(sign, step) if sign else step
+        moves += len(step)
+        turns += int((np.diff(signs) != 0).sum())
+        sign = int(signs[-1]) if len(signs) else 0
+        n, first = n + len(x), float(x[0]) if first is None else first
+        last, value = int(at[known][-1]) if known.any() else last, float(x[-1])
+    return last, value, first, n, moves, turns, sign, late
 
 
 def stream_path_state(ticks: DataFrame, level: str = "level", tie: str = "tick_id", expire: str | None = None) -> DataFrame:
@@ -66,36 +90,43 @@ def stream_path_state(ticks: DataFrame, level: str = "level", tie: str = "tick_i
 
     Ticks of a batch are taken in order of time; ticks older than the state's last one are late: they are counted, in
     n_late, and change nothing else. expire: how long after the watermark a key without ticks is kept; by default for ever.
+    A game's markets and books are one group with one state: Python is called once for a game and batch, not for each key.
     """
     wait = GroupStateTimeout.NoTimeout if expire is None else GroupStateTimeout.EventTimeTimeout
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last, value, first, n, moves, turns, sign, late = state.get if state.exists else (None, None, None, 0, 0, 0, 0, 0)
-        rows = pd.concat(list(frames)).sort_values(["line_ts", tie])
-        if last is not None:
-            fresh = rows["line_ts"] >= last
-            late += int((~fresh).sum())
-            rows = rows[fresh]
-        if len(rows):
-            x = rows[level].to_numpy(float)
-            step_ = np.sign(np.diff(x if value is None else np.append(value, x)))
-            signs = np.append(sign, step_[step_ != 0]) if sign else step_[step_ != 0]
-            moves += int((step_ != 0).sum())
-            turns += int((np.diff(signs) != 0).sum())
-            sign = int(signs[-1]) if len(signs) else 0
-            n, first = n + len(x), float(x[0]) if first is None else first
-            last, value = rows["line_ts"].iloc[-1].to_pydatetime(), float(x[-1])
-        new = (last, value, first, n, moves, turns, sign, late)
-        state.update(new)
+        held = {(m, b): tuple(x) for m, b, *x in zip(*state.get, strict=True)} if state.exists else {}
+        now = state.getCurrentWatermarkMs() if expire is not None else 0
+        out, parts = {}, [] if state.hasTimedOut else list(frames)
+        if parts:
+            rows = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+            at, x, ties = rows["__at"].to_numpy(), rows[level].to_numpy(float), rows[tie].to_numpy()
+            by = rows.sort_values(["__at", tie]).index if ties.dtype == object else np.lexsort((ties, at))
+            markets, books = rows["market"].tolist(), rows["book"].tolist()
+            places: dict[tuple, list[int]] = {}
+            for i in by:
+                m, b = markets[i], books[i]
+                places.setdefault((m if m == m else None, b if b == b else None), []).append(i)
+            for k, own in places.items():
+                new = _path(held.get(k, _NEW), at[own], x[own])
+                out[k] = new
+                held[k] = (*new, max((new[0] or 0) // 1000, now) + 1 if expire is not None else 0)
         if expire is not None:
-            state.setTimeoutTimestamp(max(int(last.timestamp() * 1000), state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame([(*key, *new)], columns=[c.split()[0] for c in OUT.split(", ")])
+            held = {k: v for k, v in held.items() if k in out or v[-1] >= now}
+        if held:
+            state.update(tuple(map(list, zip(*((*k, *v) for k, v in held.items()), strict=True))))
+            if expire is not None:
+                state.setTimeoutTimestamp(max(min(v[-1] for v in held.values()), now + 1))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame([(*key, *k, *v) for k, v in out.items()], columns=[c.split()[0] for c in OUT.split(", ")])
 
     timed = ticks if expire is None else ticks.withWatermark("line_ts", expire)
-    return timed.groupBy("game_id", "market", "book").applyInPandasWithState(step, OUT, STATE, "update", wait)
+    timed = timed.withColumn("__at", F.coalesce(F.unix_micros(F.col("line_ts").cast("timestamp")), F.lit(_UNKNOWN)))
+    needed = dict.fromkeys(["game_id", "market", "book", "__at", tie, level, *(["line_ts"] if expire else [])])
+    done = timed.select(*needed).groupBy("game_id").applyInPandasWithState(step, OUT, STATE, "update", wait)
+    return done.withColumn("last_ts", F.timestamp_micros("last_ts"))
 
 
 def stream_latest(preds: DataFrame, sink: str, checkpoint: str, keys: list[str], at: str) -> StreamingQuery:

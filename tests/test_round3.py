@@ -179,3 +179,34 @@ def test_m7_sums_and_windows_share_a_shuffle(spark):
     assert got.count() > 0
     tree = got._jdf.queryExecution().executedPlan().toString()
     assert tree.count("hashpartitioning(") == 2 and tree.count("REPARTITION_BY_NUM") == 2
+
+
+def test_st3_a_game_is_one_state(spark, tmp_path):
+    """The books of a game share a state and a call; late ticks, and keys that are no longer kept, are told for each of them."""
+    from pastframe.streaming import ticks as streaming
+
+    at = lambda h, m: dt.datetime(2024, 1, 1, h, m)
+    batches = [
+        [("g", "t", "x", at(10, 1), 1, 5.0), ("g", "t", "x", at(10, 0), 2, 4.0), ("g", "t", "y", at(10, 0), 3, 1.0), ("g", None, "y", at(10, 0), 4, 1.0)],
+        [("g", "t", "x", at(9, 59), 5, 9.0), ("g", "t", "x", at(10, 2), 6, 4.0), ("g", "t", "y", at(12, 0), 7, 2.0)],
+        [("g", "t", "y", at(12, 5), 8, 2.0)],
+        [("g", "t", "x", at(12, 6), 9, 7.0)],
+    ]
+    schema = "game_id string, market string, book string, line_ts timestamp, tick_id int, level double"
+    for expire, want in ((None, (7.0, 4.0, 4, 3, 2, 1)), ("10 minutes", (7.0, 7.0, 1, 0, 0, 0))):
+        src, done = f"{tmp_path}/{expire}", []
+        for i, b in enumerate(batches):
+            spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(src)
+
+            def keep(batch, n):
+                done.extend(batch.collect())
+
+            stream = streaming.stream_path_state(spark.readStream.schema(schema).parquet(src), expire=expire)
+            q = stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{src}-log").trigger(availableNow=True).start()
+            q.awaitTermination()
+            if i == 0:
+                assert q.recentProgress[0]["stateOperators"][0]["numRowsTotal"] == 1
+        x = [r for r in done if r.book == "x"]
+        assert (x[-1].level, x[-1].first, x[-1].n_ticks, x[-1].n_moves, x[-1].n_reversals, x[-1].n_late) == want
+        assert (x[1].n_ticks, x[1].n_late, x[1].last_ts) == (3, 1, at(10, 2))
+        assert [(r.n_ticks, r.n_moves) for r in done if r.book == "y" and r.market] == [(1, 0), (2, 1), (3, 1)]

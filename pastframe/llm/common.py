@@ -158,14 +158,14 @@ def sliced(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
         yield batch.slice(begin)
 
 
-def with_text_columns(df: DataFrame, text_col: str, outputs: list[tuple[str, str, pa.DataType]], fn: Callable[[list], list], setup: Callable[[], object] | None = None) -> DataFrame:
-    """Add columns that fn makes of whole texts, in Arrow batches; other columns pass through, ones of the same name are replaced.
+def with_text_columns(df: DataFrame, text_col: str, outputs: list[tuple[str, str, pa.DataType]], fn: Callable[[list], list], setup: Callable[[], object] | None = None, keep_text: bool = True) -> DataFrame:
+    """Add columns that fn makes of whole texts, in Arrow batches; other columns pass through, ones of the same name are replaced, and the texts go without keep_text.
 
     outputs: (name, Spark type, Arrow type) of each. fn(texts, state) takes a list of texts (null as "") and returns one
     list or array for each output; state is what setup() returned once in the task.
     """
     let_workers_import(df.sparkSession)
-    names = {n for n, _, _ in outputs}
+    names = {n for n, _, _ in outputs} | (set() if keep_text else {text_col})
     base = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in names], F.col(f"`{text_col}`").alias("__text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name != "__text"), *(f"`{n}` {t}" for n, t, _ in outputs)])
 

@@ -72,6 +72,25 @@ def test_j12_members_are_not_shuffled(spark):
     assert plan(got).nodeName() == "Union"
 
 
+def test_j12_runs_of_games_meet_spans(spark, monkeypatch):
+    """A player's games of a run come one after the other, which files keep in little room."""
+    monkeypatch.setattr(joins, "GAMES_OF_RUN", 50, raising=False)
+    rng = random.Random(12)
+    per = list({(p, d): (1, p, rng.choice("AB"), day(d)) for p, d in ((rng.randrange(20), rng.randrange(60)) for _ in range(200))}.values())
+    games = [(1, i, rng.choice("AB"), day(rng.randrange(60))) for i in range(300)]
+    inj = [(i, rng.choice("AB"), rng.randrange(20)) for i in range(0, 300, 9)]
+    want = set(inj)
+    for _, i, t, d in games:
+        for p in range(20):
+            if any(q == p and u == t for _, q, u, _ in per) and max(((e, u) for _, q, u, e in per if q == p and e < d), default=("", ""))[1] == t and not any(i == j and q == p for j, _, q in inj):
+                want.add((i, t, p))
+    make = spark.createDataFrame
+    got = joins.roster_asof(make(per, "season int, player_id int, team_id string, game_date date"), make(games, "season int, game_id int, team_id string, game_date date"), make(inj, "game_id int, team_id string, player_id int"))
+    assert rows(got, KEY) == sorted(want)
+    found = [r.player_id for r in got.coalesce(1).collect()]
+    assert sum(a != b for a, b in zip(found, found[1:], strict=False)) < len(found) / 4
+
+
 def test_w12_is_the_recursion_over_all_earlier_rows(spark):
     n, r = 1500, math.exp(-math.log(2) / 10)
     x = {k: [1e300 if i == 0 else None if i % 7 == k else float(i % 5 + k) for i in range(n)] for k in (1, 2)}

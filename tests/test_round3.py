@@ -121,6 +121,20 @@ def test_m7_models_meet_in_blocks(spark):
     assert "array_intersect" not in plan(got).toString()
 
 
+def test_m7_models_go_to_a_bounded_number_of_blocks(spark, monkeypatch):
+    """However many models there are; blocks grow instead, and are gone through in tiles."""
+    monkeypatch.setattr(experiments, "OVERLAP_TILE", 4, raising=False)
+    df = spark.range(60 * 5).selectExpr("id % 60 as model", "(id * id) % 13 as feature", "id % 7 + 0.5 as importance")
+    for block, most, blocks in ((1, 3, 3), (7, 24, 9), (1, 24, 24), (100, 24, 1)):
+        got = experiments.topk_overlap(df, 3, block=block, most=most)
+        told = [r for r in got.collect()]
+        assert len({(r.model_a, r.model_b) for r in told}) == len(told) == 60 * 59 / 2 and all(r.model_a < r.model_b for r in told)
+        assert f"explode(sequence(0, {blocks - 1}" in got._jdf.queryExecution().analyzed().toString()  # what a model is sent to
+    top = {m: {r.feature for r in df.where(f"model = {m}").orderBy(F.desc("importance"), "feature").limit(3).collect()} for m in (3, 44)}
+    want = len(top[3] & top[44]) / len(top[3] | top[44])
+    assert [r.jaccard for r in told if (r.model_a, r.model_b) == (3, 44)] == [pytest.approx(want)]
+
+
 def test_p4_a_player_s_steps_don_t_meet_all_his_teams(spark):
     from pastframe.operators import players
 

@@ -182,6 +182,14 @@ def test_p4_generated_code_is_small_enough_to_be_compiled(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
 
 
+def test_b0_roster_rows_are_in_as_many_tasks_as_the_line_items_ask_for(spark, monkeypatch):
+    from pastframe.queries import tables
+
+    monkeypatch.setattr(tables, "TASK_ROWS", 100)  # of some 6,000
+    text = plan(people.QUERIES["b0_team_frame"][0](spark, "/root/testdata/sf0.001")).toString()
+    assert any("RepartitionByExpression [s#" in x and ", 60" in x for x in text.splitlines())
+
+
 def test_p5_candidates_by_stretches_of_days(spark):
     """Against the four sources told day by day; rosters as moves and as members of games."""
     rng = random.Random(5)
